@@ -166,6 +166,9 @@ def with_ctes(sql: str) -> str:
         return sql
     parts = [f"{n} as ({CTES[n][0]}\n)" for n in _order(used)]
     head = sql.lstrip()
+    m = re.match(r"(?i)with\s+recursive\s", head)
+    if m:
+        return "with recursive " + ",\n".join(parts) + ",\n" + head[m.end():].lstrip()
     if re.match(r"(?i)with\s", head):
         return "with " + ",\n".join(parts) + ",\n" + head[4:].lstrip()
     return "with " + ",\n".join(parts) + "\n" + sql

@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 # (one team-season or one market holding a large share of rows).
 SESSION_DEFAULTS = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
