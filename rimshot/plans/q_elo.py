@@ -1,4 +1,7 @@
-"""Queries: Elo history (W12), oracle = recursive CTE carrying the season's rating list."""
+"""Queries: Elo history (W12), oracle = recursive CTE carrying the season's rating list.
+
+Team ids of the fixtures are 0..29, so the oracle's rating list is indexed by team_id + 1.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +10,10 @@ from pyspark.sql import functions as F
 from rimshot.operators.elo import elo
 from rimshot.operators.results import team_game_results
 from rimshot.plans.catalog import query
+from rimshot.plans.oracle_sql import register
 from rimshot.sources import fixtures as fx
 
-# Team ids of the fixtures are 0..29, so the rating list is indexed by team_id + 1.
-ELO_SQL = """
+register("f_elo", """
 with recursive
 p as (select season_start, game_id, min(game_date) as game_date,
              max(case when is_home = 1 then team_id end) as home_id,
@@ -35,12 +38,15 @@ s as (
         from s join g on g.season_start = s.season_start and g.k = s.k + 1) step
 )
 select g.season_start, g.game_id, g.game_date, g.home_id as team_id, g.away_id as opp_team_id, 1 as is_home,
-       round(s.hpre, 4) as elo_pre, round(s.hpost, 4) as elo_post, g.res_home as result, 20e0 as k_factor
+       s.hpre as elo_pre, s.hpost as elo_post, g.res_home as result, 20e0 as k_factor
 from s join g on s.season_start = g.season_start and s.k = g.k
 union all
-select g.season_start, g.game_id, g.game_date, g.away_id, g.home_id, 0,
-       round(s.apre, 4), round(s.apost, 4), g.res_away, 20e0
-from s join g on s.season_start = g.season_start and s.k = g.k"""
+select g.season_start, g.game_id, g.game_date, g.away_id, g.home_id, 0, s.apre, s.apost, g.res_away, 20e0
+from s join g on s.season_start = g.season_start and s.k = g.k""", ("f_results",))
+
+ELO_SQL = """
+select season_start, game_id, game_date, team_id, opp_team_id, is_home, round(elo_pre, 4) as elo_pre,
+       round(elo_post, 4) as elo_post, result, k_factor from f_elo"""
 
 
 @query("w12_elo_history", ELO_SQL)

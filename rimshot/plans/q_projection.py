@@ -1 +1,89 @@
-"""(registered queries)"""
+"""Queries: team state at checkpoints (W17) and the season projection (M1-M6)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rimshot.operators import projection as P
+from rimshot.operators.elo import elo
+from rimshot.operators.results import team_game_results
+from rimshot.plans.catalog import query, round_doubles
+from rimshot.plans.oracle_sql import register
+from rimshot.sources import fixtures as fx
+
+N_DRAWS = 200   # tests and the correctness gate; the bench uses more draws
+
+register("f_cutoffs", """
+select season_start, gn as checkpoint, max(game_date) as cutoff
+from (select season_start, game_date,
+             row_number() over (partition by season_start, team_id order by game_date, game_id) as gn from f_results) x
+where gn in (20, 40, 60) group by season_start, gn""", ("f_results",))
+
+register("f_state", """
+with m as (select distinct r.season_start, r.team_id, c.checkpoint, c.cutoff
+           from f_results r join f_cutoffs c on r.season_start = c.season_start),
+w as (select m.season_start, m.checkpoint, m.team_id, cast(sum(r.is_win) as bigint) as wins_cp
+      from m join f_results r on r.season_start = m.season_start and r.team_id = m.team_id and r.game_date <= m.cutoff
+      group by 1, 2, 3),
+e as (select season_start, checkpoint, team_id, elo_post as elo_cp from (
+        select m.season_start, m.checkpoint, m.team_id, h.elo_post,
+               row_number() over (partition by m.season_start, m.checkpoint, m.team_id
+                                  order by h.game_date desc, h.game_id desc) as rk
+        from m join f_elo h on h.season_start = m.season_start and h.team_id = m.team_id and h.game_date <= m.cutoff) z
+      where rk = 1)
+select m.season_start, m.checkpoint, m.team_id, t.conference, m.cutoff,
+       coalesce(w.wins_cp, 0) as wins_cp, coalesce(e.elo_cp, 1500e0) as elo_cp
+from m left join w using (season_start, checkpoint, team_id) left join e using (season_start, checkpoint, team_id)
+left join f_teams t on t.team_id = m.team_id""", ("f_results", "f_cutoffs", "f_elo", "f_teams"))
+
+
+def _state(spark, sf_dir):
+    g = fx.games(spark, sf_dir)
+    res = team_game_results(g)
+    cut = P.checkpoint_cutoffs(res)
+    st = P.team_state(res, elo(res), fx.teams(spark, sf_dir), cut)
+    return g, cut, st
+
+
+@query("w17_team_state", """
+select season_start, checkpoint, team_id, conference, cutoff, wins_cp, round(elo_cp, 4) as elo_cp from f_state""")
+def w17_team_state(spark, sf_dir):
+    _, _, st = _state(spark, sf_dir)
+    return st.withColumn("elo_cp", F.round("elo_cp", 4))
+
+
+@query("m05_season_projection", f"""
+with g as (select c.season_start, c.checkpoint, f.game_id, f.home_team_id, f.away_team_id
+           from f_games f join f_cutoffs c on f.season_start = c.season_start
+           where f.season_type = 'Regular Season' and f.game_date > c.cutoff),
+p0 as (select g.*, 1e0 / (1e0 + exp(-(0e0 + 0.005756462732485115 * (hs.elo_cp - aws.elo_cp)))) as p_raw
+       from g left join f_state hs on hs.season_start = g.season_start and hs.checkpoint = g.checkpoint and hs.team_id = g.home_team_id
+              left join f_state aws on aws.season_start = g.season_start and aws.checkpoint = g.checkpoint and aws.team_id = g.away_team_id),
+p1 as (select p0.*, least(greatest(p_raw, 1e-15), 1 - 1e-15) as q from p0),
+p as (select p1.*, 1e0 / (1e0 + exp(-(ln(q / (1 - q)) / 2e0))) as p_home_win from p1),
+d as (select p.*, unnest(range({N_DRAWS})) as draw from p),
+u as (select d.*, case when ('0x' || substr(md5(concat(cast(42 + season_start * 100 + checkpoint as varchar), '-',
+                                               cast(draw as varchar), '-', cast(game_id as varchar))), 1, 8))::bigint
+                           / 4294967296e0 < p_home_win then 1 else 0 end as home_win from d),
+sides as (select season_start, checkpoint, draw, home_team_id as team_id, home_win as w from u
+          union all select season_start, checkpoint, draw, away_team_id, 1 - home_win from u),
+sim as (select season_start, checkpoint, draw, team_id, sum(w) as sim_wins from sides group by 1, 2, 3, 4),
+base as (select s.*, unnest(range({N_DRAWS})) as draw from f_state s),
+tot as (select b.*, b.wins_cp + coalesce(sim.sim_wins, 0) as wins
+        from base b left join sim using (season_start, checkpoint, draw, team_id)),
+seeded as (select tot.*, row_number() over (partition by season_start, checkpoint, draw, conference
+                                            order by wins desc, elo_cp desc, team_id) as seed from tot)
+select concat(cast(season_start as varchar), '-', lpad(cast((season_start + 1) % 100 as varchar), 2, '0')) as season,
+       season_start, checkpoint, team_id, conference,
+       round(avg(case when seed <= 6 then 1e0 else 0e0 end), 6) as p_top6,
+       round(avg(case when seed <= 10 then 1e0 else 0e0 end), 6) as p_top10,
+       round(avg(case when seed <= 10 then 1e0 else 0e0 end), 6) as p_playoffs,
+       round(avg(wins), 6) as exp_wins, round(avg(seed), 6) as exp_conf_seed,
+       {N_DRAWS} as n_sims, cast(42 + season_start * 100 + checkpoint as bigint) as seed,
+       0e0 as alpha, round(cast(0.005756462732485115 as double), 6) as beta
+from seeded group by season_start, checkpoint, team_id, conference""")
+def m05_season_projection(spark, sf_dir):
+    """M1-M6: every season x checkpoint projected with N_DRAWS draws."""
+    g, cut, st = _state(spark, sf_dir)
+    probs = P.game_probabilities(P.remaining_games(g, cut), st)
+    return round_doubles(P.project(st, probs, N_DRAWS))
