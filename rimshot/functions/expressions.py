@@ -116,11 +116,17 @@ def season_start_from_text(season) -> Column:
     return F.substring(_c(season), 1, 4).cast("int")
 
 
-# E11 JSON list text -> array<string>; anything that is not a JSON list -> empty array
+# E11 JSON list text -> array<string>; anything not bracketed -> empty array
 def json_string_list(x) -> Column:
+    """Proper JSON parse (quoted commas stay inside their item); a bracketed list that is not
+    valid JSON falls back to comma splitting with quotes stripped."""
     s = F.trim(_c(x))
-    parsed = F.when(s.startswith("[") & s.endswith("]"), F.from_json(s, "array<string>"))
-    return F.coalesce(parsed, F.array().cast("array<string>"))
+    bracketed = s.startswith("[") & s.endswith("]")
+    parts = F.transform(F.split(F.substring(s, F.lit(2), F.length(s) - 2), ","),
+                        lambda p: F.regexp_replace(F.trim(p), r"^[\"']+|[\"']+$", ""))
+    loose = F.filter(parts, lambda p: p != "")
+    return F.when(bracketed, F.coalesce(F.from_json(s, "array<string>"), loose)).otherwise(
+        F.array().cast("array<string>"))
 
 
 # E12-E15 order-book quote fields over array<struct<price:double,size:double>>
@@ -139,26 +145,32 @@ def mid_price(bid, ask) -> Column:
 
 
 def top_liquidity(bids, asks) -> Column:
+    """best bid * its size + best ask * its size (missing size -> 0); null unless both sides quote."""
     b = F.try_element_at(_c(bids), F.lit(-1))
     a = F.get(_c(asks), 0)
-    return (F.coalesce(b["price"] * F.coalesce(b["size"], F.lit(0.0)), F.lit(0.0))
-            + F.coalesce(a["price"] * F.coalesce(a["size"], F.lit(0.0)), F.lit(0.0)))
+    return F.when(b["price"].isNotNull() & a["price"].isNotNull(),
+                  b["price"] * F.coalesce(b["size"], F.lit(0.0)) + a["price"] * F.coalesce(a["size"], F.lit(0.0)))
 
 
-def depth_within(levels, mid, cents: float, side: str) -> Column:
-    """Sum of level sizes within +-cents of mid (inclusive); null price/size levels skipped."""
+def depth_within(bids, asks, mid, cents: float = 0.02) -> Column:
+    """Notional (price * size) of bids >= mid - cents plus asks <= mid + cents; levels with a
+    null price or size are skipped; null when there is no mid."""
     m = _c(mid)
-    if side == "bid":
-        keep = lambda l: l["price"].isNotNull() & l["size"].isNotNull() & (l["price"] >= m - F.lit(cents))
-    else:
-        keep = lambda l: l["price"].isNotNull() & l["size"].isNotNull() & (l["price"] <= m + F.lit(cents))
-    sizes = F.transform(F.filter(_c(levels), keep), lambda l: l["size"])
-    return F.when(m.isNotNull(), F.aggregate(sizes, F.lit(0.0), lambda acc, x: acc + x))
+
+    def notional(levels, keep):
+        kept = F.filter(_c(levels), lambda l: l["price"].isNotNull() & l["size"].isNotNull() & keep(l))
+        return F.aggregate(kept, F.lit(0.0), lambda acc, l: acc + l["price"] * l["size"])
+
+    total = (notional(bids, lambda l: l["price"] >= m - F.lit(cents))
+             + notional(asks, lambda l: l["price"] <= m + F.lit(cents)))
+    return F.when(m.isNotNull(), total)
 
 
 # E16 epoch milliseconds -> timestamp
 def epoch_ms_to_ts(x) -> Column:
-    return F.timestamp_millis(F.try_cast(_c(x), "bigint") if hasattr(F, "try_cast") else _c(x).cast("bigint"))
+    """UTC wall-clock timestamp (timestamp_ntz) of epoch milliseconds; independent of the session time zone."""
+    ms = _c(x).try_cast("bigint")
+    return F.timestamp_add("MILLISECOND", ms, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 # E17 first parseable ISO date of several candidates

@@ -202,3 +202,79 @@ def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
         "game_date", "home_team_id",
         F.when(gid % 307 == 0, F.lit(None).cast("bigint")).otherwise(F.col("away_team_id")).alias("away_team_id"),
         F.when(gid % 10 == 0, "Scheduled").when(gid % 50 == 1, "PPD").otherwise("Final").alias("game_status_text"))
+
+
+def book_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-book JSON documents, one per game (token 0): {timestamp (ms text), bids[], asks[]}.
+
+    Levels are sorted by price ascending, so the best bid is the last bid and
+    the best ask the first ask. A game may lack one side.
+    """
+    lv = book_levels(spark, sf_dir)
+    lvl = F.struct("price", "size")
+    per = lv.groupBy("game_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("side") == "bid", lvl))).alias("bids"),
+        F.array_sort(F.collect_list(F.when(F.col("side") == "ask", lvl))).alias("asks"))
+    g = games(spark, sf_dir).select("game_id", "game_date")
+    ms = F.unix_date("game_date").cast("bigint") * 86400000 + F.col("game_id") % 86400000
+    return per.join(g, "game_id").select(
+        "game_id", F.to_json(F.struct(ms.cast("string").alias("timestamp"), "bids", "asks")).alias("book"))
+
+
+def market_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction-market JSON documents, one per regular-season game, keyed by slug.
+
+    Slug shapes cycle over five forms (four are among the resolver's
+    candidates, one is not); some markets name the teams only in the
+    question, some name other teams, and some have an unparseable start date.
+    """
+    g = games(spark, sf_dir).where(F.col("season_type") == REGULAR)
+    gid = F.col("game_id")
+    a = F.concat(F.lit("t"), F.col("away_team_id").cast("string"))
+    h = F.concat(F.lit("t"), F.col("home_team_id").cast("string"))
+    d = F.col("game_date").cast("string")
+    shape = gid % 5
+    slug = (F.when(shape == 0, F.concat_ws("-", F.lit("nba"), a, h, d))
+             .when(shape == 1, F.concat_ws("-", F.lit("nba"), h, F.lit("vs"), a, d))
+             .when(shape == 2, F.concat_ws("-", F.lit("nba"), a, h, d, F.lit("moneyline")))
+             .when(shape == 3, F.concat_ws("-", F.lit("nba"), a, F.lit("at"), h, d))
+             .otherwise(F.concat_ws("-", F.lit("nba"), h, a, d)))
+    away_code = F.concat(F.lit("T"), F.col("away_team_id").cast("string"))
+    home_code = F.concat(F.lit("T"), F.col("home_team_id").cast("string"))
+    wrong = gid % 7 == 5
+    outcomes = (F.when(wrong, F.lit('["T98", "T99"]'))
+                 .when(shape == 4, F.lit('["Yes", "No"]'))
+                 .otherwise(F.concat(F.lit('["'), away_code, F.lit('", "'), home_code, F.lit('"]'))))
+    question = F.when(wrong, F.lit("Will T98 beat T99?")).otherwise(
+        F.concat(F.lit("Will "), away_code, F.lit("  beat "), home_code, F.lit("?")))
+    iso = F.concat(d, F.lit("T23:30:00Z"))
+    start = F.when(gid % 11 == 0, F.lit("TBD")).otherwise(iso)
+    teams_arr = F.array(F.struct(away_code.alias("abbreviation"), F.lit("away").alias("hostStatus")),
+                        F.struct(home_code.alias("abbreviation"), F.lit("home").alias("hostStatus")))
+    doc = F.struct(
+        F.concat(F.lit("m"), gid.cast("string")).alias("id"),
+        F.concat(F.lit("c"), gid.cast("string")).alias("conditionId"),
+        question.alias("question"), outcomes.alias("outcomes"),
+        F.concat(F.lit('["'), gid.cast("string"), F.lit('0", "'), gid.cast("string"), F.lit('1"]')).alias("clobTokenIds"),
+        F.array(F.struct(F.concat(F.lit("e"), gid.cast("string")).alias("id"), teams_arr.alias("teams"))).alias("events"),
+        start.alias("startDateIso"), iso.alias("endDateIso"))
+    return g.select(gid.alias("source_game_id"), slug.alias("slug"), F.to_json(doc).alias("market"))
+
+
+# Tricode -> team names (aliases BRK, GS, NO, NY; three codes have two names).
+TRICODE_NAMES = {
+    "ATL": ["Hawks"], "BOS": ["Celtics"], "BKN": ["Nets"], "BRK": ["Nets"], "CHA": ["Hornets"],
+    "CHI": ["Bulls"], "CLE": ["Cavaliers"], "DAL": ["Mavericks"], "DEN": ["Nuggets"], "DET": ["Pistons"],
+    "GSW": ["Warriors"], "GS": ["Warriors"], "HOU": ["Rockets"], "IND": ["Pacers"], "LAC": ["Clippers"],
+    "LAL": ["Lakers"], "MEM": ["Grizzlies"], "MIA": ["Heat"], "MIL": ["Bucks"],
+    "MIN": ["Timberwolves", "Wolves"], "NOP": ["Pelicans"], "NO": ["Pelicans"], "NYK": ["Knicks"],
+    "NY": ["Knicks"], "OKC": ["Thunder"], "ORL": ["Magic"], "PHI": ["76ers", "Sixers"], "PHX": ["Suns"],
+    "POR": ["Trail Blazers", "Blazers"], "SAC": ["Kings"], "SAS": ["Spurs"], "TOR": ["Raptors"],
+    "UTA": ["Jazz"], "WAS": ["Wizards"],
+}
+
+
+def tricode_names(spark: SparkSession) -> DataFrame:
+    """J10 dimension: (tricode, names array). A fixed 34-row table; broadcast wherever it is joined."""
+    rows = [(k, v) for k, v in TRICODE_NAMES.items()]
+    return spark.createDataFrame(rows, "tricode string, names array<string>")
