@@ -2,8 +2,8 @@
 
 The reference draws an (N draws x remaining games) matrix in one process.
 Here every draw of every remaining game is a row: draws are generated per
-game with ``explode(sequence(0, N-1))``, the uniform number is a hash of
-(seed, draw, game), so the result is reproducible, independent of
+game with ``explode(sequence(0, N-1))``, the uniform number is an integer
+hash of (seed, draw, game), so the result is reproducible, independent of
 partitioning and recomputable after an executor loss. Wins are summed per
 (draw, team), seeds ranked per (draw, conference) with a window, and the
 probabilities averaged per team. The work grows with draws x games and
@@ -77,10 +77,39 @@ def game_probabilities(remaining: DataFrame, state: DataFrame, alpha: float = DE
     return j.withColumn("p_home_win", E.temperature_scale(p, temp, E.PROJECTION_EPS))
 
 
-def uniform_draw(seed, draw, game_id):
-    """u in [0, 1): first 8 hex digits of md5('<seed>-<draw>-<game_id>') / 2^32."""
-    h = F.md5(F.concat_ws("-", seed.cast("string"), draw.cast("string"), game_id.cast("string")))
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(TWO_POW_32)
+# Fixed values of the draw hash: a 32-bit integer mixer (two multiply-xorshift rounds).
+MIX_MULT = 0x45D9F3B
+TWO_32 = 4294967296
+
+
+def _mix_steps(df: DataFrame, src: str, out: str) -> DataFrame:
+    """out = mix32(src): 32-bit avalanche mix (two multiply-xorshift rounds).
+
+    Each step is its own column, so every reference is a plain attribute
+    (nesting the steps would copy the expression tree exponentially). Every
+    product stays below 2^59: bigint arithmetic never overflows.
+    """
+    df = df.withColumn(f"{out}_0", F.col(src) % TWO_32)
+    df = df.withColumn(f"{out}_1", (F.shiftright(F.col(f"{out}_0"), 16).bitwiseXOR(F.col(f"{out}_0")) * MIX_MULT) % TWO_32)
+    df = df.withColumn(f"{out}_2", (F.shiftright(F.col(f"{out}_1"), 16).bitwiseXOR(F.col(f"{out}_1")) * MIX_MULT) % TWO_32)
+    df = df.withColumn(out, F.shiftright(F.col(f"{out}_2"), 16).bitwiseXOR(F.col(f"{out}_2")))
+    return df.drop(f"{out}_0", f"{out}_1", f"{out}_2")
+
+
+def with_uniform_draw(df: DataFrame, seed, draw: str, game_id: str, out: str = "u") -> DataFrame:
+    """Add u in [0, 1) = hash(seed, draw, game_id) / 2^32: chained integer mixing, pure arithmetic.
+
+    Reproducible in any engine with 64-bit integers and independent of
+    partitioning, so a recomputed task draws the same numbers. Ids wider than
+    32 bits are folded in as two halves.
+    """
+    gid = F.col(game_id).cast("bigint")
+    df = df.withColumn("_h_in", seed.cast("bigint"))
+    df = _mix_steps(df, "_h_in", "_h")
+    df = _mix_steps(df.withColumn("_h_in", F.col("_h") + F.col(draw).cast("bigint")), "_h_in", "_h")
+    df = _mix_steps(df.withColumn("_h_in", F.col("_h") + gid % TWO_32), "_h_in", "_h")
+    df = _mix_steps(df.withColumn("_h_in", F.col("_h") + F.shiftright(gid, 32)), "_h_in", "_h")
+    return df.withColumn(out, F.col("_h").cast("double") / F.lit(TWO_POW_32)).drop("_h_in", "_h")
 
 
 def project(state: DataFrame, probs: DataFrame, n_draws: int, seed_base: int = DEFAULT_SEED,
@@ -91,8 +120,8 @@ def project(state: DataFrame, probs: DataFrame, n_draws: int, seed_base: int = D
     seed = F.lit(seed_base) + F.col("season_start") * 100 + F.col("checkpoint")
     draws = probs.select(*k, "game_id", "home_team_id", "away_team_id", "p_home_win",
                          F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw"))
-    draws = draws.withColumn("home_win", (uniform_draw(seed, F.col("draw"), F.col("game_id"))
-                                          < F.col("p_home_win")).cast("int"))
+    draws = with_uniform_draw(draws, seed, "draw", "game_id", "_u")
+    draws = draws.withColumn("home_win", (F.col("_u") < F.col("p_home_win")).cast("int")).drop("_u")
     sides = draws.select(*k, "draw", F.inline(F.array(
         F.struct(F.col("home_team_id").alias("team_id"), F.col("home_win").alias("w")),
         F.struct(F.col("away_team_id").alias("team_id"), (1 - F.col("home_win")).alias("w")))))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rimshot.operators import merge as U
 from rimshot.operators.market import market_map
+from rimshot.plans import q_market  # noqa: F401  (registers the f_markets oracle CTE)
 from rimshot.plans.catalog import query
 from rimshot.plans.oracle_sql import register
 from rimshot.sources import fixtures as fx

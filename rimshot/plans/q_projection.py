@@ -7,12 +7,36 @@ from pyspark.sql import functions as F
 from rimshot.operators import projection as P
 from rimshot.operators.elo import elo
 from rimshot.operators.results import team_game_results
+from rimshot.plans import q_elo  # noqa: F401  (registers the f_elo oracle CTE)
 from rimshot.plans.catalog import query, round_doubles
 from rimshot.plans.oracle_sql import register
 from rimshot.sources import fixtures as fx
 
 N_DRAWS = 200   # tests and the correctness gate; the bench uses more draws
 
+def _mix_sql(x: str) -> str:
+    """The projection's 32-bit mixer (see rimshot.operators.projection) written in DuckDB SQL."""
+    x0 = f"(({x}) % 4294967296)"
+    x1 = f"((xor({x0} >> 16, {x0}) * 73244475) % 4294967296)"
+    x2 = f"((xor({x1} >> 16, {x1}) * 73244475) % 4294967296)"
+    return f"xor({x2} >> 16, {x2})"
+
+
+def _expand_mix(sql: str) -> str:
+    out, i = [], 0
+    while True:
+        j = sql.find("MIX(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + 4
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(sql[i:j] + _mix_sql(sql[j + 4:k - 1]))
+        i = k
+
+
 register("f_cutoffs", """
 select season_start, gn as checkpoint, max(game_date) as cutoff
 from (select season_start, game_date,
@@ -52,7 +76,7 @@ def w17_team_state(spark, sf_dir):
     return st.withColumn("elo_cp", F.round("elo_cp", 4))
 
 
-@query("m05_season_projection", f"""
+@query("m05_season_projection", _expand_mix(f"""
 with g as (select c.season_start, c.checkpoint, f.game_id, f.home_team_id, f.away_team_id
            from f_games f join f_cutoffs c on f.season_start = c.season_start
            where f.season_type = 'Regular Season' and f.game_date > c.cutoff),
@@ -62,9 +86,12 @@ p0 as (select g.*, 1e0 / (1e0 + exp(-(0e0 + 0.005756462732485115 * (hs.elo_cp -
 p1 as (select p0.*, least(greatest(p_raw, 1e-15), 1 - 1e-15) as q from p0),
 p as (select p1.*, 1e0 / (1e0 + exp(-(ln(q / (1 - q)) / 2e0))) as p_home_win from p1),
 d as (select p.*, unnest(range({N_DRAWS})) as draw from p),
-u as (select d.*, case when ('0x' || substr(md5(concat(cast(42 + season_start * 100 + checkpoint as varchar), '-',
-                                               cast(draw as varchar), '-', cast(game_id as varchar))), 1, 8))::bigint
-                           / 4294967296e0 < p_home_win then 1 else 0 end as home_win from d),
+h0 as (select d.*, cast(42 + season_start * 100 + checkpoint as bigint) as h from d),
+h1 as (select * replace (MIX(h) as h) from h0),
+h2 as (select * replace (MIX(h + draw) as h) from h1),
+h3 as (select * replace (MIX(h + game_id % 4294967296) as h) from h2),
+h4 as (select * replace (MIX(h + (game_id >> 32)) as h) from h3),
+u as (select h4.*, case when h / 4294967296e0 < p_home_win then 1 else 0 end as home_win from h4),
 sides as (select season_start, checkpoint, draw, home_team_id as team_id, home_win as w from u
           union all select season_start, checkpoint, draw, away_team_id, 1 - home_win from u),
 sim as (select season_start, checkpoint, draw, team_id, sum(w) as sim_wins from sides group by 1, 2, 3, 4),
@@ -81,7 +108,7 @@ select concat(cast(season_start as varchar), '-', lpad(cast((season_start + 1) %
        round(avg(wins), 6) as exp_wins, round(avg(seed), 6) as exp_conf_seed,
        {N_DRAWS} as n_sims, cast(42 + season_start * 100 + checkpoint as bigint) as seed,
        0e0 as alpha, round(cast(0.005756462732485115 as double), 6) as beta
-from seeded group by season_start, checkpoint, team_id, conference""")
+from seeded group by season_start, checkpoint, team_id, conference"""))
 def m05_season_projection(spark, sf_dir):
     """M1-M6: every season x checkpoint projected with N_DRAWS draws."""
     g, cut, st = _state(spark, sf_dir)
