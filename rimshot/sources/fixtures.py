@@ -278,3 +278,19 @@ def tricode_names(spark: SparkSession) -> DataFrame:
     """J10 dimension: (tricode, names array). A fixed 34-row table; broadcast wherever it is joined."""
     rows = [(k, v) for k, v in TRICODE_NAMES.items()]
     return spark.createDataFrame(rows, "tricode string, names array<string>")
+
+
+def book_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-book snapshots derived from the event stream: one per event (snapshot_id = event_id,
+    game_id = user_id, time = ts). One bid level and, except for error events, one ask level."""
+    e = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    bid = F.lit(0.3) + F.lit(0.001) * k
+    ask = bid + F.lit(0.02)
+    ms = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    lvl = lambda p: F.array(F.struct(p.cast("string").alias("price"), F.col("value").cast("string").alias("size")))
+    asks = F.when(F.col("event_type") == "error", F.array().cast("array<struct<price:string,size:string>>")) \
+            .otherwise(lvl(ask))
+    return e.select(F.col("event_id").alias("snapshot_id"), F.col("user_id").alias("game_id"), "ts",
+                    F.to_json(F.struct(ms.cast("string").alias("timestamp"), lvl(bid).alias("bids"),
+                                       asks.alias("asks"))).alias("book"))
