@@ -1 +1,184 @@
-"""(registered queries)"""
+"""Queries: preprocessing (L1, L2, L4), temperature fit (L13) with SQL oracles; model fits, backtests,
+tuning, coefficients and permutation importance (L3, L5-L12, L14) as rows-only checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rimshot.functions import expressions as E
+from rimshot.operators import features as FT
+from rimshot.operators import metrics as M
+from rimshot.operators import models as ML
+from rimshot.plans.catalog import query, round_doubles
+from rimshot.plans.oracle_sql import register
+from rimshot.plans.q_features import MATCHUP_FEATURES, base_table, labels_table, rolled_table
+from rimshot.plans.q_metrics import preds_game
+from rimshot.sources import fixtures as fx
+
+LABEL = "made_playoffs"
+# The season model's features (rolling point difference and shooting/turnover rates).
+MODEL_FEATURES = ["avg_point_diff_s2d", "avg_point_diff_l10", "efg_s2d", "efg_l10", "ts_s2d", "ts_l10",
+                  "fg3a_rate_s2d", "fg3a_rate_l10", "fta_rate_s2d", "fta_rate_l10", "tov_rate_s2d", "tov_rate_l10"]
+RATES = {"efg": "efg", "ts": "ts", "fg3a_rate": "fg3a_rate", "fta_rate": "fta_rate", "tov_rate": "tov_rate"}
+
+
+def model_table(spark, sf_dir, checkpoint: int = 40):
+    """model_v2_checkpoint_N: state before game N+1 with rate features, conference and season label."""
+    b = base_table(spark, sf_dir).select(
+        "*", E.efg_pct("fgm", "fg3m", "fga").alias("efg"), E.ts_pct("pts", "fga", "fta").alias("ts"),
+        E.rate("fg3a", "fga").alias("fg3a_rate"), E.rate("fta", "fga").alias("fta_rate"),
+        E.tov_rate("turnovers", "fga", "fta").alias("tov_rate"))
+    spec = {"avg_point_diff_s2d": ("point_diff", None), "avg_point_diff_l10": ("point_diff", 10)}
+    for r in RATES:
+        spec[f"{r}_s2d"] = (r, None)
+        spec[f"{r}_l10"] = (r, 10)
+    cp = FT.checkpoint_rows(FT.with_game_number(FT.rolling(b, spec)), checkpoint)
+    cp = FT.attach_conference(cp, fx.teams(spark, sf_dir)).withColumnRenamed("conference", "team_conference")
+    lab = labels_table(spark, sf_dir).select("season_start", "team_id", LABEL)
+    return cp.join(lab, ["season_start", "team_id"], "left").select(
+        "season_start", "team_id", "team_conference", LABEL, *MODEL_FEATURES)
+
+
+def _roll(col, n):
+    frame = "unbounded preceding" if n is None else f"{n} preceding"
+    return f"avg({col}) over (w rows between {frame} and 1 preceding)"
+
+
+register("f_model_cp40", f"""
+with b as (select f.*,
+                  case when fga <> 0 then (fgm + 5e-1 * fg3m) / fga end as efg,
+                  case when 2e0 * (fga + 0.44e0 * fta) <> 0 then pts / (2e0 * (fga + 0.44e0 * fta)) end as ts,
+                  case when fga <> 0 then 1e0 * fg3a / fga end as fg3a_rate,
+                  case when fga <> 0 then 1e0 * fta / fga end as fta_rate,
+                  case when fga + 0.44e0 * fta + turnovers <> 0 then turnovers / (fga + 0.44e0 * fta + turnovers) end as tov_rate
+           from f_base f),
+r as (select season_start, team_id, game_date, game_id,
+             row_number() over w as gn,
+             {_roll('point_diff', None)} as avg_point_diff_s2d, {_roll('point_diff', 10)} as avg_point_diff_l10,
+             {", ".join(f"{_roll(x, None)} as {x}_s2d, {_roll(x, 10)} as {x}_l10" for x in RATES)}
+      from b window w as (partition by season_start, team_id order by game_date, game_id))
+select r.season_start, r.team_id, t.conference as team_conference, l.made_playoffs, {", ".join("r." + c for c in MODEL_FEATURES)}
+from r left join f_teams t on r.team_id = t.team_id
+left join f_labels l on r.season_start = l.season_start and r.team_id = l.team_id
+where r.gn = 41""", ("f_base", "f_teams", "f_labels"))
+
+
+@query("l01_median_impute", "\nunion all\n".join(
+    f"select '{c}' as feature, round(quantile_cont({c}, 0.5), 6) as median from f_model_cp40" for c in MODEL_FEATURES))
+def l01_median_impute(spark, sf_dir):
+    """L1: exact medians of the model features (fitted on the table; applied with fillna)."""
+    med = ML.medians(model_table(spark, sf_dir), MODEL_FEATURES)
+    return spark.createDataFrame([(k, round(v, 6) if v is not None else None) for k, v in med.items()],
+                                 "feature string, median double")
+
+
+@query("l02_scaler_stats", "\nunion all\n".join(
+    f"select '{c}' as feature, round(avg(coalesce(f_model_cp40.{c}, m.{c})), 6) as mean, "
+    f"round(stddev_pop(coalesce(f_model_cp40.{c}, m.{c})), 6) as std from f_model_cp40, "
+    f"(select {', '.join(f'quantile_cont({x}, 0.5) as {x}' for x in MODEL_FEATURES)} from f_model_cp40) m"
+    for c in MODEL_FEATURES))
+def l02_scaler_stats(spark, sf_dir):
+    """L2: mean and population std of the imputed features (the scaler's fitted state)."""
+    t = model_table(spark, sf_dir)
+    st = ML.scaler_stats(ML.impute(t, ML.medians(t, MODEL_FEATURES)), MODEL_FEATURES)
+    return spark.createDataFrame([(k, round(m, 6), round(s, 6)) for k, (m, s) in st.items()],
+                                 "feature string, mean double, std double")
+
+
+@query("l04_class_weights", f"""
+select {LABEL}, count(*) as n, round(sum(count(*)) over () / (2e0 * count(*)), 6) as weight
+from f_model_cp40 group by {LABEL}""")
+def l04_class_weights(spark, sf_dir):
+    """L4: balanced class weights n / (2 * n_class)."""
+    w = ML.with_class_weights(model_table(spark, sf_dir), LABEL)
+    return round_doubles(w.groupBy(LABEL, "weight").agg(F.count(F.lit(1)).alias("n")).select(LABEL, "n", "weight"))
+
+
+_GRID = ML.temperature_grid()
+_STEP = (_GRID[1] - _GRID[0]) / 10
+
+
+@query("l13_temperature_fit", f"""
+with z as (select model, 1e0 * y_true as y, ln(q / (1 - q)) as z
+           from (select model, y_true, least(greatest(y_prob, 1e-6), 1 - 1e-6) as q from f_preds_game) x),
+g as (select unnest([{", ".join(repr(float(t)) + "e0" if "e" not in repr(float(t)) else repr(float(t)) for t in _GRID)}]) as t),
+coarse as (select model, t, avg(-(y * ln(1e0 / (1e0 + exp(-z / t)) + 1e-15)
+                                  + (1 - y) * ln(1 - 1e0 / (1e0 + exp(-z / t)) + 1e-15))) as nll
+           from z join g on true group by model, t),
+cb as (select model, t from (select *, row_number() over (partition by model order by nll, t) as rk from coarse) x
+       where rk = 1),
+ft as (select model, t + k * {repr(_STEP)}e0 as t from cb, (select unnest(range(-10, 11)) as k) ks
+       where t + k * {repr(_STEP)}e0 > 0),
+fine as (select z.model, ft.t, avg(-(y * ln(1e0 / (1e0 + exp(-z / ft.t)) + 1e-15)
+                                     + (1 - y) * ln(1 - 1e0 / (1e0 + exp(-z / ft.t)) + 1e-15))) as nll
+         from z join ft on z.model = ft.model group by z.model, ft.t)
+select model, round(t, 6) as temperature, round(nll, 6) as nll
+from (select *, row_number() over (partition by model order by nll, t) as rk from fine) x where rk = 1""")
+def l13_temperature_fit(spark, sf_dir):
+    """Calibration temperature per model (grid, then a 10x finer grid around the best)."""
+    return round_doubles(ML.fit_temperature(preds_game(spark, sf_dir), ["model"]))
+
+
+@query("l10_backtest_checkpoint40")
+def l10_backtest_checkpoint40(spark, sf_dir):
+    """L8-L10 + L14: rolling season backtest at checkpoint 40: base rate, 1-feature LR, full LR."""
+    return round_doubles(ML.backtest(model_table(spark, sf_dir), MODEL_FEATURES, LABEL))
+
+
+@query("l10_backtest_fold_metrics")
+def l10_backtest_fold_metrics(spark, sf_dir):
+    """Q9 over the backtest: per (model, test season) AUC, log loss, Brier, accuracy, top-8 per conference."""
+    p = ML.backtest(model_table(spark, sf_dir), MODEL_FEATURES, LABEL)
+    fm = M.fold_metrics(p, ["model", "test_season"])
+    top8 = M.top_k_hits(p, 8, ["model", "test_season"], ["team_conference"]).select(
+        "model", "test_season", F.col("hit_rate").alias("top8conf"))
+    top16 = M.top_k_hits(p, 16, ["model", "test_season"], None, fixed_divisor=True).select(
+        "model", "test_season", F.col("hit_rate").alias("top16"))
+    return round_doubles(fm.join(top8, ["model", "test_season"]).join(top16, ["model", "test_season"]))
+
+
+@query("l06_tree_models")
+def l06_tree_models(spark, sf_dir):
+    """L6 + L7: random forest (400 trees, balanced weights) and gradient boosting on the last season."""
+    t = model_table(spark, sf_dir)
+    last = t.agg(F.max("season_start")).first()[0]
+    tr, te = ML.prepare(t.where(F.col("season_start") < last), t.where(F.col("season_start") == last),
+                        MODEL_FEATURES, LABEL, center=False, balanced=True)
+    rf = ML.score(ML.fit_rf(tr, MODEL_FEATURES, LABEL, "weight"), te, MODEL_FEATURES)
+    gbt = ML.score(ML.fit_gbt(tr, MODEL_FEATURES, LABEL), te, MODEL_FEATURES)
+    keep = ["season_start", "team_id", LABEL, "y_prob", "y_pred"]
+    return round_doubles(rf.select(*keep, F.lit("RandomForest").alias("model"))
+                         .unionByName(gbt.select(*keep, F.lit("GradientBoosting").alias("model"))))
+
+
+@query("l11_lr_coefficients")
+def l11_lr_coefficients(spark, sf_dir):
+    """Full-LR coefficients on the scaled features, trained on every season but the last."""
+    t = model_table(spark, sf_dir)
+    last = t.agg(F.max("season_start")).first()[0]
+    tr, _ = ML.prepare(t.where(F.col("season_start") < last), t.where(F.col("season_start") == last),
+                       MODEL_FEATURES, LABEL, center=False, balanced=True)
+    m = ML.fit_lr(tr, MODEL_FEATURES, LABEL, 1.0, "weight")
+    rows = [(f, round(c, 6), round(abs(c), 6)) for f, c in ML.coefficients(m, MODEL_FEATURES)]
+    return spark.createDataFrame(rows, "feature string, coef double, abs_coef double")
+
+
+@query("l12_permutation_importance")
+def l12_permutation_importance(spark, sf_dir):
+    """AUC drop per feature over 30 shuffles of the last season's test rows."""
+    t = model_table(spark, sf_dir)
+    last = t.agg(F.max("season_start")).first()[0]
+    tr, te = ML.prepare(t.where(F.col("season_start") < last), t.where(F.col("season_start") == last),
+                        MODEL_FEATURES, LABEL, center=False, balanced=True)
+    m = ML.fit_lr(tr, MODEL_FEATURES, LABEL, 1.0, "weight")
+    return round_doubles(ML.permutation_importance(m, te, MODEL_FEATURES, LABEL, "team_id"))
+
+
+@query("l05_tune_c_next_game")
+def l05_tune_c_next_game(spark, sf_dir):
+    """L5 + L9: time-safe choice of C for the next-game model on game-level differences."""
+    games = FT.matchup(rolled_table(spark, sf_dir), MATCHUP_FEATURES).where(F.col("home_is_win").isNotNull())
+    cols = [f"{f}_diff" for f in MATCHUP_FEATURES]
+    c, _, table = ML.tune_c(games.fillna(0.0, subset=cols), cols, "home_is_win", ["game_date", "game_id"])
+    return spark.createDataFrame([(cc, round(ll, 6), cc == c) for cc, ll in table],
+                                 "c double, logloss double, chosen boolean")
