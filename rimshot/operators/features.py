@@ -160,3 +160,45 @@ def matchup(features: DataFrame, feature_cols: list[str], label: str = "is_win")
     for f in feature_cols:
         aggs.append((F.max(F.when(home, F.col(f))) - F.max(F.when(~home, F.col(f)))).alias(f"{f}_diff"))
     return features.groupBy("season_start", "game_id", "game_date").agg(*aggs)
+
+
+CORE_PLAYERS = 8
+RECENT, LOOKBACK = 5, 10
+
+
+def core_availability(players: DataFrame, results: DataFrame, core: int = CORE_PLAYERS) -> DataFrame:
+    """Injury proxy per team game: of the team's ``core`` players (most minutes over the previous
+    10 team games, ties by player_id), how many appearances and minutes they had in the previous 5.
+
+    Each player row of team game m is exploded to target games m+1..m+10 (an equi join on
+    (season, team, target game number) afterwards, never a range join); per (team, target,
+    player) the minutes over 10 and 5 games and the games played in the last 5 are summed.
+    Work and state grow with player rows x 10, and each target group holds one team's roster.
+    """
+    numbered = with_game_number(results.select("season_start", "team_id", "game_id", "game_date"))
+    p = players.join(numbered.select("season_start", "team_id", "game_id", "team_game_number"),
+                     ["season_start", "team_id", "game_id"])
+    p = p.select("season_start", "team_id", "player_id", "team_game_number",
+                 F.coalesce(E.minutes_played("minutes"), F.lit(0.0)).alias("_min"),
+                 F.explode(F.sequence(F.lit(1), F.lit(LOOKBACK))).alias("_k"))
+    recent = F.col("_k") <= RECENT
+    per = p.groupBy("season_start", "team_id", (F.col("team_game_number") + F.col("_k")).alias("target"),
+                    "player_id").agg(
+        F.sum("_min").alias("min10"),
+        F.sum(F.when(recent, F.col("_min")).otherwise(0.0)).alias("min5"),
+        F.sum(F.when(recent & (F.col("_min") > 0), 1).otherwise(0)).alias("games5"))
+    w = Window.partitionBy("season_start", "team_id", "target").orderBy(F.desc("min10"), F.asc("player_id"))
+    top = per.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= core)
+    team = top.groupBy("season_start", "team_id", "target").agg(
+        F.sum("games5").cast("bigint").alias("core_games5"), F.sum("min5").alias("core_min5"))
+    return (numbered.join(team, (numbered.season_start == team.season_start) & (numbered.team_id == team.team_id)
+                          & (numbered.team_game_number == team.target), "left")
+                    .select(numbered.season_start, numbered.team_id, "game_id", "team_game_number",
+                            F.coalesce("core_games5", F.lit(0).cast("bigint")).alias("core_games5"),
+                            F.coalesce("core_min5", F.lit(0.0)).alias("core_min5")))
+
+
+def form_timeline(features: DataFrame, games: int = 30) -> DataFrame:
+    """The first ``games`` games of every team-season with its running form (a timeline per team)."""
+    n = with_game_number(features)
+    return n.where(F.col("team_game_number") <= games)

@@ -195,3 +195,48 @@ from f_rolling group by season_start, game_id, game_date""")
 def j09_matchup(spark, sf_dir):
     """Game-level rows, home minus away for each rolling feature."""
     return round_doubles(FT.matchup(rolled_table(spark, sf_dir), MATCHUP_FEATURES))
+
+
+@query("w16_core_availability", """
+with p as (select season_start, team_id, game_id, player_id, minutes,
+                  row_number() over (partition by game_id, player_id order by team_id, fgm, fga, fg3m, fg3a, ftm, fta,
+                                     oreb, dreb, ast, turnovers, pts, minutes) as rn from f_player_raw),
+n as (select season_start, team_id, game_id,
+             row_number() over (partition by season_start, team_id order by game_date, game_id) as gn from f_results),
+pm as (select n.season_start, n.team_id, p.player_id, n.gn,
+              coalesce(cast(regexp_extract(trim(p.minutes), '^(\\d+)', 1) as double)
+                       + coalesce(cast(nullif(regexp_extract(trim(p.minutes), '^\\d+:(\\d+)', 1), '') as double), 0e0) / 60e0, 0e0) as m
+       from p join n on p.game_id = n.game_id and p.team_id = n.team_id and p.season_start = n.season_start
+       where p.rn = 1),
+x as (select pm.*, k from pm, (select unnest(range(1, 11)) as k) ks),
+per as (select season_start, team_id, gn + k as target, player_id, sum(m) as min10,
+               sum(case when k <= 5 then m else 0e0 end) as min5,
+               sum(case when k <= 5 and m > 0 then 1 else 0 end) as games5 from x group by 1, 2, 3, 4),
+top as (select *, row_number() over (partition by season_start, team_id, target order by min10 desc, player_id) as r
+        from per),
+team as (select season_start, team_id, target, cast(sum(games5) as bigint) as core_games5, sum(min5) as core_min5
+         from top where r <= 8 group by 1, 2, 3)
+select n.season_start, n.team_id, n.game_id, n.gn as team_game_number,
+       coalesce(t.core_games5, 0) as core_games5, round(coalesce(t.core_min5, 0e0), 6) as core_min5
+from n left join team t on n.season_start = t.season_start and n.team_id = t.team_id and n.gn = t.target""")
+def w16_core_availability(spark, sf_dir):
+    """Core-player appearances and minutes over the previous five games (injury proxy)."""
+    from rimshot.operators.normalise import dedup_first
+    raw = fx.player_raw(spark, sf_dir)
+    order = ["team_id", "fgm", "fga", "fg3m", "fg3a", "ftm", "fta", "oreb", "dreb", "ast", "turnovers", "pts",
+             "minutes"]
+    players = dedup_first(raw, ["game_id", "player_id"], order)
+    r = FT.core_availability(players, team_game_results(fx.games(spark, sf_dir)))
+    return round_doubles(r)
+
+
+@query("w05_form_timeline", """
+select season_start, team_id, game_id, game_date, gn as team_game_number, is_win, point_diff,
+       round(win_pct_l10, 6) as win_pct_l10, round(win_pct_s2d, 6) as win_pct_s2d
+from (select r.*, row_number() over (partition by season_start, team_id order by game_date, game_id) as gn
+      from f_rolling r) x where gn <= 30""")
+def w05_form_timeline(spark, sf_dir):
+    """First 30 games of every team-season with running form."""
+    t = FT.form_timeline(rolled_table(spark, sf_dir), 30)
+    return round_doubles(t.select("season_start", "team_id", "game_id", "game_date", "team_game_number", "is_win",
+                                  "point_diff", "win_pct_l10", "win_pct_s2d"))
