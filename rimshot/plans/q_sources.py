@@ -184,3 +184,85 @@ def p07_schedule_normalise(spark, sf_dir):
         F.col("away_team_id").cast("string").alias("awayTeam_teamId"))
     out = N.schedule(raw, "2000-01")
     return out.select("season", "league_id", "game_id", "home_team_id", "away_team_id", "game_date")
+
+
+@query("f05_game_type_digit", """
+select game_id, lpad(cast(game_id as varchar), 10, '0') as game_id_10,
+       substr(lpad(cast(game_id as varchar), 10, '0'), 5, 1) as type_digit,
+       substr(lpad(cast(game_id as varchar), 10, '0'), 5, 1) in ('2', '4') as regular_or_playoff
+from f_games""")
+def f05_game_type_digit(spark, sf_dir):
+    """E8 + F5: canonical 10-digit ids and the game-type digit flag for every game."""
+    from rimshot.functions.expressions import normalize_game_id
+    from rimshot.operators.filters import GAME_TYPE_DIGITS, game_type_digit
+    g = fx.games(spark, sf_dir).select("game_id")
+    d = game_type_digit(F.col("game_id"))
+    return g.select("game_id", normalize_game_id(F.col("game_id")).alias("game_id_10"), d.alias("type_digit"),
+                    d.isin(list(GAME_TYPE_DIGITS)).alias("regular_or_playoff"))
+
+
+@query("p06_standings_normalise", """
+select cast(season_start as varchar) as SeasonID, team_id as TeamID, conference as Conference,
+       cast(playoff_rank as double) as PlayoffRank, cast(division as varchar) as Division,
+       case when season_start % 2 = 0 then cast(wins as double) end as WINS, cast(losses as double) as LOSSES,
+       round(1e0 * wins / (wins + losses), 6) as WinPCT,
+       case when team_id % 7 = 3 then null else cast(make_date(cast(season_start + 1 as integer), 4, 15) as date) end as RUN_DATE
+from f_standings""")
+def p06_standings_normalise(spark, sf_dir):
+    """A standings feed with text numbers (some unparseable), a lower-case run_date column and
+    some unparseable dates -> typed standings rows."""
+    st = fx.standings(spark, sf_dir)
+    raw = st.select(
+        F.col("season_start").cast("string").alias("SeasonID"), F.col("team_id").alias("TeamID"),
+        F.col("conference").alias("Conference"), F.col("playoff_rank").cast("string").alias("PlayoffRank"),
+        F.col("division").cast("string").alias("Division"),
+        F.when(F.col("season_start") % 2 == 0, F.col("wins").cast("string")).otherwise(F.lit("n/a")).alias("WINS"),
+        F.col("losses").cast("string").alias("LOSSES"),
+        (F.col("wins") / (F.col("wins") + F.col("losses"))).cast("string").alias("WinPCT"),
+        F.when(F.col("team_id") % 7 == 3, F.lit("not a date"))
+         .otherwise(F.concat((F.col("season_start") + 1).cast("string"), F.lit("-04-15"))).alias("run_date"),
+        F.lit("x").alias("IgnoredColumn"))
+    from rimshot.operators.normalise import standings as norm_standings
+    out = norm_standings(raw)
+    return out.withColumn("WinPCT", F.round("WinPCT", 6))
+
+
+_ADV_CAMEL = {"team_id": "teamId", "off_rtg": "offensiveRating", "def_rtg": "defensiveRating", "net_rtg": "netRating",
+              "pace": "pace", "poss": "possessions", "efg_pct": "effectiveFieldGoalPercentage",
+              "ts_pct": "trueShootingPercentage", "tov_pct": "turnoverRatio",
+              "oreb_pct": "offensiveReboundPercentage", "dreb_pct": "defensiveReboundPercentage"}
+_ADV_UPPER = {"team_id": "TEAM_ID", "off_rtg": "OFF_RATING", "def_rtg": "DEF_RATING", "net_rtg": "NET_RATING",
+              "pace": "PACE", "poss": "POSS", "efg_pct": "EFG_PCT", "ts_pct": "TS_PCT", "tov_pct": "TOV_PCT",
+              "oreb_pct": "OREB_PCT", "dreb_pct": "DREB_PCT"}
+_ADV = list(_ADV_CAMEL)
+
+
+@query("p09_advanced_stats", """
+with a as (select b.game_id, b.team_id, b.fga + 0.44e0 * b.fta - b.oreb + b.turnovers as poss,
+                  case when b.fga + 0.44e0 * b.fta - b.oreb + b.turnovers <> 0
+                       then 1e2 * b.pts / (b.fga + 0.44e0 * b.fta - b.oreb + b.turnovers) end as off_rtg,
+                  case when b.fga <> 0 then (b.fgm + 5e-1 * b.fg3m) / b.fga end as efg_pct
+           from f_base b),
+c as (select game_id, count(*) as n from a group by game_id)
+select a.game_id, a.team_id, round(a.off_rtg, 6) as off_rtg, round(a.poss, 6) as poss,
+       round(case when a.game_id % 3 = 0 then null else a.efg_pct end, 6) as efg_pct
+from a join c on a.game_id = c.game_id where c.n = 2 and a.game_id % 11 <> 0""")
+def p09_advanced_stats(spark, sf_dir):
+    """Advanced-stats frames with camelCase (even games) or UPPERCASE (odd games) names, blank
+    strings for missing values, unusable frames (one team, or ids missing) skipped."""
+    from rimshot.operators.features import advanced_metrics
+    from rimshot.operators.normalise import advanced_stats
+    from rimshot.plans.q_features import base_table
+    adv = advanced_metrics(base_table(spark, sf_dir)).select("game_id", "team_id", "off_rtg", "poss", "efg_pct")
+    gid = F.col("game_id")
+    txt = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    efg = F.when(gid % 3 == 0, F.lit("")).otherwise(txt("efg_pct"))
+    team = F.when(gid % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("team_id").cast("string"))
+    even = adv.where(gid % 2 == 0).select("game_id", team.alias("teamId"), txt("off_rtg").alias("offensiveRating"),
+                                         txt("poss").alias("possessions"), efg.alias("effectiveFieldGoalPercentage"))
+    odd = adv.where(gid % 2 == 1).select("game_id", team.alias("TEAM_ID"), txt("off_rtg").alias("OFF_RATING"),
+                                        txt("poss").alias("POSS"), efg.alias("EFG_PCT"))
+    frames = even.unionByName(odd, allowMissingColumns=True)
+    out = advanced_stats(frames)
+    return out.select("game_id", "team_id", F.round("off_rtg", 6).alias("off_rtg"), F.round("poss", 6).alias("poss"),
+                      F.round("efg_pct", 6).alias("efg_pct"))
