@@ -202,3 +202,40 @@ def form_timeline(features: DataFrame, games: int = 30) -> DataFrame:
     """The first ``games`` games of every team-season with its running form (a timeline per team)."""
     n = with_game_number(features)
     return n.where(F.col("team_game_number") <= games)
+
+
+def rolling_hot_key_safe(df: DataFrame, spec: dict = ROLLING_SPEC, pre: bool = True,
+                         keys=SEASON_KEYS, order=GAME_ORDER) -> DataFrame:
+    """W1-W4 for data where one key (a team-season) may hold a large share of all rows.
+
+    Same results as ``rolling`` (exactly, for integer inputs), but no window
+    spans a whole key: prefix sums come from ``keyed_prefix_sums`` (range-
+    partitioned, so a hot key is split across tasks), and a bounded frame's
+    left edge is fetched with an equi join on (keys, position), which hashes on
+    the position too. mean(frame) = (S[end] - S[start - 1]) / (N[end] - N[start - 1]).
+    """
+    from rimshot.operators.ordering import keyed_prefix_sums
+
+    cols = sorted({c for c, _ in spec.values()})
+    p = keyed_prefix_sums(df, list(keys), list(order), cols)
+    end_shift = 1 if pre else 0          # frame ends at p-1 (pre-game) or p (post-game)
+    # inclusive sums at the frame end: S[p] minus the own row when the frame stops before it
+    end_s = {c: F.col(f"_s_{c}") - (F.col(f"_v_{c}") if pre else F.lit(0.0)) for c in cols}
+    end_n = {c: F.col(f"_n_{c}") - (F.col(f"_k_{c}") if pre else F.lit(0)) for c in cols}
+    lengths = sorted({n for _, n in spec.values() if n is not None})
+    out = p
+    for n in lengths:
+        # the frame covers positions p-end_shift-n+1 .. p-end_shift; subtract S at position p-end_shift-n
+        left = p.select(*keys, (F.col("_pos") + F.lit(n + end_shift)).alias("_pos"),
+                        *[F.col(f"_s_{c}").alias(f"_ls{n}_{c}") for c in cols],
+                        *[F.col(f"_n_{c}").alias(f"_ln{n}_{c}") for c in cols])
+        out = out.join(left, [*keys, "_pos"], "left")
+    res = []
+    for name, (c, n) in spec.items():
+        if n is None:
+            s, k = end_s[c], end_n[c]
+        else:
+            s = end_s[c] - F.coalesce(F.col(f"_ls{n}_{c}"), F.lit(0.0))
+            k = end_n[c] - F.coalesce(F.col(f"_ln{n}_{c}"), F.lit(0))
+        res.append(F.when(k > 0, s / k).alias(name))
+    return out.select(*df.columns, *res)

@@ -86,3 +86,38 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
     got = wanted.join(lo, "_lo").join(hi, "_hi")
     got = got.select(*keys, "_name", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("_val"))
     return got.groupBy(*keys).pivot("_name", list(qs)).agg(F.first("_val"))
+
+
+def keyed_prefix_sums(df: DataFrame, keys: list[str], order: list[str], cols: list[str],
+                      num_partitions: int | None = None) -> DataFrame:
+    """Per key, in ``order``: position ``_pos`` (1-based), inclusive running sums ``_s_<c>`` and
+    non-null counts ``_n_<c>`` of ``cols``, without a window over a whole key.
+
+    Rows are range-partitioned on (keys, order), so a hot key is spread over
+    many partitions (the partition assignment is pinned with a reliable
+    checkpoint). Running sums are computed per (partition, key) slice; each
+    slice's totals form a table of at most (partitions x keys per partition)
+    rows, whose running sum over partition order gives every slice its offset.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = num_partitions or spark.sparkContext.defaultParallelism
+    vals = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x_{c}") for c in cols]
+    cnts = [F.col(c).isNotNull().cast("long").alias(f"_c_{c}") for c in cols]
+    d = (df.select("*", *vals, *cnts, F.lit(1).cast("long").alias("_one"))
+           .repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+           .withColumn("_pid", F.spark_partition_id())).checkpoint(eager=True)
+    summed = ["_one"] + [f"_x_{c}" for c in cols] + [f"_c_{c}" for c in cols]
+    local_w = Window.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = d.select("*", *[F.sum(s).over(local_w).alias(f"_l{s}") for s in summed])
+    tot = d.groupBy("_pid", *keys).agg(*[F.sum(s).alias(f"_t{s}") for s in summed])
+    prev = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select("_pid", *keys, *[F.coalesce(F.sum(f"_t{s}").over(prev), F.lit(0)).alias(f"_o{s}")
+                                       for s in summed])
+    j = local.join(offs, ["_pid", *keys])
+    out = j.select(*df.columns, (F.col("_l_one") + F.col("_o_one")).alias("_pos"),
+                   *[(F.col(f"_l_x_{c}") + F.col(f"_o_x_{c}")).alias(f"_s_{c}") for c in cols],
+                   *[(F.col(f"_l_c_{c}") + F.col(f"_o_c_{c}")).alias(f"_n_{c}") for c in cols],
+                   *[F.col(f"_x_{c}").alias(f"_v_{c}") for c in cols],
+                   *[F.col(f"_c_{c}").alias(f"_k_{c}") for c in cols])
+    return out

@@ -240,3 +240,13 @@ def w05_form_timeline(spark, sf_dir):
     t = FT.form_timeline(rolled_table(spark, sf_dir), 30)
     return round_doubles(t.select("season_start", "team_id", "game_id", "game_date", "team_game_number", "is_win",
                                   "point_diff", "win_pct_l10", "win_pct_s2d"))
+
+
+@query("w01_rolling_features_hot_key_safe", f"""
+select season_start, game_id, game_date, team_id, opp_team_id, is_home, is_win, point_diff, pts, {_R}
+from f_rolling""")
+def w01_rolling_features_hot_key_safe(spark, sf_dir):
+    """W1-W3 through the hot-key-safe plan (prefix sums over range partitions + positional joins)."""
+    r = FT.rolling_hot_key_safe(base_table(spark, sf_dir))
+    return round_doubles(r.select("season_start", "game_id", "game_date", "team_id", "opp_team_id", "is_home",
+                                  "is_win", "point_diff", "pts", *ROLL_COLS))

@@ -129,3 +129,23 @@ def test_upsert_and_insert_ignore(spark):
     assert sorted(U.upsert(t, s.where("v != 'C2'"), ["k"]).collect()) == [(1, "a"), (2, "B"), (3, "C")]
     got = sorted(U.insert_ignore(t, s, ["k"], [F.col("v")]).collect())
     assert got == [(1, "a"), (2, "b"), (3, "C")]
+
+
+def test_hot_key_safe_rolling_equals_window(spark):
+    from rimshot.operators.features import rolling, rolling_hot_key_safe
+    rows = []
+    for i in range(400):                       # one hot team-season holds most rows
+        rows.append((2020, 1, dt.date(2020, 10, 1) + dt.timedelta(days=i // 3), i, i % 2, None if i % 17 == 0 else i % 9))
+    for i in range(30):
+        rows.append((2020, 2, dt.date(2020, 10, 1) + dt.timedelta(days=i), 1000 + i, (i + 1) % 2, i % 5))
+    df = spark.createDataFrame(rows, "season_start long, team_id long, game_date date, game_id long, is_win int, "
+                                     "point_diff long")
+    spec = {"w5": ("is_win", 5), "w10": ("point_diff", 10), "s2d": ("point_diff", None)}
+    for pre in (True, False):
+        a = {r.game_id: r for r in rolling(df, spec, pre=pre).collect()}
+        b = {r.game_id: r for r in rolling_hot_key_safe(df, spec, pre=pre).collect()}
+        assert a.keys() == b.keys()
+        for k in a:
+            for c in spec:
+                x, y = a[k][c], b[k][c]
+                assert (x is None and y is None) or abs(x - y) < 1e-9, (k, c, pre, x, y)
