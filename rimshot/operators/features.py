@@ -199,9 +199,10 @@ def core_availability(players: DataFrame, results: DataFrame, core: int = CORE_P
 
 
 def form_timeline(features: DataFrame, games: int = 30) -> DataFrame:
-    """The first ``games`` games of every team-season with its running form (a timeline per team)."""
-    n = with_game_number(features)
-    return n.where(F.col("team_game_number") <= games)
+    """The first ``games`` games of every team-season with its running form (a timeline per team).
+    Two-stage top-k, so a long team-season is cut per input partition before it is ranked."""
+    from rimshot.operators.ordering import top_k_per_group
+    return top_k_per_group(features, list(SEASON_KEYS), list(GAME_ORDER), games, "team_game_number")
 
 
 def rolling_hot_key_safe(df: DataFrame, spec: dict = ROLLING_SPEC, pre: bool = True,

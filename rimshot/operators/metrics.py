@@ -3,7 +3,7 @@
 Every metric takes a predictions DataFrame with a 0/1 label ``y`` and a
 probability ``p`` and a list of grouping columns (the fold: model,
 checkpoint, test season, ...). Nothing is collected: each metric is one
-groupBy, or a window per fold over an already reduced table.
+groupBy, a two-stage top-k, or a distributed prefix sum over a reduced table.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rimshot.functions.expressions import FLOAT_EPS, calibration_bin
+from rimshot.operators.ordering import keyed_prefix_sums, top_k_per_group
 
 
 def _y(y):
@@ -24,14 +25,16 @@ def auc(df: DataFrame, by: list[str], y: str = "y_true", p: str = "y_prob") -> D
 
     The predictions are first reduced to (group, score) -> (positives,
     negatives) with a map-side partial aggregate; the ordered pass then runs
-    over distinct scores only: AUC = sum(pos * (neg below + neg tied / 2)) / (P * N).
+    over distinct scores only, as a distributed prefix sum: AUC = sum(pos * (neg below + neg tied / 2)) / (P * N).
     """
-    c = df.groupBy(*by, p).agg(F.sum(_y(y)).alias("_pos"), F.sum(1.0 - _y(y)).alias("_neg"))
-    below = Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("_neg_below", F.coalesce(F.sum("_neg").over(below), F.lit(0.0)))
+    c = df.groupBy(*by, p).agg(F.sum(_y(y)).alias("_npos"), F.sum(1.0 - _y(y)).alias("_nneg"))
+    # negatives strictly below each score: a keyed prefix sum (range-partitioned, so one
+    # large fold is split across tasks), minus the row's own negatives
+    c = keyed_prefix_sums(c, list(by), [p], ["_nneg"])
+    c = c.withColumn("_neg_below", F.col("_s__nneg") - F.col("_v__nneg"))
     g = c.groupBy(*by).agg(
-        F.sum(F.col("_pos") * (F.col("_neg_below") + F.lit(0.5) * F.col("_neg"))).alias("_u"),
-        F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
+        F.sum(F.col("_npos") * (F.col("_neg_below") + F.lit(0.5) * F.col("_nneg"))).alias("_u"),
+        F.sum("_npos").alias("_P"), F.sum("_nneg").alias("_N"))
     return g.select(*by, F.when((F.col("_P") > 0) & (F.col("_N") > 0),
                                 F.col("_u") / (F.col("_P") * F.col("_N"))).alias("auc"))
 
@@ -68,8 +71,7 @@ def top_k_hits(df: DataFrame, k: int, by: list[str], group: list[str] | None = N
     rate divides by k (``fixed_divisor``). Ties broken by ``key`` ascending.
     """
     parts = list(by) + list(group or [])
-    w = Window.partitionBy(*parts).orderBy(F.desc(p), F.asc(key))
-    picked = df.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k)
+    picked = top_k_per_group(df, parts, [F.desc(p), F.asc(key)], k, "_rk")
     g = picked.groupBy(*by).agg(F.sum(F.col(y).cast("long")).alias("hits"), F.count(F.lit(1)).alias("picks"))
     denom = F.lit(float(k)) if fixed_divisor else F.col("picks").cast("double")
     return g.withColumn("hit_rate", F.col("hits") / denom)

@@ -121,3 +121,20 @@ def keyed_prefix_sums(df: DataFrame, keys: list[str], order: list[str], cols: li
                    *[F.col(f"_x_{c}").alias(f"_v_{c}") for c in cols],
                    *[F.col(f"_c_{c}").alias(f"_k_{c}") for c in cols])
     return out
+
+
+def top_k_per_group(df: DataFrame, group: list[str], order: list, k: int, out: str = "rank") -> DataFrame:
+    """The ``k`` first rows per group under ``order`` (which must be total), ranked 1..k, in two stages.
+
+    Stage one ranks rows within (input partition, group) and keeps the local
+    top k; stage two ranks only those survivors per group. Every true top-k row
+    survives its own partition's cut, so the answer is exact, and no task ever
+    holds more than one input partition or k x partitions rows of a group, however
+    hot the group is.
+    """
+    local = Window.partitionBy("_tk_pid", *group).orderBy(*order)
+    cand = (df.withColumn("_tk_pid", F.spark_partition_id())
+              .withColumn("_tk_r", F.row_number().over(local)).where(F.col("_tk_r") <= k)
+              .drop("_tk_r", "_tk_pid"))
+    final = Window.partitionBy(*group).orderBy(*order)
+    return cand.withColumn(out, F.row_number().over(final)).where(F.col(out) <= k)
