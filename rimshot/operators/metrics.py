@@ -31,7 +31,7 @@ def auc(df: DataFrame, by: list[str], y: str = "y_true", p: str = "y_prob") -> D
     # negatives strictly below each score: a keyed prefix sum (range-partitioned, so one
     # large fold is split across tasks), minus the row's own negatives
     c = keyed_prefix_sums(c, list(by), [p], ["_nneg"])
-    c = c.withColumn("_neg_below", F.col("_s__nneg") - F.col("_v__nneg"))
+    c = c.withColumn("_neg_below", (F.col("_s__nneg") - F.col("_v__nneg")).cast("double"))
     g = c.groupBy(*by).agg(
         F.sum(F.col("_npos") * (F.col("_neg_below") + F.lit(0.5) * F.col("_nneg"))).alias("_u"),
         F.sum("_npos").alias("_P"), F.sum("_nneg").alias("_N"))

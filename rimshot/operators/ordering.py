@@ -102,7 +102,10 @@ def keyed_prefix_sums(df: DataFrame, keys: list[str], order: list[str], cols: li
     spark = df.sparkSession
     checkpoint_dir(spark)
     n = num_partitions or spark.sparkContext.defaultParallelism
-    vals = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x_{c}") for c in cols]
+    # values are summed as DECIMAL(38,12): prefix sums subtract exactly (no cancellation error when a
+    # frame is taken as a difference of two large running sums), with headroom up to 1e26
+    dec = "decimal(38,12)"
+    vals = [F.coalesce(F.col(c).cast(dec), F.lit(0).cast(dec)).alias(f"_x_{c}") for c in cols]
     cnts = [F.col(c).isNotNull().cast("long").alias(f"_c_{c}") for c in cols]
     d = (df.select("*", *vals, *cnts, F.lit(1).cast("long").alias("_one"))
            .repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
