@@ -20,7 +20,9 @@ from rimshot.session import build_session  # noqa: E402
 
 HEADLINE = [
     "f02_training_model",       # W1-W3 + W8 + F2: the flagship feature view
+    "w01_rolling_features_hot_key_safe",  # W1-W3 via range-partitioned prefix sums (hot-key plan)
     "w13_advanced_rolling",     # J1 + opponent join + 30 window frames
+    "w16_core_availability",    # W16 player explode x10 + top-8 per team game
     "j09_matchup",              # J9 game-level differences
     "w12_elo_history",          # W12 per-season recurrence
     "m05_season_projection",    # M1-M5 projection (200 draws per game)
@@ -31,6 +33,7 @@ HEADLINE = [
     "j06_resolve_markets",      # J6 slug resolution
     "w11_time_split",           # W11 distributed row numbering
     "u03_guarded_upsert_map",   # U3 merge
+    "a11_feature_audit",        # A11 exact distributed quantiles
 ]
 
 

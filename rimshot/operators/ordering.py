@@ -63,8 +63,19 @@ def slice_rows(df: DataFrame, order: list[str], start: int, end: int) -> DataFra
     return numbered.where((F.col("_rn") > start) & (F.col("_rn") <= end)).drop("_rn")
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """Exact quantiles per group with linear interpolation (numpy / pandas default), distributed.
+# A group whose distinct values stay under this bound is summarised by Spark's exact ``percentile``
+# aggregate, whose per-group state is a value -> count map (so memory ~ distinct values).
+IN_MEMORY_DISTINCT_LIMIT = 1_000_000
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
+                    in_memory_limit: int = IN_MEMORY_DISTINCT_LIMIT) -> DataFrame:
+    """Exact quantiles per group with linear interpolation (numpy / pandas default).
+
+    Size-checked plan choice: one ``approx_count_distinct`` pass bounds the largest
+    group's distinct values. Under ``in_memory_limit`` a single exact ``percentile``
+    aggregate answers (partial maps merge map-side). Above it, the rank plan below
+    runs, whose memory does not depend on the group size:
 
     Non-null values are globally sorted by (keys, value) and numbered; each
     group's first position and size give the two ranks each quantile needs,
@@ -73,6 +84,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
     Returns one row per group with a column per name in ``qs``.
     """
     nn = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    widest = nn.groupBy(*keys).agg(F.approx_count_distinct("_v").alias("_d")).agg(F.max("_d")).first()[0]
+    if widest is not None and widest < in_memory_limit:
+        names = list(qs)
+        got = nn.groupBy(*keys).agg(F.percentile("_v", [float(qs[n]) for n in names]).alias("_q"))
+        return got.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     numbered = global_row_number(nn, [*keys, "_v"], out="_rn")
     starts = numbered.groupBy(*keys).agg(F.min("_rn").alias("_start"), F.count(F.lit(1)).alias("_n"))
     wanted = starts.select(*keys, "_start", "_n", F.explode(F.array(*[

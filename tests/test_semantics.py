@@ -149,3 +149,14 @@ def test_hot_key_safe_rolling_equals_window(spark):
             for c in spec:
                 x, y = a[k][c], b[k][c]
                 assert (x is None and y is None) or abs(x - y) < 1e-9, (k, c, pre, x, y)
+
+
+def test_exact_quantiles_both_plans_agree(spark):
+    from rimshot.operators.ordering import exact_quantiles
+    df = spark.range(0, 2001).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 1000 / 7.0).alias("v"))
+    qs = {"p01": 0.01, "med": 0.5, "p99": 0.99}
+    a = {r.g: r for r in exact_quantiles(df, ["g"], "v", qs).collect()}
+    b = {r.g: r for r in exact_quantiles(df, ["g"], "v", qs, in_memory_limit=0).collect()}
+    for g in a:
+        for q in qs:
+            assert abs(a[g][q] - b[g][q]) < 1e-9
