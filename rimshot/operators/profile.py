@@ -28,10 +28,16 @@ def long_form(df: DataFrame, cols: list[str], keep: list[str] = ()) -> DataFrame
 
 
 def base_rates(df: DataFrame, label: str, by: list[str]) -> DataFrame:
-    """Label rate overall, per first key, per both keys (ROLLUP), with a 1-decimal percent (half-even)."""
-    g = df.rollup(*by).agg(F.count(F.lit(1)).alias("team_seasons"), F.avg(F.col(label).cast("double")).alias("rate"),
-                           F.grouping_id().alias("level"))
-    return g.withColumn("rate_pct", F.bround(F.col("rate") * 100, 1))
+    """Label rate overall, per first key, per both keys (ROLLUP), with a 1-decimal percent (half-even).
+
+    The overall row comes from a global aggregate, so it exists (n = 0, rate null) even for an
+    empty input, where a ROLLUP would return nothing."""
+    stats = [F.count(F.lit(1)).alias("team_seasons"), F.avg(F.col(label).cast("double")).alias("rate")]
+    top = (1 << len(by)) - 1
+    g = df.rollup(*by).agg(*stats, F.grouping_id().alias("level")).where(F.col("level") < top)
+    overall = df.agg(*stats).select(*[F.lit(None).cast(dict(df.dtypes)[c]).alias(c) for c in by],
+                                    "team_seasons", "rate", F.lit(top).cast("bigint").alias("level"))
+    return g.unionByName(overall).withColumn("rate_pct", F.bround(F.col("rate") * 100, 1))
 
 
 def missingness(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from rimshot.plans.catalog import query, round_doubles
 from rimshot.plans.oracle_sql import register
 from rimshot.plans.q_features import MATCHUP_FEATURES, base_table, labels_table, rolled_table
 from rimshot.plans.q_metrics import preds_game
+from rimshot.session import checkpoint_dir
 from rimshot.sources import fixtures as fx
 
 LABEL = "made_playoffs"
@@ -182,3 +183,49 @@ def l05_tune_c_next_game(spark, sf_dir):
     c, _, table = ML.tune_c(games.fillna(0.0, subset=cols), cols, "home_is_win", ["game_date", "game_id"])
     return spark.createDataFrame([(cc, round(ll, 6), cc == c) for cc, ll in table],
                                  "c double, logloss double, chosen boolean")
+
+
+BASE_SET = [f"{f}_diff" for f in MATCHUP_FEATURES]
+CONTEXT_SET = BASE_SET + ["rest_adv_days", "home_b2b", "away_b2b", "travel_miles_diff", "core_games5_diff",
+                          "core_min5_diff"]
+
+
+def next_game_table(spark, sf_dir):
+    """v_game_training_nextgame (J9 + W14-W16): one row per game, home-minus-away rolling differences,
+    rest advantage and back-to-back flags, travel difference and core-availability difference."""
+    from rimshot.operators.normalise import dedup_first
+    from rimshot.operators.results import team_game_results
+    res = team_game_results(fx.games(spark, sf_dir))
+    rt = FT.rest_travel(res, fx.teams(spark, sf_dir)).select("game_id", "team_id", "rest_days", "is_b2b", "travel_miles")
+    raw = fx.player_raw(spark, sf_dir)
+    players = dedup_first(raw, ["game_id", "player_id"], ["team_id", "fgm", "fga", "pts", "minutes"])
+    core = FT.core_availability(players, res).select("game_id", "team_id", "core_games5", "core_min5")
+    rolled = rolled_table(spark, sf_dir).join(rt, ["game_id", "team_id"], "left").join(core, ["game_id", "team_id"], "left")
+    home = F.col("is_home") == 1
+    aggs = [F.max(F.when(home, F.col("is_win"))).alias("home_win")]
+    for f in MATCHUP_FEATURES:
+        aggs.append((F.max(F.when(home, F.col(f))) - F.max(F.when(~home, F.col(f)))).alias(f"{f}_diff"))
+    aggs += [(F.max(F.when(home, F.col("rest_days"))) - F.max(F.when(~home, F.col("rest_days")))).alias("rest_adv_days"),
+             F.max(F.when(home, F.col("is_b2b"))).alias("home_b2b"), F.max(F.when(~home, F.col("is_b2b"))).alias("away_b2b"),
+             (F.max(F.when(home, F.col("travel_miles"))) - F.max(F.when(~home, F.col("travel_miles")))).alias("travel_miles_diff"),
+             (F.max(F.when(home, F.col("core_games5"))) - F.max(F.when(~home, F.col("core_games5")))).alias("core_games5_diff"),
+             (F.max(F.when(home, F.col("core_min5"))) - F.max(F.when(~home, F.col("core_min5")))).alias("core_min5_diff")]
+    g = rolled.groupBy("season_start", "game_id", "game_date").agg(*aggs).where(F.col("home_win").isNotNull())
+    return g.fillna(0.0, subset=CONTEXT_SET)                        # P14
+
+
+@query("l09_feature_set_comparison")
+def l09_feature_set_comparison(spark, sf_dir):
+    """L9 + L3 + L2 + Q1-Q4: next-game LR with the base feature set vs base + rest/travel/injury context,
+    trained on every season but the last (centred scaling), evaluated on the last."""
+    checkpoint_dir(spark)
+    t = next_game_table(spark, sf_dir).checkpoint(eager=True)
+    last = t.agg(F.max("season_start")).first()[0]
+    train, test = t.where(F.col("season_start") < last), t.where(F.col("season_start") == last)
+    out = []
+    for name, cols in (("base", BASE_SET), ("base_plus_context", CONTEXT_SET)):
+        tr, te = ML.prepare(train, test, cols, "home_win", center=True, balanced=False)
+        m = ML.fit_lr(tr, cols, "home_win", 1.0)
+        s = ML.score(m, te, cols).withColumn("feature_set", F.lit(name))
+        out.append(M.fold_metrics(s, ["feature_set"], "home_win", "y_prob"))
+    return round_doubles(out[0].unionByName(out[1]))

@@ -109,3 +109,18 @@ def test_minutes_and_ids(spark):
     ids = spark.createDataFrame([("22300001",), (" 12345678901 ",), ("A1",)], "g string")
     assert [r.x for r in ids.select(normalize_game_id(F.col("g")).alias("x")).collect()] == \
         ["0022300001", "12345678901", "A1"]
+
+
+def test_schedule_weeks(spark):
+    df = spark.createDataFrame([("1", "Week 1", "2024-10-22T00:00:00Z", "2024-10-27"), ("x", None, "bad", None)],
+                               "weekNumber string, weekName string, startDate string, endDate string")
+    rows = N.schedule_weeks(df, "2024-25").collect()
+    assert (rows[0].week_number, rows[0].start_date, rows[0].end_date) == (1, dt.date(2024, 10, 22), dt.date(2024, 10, 27))
+    assert rows[1].week_number is None and rows[1].start_date is None
+
+
+def test_slice_rows_is_a_half_open_range(spark):
+    from rimshot.operators.ordering import slice_rows
+    df = spark.range(0, 100).select((99 - F.col("id")).alias("k"))
+    got = sorted(r.k for r in slice_rows(df, ["k"], 10, 20).collect())
+    assert got == list(range(10, 20))
