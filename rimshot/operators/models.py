@@ -44,20 +44,19 @@ def impute(df: DataFrame, med: dict[str, float]) -> DataFrame:
 
 
 def scaler_stats(train: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
-    """L2: mean and population std per feature (a constant feature gets divisor 1, as sklearn)."""
+    """L2: mean and population std per feature (null when there is no data)."""
     row = train.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)],
                     *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(cols)]).first()
-    out = {}
-    for i, c in enumerate(cols):
-        s = row[f"s_{i}"]
-        out[c] = (row[f"m_{i}"], s if s and s > 0 else 1.0)
-    return out
+    return {c: (row[f"m_{i}"], row[f"s_{i}"]) for i, c in enumerate(cols)}
 
 
 def scale(df: DataFrame, stats: dict[str, tuple[float, float]], center: bool) -> DataFrame:
-    """L2: centred (next-game models) or uncentred (season models) standard scaling."""
+    """L2: centred (next-game models) or uncentred (season models) standard scaling; a constant
+    (or empty) feature is divided by 1, as sklearn does."""
     for c, (m, s) in stats.items():
-        df = df.withColumn(c, ((F.col(c) - F.lit(m)) if center else F.col(c)) / F.lit(s))
+        div = s if s and s > 0 else 1.0
+        shifted = (F.col(c) - F.lit(m if m is not None else 0.0)) if center else F.col(c)
+        df = df.withColumn(c, shifted / F.lit(div))
     return df
 
 

@@ -69,8 +69,8 @@ where r.gn = 41""", ("f_base", "f_teams", "f_labels"))
 def l01_median_impute(spark, sf_dir):
     """L1: exact medians of the model features (fitted on the table; applied with fillna)."""
     med = ML.medians(model_table(spark, sf_dir), MODEL_FEATURES)
-    return spark.createDataFrame([(k, round(v, 6) if v is not None else None) for k, v in med.items()],
-                                 "feature string, median double")
+    rows = [(c, round(med[c], 6) if med.get(c) is not None else None) for c in MODEL_FEATURES]
+    return spark.createDataFrame(rows, "feature string, median double")
 
 
 @query("l02_scaler_stats", "\nunion all\n".join(
@@ -82,7 +82,8 @@ def l02_scaler_stats(spark, sf_dir):
     """L2: mean and population std of the imputed features (the scaler's fitted state)."""
     t = model_table(spark, sf_dir)
     st = ML.scaler_stats(ML.impute(t, ML.medians(t, MODEL_FEATURES)), MODEL_FEATURES)
-    return spark.createDataFrame([(k, round(m, 6), round(s, 6)) for k, (m, s) in st.items()],
+    r6 = lambda x: round(x, 6) if x is not None else None
+    return spark.createDataFrame([(k, r6(m), r6(s)) for k, (m, s) in st.items()],
                                  "feature string, mean double, std double")
 
 
