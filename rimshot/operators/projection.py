@@ -118,6 +118,11 @@ def project(state: DataFrame, probs: DataFrame, n_draws: int, seed_base: int = D
     p_playoffs (a copy of p_top10, as in the reference), exp_wins, exp_conf_seed."""
     k = ["season_start", "checkpoint"]
     seed = F.lit(seed_base) + F.col("season_start") * 100 + F.col("checkpoint")
+    # The draw stage multiplies every game by n_draws. Spread the (small) game table over the
+    # configured shuffle width first: AQE would otherwise coalesce it into very few partitions
+    # and run the whole n_draws-fold expansion in a handful of tasks.
+    width = int(probs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probs = probs.repartition(width, *k, "game_id")
     draws = probs.select(*k, "game_id", "home_team_id", "away_team_id", "p_home_win",
                          F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw"))
     draws = with_uniform_draw(draws, seed, "draw", "game_id", "_u")
@@ -142,3 +147,25 @@ def project(state: DataFrame, probs: DataFrame, n_draws: int, seed_base: int = D
         "p_top6", "p_top10", F.col("p_top10").alias("p_playoffs"), "exp_wins", "exp_conf_seed",
         F.lit(n_draws).alias("n_sims"), seed.cast("bigint").alias("seed"),
         F.lit(float(alpha)).alias("alpha"), F.lit(float(beta)).alias("beta"))
+
+
+def season_projection(games: DataFrame, teams: DataFrame, n_draws: int, checkpoints=(20, 40, 60),
+                      seed_base: int = DEFAULT_SEED, temp: float = DEFAULT_TEMP,
+                      alpha: float = DEFAULT_ALPHA, beta: float = DEFAULT_BETA) -> DataFrame:
+    """M1-M6 end to end for every season x checkpoint: results -> Elo -> state at each cut-off ->
+    remaining-game probabilities -> draws -> per-team probabilities.
+
+    The team state (one row per team, season and checkpoint) feeds three branches (home and away
+    probabilities and the per-draw base rows); it is materialised once with a reliable checkpoint,
+    so Elo and the state aggregation run once instead of once per branch.
+    """
+    from rimshot.operators.elo import elo
+    from rimshot.operators.results import team_game_results
+    from rimshot.session import checkpoint_dir
+
+    checkpoint_dir(games.sparkSession)
+    res = team_game_results(games)
+    cut = checkpoint_cutoffs(res, checkpoints)
+    state = team_state(res, elo(res), teams, cut).checkpoint(eager=True)
+    probs = game_probabilities(remaining_games(games, cut), state, alpha, beta, temp)
+    return project(state, probs, n_draws, seed_base, alpha, beta)

@@ -111,6 +111,4 @@ select concat(cast(season_start as varchar), '-', lpad(cast((season_start + 1) %
 from seeded group by season_start, checkpoint, team_id, conference"""))
 def m05_season_projection(spark, sf_dir):
     """M1-M6: every season x checkpoint projected with N_DRAWS draws."""
-    g, cut, st = _state(spark, sf_dir)
-    probs = P.game_probabilities(P.remaining_games(g, cut), st)
-    return round_doubles(P.project(st, probs, N_DRAWS))
+    return round_doubles(P.season_projection(fx.games(spark, sf_dir), fx.teams(spark, sf_dir), N_DRAWS))
