@@ -54,7 +54,7 @@ def x01_quote_stream(spark, sf_dir):
     landed = orig.unionByName(again).select("snapshot_id", "game_id", "book", "chunk")
     J.land_in_time_order(landed, os.path.join(root, "landing"), "ts", N_CHUNKS)
     q = J.quote_stream(spark, os.path.join(root, "landing", "chunk-*"), os.path.join(root, "quotes"),
-                       os.path.join(root, "_progress"), watermark="7 days")
+                       os.path.join(root, "_progress"), watermark="7 days", state_partitions=8)
     q.awaitTermination()
     out = spark.read.parquet(os.path.join(root, "quotes"))
     return round_doubles(out.select("game_id", "asof_ts", "bid", "ask", "mid", "liquidity_top_total",

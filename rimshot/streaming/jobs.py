@@ -45,9 +45,24 @@ def _exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
+def _start(writer, spark: SparkSession, state_partitions: int | None):
+    """Start a stream; ``state_partitions`` fixes the number of state-store partitions of a new query
+    (Spark records the shuffle width in the checkpoint at first start and keeps it afterwards)."""
+    if not state_partitions:
+        return writer.start()
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        return writer.start()          # the stream runs on a clone of the session conf taken here
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def quote_stream(spark: SparkSession, landing: str, table: str, checkpoint: str,
-                 watermark: str = "1 day", available_now: bool = True, files_per_trigger: int = 1):
-    """Landed book snapshots -> deduplicated quotes, appended to ``table`` with insert-ignore."""
+                 watermark: str = "1 day", available_now: bool = True, files_per_trigger: int = 1,
+                 state_partitions: int | None = None):
+    """Landed book snapshots -> deduplicated quotes, appended to ``table`` with insert-ignore.
+    Size ``state_partitions`` to the number of distinct keys alive within one watermark."""
     src = (spark.readStream.schema(BOOK_FILE_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
                 .json(landing))
     q = book_quotes(src)
@@ -65,7 +80,7 @@ def quote_stream(spark: SparkSession, landing: str, table: str, checkpoint: str,
 
     w = quotes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
+    return _start(w, spark, state_partitions)
 
 
 def daily_games_stream(spark: SparkSession, landing: str, games_table: str, features_table: str, checkpoint: str,
