@@ -10,8 +10,6 @@ distributed.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -19,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rimshot.functions.expressions import CALIBRATION_EPS, FLOAT_EPS
+from rimshot.functions.expressions import CALIBRATION_EPS
 from rimshot.operators import metrics as M
 from rimshot.operators.ordering import exact_quantiles, global_row_number, time_split
 from rimshot.operators.profile import long_form

@@ -8,13 +8,12 @@ directory, then read them back the way a landing-zone job would.
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import functions as F
 
 from rimshot.operators import normalise as N
 from rimshot.plans.catalog import query
-from rimshot.session import checkpoint_dir
+from rimshot.session import scratch_path
 from rimshot.sources import files as S
 from rimshot.sources import fixtures as fx
 
@@ -25,10 +24,8 @@ LEGACY = {"game_id": "GAME_ID", "team_id": "TEAM_ID", "player_id": "PLAYER_ID",
 PLAYER_STATS = ["fgm", "fga", "fg3m", "fg3a", "ftm", "fta", "oreb", "dreb", "ast", "turnovers", "pts"]
 
 
-def _scratch(spark, name: str) -> str:
-    base = checkpoint_dir(spark)
-    base = base[len("file:"):] if base.startswith("file:") else base
-    return os.path.join(base, f"landing-{name}-{uuid.uuid4().hex[:12]}")
+def _scratch(spark, name):
+    return scratch_path(spark, f"landing-{name}")
 
 
 def _season_text(c):

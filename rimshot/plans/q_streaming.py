@@ -8,12 +8,11 @@ returns the table the stream maintained.
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import functions as F
 
 from rimshot.plans.catalog import query, round_doubles
-from rimshot.session import checkpoint_dir
+from rimshot.session import scratch_path
 from rimshot.sources import fixtures as fx
 from rimshot.streaming import jobs as J
 
@@ -21,9 +20,7 @@ N_CHUNKS = 6
 
 
 def _scratch(spark, name):
-    base = checkpoint_dir(spark)
-    base = base[len("file:"):] if base.startswith("file:") else base
-    return os.path.join(base, f"stream-{name}-{uuid.uuid4().hex[:12]}")
+    return scratch_path(spark, f"stream-{name}")
 
 
 @query("x01_quote_stream", """

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -55,3 +57,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="rimshot-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder name under the shared checkpoint directory (landing areas of test loads)."""
+    base = checkpoint_dir(spark)
+    base = base[len("file:"):] if base.startswith("file:") else base
+    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
