@@ -160,3 +160,23 @@ def test_exact_quantiles_both_plans_agree(spark):
     for g in a:
         for q in qs:
             assert abs(a[g][q] - b[g][q]) < 1e-9
+
+
+def test_elo_streaming_matches_whole_season(spark):
+    """Small Arrow batches force each season across many batches; ratings must equal the
+    whole-season computation."""
+    import pandas as pd
+    from rimshot.operators.elo import _season_recurrence, pair_games
+    from rimshot.sources import fixtures as fx
+    from tests.conftest import SF_SMALL
+    res = team_game_results(fx.games(spark, SF_SMALL))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {(r.game_id, r.team_id): r.elo_post for r in elo(res).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    games = pair_games(res).toPandas()
+    ref = pd.concat([_season_recurrence(20.0, 1500.0, 0.0)(g) for _, g in games.groupby("season_start")])
+    for r in ref.itertuples():
+        assert abs(got[(r.game_id, r.home_id)] - r.elo_home_post) < 1e-9
+        assert abs(got[(r.game_id, r.away_id)] - r.elo_away_post) < 1e-9
