@@ -74,11 +74,11 @@ def s02_player_csv_parts(spark, sf_dir):
     odd = p.where(F.col("season_start") % 2 == 1).select(*[F.col(c).cast("string").alias(LEGACY[c]) for c in cols])
     even.write.option("header", True).csv(os.path.join(root, "camel"))
     odd.write.option("header", True).csv(os.path.join(root, "legacy"))
-    os.makedirs(os.path.join(root, "junk"), exist_ok=True)
-    open(os.path.join(root, "junk", "empty.csv"), "w").close()
-    with open(os.path.join(root, "junk", "no_ids.csv"), "w") as fh:
-        fh.write("teamName,points\nX,1\n")
-    raw = S.read_csv_parts(spark, os.path.join(root, "*", "*.csv"))
+    # an empty part and a part without id columns, landed through Spark like the rest
+    spark.createDataFrame([], "value string").coalesce(1).write.text(os.path.join(root, "empty"))
+    spark.createDataFrame([("teamName,points",), ("X,1",)], "value string").coalesce(1) \
+         .write.text(os.path.join(root, "no_ids"))
+    raw = S.read_csv_parts(spark, os.path.join(root, "*", "part-*"))
     box = N.box_score(raw, "player")
     order = ["team_id", *PLAYER_STATS[:-2], "turnovers", "pts", "minutes"]
     return N.dedup_first(box, ["game_id", "player_id"], order).select(

@@ -8,15 +8,12 @@ by name, never by position.
 
 from __future__ import annotations
 
-import glob
-import os
 from collections import defaultdict
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 
 def read_csv(spark: SparkSession, paths, schema: StructType | str | None = None) -> DataFrame:
@@ -27,10 +24,11 @@ def read_csv(spark: SparkSession, paths, schema: StructType | str | None = None)
     return r.csv(paths)
 
 
-def _header(path: str) -> str | None:
-    with open(path, encoding="utf-8") as fh:
-        line = fh.readline()
-    return line.strip() or None
+def _list_files(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
+    """(path, length) of the files matching ``pattern`` on any Hadoop filesystem. The binaryFile source
+    lists files without reading them (its content column is never selected). One row per file."""
+    rows = spark.read.format("binaryFile").load(pattern).select("path", "length").collect()
+    return sorted((r.path, r.length) for r in rows)
 
 
 def read_csv_parts(spark: SparkSession, pattern_or_paths, required_any: tuple[str, ...] = ("gameId", "personId",
@@ -38,23 +36,28 @@ def read_csv_parts(spark: SparkSession, pattern_or_paths, required_any: tuple[st
     """S2 + T4: many CSV parts with possibly different headers -> one frame by column name.
 
     Empty files and files lacking every ``required_any`` column are skipped.
-    Parts are grouped by header line (only the first line of each file is read
-    on the driver); each group is one distributed CSV read; groups are
-    combined with ``unionByName(allowMissingColumns=True)``. All columns are
-    read as text; typing happens in normalisation (P10).
+    Files are listed through Spark (any filesystem), each file's first line is
+    read as its header, parts are grouped by header, each group is one
+    distributed CSV read, and the groups are combined with
+    ``unionByName(allowMissingColumns=True)``. All columns are read as text;
+    typing happens in normalisation (P10).
     """
-    paths = sorted(glob.glob(pattern_or_paths)) if isinstance(pattern_or_paths, str) else list(pattern_or_paths)
+    if isinstance(pattern_or_paths, str):
+        files = _list_files(spark, pattern_or_paths)
+    else:
+        files = [f for p in pattern_or_paths for f in _list_files(spark, p)]
     groups: dict[str, list[str]] = defaultdict(list)
-    for p in paths:
-        if os.path.getsize(p) == 0:
+    for path, length in files:
+        if length == 0:
             continue
-        h = _header(p)
+        first = spark.read.text(path).first()
+        h = first.value.strip() if first is not None and first.value else ""
         if not h:
             continue
         cols = [c.strip().strip('"') for c in h.split(",")]
         if not any(c in cols for c in required_any):
             continue
-        groups[h].append(p)
+        groups[h].append(path)
     frames = []
     for h, ps in groups.items():
         cols = [c.strip().strip('"') for c in h.split(",")]
@@ -126,11 +129,14 @@ def landed_game_log(spark: SparkSession, base: str, fmt: str = "csv") -> DataFra
 
 
 def first_nonempty_season_type(log: DataFrame, by: list[str], priority=SEASON_TYPE_PRIORITY) -> DataFrame:
-    """S16 daily rule: per ``by`` key, keep the rows of the highest-priority season type that has any."""
+    """S16 daily rule: per ``by`` key, keep the rows of the highest-priority season type that has any.
+
+    The best priority per key is a grouped min (reduced map-side to one row per key) joined back
+    on the key, so no task buffers a whole key, and AQE's skew-join splitting covers a hot day."""
     pr = F.array_position(F.array(*[F.lit(p) for p in priority]), F.col("season_type"))
-    w = Window.partitionBy(*by)
-    x = log.withColumn("_p", pr).withColumn("_best", F.min("_p").over(w))
-    return x.where(F.col("_p") == F.col("_best")).drop("_p", "_best")
+    x = log.withColumn("_p", pr)
+    best = x.groupBy(*by).agg(F.min("_p").alias("_best"))
+    return x.join(best, list(by)).where(F.col("_p") == F.col("_best")).drop("_p", "_best")
 
 
 def write_overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> None:
