@@ -72,8 +72,8 @@ def with_game_number(df: DataFrame, keys=SEASON_KEYS, order=GAME_ORDER) -> DataF
     if hot_key_safe(df):
         from rimshot.operators.ordering import keyed_prefix_sums
         p = keyed_prefix_sums(df, list(keys), list(order), [])
-        return p.select(*df.columns, F.col("_pos").cast("int").alias("team_game_number"))
-    return df.withColumn("team_game_number", F.row_number().over(season_window(keys, order)))
+        return p.select(*df.columns, F.col("_pos").cast("bigint").alias("team_game_number"))
+    return df.withColumn("team_game_number", F.row_number().over(season_window(keys, order)).cast("bigint"))
 
 
 def checkpoint_rows(df: DataFrame, n: int) -> DataFrame:
@@ -217,7 +217,8 @@ def form_timeline(features: DataFrame, games: int = 30) -> DataFrame:
     """The first ``games`` games of every team-season with its running form (a timeline per team).
     Two-stage top-k, so a long team-season is cut per input partition before it is ranked."""
     from rimshot.operators.ordering import top_k_per_group
-    return top_k_per_group(features, list(SEASON_KEYS), list(GAME_ORDER), games, "team_game_number")
+    t = top_k_per_group(features, list(SEASON_KEYS), list(GAME_ORDER), games, "team_game_number")
+    return t.withColumn("team_game_number", F.col("team_game_number").cast("bigint"))
 
 
 def rolling_hot_key_safe(df: DataFrame, spec: dict = ROLLING_SPEC, pre: bool = True,

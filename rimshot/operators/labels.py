@@ -29,7 +29,7 @@ def seeds(standings: DataFrame, method: str = "row_number",
         seed = F.dense_rank().over(conf.orderBy(F.desc("wins")))
     else:
         raise ValueError(f"unknown seeding method {method!r}")
-    return standings.withColumn("conf_seed", seed)
+    return standings.withColumn("conf_seed", seed.cast("bigint"))
 
 
 def season_labels(seeded: DataFrame) -> DataFrame:

@@ -90,7 +90,8 @@ select cast(game_id as varchar) as game_id, game_date,
        case when game_id % 10 = 0 then 1 else 3 end as game_status,
        case when game_id % 10 = 0 then 'Scheduled' else 'Final' end as game_status_text,
        home_team_id, 'T' || home_team_id as home_team_tricode, away_team_id, 'T' || away_team_id as away_team_tricode,
-       'Arena ' || home_team_id as arena_name, 'City ' || home_team_id as arena_city, null as arena_state
+       'Arena ' || home_team_id as arena_name, 'City ' || home_team_id as arena_city,
+       cast(null as varchar) as arena_state
 from f_games where season_type = 'Regular Season'""")
 def s05_scoreboard_games(spark, sf_dir):
     """One scoreboard JSON document per game day (with an id-less placeholder game) -> one row per game."""
