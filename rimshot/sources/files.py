@@ -9,6 +9,7 @@ by name, never by position.
 from __future__ import annotations
 
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,9 @@ def read_csv(spark: SparkSession, paths, schema: StructType | str | None = None)
     return r.csv(paths)
 
 
+HEADER_PROBE_THREADS = 16
+
+
 def _list_files(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
     """(path, length) of the files matching ``pattern`` on any Hadoop filesystem. The binaryFile source
     lists files without reading them (its content column is never selected). One row per file."""
@@ -37,7 +41,7 @@ def read_csv_parts(spark: SparkSession, pattern_or_paths, required_any: tuple[st
 
     Empty files and files lacking every ``required_any`` column are skipped.
     Files are listed through Spark (any filesystem), each file's first line is
-    read as its header, parts are grouped by header, each group is one
+    read as its header (a few bytes per file, probed by concurrent small jobs), parts are grouped by header, each group is one
     distributed CSV read, and the groups are combined with
     ``unionByName(allowMissingColumns=True)``. All columns are read as text;
     typing happens in normalisation (P10).
@@ -46,12 +50,16 @@ def read_csv_parts(spark: SparkSession, pattern_or_paths, required_any: tuple[st
         files = _list_files(spark, pattern_or_paths)
     else:
         files = [f for p in pattern_or_paths for f in _list_files(spark, p)]
+    def header(path: str) -> str:
+        first = spark.read.text(path).first()          # reads only the start of the file
+        return first.value.strip() if first is not None and first.value else ""
+
+    nonempty = [path for path, length in files if length > 0]
+    # independent small jobs: run the probes concurrently instead of one after another
+    with ThreadPoolExecutor(max_workers=min(HEADER_PROBE_THREADS, max(1, len(nonempty)))) as pool:
+        headers = list(pool.map(header, nonempty))
     groups: dict[str, list[str]] = defaultdict(list)
-    for path, length in files:
-        if length == 0:
-            continue
-        first = spark.read.text(path).first()
-        h = first.value.strip() if first is not None and first.value else ""
+    for path, h in zip(nonempty, headers):
         if not h:
             continue
         cols = [c.strip().strip('"') for c in h.split(",")]
