@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+# One scan DataFrame per (session, path): building a parquet scan lists files and reads the footer on
+# the driver (tens of milliseconds each), and one query composes the same tables many times. Only the
+# immutable plan object is reused; nothing is cached in memory, every action still reads the files.
+_SCANS: "weakref.WeakKeyDictionary[SparkSession, dict[str, DataFrame]]" = weakref.WeakKeyDictionary()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """Scan one parquet table; selecting columns here lets the scan read only those."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    per_session = _SCANS.setdefault(spark, {})
+    df = per_session.get(path)
+    if df is None:
+        df = per_session[path] = spark.read.parquet(path)
     return df.select(*columns) if columns else df
