@@ -180,3 +180,41 @@ def test_elo_streaming_matches_whole_season(spark):
     for r in ref.itertuples():
         assert abs(got[(r.game_id, r.home_id)] - r.elo_home_post) < 1e-9
         assert abs(got[(r.game_id, r.away_id)] - r.elo_away_post) < 1e-9
+
+
+def test_resolve_markets_names_aliases_priority_and_misses(spark):
+    from rimshot.operators.market import resolve_markets
+    from rimshot.sources.fixtures import tricode_names
+    d = dt.date(2024, 1, 5)
+    games = spark.createDataFrame([(1, d, "LAL", "MIN"), (2, d, "BKN", "PHI"), (3, d, "GSW", "NOP"), (4, d, "BOS", "NYK")],
+                                  "game_id long, game_date date, home_tricode string, away_tricode string")
+    markets = spark.createDataFrame([
+        # game 1: first template, outcomes use an alias name of MIN
+        ("nba-min-lal-2024-01-05", "Who wins?", '["Wolves", "Lakers"]'),
+        # game 2: only the 4th template exists; outcomes are Yes/No, the question names both teams
+        ("nba-bkn-vs-phi-2024-01-05", "Will the  76ERS beat the Nets?", '["Yes", "No"]'),
+        # game 3: the first template exists but names other teams; the moneyline variant matches
+        ("nba-nop-gsw-2024-01-05", "Celtics vs Knicks", '["Celtics", "Knicks"]'),
+        ("nba-nop-gsw-2024-01-05-moneyline", "x", '["Pelicans", "Warriors"]'),
+        # game 4: nothing resolvable
+        ("nba-nyk-bos-2024-01-05", "Lakers vs Suns", '["Lakers", "Suns"]')],
+        "slug string, question string, outcomes string")
+    matched, missed = resolve_markets(games, markets, tricode_names(spark))
+    got = {r.game_id: (r.slug, r.candidate_pos) for r in matched.collect()}
+    assert got == {1: ("nba-min-lal-2024-01-05", 0), 2: ("nba-bkn-vs-phi-2024-01-05", 3),
+                   3: ("nba-nop-gsw-2024-01-05-moneyline", 4)}
+    assert [r.game_id for r in missed.collect()] == [4]
+
+
+def test_outcome_quotes_share_the_earlier_time(spark):
+    from rimshot.operators.market import outcome_quotes
+    m = spark.createDataFrame([(7, "s", '["A", "B"]', "t0", "t1")],
+                              "game_id long, slug string, outcomes string, token_yes_id string, token_no_id string")
+    books = spark.createDataFrame([
+        ("t0", '{"timestamp": "1700000005000", "bids": [{"price": "0.4", "size": "1"}], "asks": [{"price": "0.6", "size": "1"}]}'),
+        ("t1", '{"timestamp": "1700000001000", "bids": [{"price": "0.4", "size": "1"}], "asks": []}')],
+        "token_id string, book string")
+    rows = sorted(outcome_quotes(m, books).collect(), key=lambda r: r.outcome_index)
+    assert [r.outcome_name for r in rows] == ["A", "B"]
+    assert rows[0].asof_ts == rows[1].asof_ts == dt.datetime(2023, 11, 14, 22, 13, 21)
+    assert rows[1].mid is None and abs(rows[0].mid - 0.5) < 1e-12
