@@ -218,3 +218,16 @@ def test_outcome_quotes_share_the_earlier_time(spark):
     assert [r.outcome_name for r in rows] == ["A", "B"]
     assert rows[0].asof_ts == rows[1].asof_ts == dt.datetime(2023, 11, 14, 22, 13, 21)
     assert rows[1].mid is None and abs(rows[0].mid - 0.5) < 1e-12
+
+
+def test_hot_key_switch_game_numbers_match_window(spark):
+    from rimshot.operators.features import HOT_KEY_CONF, with_game_number
+    rows = [(2020, 1 if i < 300 else 2, dt.date(2020, 10, 1) + dt.timedelta(days=i // 4), i) for i in range(340)]
+    df = spark.createDataFrame(rows, "season_start long, team_id long, game_date date, game_id long")
+    a = {r.game_id: r.team_game_number for r in with_game_number(df).collect()}
+    spark.conf.set(HOT_KEY_CONF, "true")
+    try:
+        b = {r.game_id: r.team_game_number for r in with_game_number(df).collect()}
+    finally:
+        spark.conf.unset(HOT_KEY_CONF)
+    assert a == b and max(a.values()) == 300
