@@ -24,3 +24,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     if df is None:
         df = per_session[path] = spark.read.parquet(path)
     return df.select(*columns) if columns else df
+
+
+def refresh_tables(spark: SparkSession) -> None:
+    """Forget this session's reused scan plans, so the next read lists the table files again.
+
+    A reused scan keeps the file listing it was built with; call this in a long-lived session after
+    new files have landed in a table directory. The streaming jobs read their own tables directly and
+    do not depend on it.
+    """
+    _SCANS.pop(spark, None)

@@ -140,3 +140,13 @@ def test_quote_stream_equals_batch_operator(spark):
     expected = {tuple(r) for r in batch.select(*[F.round(c, 6).alias(c) if c not in ("game_id", "asof_ts") else F.col(c)
                                                  for c in cols]).collect()}
     assert streamed == expected
+
+
+def test_refresh_tables_sees_new_files(spark):
+    from rimshot.sources.tables import read_table, refresh_tables
+    root = _tmp()
+    spark.range(3).write.parquet(os.path.join(root, "t.parquet"))
+    assert read_table(spark, root, "t").count() == 3
+    spark.range(2).write.mode("append").parquet(os.path.join(root, "t.parquet"))
+    refresh_tables(spark)
+    assert read_table(spark, root, "t").count() == 5
