@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -205,9 +206,15 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def _rows(batches: Iterator[pa.RecordBatch], path: str, pattern: str, digests: bool) -> Iterator[pa.RecordBatch]:
+@lru_cache(maxsize=1)
+def _encoder(path: str, pattern: str) -> tuple[ByteBpe, Memo]:
+    """The encoder and its memo, kept while the Python worker lives."""
     bpe = ByteBpe.from_file(path, pattern)
-    memo = Memo(bpe.encode_pieces)
+    return bpe, Memo(bpe.encode_pieces)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], path: str, pattern: str, digests: bool) -> Iterator[pa.RecordBatch]:
+    bpe, memo = _encoder(path, pattern)
     token = np.empty(bpe.none, object)
     for i, t in bpe.tokens.items():
         token[i] = t

@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -139,6 +141,13 @@ class VectorPacker:
             self.sequence += 1
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> tuple:
+    """The tokenizer and its memo, kept while the Python worker lives."""
+    tokenizer = _tokenizer(path)
+    return tokenizer, Memo(lambda found: _piece_ids(tokenizer, found))
+
+
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
     from tokenizers import Tokenizer
@@ -148,17 +157,28 @@ def _tokenizer(path: str):
     return made
 
 
-def _ids(tokenizer, texts: list[str]) -> list[bytes]:
+def _piece_ids(tokenizer, found: list[str], row: int = 100) -> list[bytes]:
+    """Ids of pieces (no white space but one space in front, or a line feed), encoded as lines of ``row`` pieces: a
+    line feed before a sign or its one space is a token of its own."""
+    feed = tokenizer.encode("\n", add_special_tokens=False).ids
+    if len(feed) != 1:
+        return [array("I", tokenizer.encode(p, add_special_tokens=False).ids).tobytes() for p in found]
+    words = [p for p in found if p != "\n"]
     out: list[bytes] = []
-    for part in slices(texts, 1_000_000):
-        out += [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+    for i in range(0, len(words), 200 * row):
+        part = words[i: i + 200 * row]
+        lines = ["\n".join(part[k: k + row]) + "\n" for k in range(0, len(part), row)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+        raw, ends = ids.tobytes(), (np.flatnonzero(ids == feed[0]) * 4).tolist()
+        out += [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends[:-1]]], ends)]
+    if len(words) < len(found):
+        out.insert(found.index("\n"), array("I", feed).tobytes())
     return out
 
 
 def _pack_rows(batches: Iterator[pa.RecordBatch], path: str, limits: tuple[int, int, int], window: int,
                end_id: int) -> Iterator[pa.RecordBatch]:
-    tokenizer = _tokenizer(path)
-    memo = Memo(lambda texts: _ids(tokenizer, texts))
+    tokenizer, memo = _encoder(path)
     end = int(end_id).to_bytes(4, "little")
     packer = VectorPacker(*limits, window=window)
     first = TaskContext.get().partitionId() * SEQUENCES_PER_TASK
@@ -177,8 +197,11 @@ def _pack_rows(batches: Iterator[pa.RecordBatch], path: str, limits: tuple[int,
 
     def encoded(texts: list[str]) -> list[bytes]:
         cut = [pieces(t) for t in texts]
-        # a text that must not be cut is encoded whole
-        return list(memo.ids([[t] if c is None else c for t, c in zip(texts, cut)]))
+        ids = list(memo.ids([c or [] for c in cut]))
+        for i, c in enumerate(cut):
+            if c is None:  # must not be cut
+                ids[i] = array("I", tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes()
+        return ids
 
     for batch in batches:
         docs = batch.column(0).to_pylist()

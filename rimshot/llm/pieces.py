@@ -6,7 +6,9 @@ import re
 from collections.abc import Callable, Iterable
 
 #: A word with the space before it, or one line feed.
-_PIECE = re.compile(r" ?[^ \n]+|\n")
+_COARSE = re.compile(r" ?\S+|\n")
+#: Besides, letters and digits apart from other signs.
+_FINE = re.compile(r" ?[^\W_]+| ?(?:[^\w\s]|_)+|\n")
 
 
 def pieces(text: str) -> list[str] | None:
@@ -15,33 +17,36 @@ def pieces(text: str) -> list[str] | None:
     Between two characters that are no white space, a lone space or line feed starts a new pre-token under the
     pattern of byte-level BPE whatever stands around it, so the pieces can be encoded one by one. Runs of white
     space, white space at an end and other white space do not have this property: the caller encodes such a
-    text whole.
+    text whole. A text of Latin-1 characters without an apostrophe is also cut between letters or digits and
+    other signs, which the pattern always parts (beyond Latin-1, libraries differ on what is a letter).
     """
-    if not text:
-        return []
-    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
+    if "\n\n" in text or " \n" in text or "\n " in text or text[-1:] == "\n" or text[:1] in (" ", "\n"):
         return None
-    found = _PIECE.findall(text)
-    if len(text.split()) + text.count("\n") != len(found):
-        return None
-    return found
+    pattern = _COARSE
+    if "'" not in text:
+        try:
+            text.encode("latin-1")
+            pattern = _FINE
+        except UnicodeEncodeError:
+            pass
+    found = pattern.findall(text)
+    # what the pattern leaves out is other white space, or a space before white space
+    return found if sum(map(len, found)) == len(text) else None
 
 
 class Memo:
-    """piece -> encoded ids (bytes of little-endian uint32), with at most ``limit`` entries, then begun anew."""
+    """piece -> encoded ids (bytes of little-endian uint32), with at most ``limit`` entries (about 200 bytes each), then begun anew."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000, longest: int = 256):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 800_000, longest: int = 256):
         self.encode, self.limit, self.longest, self.known = encode, limit, longest, {}
 
     def ids(self, texts: list[list[str]]) -> Iterable[bytes]:
         """Ids of each text, given as its pieces; every unknown piece of all texts is encoded once, together."""
-        unknown = set().union(*texts) - self.known.keys() if texts else set()
-        if len(self.known) + len(unknown) > self.limit:
-            self.known = {}
-            unknown = set().union(*texts)
-        fresh = sorted(unknown)
-        got = dict(zip(fresh, self.encode(fresh)))
-        self.known.update(got)
+        wanted = set().union(*texts) if texts else set()
+        fresh = list(wanted.difference(self.known))
+        if len(self.known) + len(fresh) > self.limit:
+            self.known, fresh = {}, list(wanted)
+        self.known.update(zip(fresh, self.encode(fresh)))
         for t in texts:
             yield b"".join(map(self.known.__getitem__, t))
         if len(self.known) > self.limit:
