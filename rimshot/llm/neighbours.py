@@ -27,24 +27,18 @@ def with_next(df: DataFrame, key: str, value: str, work: Callable, schema: str)
         place = F.when(F.col("k").isNull(), F.lit(len(cuts))).otherwise(
             F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c >= F.col("k"))))
     placed = source.select(place.cast("int").alias("range"), "k", "v")
-    # the first row of each range: at most one row a range comes to the driver, without its text
-    heads = {r["range"]: r["k"] for r in placed.groupBy("range").agg(F.max("k").alias("k")).collect()}
-    ranges = sorted(heads)
-    if not ranges:
+    # the first row of each range, without its text: as many rows as there are ranges come to the driver
+    heads = sorted((r["range"], r["k"]) for r in placed.groupBy("range").agg(F.max("k").alias("k")).collect())
+    if not heads:
         return spark.createDataFrame([], schema)
-    before = {r: ranges[i - 1] for i, r in enumerate(ranges)}  # the first range follows the last
-    opening = F.lit(False)
-    for r in ranges:
-        head = F.col("k").isNull() if heads[r] is None else F.col("k") == F.lit(heads[r])
-        opening = F.when(F.col("range") == r, head).otherwise(opening)
-    target = F.lit(None).cast("int")
-    for r in ranges:
-        target = F.when(F.col("range") == r, F.lit(before[r])).otherwise(target)
+    # a range's first row also goes to the range before it; that of the first range to the last
+    moves = spark.createDataFrame([(r, k, heads[i - 1][0]) for i, (r, k) in enumerate(heads)], "r int, head long, target int")
+    opening = placed.join(F.broadcast(moves), (F.col("range") == F.col("r")) & F.col("k").eqNullSafe(F.col("head")))
     # of equal keys the one with the largest value opens the range
-    edges = (placed.filter(opening).groupBy("range", "k").agg(F.max("v").alias("v"))
-             .select(target.alias("range"), "k", "v", F.lit(1).alias("edge")))
+    edges = (opening.groupBy("target", "k").agg(F.max("v").alias("v"))
+             .select(F.col("target").alias("range"), "k", "v", F.lit(1).alias("edge")))
     rows = placed.select("range", "k", "v", F.lit(0).alias("edge")).unionByName(edges)
-    dealt = (rows.repartitionById(ranges[-1] + 1, F.col("range"))
+    dealt = (rows.repartitionById(heads[-1][0] + 1, F.col("range"))
              .sortWithinPartitions(F.col("edge"), F.col("k").desc_nulls_last(), F.col("v").desc_nulls_last()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
