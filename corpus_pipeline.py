@@ -1,15 +1,74 @@
-"""Corpus pipeline over ``documents``."""
+"""Corpus pipeline over ``documents``: toxicity, line dedup, n-gram Jaccard join, secret scan, packing.
+
+Each stage reads what the one before it kept, written as Parquet. All but the last return the columns of
+``documents``, with the texts that the stage leaves; packing returns the pieces of its sequences.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rimshot.llm import jaccard, linededup, packing, secrets, toxicity
+from rimshot.llm.registry import table
+from rimshot.session import checkpoint_dir
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the severity model, fitted on the labelled ones, does not reject."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.accepted(docs, model)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the later copies of runs of lines; documents that were such copies as a whole go."""
+    return linededup.dedup_lines(docs)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id; documents without an id stay.
+
+    Rows of one id are judged each by its text, and equal rows are one document. A row stays if the smallest id
+    of its group is its own.
+    """
+    found = jaccard.link_components(docs)
+    kept = (found.filter(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
+            .withColumnRenamed("doc_id", "_kept_id"))
+    joined = docs.join(kept, docs["doc_id"].cast("long") == F.col("_kept_id"), "left")
+    return joined.filter(F.col("_kept_id").isNotNull() | docs["doc_id"].isNull()).select(*[docs[c] for c in docs.columns]).dropDuplicates()
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret found in a text replaced by ``[SECRET]``."""
+    return secrets.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the packed sequences of all texts."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", dedup_lines),
+    ("ngram_jaccard", dedup_near),
+    ("secret_scan", redact_secrets),
+    ("packing", pack),
+]
 
-STAGES: list = []
+#: No SQL for trained models and tokenizers.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The pieces that the last stage gives; every stage's rows are written to the checkpoint folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
