@@ -11,14 +11,16 @@ Shingles that very many texts share would make large groups of equal signatures.
 signatures: what is left of two similar sets differs no more than the sets do. A set of which too little is left
 for h + 1 non-empty partitions enumerates signatures of all its shingles as well.
 
-Sets with equal signatures are candidates. First every set is compared to the least set of each of its groups,
-which joins the groups of copies at once. Only groups that then still hold several components are compared
-further: pairs of different components within blocks of a group, which exact bounds (sizes, and the difference of
-parity bitmaps) thin out before the sets are compared.
+Sets with equal signatures are candidates. In rounds, each group of equal signatures gets a leader, and every set
+of another component is compared to one of its groups' leaders, the one that it shares most signatures with, which
+joins groups of copies in few comparisons. When a round joins little more, all pairs of different components that
+share a signature and were not compared yet are looked at, within blocks of a group. Exact bounds (sizes, and the
+difference of parity bitmaps) thin out all candidates before their texts meet and the sets are compared.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,8 @@ SKETCH_BITS = 20        # counters that tell frequent shingles
 FREQUENT = 4            # a frequent shingle's counter is so many times the mean
 FREQUENT_LEAST = 32
 BLOCK = 1024            # sets of a group that are compared in one task
+MOST_TURNS = 12         # rounds of comparing to leaders, ended before if fewer than one in
+FEW_JOINED = 50         # so many comparisons joins two components; what is left is compared exactly
 
 
 # --- one set ------------------------------------------------------------------------------------------------
@@ -149,17 +153,29 @@ def _signature_rows(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, per
             yield rows()
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+_TEXTS = "doc_id long, c long, size long, bitmap binary, text string"
+
+
+def _candidate_rows(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Texts whose id may be wanted, with what tells candidates apart; copies within the task once."""
     wanted = np.unpackbits(wanted).astype(bool)
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
         docs = batch.column(0)
         keep = wanted[(mix(docs.fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)) & np.uint64(len(wanted) - 1)).astype(np.int64)]
         keep &= docs.is_valid().to_numpy(zero_copy_only=False)
         some = batch.filter(pa.array(keep))
-        sets = [shingle_set(t) for t in some.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [some.column(0), pa.array([content_id(s) for s in sets], pa.int64()),
-             pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "c", "s"])
+        out = []
+        for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+            s = shingle_set(text)
+            c = content_id(s)
+            if (doc, c) not in seen:
+                seen.add((doc, c))
+                out.append((doc, c, len(s), parity(s), text))
+        if out:
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)],
+                                             [f.split()[0] for f in _TEXTS.split(", ")])
 
 
 def _id_counts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
@@ -172,15 +188,69 @@ def _id_counts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Reco
 
 # --- candidates and links -----------------------------------------------------------------------------------
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. Sets are joined to the pairs one side after the other; a set with
-    very many partners is a skewed key of an equi-join."""
-    left = sets.select(F.col("c").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("c").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    joined = pairs.join(right, "b").join(left, "a")
-    return joined.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("n")).filter(
-        F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("n") - F.col("i"))).select("a", "b")
+def parity(s: np.ndarray) -> bytes:
+    """Bitmap of a set: every element flips one of 2**k bits, more than four times as many bits as elements. Two
+    sets differ in at least as many elements as their bitmaps differ in bits."""
+    e = mix(s)
+    width = max(64, 1 << (4 * len(s)).bit_length())
+    odd = np.bincount((e & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(bitmap: bytes, width: int) -> np.ndarray:
+    """The bitmap of the same set with ``width`` bytes: bit i of the wider one is bit i modulo the lesser width."""
+    m = np.frombuffer(bitmap, np.uint8)
+    return np.bitwise_xor.reduce(m.reshape(-1, width), axis=0)
+
+
+def _plausible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, sizes, bitmaps) that the bounds allow."""
+    for batch in batches:
+        a, b = [], []
+        for x, y, n, m, p, q in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            if 100 * min(n, m) < percent * max(n, m):
+                continue
+            width = min(len(p), len(q))
+            different = int(np.bitwise_count(folded(p, width) ^ folded(q, width)).sum(dtype=np.int64))
+            if different * (100 + percent) <= (n + m) * (100 - percent):
+                a.append(x)
+                b.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, texts) whose sets are similar. Sorted joins keep a text's pairs together, so few sets are held."""
+    held: dict[int, np.ndarray] = {}
+
+    def of(c: int, text: str) -> np.ndarray:
+        if c not in held:
+            if len(held) >= 32:
+                held.pop(next(iter(held)))
+            held[c] = shingle_set(text)
+        return held[c]
+
+    for batch in batches:
+        a, b = [], []
+        for x, y, p, q in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            s, t = of(x, p), of(y, q)
+            i = len(np.intersect1d(s, t, assume_unique=True))
+            if 100 * i >= percent * (len(s) + len(t) - i):
+                a.append(x)
+                b.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _similar(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar; ``known`` has (c, size, bitmap, text). Bitmaps and then texts are
+    joined to one side of the pairs after the other; a set with very many partners is a skewed key of an equi-join."""
+    def on(frame: DataFrame, side: str, *columns: str) -> DataFrame:
+        own = known.select(F.col("c").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+        return frame.join(own, side)
+
+    maps = on(on(pairs, "b", "size", "bitmap"), "a", "size", "bitmap").select("a", "b", "size_a", "size_b", "bitmap_a", "bitmap_b")
+    near = maps.mapInArrow(lambda x: _plausible(x, percent), "a long, b long")
+    texts = on(on(near, "b", "text"), "a", "text").select("a", "b", "text_a", "text_b")
+    return texts.mapInArrow(lambda x: _compared(x, percent), "a long, b long")
 
 
 def _left_over(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -193,13 +263,8 @@ def _left_over(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         comp = np.array([r[1] for r in rows])
         block = np.array([r[2] for r in rows])
         c = np.array([r[0] for r in rows])
-        width = max(len(r[4]) for r in rows)
-        # an exclusive or of bitmaps of unequal width folds the wider one, which keeps the bound
-        maps = np.zeros((len(rows), min(len(r[4]) for r in rows)), np.uint8)
-        for i, r in enumerate(rows):
-            m = np.frombuffer(r[4], np.uint8)
-            maps[i] = np.bitwise_xor.reduce(m.reshape(-1, maps.shape[1]), axis=0) if len(m) > maps.shape[1] else m
-        assert width % maps.shape[1] == 0
+        width = min(len(r[4]) for r in rows)
+        maps = np.stack([folded(r[4], width) for r in rows])
         across = len(set(block.tolist())) > 1
         a, b = [], []
         for i in range(len(rows) - 1):
@@ -229,21 +294,6 @@ def _left_over(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
     yield from out(held)
 
 
-def _parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bitmap of a set: every element flips one of 2**k bits, about four times as many bits as elements."""
-    for batch in batches:
-        sizes, maps = [], []
-        for s in batch.column(1).to_pylist():
-            e = mix(np.array(s, np.int64).view(np.uint64))
-            width = max(64, 1 << (4 * len(s)).bit_length())
-            odd = np.bincount((e & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
-            # bit i of the bitmap is bit i mod w of any narrower one, so rows of bytes fold by exclusive or
-            maps.append(np.packbits(odd.astype(np.uint8)).tobytes())
-            sizes.append(len(s))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary())],
-                                         ["c", "size", "bitmap"])
-
-
 def _blocked(rows: DataFrame) -> DataFrame:
     """Rows (sig, c, component, size, bitmap) dealt to pairs of blocks (p, q): every pair of rows of a signature
     meets, in tasks of at most two blocks."""
@@ -256,6 +306,22 @@ def _blocked(rows: DataFrame) -> DataFrame:
                         "c", "component", "block", "size", "bitmap")
 
 
+def _known_texts(docs: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(c, size, bitmap, text) of every set in ``groups``, once, as a table in the checkpoint folder.
+
+    A bitmap of the wanted ids, of at most 64 MB whatever the data, spares most other texts the shuffle.
+    """
+    asked = groups.select("c").distinct().join(nodes, "c").checkpoint()
+    bits = min(29, max(16, (16 * asked.count()).bit_length()))
+    wanted = np.packbits(summed(asked.select("rep").mapInArrow(lambda b: _id_counts(b, bits), "block int, counts binary"), bits, 1))
+    rows = (docs.mapInArrow(lambda b: _candidate_rows(b, wanted), _TEXTS)
+            .join(asked.select("c", F.col("rep").alias("doc_id")), ["c", "doc_id"])
+            .dropDuplicates(["c", "doc_id"]).drop("doc_id"))
+    path = f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/texts-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; see the module for the method.
 
@@ -279,37 +345,60 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sigs = docs.mapInArrow(lambda b: _signature_rows(b, frequent, percent), "c long, sig long")
     same = Window.partitionBy("sig").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     groups = (sigs.select("sig", "c", F.min("c").over(same).alias("low"), F.max("c").over(same).alias("high"))
-              .filter("low < high").drop("high").distinct().checkpoint())
-    pairs = groups.filter("c <> low").select(F.col("low").alias("a"), F.col("c").alias("b")).distinct().checkpoint()
-
-    # the sets of all candidates: a bitmap of their ids, of bounded size, spares most other texts
-    asked = groups.select("c").distinct().join(nodes, "c").checkpoint()
-    bits = min(29, max(16, (16 * asked.count()).bit_length()))
-    wanted = np.packbits(summed(asked.select("rep").mapInArrow(lambda b: _id_counts(b, bits), "block int, counts binary"), bits, 1))
-    sets = (docs.mapInArrow(lambda b: _set_rows(b, wanted), "doc_id long, c long, s array<long>")
-            .join(asked.select("c", F.col("rep").alias("doc_id")), ["c", "doc_id"])
-            .dropDuplicates(["c"]).select("c", "s").checkpoint())
+              .filter("low < high").select("sig", "c").distinct().checkpoint())
+    known = _known_texts(docs, groups, nodes)
 
-    edges = _similar(pairs, sets, percent).checkpoint()
-    of = connected_components(edges)
+    of = spark.createDataFrame([], "node long, component long")
 
-    def component(frame: DataFrame, found: DataFrame) -> DataFrame:
-        return (frame.join(found.withColumnRenamed("node", "c"), "c", "left")
+    def component(frame: DataFrame) -> DataFrame:
+        return (frame.join(of.withColumnRenamed("node", "c"), "c", "left")
                 .withColumn("component", F.coalesce("component", "c")))
 
-    placed = component(groups.select("sig", "c"), of)
-    several = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("sig")
-    left = placed.join(several, "sig").checkpoint()
+    def joined(edges: DataFrame) -> DataFrame:
+        """``of`` after links between sets, given as pairs of their ids."""
+        up = edges
+        for side in ("a", "b"):
+            up = component(up.withColumnRenamed(side, "c")).drop("c").withColumnRenamed("component", side)
+        top = connected_components(up)
+        moved = of.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select(
+            "node", F.coalesce("top", "component").alias("component"))
+        return moved.unionByName(top.join(of, "node", "left_anti")).checkpoint()
+
+    def unsettled() -> DataFrame:
+        """The groups that hold several components, with them."""
+        placed = component(groups)
+        several = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("sig")
+        return placed.join(several, "sig")
+
+    tested = None
+    for turn in range(MOST_TURNS):
+        open_rows = (unsettled() if turn else component(groups)).checkpoint()
+        leaders = open_rows.groupBy("sig").agg(F.min_by(F.struct("c", "component"), F.xxhash64("c", F.lit(turn))).alias("leader"))
+        shared = (open_rows.join(leaders, "sig").filter(F.col("component") != F.col("leader.component"))
+                  .groupBy(F.col("c"), F.col("leader.c").alias("leader")).agg(F.count(F.lit(1)).alias("n")))
+        pairs = shared.select(F.least("c", "leader").alias("a"), F.greatest("c", "leader").alias("b"), "c", "n", "leader")
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = (pairs.groupBy("c").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"))
+                 .select(F.least("c", "leader").alias("a"), F.greatest("c", "leader").alias("b")).distinct().checkpoint())
+        edges = _similar(pairs, known, percent).checkpoint()
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        n_edges = edges.count()
+        if n_edges:
+            of = joined(edges)
+        if FEW_JOINED * n_edges < pairs.count():
+            break
+
+    left = unsettled().checkpoint()
     if not left.isEmpty():
-        maps = sets.join(left.select("c").distinct(), "c").select("c", "s").mapInArrow(_parity, "c long, size long, bitmap binary")
-        dealt = _blocked(left.join(maps, "c"))
+        dealt = _blocked(left.join(known.select("c", "size", "bitmap"), "c"))
         met = (dealt.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q")
                .mapInArrow(lambda b: _left_over(b, percent), "a long, b long").distinct())
-        more = _similar(met.join(pairs, ["a", "b"], "left_anti"), sets, percent)
-        edges = edges.unionByName(more).checkpoint()
-        of = connected_components(edges)
+        edges = _similar(met.join(tested, ["a", "b"], "left_anti"), known, percent).checkpoint()
+        if not edges.isEmpty():
+            of = joined(edges)
 
-    named = component(nodes, of)
+    named = component(nodes)
     least_id = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     found = named.join(least_id, "component").select("c", "component_id")
     return (rows.join(found, "c", "left").select(
