@@ -137,11 +137,12 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
              .dropDuplicates(["doc_id", "h"]).checkpoint())
     each = lines.select("doc_id", "h", F.posexplode(F.arrays_zip("ids", "sizes")).alias("at", "line")).select(
         "doc_id", "h", "at", F.col("line.ids").alias("id"), F.col("line.sizes").alias("size"))
-    again = each.groupBy("id").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("id")
+    # written first, so that the join below deals both sides out itself and can split a line that very many share
+    again = each.groupBy("id").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("id").checkpoint()
     held = (each.join(again, "id").groupBy("doc_id", "h")
             .agg(F.collect_list(F.struct("at", "id", "size")).alias("lines")))
     runs = held.mapInArrow(lambda b: _stretches(b, min_words), _RUN).checkpoint()
-    firsts = runs.groupBy("run1", "run2").agg(F.min(_place()).alias("first"))
+    firsts = runs.groupBy("run1", "run2").agg(F.min(_place()).alias("first")).checkpoint()
     placed = runs.join(firsts, ["run1", "run2"])
     copies = placed.filter(_place() != F.col("first")).select("doc_id", "h", "start", F.size("ids").alias("lines"))
     own = placed.filter(_place() == F.col("first")).drop("first").checkpoint()
@@ -152,7 +153,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         names = (_ranked(own, longest).select("doc_id", "h", "start", "sizes", "ranks")
                  .mapInArrow(lambda b: _names(b, min_words), "lines int, a long, b long, doc_id long, h long, start int").checkpoint())
         interval = (names.groupBy("lines", "a", "b").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("times"))
-                    .filter("times > 1").drop("times"))
+                    .filter("times > 1").drop("times").checkpoint())
         later = names.join(interval, ["lines", "a", "b"]).filter(_place() > F.col("first"))
         found = copies.unionByName(later.select("doc_id", "h", "start", "lines"))
     return found.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "lines")).alias("gone"))
