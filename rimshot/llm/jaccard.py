@@ -11,9 +11,9 @@ Shingles that very many texts share would make large groups of equal signatures.
 signatures: what is left of two similar sets differs no more than the sets do. A set of which too little is left
 for h + 1 non-empty partitions enumerates signatures of all its shingles as well.
 
-Sets with equal signatures are candidates. In rounds, each group of equal signatures gets a leader, and every set
-of another component is compared to one of its groups' leaders, the one that it shares most signatures with, which
-joins groups of copies in few comparisons. When a round joins little more, all pairs of different components that
+Sets with equal signatures are candidates. In rounds, each group of equal signatures gets a leader (first the
+set that meets most others, then any), and every set of another component is compared to one of its groups'
+leaders, the one that it shares most signatures with. When a round joins little more, all pairs of different components that
 share a signature and were not compared yet are looked at, within blocks of a group. Exact bounds (sizes, and the
 difference of parity bitmaps) thin out all candidates before their texts meet and the sets are compared.
 """
@@ -33,17 +33,17 @@ from pyspark.sql import Window
 from rimshot.llm.components import connected_components
 from rimshot.llm.registry import query, table
 from rimshot.llm.shingles import mix, shingle_set
-from rimshot.llm.sketch import BucketCounts, summed
+from rimshot.llm.sketch import BucketCounts, bits_for, summed
 from rimshot.session import checkpoint_dir
 
 PERCENT = 80
 LEAST_BITS = 6          # partitions of the smallest band, as a power of two
-SKETCH_BITS = 20        # counters that tell frequent shingles
 FREQUENT = 4            # a frequent shingle's counter is so many times the mean
 FREQUENT_LEAST = 32
+NARROW = 128            # bytes that a bitmap has at most while pairs are sought
 BLOCK = 1024            # sets of a group that are compared in one task
 MOST_TURNS = 12         # rounds of comparing to leaders, ended before if fewer than one in
-FEW_JOINED = 50         # so many comparisons joins two components; what is left is compared exactly
+FEW_JOINED = 10         # so many comparisons joins two components; what is left is compared exactly
 
 
 # --- one set ------------------------------------------------------------------------------------------------
@@ -203,6 +203,12 @@ def folded(bitmap: bytes, width: int) -> np.ndarray:
     return np.bitwise_xor.reduce(m.reshape(-1, width), axis=0)
 
 
+def _narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        maps = [folded(m, min(NARROW, len(m))).tobytes() for m in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.binary())], ["c", "size", "bitmap"])
+
+
 def _plausible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, sizes, bitmaps) that the bounds allow."""
     for batch in batches:
@@ -263,7 +269,7 @@ def _left_over(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         comp = np.array([r[1] for r in rows])
         block = np.array([r[2] for r in rows])
         c = np.array([r[0] for r in rows])
-        width = min(len(r[4]) for r in rows)
+        width = min(NARROW, min(len(r[4]) for r in rows))
         maps = np.stack([folded(r[4], width) for r in rows])
         across = len(set(block.tolist())) > 1
         a, b = [], []
@@ -334,12 +340,13 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     checkpoint_dir(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    first = docs.mapInArrow(lambda b: _ids_and_counts(b, SKETCH_BITS), "doc_id long, n long, c long, block int, counts binary").checkpoint()
+    sketch = bits_for(docs)
+    first = docs.mapInArrow(lambda b: _ids_and_counts(b, sketch), "doc_id long, n long, c long, block int, counts binary").checkpoint()
     rows = first.filter(F.col("block").isNull()).select("doc_id", "n", "c")
     linked = rows.filter("n > 0 and doc_id is not null")
     total = linked.agg(F.sum("n")).first()[0] or 0
-    least = max(FREQUENT_LEAST, FREQUENT * total >> SKETCH_BITS)
-    frequent = np.packbits(summed(first.filter(F.col("block").isNotNull()), SKETCH_BITS, least))
+    least = max(FREQUENT_LEAST, FREQUENT * total >> sketch)
+    frequent = np.packbits(summed(first.filter(F.col("block").isNotNull()), sketch, least))
     nodes = linked.groupBy("c").agg(F.min("doc_id").alias("rep"))
 
     sigs = docs.mapInArrow(lambda b: _signature_rows(b, frequent, percent), "c long, sig long")
@@ -373,7 +380,15 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tested = None
     for turn in range(MOST_TURNS):
         open_rows = (unsettled() if turn else component(groups)).checkpoint()
-        leaders = open_rows.groupBy("sig").agg(F.min_by(F.struct("c", "component"), F.xxhash64("c", F.lit(turn))).alias("leader"))
+        if turn:
+            rank = F.struct(F.xxhash64("c", F.lit(turn)).alias("r"), F.col("c"))
+            ranked = open_rows
+        else:  # the set that meets most others comes first: in a group of copies the one that the others vary
+            sizes = groups.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+            degree = groups.join(sizes, "sig").groupBy("c").agg(F.sum("n").alias("degree"))
+            rank = F.struct("degree", "c")
+            ranked = open_rows.join(degree, "c")
+        leaders = ranked.groupBy("sig").agg(F.max_by(F.struct("c", "component"), rank).alias("leader"))
         shared = (open_rows.join(leaders, "sig").filter(F.col("component") != F.col("leader.component"))
                   .groupBy(F.col("c"), F.col("leader.c").alias("leader")).agg(F.count(F.lit(1)).alias("n")))
         pairs = shared.select(F.least("c", "leader").alias("a"), F.greatest("c", "leader").alias("b"), "c", "n", "leader")
@@ -391,7 +406,8 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     left = unsettled().checkpoint()
     if not left.isEmpty():
-        dealt = _blocked(left.join(known.select("c", "size", "bitmap"), "c"))
+        narrow = known.select("c", "size", "bitmap").mapInArrow(_narrowed, "c long, size long, bitmap binary")
+        dealt = _blocked(left.join(narrow, "c"))
         met = (dealt.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q")
                .mapInArrow(lambda b: _left_over(b, percent), "a long, b long").distinct())
         edges = _similar(met.join(tested, ["a", "b"], "left_anti"), known, percent).checkpoint()

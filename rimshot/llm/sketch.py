@@ -9,31 +9,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-BLOCK_BITS = 14
+BLOCK_BITS = 18
 SCHEMA = "block int, counts binary"
 
 
 class BucketCounts:
-    """Counters of the low ``bits`` of hashes, written and added up in blocks."""
+    """Counters of the low ``bits`` of hashes, written and added up in blocks. One task counts up to 255 in a
+    bucket, one byte each; sums over tasks go on."""
 
     def __init__(self, bits: int):
         self.mask = np.uint64((1 << bits) - 1)
-        self.counts = np.zeros(1 << bits, np.uint32)
+        self.counts = np.zeros(1 << bits, np.uint8)
         self.block = min(1 << bits, 1 << BLOCK_BITS)
 
     def add(self, hashes: np.ndarray) -> None:
-        at = (hashes & self.mask).astype(np.int64)
-        if 8 * len(at) < len(self.counts):  # few hashes against many counters: no pass over all counters
-            at, n = np.unique(at, return_counts=True)
-            self.counts[at] += n.astype(np.uint32)
-        else:
-            self.counts += np.bincount(at, minlength=len(self.counts)).astype(np.uint32)
+        at, n = np.unique(hashes & self.mask, return_counts=True)
+        at = at.astype(np.int64)
+        self.counts[at] = np.minimum(self.counts[at].astype(np.int64) + n, 255)
 
     def rows(self) -> Iterator[tuple[int, bytes]]:
         for b in range(0, len(self.counts), self.block):
             part = self.counts[b: b + self.block]
             if part.any():
-                yield b // self.block, zlib.compress(part.astype("<u8").tobytes(), 1)
+                yield b // self.block, zlib.compress(part.tobytes(), 1)
+
+
+def bits_for(df: DataFrame, bytes_a_bucket: int = 32, least: int = 16, most: int = 26) -> int:
+    """Bits of a sketch that follows the size of the input, which the plan knows, up to 2**``most`` buckets."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, min(most, (size // bytes_a_bucket).bit_length()))
 
 
 def summed(rows: DataFrame, bits: int, least: int) -> np.ndarray:
@@ -48,8 +52,10 @@ def summed(rows: DataFrame, bits: int, least: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(zlib.decompress(raw), "<u8")
-                total[block] = total[block] + part if block in total else part
+                part = np.frombuffer(zlib.decompress(raw), np.uint8)
+                if block not in total:
+                    total[block] = np.zeros(len(part), np.uint32)
+                total[block] += part
         if total:
             bits_of = [np.packbits(total[b] >= least).tobytes() for b in total]
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(bits_of, pa.binary())],
