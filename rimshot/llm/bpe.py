@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 
 from rimshot.llm.pieces import Memo, pieces, slices
 from rimshot.llm.registry import query, table
+from rimshot.llm.worker import kept
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -206,15 +206,13 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-@lru_cache(maxsize=1)
 def _encoder(path: str, pattern: str) -> tuple[ByteBpe, Memo]:
-    """The encoder and its memo, kept while the Python worker lives."""
     bpe = ByteBpe.from_file(path, pattern)
     return bpe, Memo(bpe.encode_pieces)
 
 
 def _rows(batches: Iterator[pa.RecordBatch], path: str, pattern: str, digests: bool) -> Iterator[pa.RecordBatch]:
-    bpe, memo = _encoder(path, pattern)
+    bpe, memo = kept(("bpe", path, pattern), lambda: _encoder(path, pattern))
     token = np.empty(bpe.none, object)
     for i, t in bpe.tokens.items():
         token[i] = t

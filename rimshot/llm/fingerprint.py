@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from rimshot.llm.neighbours import with_next
 from rimshot.llm.registry import query, table
+from rimshot.llm.worker import forget
 
 LEAST, NORMAL, GREATEST = 16, 64, 256
 #: The top bits of the gear hash that must be zero at a boundary: before and after the normal length.
@@ -114,6 +115,7 @@ EDIT_SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint str
 
 def _edit_rows(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in EDIT_SCHEMA.split(", ")]
+    forget()
     out, held, known = [], 0, (None, None)
     for key, text, following in rows:
         text, following = text or "", following or ""

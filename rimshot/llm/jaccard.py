@@ -32,6 +32,7 @@ from pyspark.sql import Window
 
 from rimshot.llm.components import connected_components
 from rimshot.llm.registry import query, table
+from rimshot.llm.worker import forget
 from rimshot.llm.shingles import mix, shingle_set
 from rimshot.llm.sketch import BucketCounts, bits_for, summed
 from rimshot.session import checkpoint_dir
@@ -98,6 +99,7 @@ def content_id(s: np.ndarray) -> int:
 # --- passes over the texts ----------------------------------------------------------------------------------
 
 def _ids_and_counts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    forget()
     counts = BucketCounts(bits)
     seen: set[int] = set()  # copies within the task count once
     names = ["doc_id", "n", "c", "block", "counts"]

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rimshot.llm.registry import query, table
+from rimshot.llm.worker import forget
 from rimshot.operators.ordering import global_row_number
 from rimshot.session import checkpoint_dir
 
@@ -40,6 +41,7 @@ def _signed(x: int) -> int:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         ids, sizes = [], []
         for text in batch.column(2).to_pylist():

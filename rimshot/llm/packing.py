@@ -14,7 +14,6 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 
 from rimshot.llm.pieces import Memo, pieces, slices
 from rimshot.llm.registry import query, table
+from rimshot.llm.worker import kept
 
 END_ID = 1
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -141,9 +141,7 @@ class VectorPacker:
             self.sequence += 1
 
 
-@lru_cache(maxsize=1)
 def _encoder(path: str) -> tuple:
-    """The tokenizer and its memo, kept while the Python worker lives."""
     tokenizer = _tokenizer(path)
     return tokenizer, Memo(lambda found: _piece_ids(tokenizer, found))
 
@@ -178,7 +176,7 @@ def _piece_ids(tokenizer, found: list[str], row: int = 100) -> list[bytes]:
 
 def _pack_rows(batches: Iterator[pa.RecordBatch], path: str, limits: tuple[int, int, int], window: int,
                end_id: int) -> Iterator[pa.RecordBatch]:
-    tokenizer, memo = _encoder(path)
+    tokenizer, memo = kept(("tokenizer", path), lambda: _encoder(path))
     end = int(end_id).to_bytes(4, "little")
     packer = VectorPacker(*limits, window=window)
     first = TaskContext.get().partitionId() * SEQUENCES_PER_TASK

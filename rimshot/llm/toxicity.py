@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from rimshot.llm.registry import query, table
+from rimshot.llm.worker import forget
 
 _WORD = re.compile(r"\w+")
 PREFIX = 4
@@ -67,7 +68,7 @@ class Severity:
             hit = memo.get(word)
             if hit is None:
                 hit = memo[word] = tuple(c for c in map(self.columns.get, _keys(word)) if c is not None)
-                if len(memo) > 500_000:
+                if len(memo) > 150_000:
                     memo.clear()
             for c in hit:
                 counts[c] = counts.get(c, 0) + n
@@ -151,6 +152,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sa
             .join(F.broadcast(chosen), "i").select("i", "toxic", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             ids, counts = [], []
             for text in batch.column(2).to_pylist():
@@ -218,6 +220,7 @@ def score(docs: DataFrame, model: Severity | None, id_col: str = "doc_id", text_
     repeated rows are kept; without a model (no labels) nothing is toxic.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         memo: dict = {}
         for batch in batches:
             n = batch.num_rows
@@ -241,6 +244,7 @@ def accepted(docs: DataFrame, model: Severity | None, text_col: str = "text") ->
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         memo: dict = {}
         for batch in batches:
             values = np.array([model.value(t or "", memo) for t in batch.column(at).to_pylist()])
