@@ -26,7 +26,7 @@ def _scratch(spark, name):
 @query("x01_quote_stream", """
 with e as (select event_id, user_id as game_id, make_timestamp((epoch_us(ts) // 1000) * 1000) as asof_ts, event_type, value,
                   cast(json_extract_string(props, '$.k') as bigint) as k from events),
-f as (select *, row_number() over (partition by asof_ts, game_id order by event_id) as rn from e),
+f as (select *, row_number() over (partition by asof_ts, game_id order by event_id % 13 = 0, event_id) as rn from e),
 q as (select game_id, asof_ts, value, 3e-1 + 1e-3 * k as bid,
              case when event_type = 'error' then null else 3e-1 + 1e-3 * k + 2e-2 end as ask from f where rn = 1),
 m as (select q.*, case when ask is not null then 5e-1 * (bid + ask) end as mid from q)
@@ -37,21 +37,23 @@ select game_id, asof_ts, round(bid, 6) as bid, round(ask, 6) as ask, round(mid,
        end, 6) as liquidity_depth_2c
 from m""")
 def x01_quote_stream(spark, sf_dir):
-    """Book snapshots land in time-ordered files (every tenth re-delivered in the next file); the
-    stream dedups within a watermark and insert-ignores into the quote table."""
+    """Book snapshots land in time-ordered files; every thirteenth comes with the last file, however late that
+    is, and every tenth is delivered again in the next file with another book, which must not count."""
     root = _scratch(spark, "quotes")
     snaps = fx.book_snapshots(spark, sf_dir)
     ms = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
     lo, hi = snaps.agg(F.min(ms), F.max(ms)).first()
     chunk = F.floor((ms - F.lit(lo)) * N_CHUNKS / F.lit(hi - lo + 1)).cast("int")
-    orig = snaps.withColumn("chunk", chunk)
+    late = F.col("snapshot_id") % 13 == 0
+    orig = snaps.withColumn("chunk", F.when(late, F.lit(N_CHUNKS - 1)).otherwise(chunk))
     again = (orig.where(F.col("snapshot_id") % 10 == 0)
                  .withColumn("snapshot_id", F.col("snapshot_id") + 1000000000)
+                 .withColumn("book", F.regexp_replace("book", '"price": ?"0.3', '"price":"0.1'))
                  .withColumn("chunk", F.least(F.col("chunk") + 1, F.lit(N_CHUNKS - 1))))
     landed = orig.unionByName(again).select("snapshot_id", "game_id", "book", "chunk")
-    J.land_in_time_order(landed, os.path.join(root, "landing"), "ts", N_CHUNKS)
+    J.land_in_time_order(landed.repartition(1), os.path.join(root, "landing"), "ts", N_CHUNKS)
     q = J.quote_stream(spark, os.path.join(root, "landing", "chunk-*"), os.path.join(root, "quotes"),
-                       os.path.join(root, "_progress"), watermark="7 days", state_partitions=8)
+                       os.path.join(root, "_progress"))
     q.awaitTermination()
     out = spark.read.parquet(os.path.join(root, "quotes"))
     return round_doubles(out.select("game_id", "asof_ts", "bid", "ask", "mid", "liquidity_top_total",
@@ -69,19 +71,39 @@ select game_id, min(game_date) as game_date,
        min(season_type) as season_type, min(season_start) as season_start
 from f_game_log group by game_id having count(*) = 2""")
 def x02_daily_games_stream(spark, sf_dir):
-    """The game log lands one season per file (plus a re-delivered slice of the first season);
-    each micro-batch pivots, upserts into the season-partitioned games table and refreshes the
-    rolling features of the seasons it touched."""
+    """See ``_daily``; the games table."""
+    g = spark.read.parquet(os.path.join(_daily(spark, sf_dir), "games"))
+    return g.select("game_id", "game_date", "home_team_id", "away_team_id", "home_points", "away_points", "winner",
+                    "play_in_flag", "playoff_flag", "season_type", F.col("season_start").cast("bigint").alias("season_start"))
+
+
+@query("x02_daily_features", """
+select season_start, game_id, team_id, is_win,
+       round(avg(is_win) over (w rows between 5 preceding and 1 preceding), 6) as win_pct_l5,
+       round(avg(is_win) over (w rows between 10 preceding and 1 preceding), 6) as win_pct_l10,
+       round(avg(is_win) over (w rows between unbounded preceding and 1 preceding), 6) as win_pct_s2d
+from f_results window w as (partition by season_start, team_id order by game_date, game_id)""")
+def x02_daily_features(spark, sf_dir):
+    """See ``_daily``; the feature table, refreshed with every batch."""
+    f = spark.read.parquet(os.path.join(_daily(spark, sf_dir, files_per_trigger=3), "features"))
+    return round_doubles(f.select(F.col("season_start").cast("bigint").alias("season_start"), "game_id", "team_id", "is_win",
+                                  *J.RESULT_SPEC))
+
+
+def _daily(spark, sf_dir, files_per_trigger: int = 1) -> str:
+    """Land the game log and run X2 over it; the folder of its tables. A season's rows come in one file each, but
+    for the away rows of every fifth game, which come with the next season's file; part of the first season is
+    delivered again, with other points, which must not count."""
     root = _scratch(spark, "daily")
     log = fx.game_log(spark, sf_dir)
-    first = log.agg(F.min("season_start")).first()[0]
-    n = log.agg(F.max("season_start")).first()[0] - first + 1
-    base = log.withColumn("chunk", (F.col("season_start") - F.lit(first)).cast("int"))
-    again = log.where((F.col("season_start") == first) & (F.col("game_id") % 7 == 0)).withColumn("chunk", F.lit(n))
-    J.land_in_time_order(base.unionByName(again), os.path.join(root, "landing"), "game_date", n + 1, fmt="parquet")
-    q = J.daily_games_stream(spark, os.path.join(root, "landing", "chunk-*"), os.path.join(root, "games"),
-                             os.path.join(root, "features"), os.path.join(root, "_progress"), files_per_trigger=1)
+    first, last = log.agg(F.min("season_start"), F.max("season_start")).first()
+    n = last - first + 1
+    split = (F.col("game_id") % 5 == 0) & F.col("matchup").contains("@")
+    base = log.withColumn("chunk", (F.col("season_start") - F.lit(first) + split.cast("int")).cast("int"))
+    again = (log.where((F.col("season_start") == first) & (F.col("game_id") % 7 == 0))
+             .withColumns({"pts": F.col("pts") + 500, "chunk": F.lit(n + 1)}))
+    J.land_in_time_order(base.unionByName(again).repartition(1), os.path.join(root, "landing"), "game_date", n + 2, fmt="parquet")
+    q = J.daily_games_stream(spark, os.path.join(root, "landing", "chunk-*"), os.path.join(root, "log"), os.path.join(root, "games"),
+                             os.path.join(root, "features"), os.path.join(root, "_progress"), files_per_trigger=files_per_trigger)
     q.awaitTermination()
-    g = spark.read.parquet(os.path.join(root, "games"))
-    return g.select("game_id", "game_date", "home_team_id", "away_team_id", "home_points", "away_points", "winner",
-                    "play_in_flag", "playoff_flag", "season_type", F.col("season_start").cast("bigint").alias("season_start"))
+    return root
