@@ -46,7 +46,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at shared storage and is left alone.
-    Only when it is unset (local tests) a scratch folder is created.
+    Only on a local master (tests) a scratch folder is made where it is unset; elsewhere a folder of one machine
+    would lose what other machines need, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,6 +55,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="rimshot-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -8,8 +8,6 @@ by name, never by position.
 
 from __future__ import annotations
 
-from collections import defaultdict
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,53 +23,35 @@ def read_csv(spark: SparkSession, paths, schema: StructType | str | None = None)
     return r.csv(paths)
 
 
-HEADER_PROBE_THREADS = 16
+#: Column groups of a box-score part: the ids under either feed's names.
+PLAYER_IDS = (("gameId", "GAME_ID"), ("personId", "PLAYER_ID"))
+TEAM_IDS = (("gameId", "GAME_ID"), ("teamId", "TEAM_ID"))
 
 
-def _list_files(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
-    """(path, length) of the files matching ``pattern`` on any Hadoop filesystem. The binaryFile source
-    lists files without reading them (its content column is never selected). One row per file."""
-    rows = spark.read.format("binaryFile").load(pattern).select("path", "length").collect()
-    return sorted((r.path, r.length) for r in rows)
-
-
-def read_csv_parts(spark: SparkSession, pattern_or_paths, required_any: tuple[str, ...] = ("gameId", "personId",
-                                                                                             "GAME_ID", "PLAYER_ID")) -> DataFrame | None:
+def read_csv_parts(spark: SparkSession, pattern_or_paths, required_all: tuple[tuple[str, ...], ...] = PLAYER_IDS) -> DataFrame | None:
     """S2 + T4: many CSV parts with possibly different headers -> one frame by column name.
 
-    Empty files and files lacking every ``required_any`` column are skipped.
-    Files are listed through Spark (any filesystem), each file's first line is
-    read as its header (a few bytes per file, probed by concurrent small jobs), parts are grouped by header, each group is one
-    distributed CSV read, and the groups are combined with
-    ``unionByName(allowMissingColumns=True)``. All columns are read as text;
-    typing happens in normalisation (P10).
+    A part counts if its header has, of every group in ``required_all``, at least one name; empty files and others
+    are skipped. The parts are read as text once, with each line's file: one grouped job takes every file's first
+    line, and the distinct headers (feed versions, not files) come to the driver. Lines are parsed with their
+    file's header by ``from_csv``; all columns are text (typing happens in normalisation, P10). A quoted value
+    must not contain a line break.
     """
-    if isinstance(pattern_or_paths, str):
-        files = _list_files(spark, pattern_or_paths)
-    else:
-        files = [f for p in pattern_or_paths for f in _list_files(spark, p)]
-    def header(path: str) -> str:
-        first = spark.read.text(path).first()          # reads only the start of the file
-        return first.value.strip() if first is not None and first.value else ""
-
-    nonempty = [path for path, length in files if length > 0]
-    # independent small jobs: run the probes concurrently instead of one after another
-    with ThreadPoolExecutor(max_workers=min(HEADER_PROBE_THREADS, max(1, len(nonempty)))) as pool:
-        headers = list(pool.map(header, nonempty))
-    groups: dict[str, list[str]] = defaultdict(list)
-    for path, h in zip(nonempty, headers):
-        if not h:
-            continue
-        cols = [c.strip().strip('"') for c in h.split(",")]
-        if not any(c in cols for c in required_any):
-            continue
-        groups[h].append(path)
+    lines = spark.read.text(pattern_or_paths).select(
+        F.col("value"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    # the first line of the file's first block; a line's place in its block is kept by the scan order
+    numbered = lines.withColumn("_at", F.monotonically_increasing_id())
+    heads = (numbered.where(F.col("_start") == 0).groupBy("_file")
+             .agg(F.min_by("value", "_at").alias("_head")).where(F.trim("_head") != ""))
+    headers = sorted(r["_head"] for r in heads.select("_head").distinct().collect())
     frames = []
-    for h, ps in groups.items():
-        cols = [c.strip().strip('"') for c in h.split(",")]
-        schema = StructType.fromJson({"type": "struct", "fields": [
-            {"name": c, "type": "string", "nullable": True, "metadata": {}} for c in cols]})
-        frames.append(read_csv(spark, ps, schema))
+    for h in headers:
+        cols = [c.strip().strip('"') for c in h.strip().split(",")]
+        if not all(any(c in cols for c in group) for group in required_all):
+            continue
+        schema = ", ".join(f"`{c}` string" for c in cols)
+        own = lines.join(heads.where(F.col("_head") == h).select("_file"), "_file").where(F.col("value") != h)
+        frames.append(own.select(F.from_csv("value", schema).alias("_r")).select("_r.*"))
     if not frames:
         return None
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -137,12 +117,13 @@ def landed_game_log(spark: SparkSession, base: str, fmt: str = "csv") -> DataFra
 
 
 def first_nonempty_season_type(log: DataFrame, by: list[str], priority=SEASON_TYPE_PRIORITY) -> DataFrame:
-    """S16 daily rule: per ``by`` key, keep the rows of the highest-priority season type that has any.
+    """S16 daily rule: per ``by`` key, keep the rows of the highest-priority season type that has any; types
+    that are not listed never count.
 
     The best priority per key is a grouped min (reduced map-side to one row per key) joined back
     on the key, so no task buffers a whole key, and AQE's skew-join splitting covers a hot day."""
-    pr = F.array_position(F.array(*[F.lit(p) for p in priority]), F.col("season_type"))
-    x = log.withColumn("_p", pr)
+    pr = F.nullif(F.array_position(F.array(*[F.lit(p) for p in priority]), F.col("season_type")), F.lit(0))
+    x = log.withColumn("_p", pr).where(F.col("_p").isNotNull())
     best = x.groupBy(*by).agg(F.min("_p").alias("_best"))
     return x.join(best, list(by)).where(F.col("_p") == F.col("_best")).drop("_p", "_best")
 

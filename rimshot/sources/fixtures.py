@@ -115,10 +115,9 @@ def team_stats(spark: SparkSession, sf_dir: str, box: DataFrame | None = None) -
 def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """f_teams: team dimension (tricode, conference, division, venue coordinates).
 
-    Derived from distinct team ids, so it is at most N_TEAMS rows: safe to broadcast.
+    Derived from the distinct team ids of both sides of every game (one scan), at most N_TEAMS rows.
     """
-    ids = games(spark, sf_dir).select(F.col("home_team_id").alias("team_id")).union(
-        games(spark, sf_dir).select(F.col("away_team_id").alias("team_id"))).distinct()
+    ids = games(spark, sf_dir).select(F.explode(F.array("home_team_id", "away_team_id")).alias("team_id")).distinct()
     t = F.col("team_id")
     return ids.select(
         "team_id",
@@ -179,7 +178,7 @@ def standings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rimshot.operators.results import team_game_results
 
     r = team_game_results(games(spark, sf_dir))
-    t = F.broadcast(teams(spark, sf_dir).select("team_id", "conference", "division"))
+    t = teams(spark, sf_dir).select("team_id", "conference", "division")
     s = (r.join(t, "team_id")
           .groupBy("season_start", "team_id", "conference", "division")
           .agg(F.sum("is_win").cast("bigint").alias("wins"),
