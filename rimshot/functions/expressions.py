@@ -180,7 +180,7 @@ def first_valid_date(*cands) -> Column:
 
 # E18 text normalisation
 def norm_text(x) -> Column:
-    return F.regexp_replace(F.lower(F.trim(_c(x))), r"\s+", " ")
+    return F.trim(F.regexp_replace(F.lower(_c(x)), r"\s+", " "))
 
 
 # E20 calibration bin: 10 equal bins, right-closed, 0 falls in bin 0.

@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from rimshot.functions.expressions import ELO_HOME_ADV, ELO_K, ELO_SCALE, ELO_START
 
-GAME_SCHEMA = ("season_start long, game_id long, game_date date, home_id long, away_id long, "
-               "res_home int, res_away int, elo_home_pre double, elo_home_post double, "
-               "elo_away_pre double, elo_away_post double")
+RATING_SCHEMA = ("game_id long, game_date date, home_id long, away_id long, "
+                 "res_home int, res_away int, elo_home_pre double, elo_home_post double, "
+                 "elo_away_pre double, elo_away_post double")
 
 
 def pair_games(results: DataFrame, group_keys=("season_start",)) -> DataFrame:
@@ -110,7 +110,9 @@ def elo(results: DataFrame, k: float = ELO_K, start: float = ELO_START, home_adv
     # satisfies the grouped operator's distribution and ordering, so Spark adds no re-sort and every
     # season's games stream to the recurrence in date order, batch by batch.
     ordered = games.repartition(*group_keys).sortWithinPartitions(*group_keys, "game_date", "game_id")
-    rated = ordered.groupBy(*group_keys).applyInPandas(_season_stream(k, start, home_adv), GAME_SCHEMA)
+    kinds = dict(games.dtypes)
+    schema = ", ".join([*[f"`{g}` {kinds[g]}" for g in group_keys], RATING_SCHEMA])
+    rated = ordered.groupBy(*group_keys).applyInPandas(_season_stream(k, start, home_adv), schema)
 
     def side(team, opp, is_home, pre, post, res):
         return F.struct(F.col(team).alias("team_id"), F.col(opp).alias("opp_team_id"),

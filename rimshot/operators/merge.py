@@ -23,10 +23,21 @@ def _first_per_key(df: DataFrame, keys: list[str], order: list | None) -> DataFr
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``source`` replace target rows with the same key (all non-key columns); new keys insert."""
-    kept = target.join(source.select(*keys).distinct(), keys, "left_anti")
-    return kept.unionByName(source.select(*target.columns))
+def last_per_key(df: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
+    """One row per key: the last by ``order`` (columns; later deliveries greater), ties and no order by the
+    greatest remaining columns, nulls lowest. A grouped ``max_by``, so copies are reduced before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*[F.col(c) for c in rest])
+    by = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order or [])], *rest)
+    return df.groupBy(*keys).agg(F.max_by(row, by).alias("_row")).select(*keys, "_row.*")
+
+
+def upsert(target: DataFrame, source: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
+    """Rows of ``source`` replace target rows with the same key (all non-key columns); new keys insert.
+
+    Of several source rows with one key the last by ``order`` counts, as in row-by-row upserts."""
+    new = last_per_key(source, keys, order).select(*target.columns)
+    return target.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
 def insert_ignore(target: DataFrame, source: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
@@ -36,9 +47,13 @@ def insert_ignore(target: DataFrame, source: DataFrame, keys: list[str], order:
 
 
 def guarded_upsert(target: DataFrame, source: DataFrame, keys: list[str], coalesce_cols: list[str],
-                   lock_col: str = "is_manual_override") -> DataFrame:
+                   lock_col: str = "is_manual_override", order: list | None = None) -> DataFrame:
     """Upsert where ``coalesce_cols`` keep the old value when the new one is null, and a target
-    row whose lock is true is left untouched (a null lock counts as unlocked). New rows get lock false."""
+    row whose lock is true is left untouched (a null lock counts as unlocked). New rows get lock false.
+
+    Of several source rows with one key the last by ``order`` gives each column; a coalesced column takes its
+    last value that is not null, as applying the rows one after another would."""
+    source = _applied_in_order(source, keys, coalesce_cols, order)
     t = target.withColumn("_tgt_flag", F.lit(True)).alias("t")
     s = source.withColumn("_src_flag", F.lit(True)).alias("s")
     j = t.join(s, keys, "full_outer")
@@ -59,6 +74,14 @@ def guarded_upsert(target: DataFrame, source: DataFrame, keys: list[str], coales
     return j.select(*cols)
 
 
+def _applied_in_order(source: DataFrame, keys: list[str], coalesce_cols: list[str], order: list | None) -> DataFrame:
+    rest = [c for c in source.columns if c not in keys]
+    by = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order or [])], *rest)
+    cols = [F.max_by(F.struct(F.col(c).alias("v")), F.when(F.col(c).isNotNull(), by) if c in coalesce_cols else by)["v"].alias(c)
+            for c in rest]
+    return source.groupBy(*keys).agg(*cols)
+
+
 def placeholder_dim(facts: DataFrame, dim: DataFrame, key: str, name_col: str, active_col: str) -> DataFrame:
     """Dimension rows for fact keys the dimension lacks: name 'UNKNOWN_<id>', inactive."""
     missing = facts.select(key).where(F.col(key).isNotNull()).distinct().join(dim.select(key), key, "left_anti")
@@ -77,8 +100,14 @@ def pending(work: DataFrame, done: DataFrame, key: str, done_key: str | None = N
     return w.join(d, "_k", "left_anti").drop("_k")
 
 
-def patch(target: DataFrame, source: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """Matched rows take the listed columns from the source (others kept); unmatched source rows insert."""
+def patch(target: DataFrame, source: DataFrame, keys: list[str], cols: list[str], order: list | None = None) -> DataFrame:
+    """Matched rows take the listed columns from the source (others kept); unmatched source rows insert.
+
+    Of several source rows with one key the last by ``order`` counts. Null keys match nothing: such target rows
+    stay and such source rows insert."""
+    known = source.where(" and ".join(f"`{k}` is not null" for k in keys))
+    source = last_per_key(known, keys, order).unionByName(
+        source.where(" or ".join(f"`{k}` is null" for k in keys)), allowMissingColumns=True)
     s = source.withColumn("_src_flag", F.lit(True)).alias("s")
     t = target.withColumn("_tgt_flag", F.lit(True)).alias("t")
     j = t.join(s, keys, "full_outer")

@@ -56,21 +56,21 @@ def pivot_games(log: DataFrame, mode: str = "bulk") -> DataFrame:
     by (game_date, team_id) are kept. ``mode='daily'``: the game must have exactly two raw rows.
     Home is the row whose matchup contains 'vs.', away the row with '@'; the
     winner is the team with WL = 'W'. Should two rows carry the same marker,
-    the higher team_id wins (the reference keeps whichever row came last). Everything is one groupBy on game_id
-    (partial aggregation map-side), no per-game loop.
+    the higher team_id wins; a row without a marker takes no side and sets no winner. Both windows and the
+    groupBy of the bulk mode run on one exchange by game_id.
     """
     log = log.withColumn("_home", F.col("matchup").contains("vs.")) \
              .withColumn("_away", ~F.col("_home") & F.col("matchup").contains("@"))
     if mode == "bulk":
         # first row per (game, team) in date order, then the first two teams of the game;
         # both windows share the game_id partitioning with the groupBy below (one exchange)
+        log = log.repartition("game_id")
         wt = Window.partitionBy("game_id", "team_id").orderBy("game_date", "matchup", "pts", "wl")
         one = log.withColumn("_rt", F.row_number().over(wt)).where("_rt = 1").drop("_rt")
         wg = Window.partitionBy("game_id").orderBy("game_date", "team_id")
         log = one.withColumn("_rg", F.row_number().over(wg)).where("_rg <= 2").drop("_rg")
     agg = log.groupBy("game_id").agg(
         F.count(F.lit(1)).alias("_n"),
-        F.countDistinct("team_id").alias("_teams"),
         F.min_by("season_start", F.struct("game_date", "team_id")).alias("season_start"),
         F.min("game_date").alias("game_date"),
         F.min_by("season_type", F.struct("game_date", "team_id")).alias("season_type"),
@@ -78,10 +78,10 @@ def pivot_games(log: DataFrame, mode: str = "bulk") -> DataFrame:
         F.max(F.when(F.col("_away"), F.col("team_id"))).alias("away_team_id"),
         F.max_by(F.when(F.col("_home"), F.col("pts")), F.when(F.col("_home"), F.col("team_id"))).alias("home_points"),
         F.max_by(F.when(F.col("_away"), F.col("pts")), F.when(F.col("_away"), F.col("team_id"))).alias("away_points"),
-        F.max(F.when(F.col("wl") == "W", F.col("team_id"))).alias("winner"),
+        F.max(F.when((F.col("wl") == "W") & (F.col("_home") | F.col("_away")), F.col("team_id"))).alias("winner"),
     )
-    cond = (F.col("_teams") >= 2) if mode == "bulk" else (F.col("_n") == 2)
-    return agg.where(cond).select(
+    # bulk: one row for each of the first two teams is left
+    return agg.where(F.col("_n") == 2).select(
         "game_id", "season_start", "game_date", "home_team_id", "away_team_id", "home_points", "away_points",
         "winner",
         (F.col("season_type") == "PlayIn").alias("play_in_flag"),

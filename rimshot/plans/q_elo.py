@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rimshot.operators.elo import elo
 from rimshot.operators.results import team_game_results
 from rimshot.plans.catalog import query
-from rimshot.plans.oracle_sql import register
+from rimshot.plans.oracle_sql import CTES, register
 from rimshot.sources import fixtures as fx
 
 register("f_elo", """
@@ -44,6 +44,9 @@ union all
 select g.season_start, g.game_id, g.game_date, g.away_id, g.home_id, 0, s.apre, s.apost, g.res_away, 20e0
 from s join g on s.season_start = g.season_start and s.k = g.k""", ("f_results",))
 
+register("f_elo_leagues", CTES["f_elo"][0].replace(
+    "p as (select season_start,", "p as (select season_start * 10 + game_id % 2 as season_start,"), ("f_results",))
+
 ELO_SQL = """
 select season_start, game_id, game_date, team_id, opp_team_id, is_home, round(elo_pre, 4) as elo_pre,
        round(elo_post, 4) as elo_post, result, k_factor from f_elo"""
@@ -55,3 +58,15 @@ def w12_elo_history(spark, sf_dir):
     return h.select("season_start", "game_id", "game_date", "team_id", "opp_team_id", "is_home",
                     F.round("elo_pre", 4).alias("elo_pre"), F.round("elo_post", 4).alias("elo_post"),
                     "result", "k_factor")
+
+
+@query("w12_elo_two_leagues", """
+select season_start // 10 as season_start, season_start % 10 as league, game_id, game_date, team_id, opp_team_id, is_home,
+       round(elo_pre, 4) as elo_pre, round(elo_post, 4) as elo_post, result, k_factor from f_elo_leagues""")
+def w12_elo_two_leagues(spark, sf_dir):
+    """W12 with a second group key: games are dealt to two leagues, each with ratings of its own in every season."""
+    res = team_game_results(fx.games(spark, sf_dir)).withColumn("league", F.col("game_id") % 2)
+    h = elo(res, group_keys=("league", "season_start"))
+    return h.select("season_start", "league", "game_id", "game_date", "team_id", "opp_team_id", "is_home",
+                    F.round("elo_pre", 4).alias("elo_pre"), F.round("elo_post", 4).alias("elo_post"),
+                    "result", "k_factor")

@@ -18,12 +18,15 @@ GAME_COLS = ["game_id", "season_start", "game_date", "home_team_id", "away_team_
 @query("u01_upsert_games", """
 select * from f_games_dirty where game_id not in (select game_id from f_games where season_type = 'Playoffs')
 union all
-select game_id, season_start, game_date, home_team_id, away_team_id, home_points, away_points, season_type
+select game_id, season_start, game_date, home_team_id, away_team_id,
+       home_points + case when game_id % 5 = 0 then 1 else 0 end, away_points, season_type
 from f_games where season_type = 'Playoffs'""")
 def u01_upsert_games(spark, sf_dir):
-    """A re-delivered clean playoff file replaces those games in the (dirty) games table."""
-    src = fx.games(spark, sf_dir).where(F.col("season_type") == "Playoffs").select(*GAME_COLS)
-    return U.upsert(fx.games_dirty(spark, sf_dir), src, ["game_id"])
+    """A clean playoff file replaces those games in the (dirty) games table; every fifth game is delivered
+    twice, the second time with a corrected score, which counts."""
+    one = fx.games(spark, sf_dir).where(F.col("season_type") == "Playoffs").select(*GAME_COLS, F.lit(1).alias("delivery"))
+    two = one.where(F.col("game_id") % 5 == 0).withColumns({"home_points": F.col("home_points") + 1, "delivery": F.lit(2)})
+    return U.upsert(fx.games_dirty(spark, sf_dir), one.unionByName(two), ["game_id"], ["delivery"])
 
 
 @query("u02_insert_ignore_games", """
@@ -51,7 +54,7 @@ from (select source_game_id, slug, 'T' || home_team_id as home_team_abbr, 'T' ||
 where source_game_id % 10 <> 9""", ("f_markets",))
 
 register("f_map_source", """
-select source_game_id, slug,
+select source_game_id, case when source_game_id % 7 = 0 then 'new-' || slug else slug end as slug,
        case when source_game_id % 3 = 0 then null else 'T' || home_team_id end as home_team_abbr,
        'T' || away_team_id as away_team_abbr,
        case when source_game_id % 4 = 0 then null else game_date end as game_date
@@ -71,8 +74,13 @@ def _map_frames(spark, sf_dir):
         "source_game_id", "slug",
         F.when(gid % 3 == 0, F.lit(None).cast("string")).otherwise(F.col("home_team_abbr")).alias("home_team_abbr"),
         "away_team_abbr",
-        F.when(gid % 4 == 0, F.lit(None).cast("date")).otherwise(F.col("game_date")).alias("game_date"))
-    return tgt, src
+        F.when(gid % 4 == 0, F.lit(None).cast("date")).otherwise(F.col("game_date")).alias("game_date"),
+        F.lit(1).alias("delivery"))
+    # every seventh market comes twice: the later row has a new slug and no abbreviation or date
+    again = src.where(gid % 7 == 0).withColumns({
+        "slug": F.concat(F.lit("new-"), F.col("slug")), "home_team_abbr": F.lit(None).cast("string"),
+        "game_date": F.lit(None).cast("date"), "delivery": F.lit(2)})
+    return tgt, src.unionByName(again)
 
 
 @query("u03_guarded_upsert_map", """
@@ -89,7 +97,8 @@ from f_map_target t full outer join f_map_source s on t.source_game_id = s.sourc
 def u03_guarded_upsert_map(spark, sf_dir):
     """Market-map refresh: abbreviations and date keep old values when the feed has none; locked rows stay."""
     tgt, src = _map_frames(spark, sf_dir)
-    return U.guarded_upsert(tgt, src, ["source_game_id"], ["home_team_abbr", "away_team_abbr", "game_date"])
+    return U.guarded_upsert(tgt, src, ["source_game_id"], ["home_team_abbr", "away_team_abbr", "game_date"],
+                            order=["delivery"])
 
 
 @query("u05_placeholder_players", """
@@ -120,7 +129,8 @@ def u06_pending_games(spark, sf_dir):
 
 
 register("f_schedule_updates", """
-select game_id, date_add(game_date, 1) as game_date, 'Final' as game_status_text, home_team_id, away_team_id
+select game_id, date_add(game_date, case when game_id % 6 = 0 then 2 else 1 end) as game_date,
+       case when game_id % 6 = 0 then 'Final/OT' else 'Final' end as game_status_text, home_team_id, away_team_id
 from f_schedule where game_status_text = 'Scheduled'
 union all
 select game_id, game_date, 'Scheduled', home_team_id, away_team_id from f_games where season_type = 'Playoffs'""",
@@ -135,11 +145,15 @@ select t.season_start, coalesce(t.game_id, s.game_id) as game_id,
        case when s.game_status_text is not null then s.game_status_text else t.game_status_text end as game_status_text
 from f_schedule t full outer join f_schedule_updates s on t.game_id = s.game_id""")
 def u07_patch_schedule(spark, sf_dir):
-    """status/date updates patch the schedule; other columns kept; unknown games inserted."""
+    """status/date updates patch the schedule (the later of two counts); other columns kept; unknown games
+    inserted."""
     sch = fx.schedule(spark, sf_dir)
     upd1 = sch.where(F.col("game_status_text") == "Scheduled").select(
         "game_id", F.date_add("game_date", 1).alias("game_date"), F.lit("Final").alias("game_status_text"),
         "home_team_id", "away_team_id")
+    later = upd1.where(F.col("game_id") % 6 == 0).withColumns({
+        "game_date": F.date_add("game_date", 1), "game_status_text": F.lit("Final/OT")})
     upd2 = fx.games(spark, sf_dir).where(F.col("season_type") == "Playoffs").select(
         "game_id", "game_date", F.lit("Scheduled").alias("game_status_text"), "home_team_id", "away_team_id")
-    return U.patch(sch, upd1.unionByName(upd2), ["game_id"], ["game_status_text", "game_date"])
+    feed = upd1.unionByName(upd2).withColumn("delivery", F.lit(1)).unionByName(later.withColumn("delivery", F.lit(2)))
+    return U.patch(sch, feed, ["game_id"], ["game_status_text", "game_date"], order=["delivery"])

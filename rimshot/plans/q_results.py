@@ -10,14 +10,18 @@ from rimshot.plans.oracle_sql import register
 from rimshot.sources import fixtures as fx
 
 register("f_game_log_dirty", """
-select * from f_game_log
+with l as (select * exclude (matchup), case when game_id % 11 = 0 and wl = 'W' then 'unmarked' else matchup end as matchup
+           from f_game_log)
+select * from l
 union all
-select * from f_game_log where game_id % 7 = 0""", ("f_game_log",))
+select * from l where game_id % 7 = 0""", ("f_game_log",))
 
 
 def game_log_dirty(spark, sf_dir):
-    """The raw game log with every seventh game's rows landed twice (a re-delivered file)."""
-    log = fx.game_log(spark, sf_dir)
+    """The raw game log with every seventh game's rows landed twice (a re-delivered file) and the winner's row of
+    every eleventh game without a home or away marker."""
+    log = fx.game_log(spark, sf_dir).withColumn("matchup", F.when(
+        (F.col("game_id") % 11 == 0) & (F.col("wl") == "W"), "unmarked").otherwise(F.col("matchup")))
     return log.unionByName(log.where(F.col("game_id") % 7 == 0))
 
 
@@ -44,7 +48,7 @@ select game_id, min(season_start) as season_start, min(game_date) as game_date,
        max(case when matchup like '%@%' and matchup not like '%vs.%' then team_id end) as away_team_id,
        max(case when matchup like '%vs.%' then pts end) as home_points,
        max(case when matchup like '%@%' and matchup not like '%vs.%' then pts end) as away_points,
-       max(case when wl = 'W' then team_id end) as winner,
+       max(case when wl = 'W' and (matchup like '%vs.%' or matchup like '%@%') then team_id end) as winner,
        min(season_type) = 'PlayIn' as play_in_flag,
        min(season_type) = 'Playoffs' as playoff_flag,
        min(season_type) as season_type

@@ -78,6 +78,9 @@ def s02_player_csv_parts(spark, sf_dir):
     spark.createDataFrame([], "value string").coalesce(1).write.text(os.path.join(root, "empty"))
     spark.createDataFrame([("teamName,points",), ("X,1",)], "value string").coalesce(1) \
          .write.text(os.path.join(root, "no_ids"))
+    # a team feed: it has game ids but no player ids, so its rows are no player rows
+    spark.createDataFrame([("gameId,teamId,points",), ("1,2,3",)], "value string").coalesce(1) \
+         .write.text(os.path.join(root, "team_feed"))
     raw = S.read_csv_parts(spark, os.path.join(root, "*", "part-*"))
     box = N.box_score(raw, "player")
     order = ["team_id", *PLAYER_STATS[:-2], "turnovers", "pts", "minutes"]
@@ -152,14 +155,16 @@ def s15_quarantine_games(spark, sf_dir):
 
 
 @query("s16_landed_log_first_type", """
-with l as (select *, case season_type when 'Regular Season' then 1 when 'PlayIn' then 2 else 3 end as p from f_game_log),
+with l as (select *, case season_type when 'Regular Season' then 1 when 'PlayIn' then 2 when 'Playoffs' then 3 end as p from f_game_log),
 b as (select *, min(p) over (partition by game_date) as best from l)
 select game_id, game_date, team_id, pts, matchup, wl, season_start, season_type from b where p = best""")
 def s16_landed_log_first_type(spark, sf_dir):
     """The game log landed under season_start=/season_type= directories, read back with partition
     discovery; per game day the first season type (Regular Season, PlayIn, Playoffs) with rows wins."""
     root = _scratch(spark, "gamelog")
-    fx.game_log(spark, sf_dir).write.partitionBy("season_start", "season_type").parquet(root)
+    games = fx.game_log(spark, sf_dir)
+    other = games.where(F.col("game_id") % 29 == 0).withColumn("season_type", F.lit("All-Star"))   # never counts
+    games.unionByName(other).write.partitionBy("season_start", "season_type").parquet(root)
     log = S.landed_game_log(spark, root, "parquet")
     out = S.first_nonempty_season_type(log, ["game_date"])
     return out.select("game_id", "game_date", "team_id", "pts", "matchup", "wl",
@@ -167,21 +172,43 @@ def s16_landed_log_first_type(spark, sf_dir):
 
 
 @query("p07_schedule_normalise", """
-select '2000-01' as season, '00' as league_id, game_id, home_team_id, away_team_id, game_date
-from f_schedule where home_team_id is not null and away_team_id is not null""")
+select '2000-01' as season, cast(season_start as varchar) as season_year,
+       case when game_id % 9 <> 0 then '0' || cast(game_id % 2 as varchar) else '00' end as league_id, game_id,
+       '20000101/T' || cast(away_team_id as varchar) as game_code,
+       case when game_status_text = 'Final' then 3 when game_status_text = 'Scheduled' then 1 end as game_status,
+       game_status_text,
+       cast(game_date as timestamp) as game_date_utc, cast(game_date as timestamp) + interval 1410 minute as game_datetime_utc,
+       case when game_id % 4 <> 0 then cast(game_date - 1 as timestamp) end as game_date_est,
+       case when game_id % 5 <> 0 then cast(game_date as timestamp) + interval 1170 minute end as game_datetime_est,
+       home_team_id, away_team_id, 'T' || cast(home_team_id as varchar) as home_team_tricode,
+       cast(null as varchar) as away_team_tricode,
+       'Arena ' || cast(home_team_id as varchar) as arena_name, 'City' as arena_city, 'ST' as arena_state,
+       case when game_id % 40 = 0 then 'true' else 'false' end as is_neutral, 'A' as postponed_status,
+       case when game_id % 4 <> 0 then cast(game_date - 1 as date) else game_date end as game_date
+from (select season_start, coalesce(game_id, 0) as game_id, game_date, home_team_id, away_team_id, game_status_text
+      from f_schedule) x
+where home_team_id is not null and away_team_id is not null""")
 def p07_schedule_normalise(spark, sf_dir):
-    """P7 + P11: a raw schedule feed (text ids, two timestamp fields) -> typed schedule rows."""
-    sch = fx.schedule(spark, sf_dir)
-    gid = F.col("game_id")
+    """P7 + P11: a raw schedule feed (text ids, date and time fields of two calendars) -> typed schedule rows."""
+    sch = fx.schedule(spark, sf_dir).fillna(0, subset=["game_id"])
+    gid, text = F.col("game_id"), (lambda c: F.col(c).cast("string"))
+    day = text("game_date")
     raw = sch.select(
-        gid.cast("string").alias("gameId"), F.col("game_status_text").alias("gameStatusText"),
-        F.when(gid % 4 == 0, F.lit(None)).otherwise(F.concat(F.col("game_date").cast("string"), F.lit(" 19:30:00")))
-         .alias("gameDateTimeEst"),
-        F.concat(F.col("game_date").cast("string"), F.lit("T23:30:00")).alias("gameDateTimeUTC"),
-        F.col("home_team_id").cast("string").alias("homeTeam_teamId"),
-        F.col("away_team_id").cast("string").alias("awayTeam_teamId"))
-    out = N.schedule(raw, "2000-01")
-    return out.select("season", "league_id", "game_id", "home_team_id", "away_team_id", "game_date")
+        text("season_start").alias("seasonYear"),
+        F.when(gid % 9 != 0, F.concat(F.lit("0"), (gid % 2).cast("string"))).alias("leagueId"),
+        text("game_id").alias("gameId"), F.concat(F.lit("20000101/T"), text("away_team_id")).alias("gameCode"),
+        F.when(F.col("game_status_text") == "Final", "3").when(F.col("game_status_text") == "Scheduled", "1")
+         .otherwise("n/a").alias("gameStatus"),
+        F.col("game_status_text").alias("gameStatusText"), F.concat(day, F.lit("T00:00:00Z")).alias("gameDateUTC"),
+        F.concat(day, F.lit("T23:30:00Z")).alias("gameDateTimeUTC"),
+        F.when(gid % 4 == 0, "TBD").otherwise(F.date_sub("game_date", 1).cast("string")).alias("gameDateEst"),
+        F.when(gid % 5 != 0, F.concat(day, F.lit(" 19:30:00"))).alias("gameDateTimeEst"),
+        text("home_team_id").alias("homeTeam_teamId"), text("away_team_id").alias("awayTeam_teamId"),
+        F.concat(F.lit("T"), text("home_team_id")).alias("homeTeam_teamTricode"),
+        F.concat(F.lit("Arena "), text("home_team_id")).alias("arenaName"), F.lit("City").alias("arenaCity"),
+        F.lit("ST").alias("arenaState"), F.when(gid % 40 == 0, "true").otherwise("false").alias("isNeutral"),
+        F.lit("A").alias("postponedStatus"))
+    return N.schedule(raw, "2000-01", league_id="00")
 
 
 @query("f05_game_type_digit", """
@@ -236,31 +263,45 @@ _ADV = list(_ADV_CAMEL)
 
 
 @query("p09_advanced_stats", """
-with a as (select b.game_id, b.team_id, b.fga + 0.44e0 * b.fta - b.oreb + b.turnovers as poss,
+with a as (select b.game_id, b.team_id, b.is_home, b.fga + 0.44e0 * b.fta - b.oreb + b.turnovers as poss,
                   case when b.fga + 0.44e0 * b.fta - b.oreb + b.turnovers <> 0
                        then 1e2 * b.pts / (b.fga + 0.44e0 * b.fta - b.oreb + b.turnovers) end as off_rtg,
                   case when b.fga <> 0 then (b.fgm + 5e-1 * b.fg3m) / b.fga end as efg_pct
            from f_base b),
 c as (select game_id, count(*) as n from a group by game_id)
-select a.game_id, a.team_id, round(a.off_rtg, 6) as off_rtg, round(a.poss, 6) as poss,
-       round(case when a.game_id % 3 = 0 then null else a.efg_pct end, 6) as efg_pct
-from a join c on a.game_id = c.game_id where c.n = 2 and a.game_id % 11 <> 0""")
+select a.game_id, a.team_id, round(a.off_rtg, 6) as off_rtg, round(a.off_rtg - 1e0, 6) as def_rtg, 1e0 as net_rtg,
+       round(a.poss + 2.5e-1, 6) as pace, round(a.poss, 6) as poss,
+       round(case when a.game_id % 3 = 0 then null else a.efg_pct end, 6) as efg_pct,
+       round(a.efg_pct / 2, 6) as ts_pct, case when a.game_id % 2 = 0 then 1.25e-1 end as tov_pct,
+       3.75e-1 as oreb_pct, 6.25e-1 as dreb_pct
+from a join c on a.game_id = c.game_id
+where c.n = 2 and a.game_id % 11 <> 0 and not (a.game_id % 7 = 0 and a.is_home = 0)""")
 def p09_advanced_stats(spark, sf_dir):
-    """Advanced-stats frames with camelCase (even games) or UPPERCASE (odd games) names, blank
-    strings for missing values, unusable frames (one team, or ids missing) skipped."""
+    """A game's frames in order: a player frame (three rows), the team frame, and for some games a second team
+    frame, which does not count. camelCase (even games) or UPPERCASE (odd games) names, blank strings for missing
+    values; the away id of every seventh game is missing, both ids of every eleventh."""
     from rimshot.operators.features import advanced_metrics
-    from rimshot.operators.normalise import advanced_stats
     from rimshot.plans.q_features import base_table
-    adv = advanced_metrics(base_table(spark, sf_dir)).select("game_id", "team_id", "off_rtg", "poss", "efg_pct")
+    adv = advanced_metrics(base_table(spark, sf_dir)).select("game_id", "team_id", "is_home", "off_rtg", "poss", "efg_pct")
     gid = F.col("game_id")
-    txt = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    efg = F.when(gid % 3 == 0, F.lit("")).otherwise(txt("efg_pct"))
-    team = F.when(gid % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("team_id").cast("string"))
-    even = adv.where(gid % 2 == 0).select("game_id", team.alias("teamId"), txt("off_rtg").alias("offensiveRating"),
-                                         txt("poss").alias("possessions"), efg.alias("effectiveFieldGoalPercentage"))
-    odd = adv.where(gid % 2 == 1).select("game_id", team.alias("TEAM_ID"), txt("off_rtg").alias("OFF_RATING"),
-                                        txt("poss").alias("POSS"), efg.alias("EFG_PCT"))
-    frames = even.unionByName(odd, allowMissingColumns=True)
-    out = advanced_stats(frames)
-    return out.select("game_id", "team_id", F.round("off_rtg", 6).alias("off_rtg"), F.round("poss", 6).alias("poss"),
-                      F.round("efg_pct", 6).alias("efg_pct"))
+    txt = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    team = F.when((gid % 11 == 0) | ((gid % 7 == 0) & (F.col("is_home") == 0)), F.lit(None)).otherwise(F.col("team_id").cast("string"))
+    values = {"team_id": team, "off_rtg": txt(F.col("off_rtg")), "def_rtg": txt(F.col("off_rtg") - 1), "net_rtg": F.lit("1.0"),
+              "pace": txt(F.col("poss") + 0.25), "poss": txt(F.col("poss")),
+              "efg_pct": F.when(gid % 3 == 0, "").otherwise(txt(F.col("efg_pct"))), "ts_pct": txt(F.col("efg_pct") / 2),
+              "tov_pct": F.when(gid % 2 == 0, "0.125").otherwise("n/a"), "oreb_pct": F.lit("0.375"), "dreb_pct": F.lit("0.625")}
+
+    def frame(names, rows):
+        return rows.select("game_id", "frame_no", F.lit(True).alias("has_team_id"),
+                           *[values[k].cast("string").alias(n) for k, n in names.items()])
+
+    teams = adv.withColumn("frame_no", F.lit(1))
+    # the player frame repeats the home row three times; its metrics would be wrong ones
+    players = (adv.where("is_home = 1").withColumns({"off_rtg": F.lit(-1.0), "frame_no": F.lit(0)})
+               .withColumn("_i", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).drop("_i"))
+    second = adv.where(gid % 4 == 0).withColumns({"off_rtg": F.lit(-2.0), "frame_no": F.lit(2)})
+    rows = teams.unionByName(players).unionByName(second)
+    frames = frame(_ADV_CAMEL, rows.where(gid % 2 == 0)).unionByName(
+        frame(_ADV_UPPER, rows.where(gid % 2 == 1)), allowMissingColumns=True)
+    out = N.advanced_stats(frames)
+    return out.select("game_id", "team_id", *[F.round(c, 6).alias(c) for c in _ADV[1:]])
