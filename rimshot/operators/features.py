@@ -1,10 +1,8 @@
 """Leakage-safe team features over the season window.
 
-Common window: PARTITION BY season_start, team_id ORDER BY game_date, game_id.
-All frames of one call share that partitioning and ordering, so Spark plans a
-single Exchange + Sort and evaluates every frame in one Window operator. Frames
-are row-based and stream (sliding or running), so a long team-season spills
-rather than failing; a team-season is bounded by its schedule.
+Common window: PARTITION BY season_start, team_id ORDER BY game_date, game_id, in slices (``operators.sliced``), so
+that a team-season with very many rows is spread over tasks. All frames of one call share that partitioning and
+ordering, so Spark plans a single Exchange + Sort for them and evaluates every frame in one Window operator.
 """
 
 from __future__ import annotations
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rimshot.functions import expressions as E
+from rimshot.operators.sliced import slice_window, spread
 
 SEASON_KEYS = ("season_start", "team_id")
 GAME_ORDER = ("game_date", "game_id")
@@ -32,55 +31,49 @@ ROLLING_SPEC = {
 }
 
 
-HOT_KEY_CONF = "spark.rimshot.hotKeySafe"
-
-
-def hot_key_safe(df: DataFrame) -> bool:
-    """Session switch: plan per-key ordered work (rolling frames, game numbers) without a window over a
-    whole key, for data where one key may hold a large share of all rows."""
-    return str(df.sparkSession.conf.get(HOT_KEY_CONF, "false")).lower() == "true"
-
-
 def season_window(keys=SEASON_KEYS, order=GAME_ORDER):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
 def rolling(df: DataFrame, spec: dict = ROLLING_SPEC, pre: bool = True,
-            keys=SEASON_KEYS, order=GAME_ORDER) -> DataFrame:
-    """Windowed means per team-season.
+            keys=SEASON_KEYS, order=GAME_ORDER, calendar: DataFrame | None = None) -> DataFrame:
+    """Windowed means per team-season (``calendar`` as for ``sliced.spread``).
 
     ``pre=True`` (the model inputs) ends every frame one row before the current
     game, so a row never sees its own result; ``pre=False`` is the post-game
     variant (frame ends at the current row) used by the leakage proof.
     """
-    if hot_key_safe(df):
-        return rolling_hot_key_safe(df, spec, pre, keys, order)
-    w = season_window(keys, order)
+    keys, order = list(keys), list(order)
+    longest = max([n for _, n in spec.values() if n is not None], default=0)
+    whole = tuple(dict.fromkeys(c for c, n in spec.values() if n is None))
+    rows = spread(df, keys, order, halo=longest if pre else max(0, longest - 1), sums=whole, calendar=calendar)
+    w = slice_window(keys, order)
     end = -1 if pre else 0
     cols = []
     for out, (col, n) in spec.items():
-        if n is None:
-            start = Window.unboundedPreceding
+        if n is None:  # what lies before the slice is added to what the slice has
+            own, frame = F.when(~F.col("_halo"), F.col(col)), w.rowsBetween(Window.unboundedPreceding, end)
+            count = F.col(f"_cnt_{col}") + F.count(own).over(frame)
+            cols.append(F.when(count > 0, (F.col(f"_sum_{col}") + F.coalesce(F.sum(own).over(frame), F.lit(0))) / count).alias(out))
         else:
-            start = -n if pre else -(n - 1)
-        cols.append(F.avg(col).over(w.rowsBetween(start, end)).alias(out))
-    return df.select("*", *cols)
+            cols.append(F.avg(col).over(w.rowsBetween(-n if pre else -(n - 1), end)).alias(out))
+    return rows.select(*df.columns, "_halo", *cols).where(~F.col("_halo")).drop("_halo")
 
 
-def with_game_number(df: DataFrame, keys=SEASON_KEYS, order=GAME_ORDER) -> DataFrame:
+def with_game_number(df: DataFrame, keys=SEASON_KEYS, order=GAME_ORDER, calendar: DataFrame | None = None) -> DataFrame:
     """team_game_number = 1, 2, ... within the team-season."""
-    if hot_key_safe(df):
-        from rimshot.operators.ordering import keyed_prefix_sums
-        p = keyed_prefix_sums(df, list(keys), list(order), [])
-        return p.select(*df.columns, F.col("_pos").cast("bigint").alias("team_game_number"))
-    return df.withColumn("team_game_number", F.row_number().over(season_window(keys, order)).cast("bigint"))
+    rows = spread(df, list(keys), list(order), calendar=calendar)
+    number = F.col("_before") + F.row_number().over(slice_window(list(keys), list(order)))
+    return rows.select(*df.columns, number.cast("bigint").alias("team_game_number"))
 
 
-def checkpoint_rows(df: DataFrame, n: int) -> DataFrame:
-    """The pre-game row of game N+1, i.e. the team's state after N games."""
+def checkpoint_rows(df: DataFrame, n: int | tuple[int, ...]) -> DataFrame:
+    """The pre-game row of game N+1, i.e. the team's state after N games, for each N (one pass for all)."""
     if "team_game_number" not in df.columns:
         df = with_game_number(df)
-    return df.where(F.col("team_game_number") == n + 1).withColumn("checkpoint", F.lit(n))
+    wanted = [n] if isinstance(n, int) else list(n)
+    return (df.where(F.col("team_game_number").isin([k + 1 for k in wanted]))
+            .withColumn("checkpoint", (F.col("team_game_number") - 1).cast("int")))
 
 
 def training_rows(rolled: DataFrame, labels: DataFrame) -> DataFrame:
@@ -95,8 +88,17 @@ def training_rows(rolled: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def attach_conference(df: DataFrame, teams: DataFrame) -> DataFrame:
-    """Conference and division for each team row (teams dim is a few dozen rows: broadcast)."""
-    return df.join(F.broadcast(teams.select("team_id", "conference", "division")), "team_id", "left")
+    """Conference and division for each team row. ``teams`` may have a row per (season_start, team_id), the
+    team's latest standings snapshot of the season, or one per team."""
+    on = [c for c in ("season_start", "team_id") if c in teams.columns]
+    return df.join(teams.select(*on, "conference", "division"), on, "left")
+
+
+def latest_snapshot(standings: DataFrame, run_date: str = "run_date", keys=("season_start", "team_id")) -> DataFrame:
+    """Conference and division from each team's latest standings snapshot of a season (ties by the greater)."""
+    by = F.struct(F.col(run_date), F.col("conference"), F.col("division"))
+    row = F.struct("conference", "division")
+    return standings.groupBy(*keys).agg(F.max_by(row, by).alias("_s")).select(*keys, "_s.conference", "_s.division")
 
 
 def rest_travel(results: DataFrame, teams: DataFrame) -> DataFrame:
@@ -105,28 +107,30 @@ def rest_travel(results: DataFrame, teams: DataFrame) -> DataFrame:
     The venue of a game is the home team's location; before its first game a
     team is at its own venue. Both lags share the season window.
     """
-    loc = F.broadcast(teams.select("team_id", "lat", "lon"))
+    loc = teams.select("team_id", "lat", "lon")
     venue_team = F.when(F.col("is_home") == 1, F.col("team_id")).otherwise(F.col("opp_team_id"))
     r = results.withColumn("venue_team_id", venue_team)
     r = r.join(loc.withColumnRenamed("team_id", "venue_team_id"), "venue_team_id", "left")
     home_loc = loc.select(F.col("team_id").alias("_own"), F.col("lat").alias("own_lat"), F.col("lon").alias("own_lon"))
     r = r.join(home_loc, F.col("team_id") == F.col("_own"), "left").drop("_own")
-    w = season_window()
+    columns = results.columns
+    r = spread(r, list(SEASON_KEYS), list(GAME_ORDER), halo=1, calendar=results)
+    w = slice_window(list(SEASON_KEYS), list(GAME_ORDER))
     prev_date = F.lag("game_date").over(w)
     prev_lat = F.coalesce(F.lag("lat").over(w), F.col("own_lat"))
     prev_lon = F.coalesce(F.lag("lon").over(w), F.col("own_lon"))
     rest = F.datediff(F.col("game_date"), prev_date)
     miles = E.haversine_miles(prev_lat, prev_lon, F.col("lat"), F.col("lon"))
     return r.select(
-        *[c for c in results.columns],
+        *columns, "_halo",
         rest.alias("rest_days"),
         F.when(rest <= 1, 1).otherwise(0).alias("is_b2b"),
         miles.alias("travel_miles"),
-        F.when(miles > 0, 1).otherwise(0).alias("traveled"))
+        F.when(miles > 0, 1).otherwise(0).alias("traveled")).where(~F.col("_halo")).drop("_halo")
 
 
 def advanced_metrics(base: DataFrame) -> DataFrame:
-    """Per team-game efficiency metrics, the opponent's row found by conditional aggregation on game_id.
+    """Per team-game efficiency metrics; the opponent's row comes by a self join on (game_id, team).
 
     poss = fga + 0.44 fta - oreb + tov; off_rtg = 100 pts / poss; def_rtg = the
     opponent's off_rtg; net = off - def; pace = mean of both teams' poss;
@@ -219,41 +223,3 @@ def form_timeline(features: DataFrame, games: int = 30) -> DataFrame:
     from rimshot.operators.ordering import top_k_per_group
     t = top_k_per_group(features, list(SEASON_KEYS), list(GAME_ORDER), games, "team_game_number")
     return t.withColumn("team_game_number", F.col("team_game_number").cast("bigint"))
-
-
-def rolling_hot_key_safe(df: DataFrame, spec: dict = ROLLING_SPEC, pre: bool = True,
-                         keys=SEASON_KEYS, order=GAME_ORDER) -> DataFrame:
-    """W1-W4 for data where one key (a team-season) may hold a large share of all rows.
-
-    Same results as ``rolling`` (exactly, for integer inputs), but no window
-    spans a whole key: prefix sums come from ``keyed_prefix_sums`` (range-
-    partitioned, so a hot key is split across tasks), and a bounded frame's
-    left edge is fetched with an equi join on (keys, position), which hashes on
-    the position too. mean(frame) = (S[end] - S[start - 1]) / (N[end] - N[start - 1]), with the
-    sums kept in DECIMAL so the differences are exact.
-    """
-    from rimshot.operators.ordering import keyed_prefix_sums
-
-    cols = sorted({c for c, _ in spec.values()})
-    p = keyed_prefix_sums(df, list(keys), list(order), cols)
-    end_shift = 1 if pre else 0          # frame ends at p-1 (pre-game) or p (post-game)
-    # inclusive sums at the frame end: S[p] minus the own row when the frame stops before it
-    end_s = {c: F.col(f"_s_{c}") - (F.col(f"_v_{c}") if pre else F.lit(0)) for c in cols}
-    end_n = {c: F.col(f"_n_{c}") - (F.col(f"_k_{c}") if pre else F.lit(0)) for c in cols}
-    lengths = sorted({n for _, n in spec.values() if n is not None})
-    out = p
-    for n in lengths:
-        # the frame covers positions p-end_shift-n+1 .. p-end_shift; subtract S at position p-end_shift-n
-        left = p.select(*keys, (F.col("_pos") + F.lit(n + end_shift)).alias("_pos"),
-                        *[F.col(f"_s_{c}").alias(f"_ls{n}_{c}") for c in cols],
-                        *[F.col(f"_n_{c}").alias(f"_ln{n}_{c}") for c in cols])
-        out = out.join(left, [*keys, "_pos"], "left")
-    res = []
-    for name, (c, n) in spec.items():
-        if n is None:
-            s, k = end_s[c], end_n[c]
-        else:
-            s = end_s[c] - F.coalesce(F.col(f"_ls{n}_{c}"), F.lit(0))
-            k = end_n[c] - F.coalesce(F.col(f"_ln{n}_{c}"), F.lit(0))
-        res.append(F.when(k > 0, s.cast("double") / k).alias(name))
-    return out.select(*df.columns, *res)

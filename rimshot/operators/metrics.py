@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rimshot.functions.expressions import FLOAT_EPS, calibration_bin
-from rimshot.operators.ordering import keyed_prefix_sums, top_k_per_group
+from rimshot.operators.ordering import exact_quantiles, keyed_prefix_sums, top_k_per_group
+from rimshot.session import checkpoint_dir
 
 
 def _y(y):
@@ -27,11 +28,12 @@ def auc(df: DataFrame, by: list[str], y: str = "y_true", p: str = "y_prob") -> D
     negatives) with a map-side partial aggregate; the ordered pass then runs
     over distinct scores only, as a distributed prefix sum: AUC = sum(pos * (neg below + neg tied / 2)) / (P * N).
     """
-    c = df.groupBy(*by, p).agg(F.sum(_y(y)).alias("_npos"), F.sum(1.0 - _y(y)).alias("_nneg"))
+    positive = F.col(y).cast("int") == 1
+    c = df.groupBy(*by, p).agg(F.count(F.when(positive, 1)).alias("_npos"), F.count(F.when(~positive, 1)).alias("_nneg"))
     # negatives strictly below each score: a keyed prefix sum (range-partitioned, so one
     # large fold is split across tasks), minus the row's own negatives
     c = keyed_prefix_sums(c, list(by), [p], ["_nneg"])
-    c = c.withColumn("_neg_below", (F.col("_s__nneg") - F.col("_v__nneg")).cast("double"))
+    c = c.withColumn("_neg_below", (F.col("_s__nneg") - F.col("_nneg")).cast("double"))
     g = c.groupBy(*by).agg(
         F.sum(F.col("_npos") * (F.col("_neg_below") + F.lit(0.5) * F.col("_nneg"))).alias("_u"),
         F.sum("_npos").alias("_P"), F.sum("_nneg").alias("_N"))
@@ -77,11 +79,16 @@ def top_k_hits(df: DataFrame, k: int, by: list[str], group: list[str] | None = N
     return g.withColumn("hit_rate", F.col("hits") / denom)
 
 
-def calibration(df: DataFrame, by: list[str], y: str = "y_true", p: str = "y_prob", n_bins: int = 10) -> DataFrame:
-    """Q5: calibration table per fold: bin (right-closed), n, mean p, actual rate, |gap|. Empty bins absent."""
+def calibration(df: DataFrame, by: list[str], y: str = "y_true", p: str = "y_prob", n_bins: int = 10,
+                keep_empty: bool = False) -> DataFrame:
+    """Q5: calibration table per fold: bin (right-closed), n, mean p, actual rate, |gap|. Empty bins are absent, or,
+    with ``keep_empty``, have n = 0 and nulls."""
     b = df.withColumn("bin", calibration_bin(F.col(p), n_bins))
     t = b.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("pred_mean"),
                                   F.avg(_y(y)).alias("actual_rate"))
+    if keep_empty:
+        every = t.select(*by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))))
+        t = every.join(t, [*by, "bin"], "left").fillna(0, subset=["n"])
     return t.withColumn("abs_gap", F.abs(F.col("pred_mean") - F.col("actual_rate")))
 
 
@@ -95,11 +102,15 @@ def ece(cal: DataFrame, by: list[str]) -> DataFrame:
 
 def prediction_summary(df: DataFrame, by: list[str], y: str = "y_true", p: str = "y_prob", digits: int = 3) -> DataFrame:
     """N, actual rate, mean p, exact p10/p50/p90 (linear interpolation), share >= 0.5; half-even rounding."""
-    g = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(_y(y)).alias("actual_rate"), F.avg(p).alias("mean_p"),
-        F.percentile(F.col(p), 0.1).alias("p10"), F.percentile(F.col(p), 0.5).alias("p50"),
-        F.percentile(F.col(p), 0.9).alias("p90"),
-        F.avg(F.when(F.col(p) >= 0.5, 1.0).otherwise(0.0)).alias("frac_over_05"))
+    # one pass: everything follows from how often each (label, probability) occurs
+    checkpoint_dir(df.sparkSession)
+    c = df.groupBy(*by, F.col(p).cast("double").alias("_p"), _y(y).alias("_y")).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+    weighted = lambda v: F.sum(v * F.col("_n")) / F.sum(F.when(v.isNotNull(), F.col("_n")))
+    g = c.groupBy(*by).agg(
+        F.sum("_n").alias("n"), weighted(F.col("_y")).alias("actual_rate"), weighted(F.col("_p")).alias("mean_p"),
+        (F.sum(F.when(F.col("_p") >= 0.5, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("frac_over_05"))
+    q = exact_quantiles(c.groupBy(*by, "_p").agg(F.sum("_n").alias("_n")), list(by), "_p", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    g = g.join(q, list(by), "left").select(*by, "n", "actual_rate", "mean_p", "p10", "p50", "p90", "frac_over_05")
     for c in ("actual_rate", "mean_p", "p10", "p50", "p90", "frac_over_05"):
         g = g.withColumn(c, F.bround(F.col(c), digits))
     return g

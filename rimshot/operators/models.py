@@ -10,6 +10,11 @@ distributed.
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -19,7 +24,8 @@ from pyspark.sql.window import Window
 
 from rimshot.functions.expressions import CALIBRATION_EPS
 from rimshot.operators import metrics as M
-from rimshot.operators.ordering import exact_quantiles, global_row_number, time_split
+from rimshot.operators.filters import MIN_CALIBRATION_ROWS, MIN_TRAIN_ROWS, enough_rows
+from rimshot.operators.ordering import exact_quantiles, global_row_number, keyed_prefix_sums, time_split, value_counts
 from rimshot.operators.profile import long_form
 from rimshot.session import checkpoint_dir
 
@@ -33,12 +39,15 @@ SEED = 42
 
 def medians(train: DataFrame, cols: list[str]) -> dict[str, float]:
     """L1: exact per-feature medians of the training rows (one small row per feature comes back)."""
-    q = exact_quantiles(long_form(train, cols), ["feature"], "value", {"median": 0.5})
-    return {r.feature: r.median for r in q.collect()}
+    q = exact_quantiles(value_counts(long_form(train, cols), ["feature"], "value"), ["feature"], "value", {"median": 0.5})
+    found = {r.feature: r.median for r in q.collect()}
+    return {c: found.get(c) for c in cols}
 
 
 def impute(df: DataFrame, med: dict[str, float]) -> DataFrame:
-    return df.fillna({k: v for k, v in med.items() if v is not None})
+    """Features as doubles with nulls replaced by their medians; a feature without any value becomes the constant
+    0, which a fit cannot use (dropping it gives the same model)."""
+    return df.withColumns({k: F.coalesce(F.col(k).cast("double"), F.lit(float(v) if v is not None else 0.0)) for k, v in med.items()})
 
 
 def scaler_stats(train: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
@@ -63,7 +72,7 @@ def with_class_weights(train: DataFrame, label: str, out: str = "weight") -> Dat
     counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     total = F.sum("_nc").over(Window.partitionBy(F.lit(1)))
     w = counts.select(label, (total / (F.lit(2.0) * F.col("_nc"))).alias(out))
-    return train.join(F.broadcast(w), label, "left")
+    return train.join(w, label, "left")
 
 
 def _assemble(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -136,105 +145,184 @@ def tune_c(train: DataFrame, cols: list[str], label: str, order: list[str], grid
     return best[0], best[2], rows
 
 
-def backtest(df: DataFrame, cols: list[str], label: str, season: str = "season_start",
-             models=("Baseline_BaseRate", "Baseline_LR_avg_point_diff_s2d", "LogisticRegression"),
-             keep: list[str] = ("team_id", "team_conference")) -> DataFrame:
-    """Rolling season backtest: train on every earlier season, test on the next one.
+#: One-feature-set baselines of the checkpoint backtest (fixed values: names and features).
+BASELINES = {
+    "Baseline_LR_avg_point_diff_s2d": ["avg_point_diff_s2d"], "Baseline_LR_win_pct_s2d": ["win_pct_s2d"],
+    "Baseline_LR_win_pct_s2d_l10": ["win_pct_s2d", "win_pct_l10"], "Baseline_LR_elo_pre": ["elo_pre"],
+    "Baseline_LR_net_rtg_s2d": ["net_rtg_s2d"],
+    "Baseline_LR_win_pct_s2d_plus_strength": ["win_pct_s2d", "avg_point_diff_s2d", "net_rtg_s2d", "elo_pre"],
+}
+FOLD_THREADS = 8  # folds are independent small jobs; so many run at once
+
+
+def _folds(df: DataFrame, season: str, run, groups: list[str] = ()) -> list:
+    """``run(group values, test season, train, test)`` for every season but the first of each group, at once."""
+    found = defaultdict(list)
+    for r in df.select(*groups, season).distinct().collect():
+        found[tuple(r[g] for g in groups)].append(r[season])
+    todo = []
+    for group, seasons in sorted(found.items()):
+        own = df
+        for g, v in zip(groups, group):
+            own = own.where(F.col(g) == F.lit(v))
+        todo += [(group, s, own.where(F.col(season) < s), own.where(F.col(season) == s)) for s in sorted(seasons)[1:]]
+    with ThreadPoolExecutor(FOLD_THREADS) as pool:
+        return [x for x in pool.map(lambda t: run(*t), todo) if x is not None]
+
 
-    Returns one prediction row per (model, test season, test row). The season
-    list is a handful of values (collected once); each fold's fits and scores
-    are distributed jobs.
+def _union(frames: list[DataFrame]) -> DataFrame | None:
+    return reduce(lambda a, b: a.unionByName(b), frames) if frames else None
+
+
+def backtest(df: DataFrame, cols: list[str], label: str, season: str = "season_start",
+             models=("Baseline_BaseRate", *BASELINES, "LogisticRegression"),
+             keep: list[str] = ("team_id", "team_conference"), groups: list[str] = ()) -> DataFrame:
+    """Rolling season backtest: train on every earlier season, test on the next one, for each value of
+    ``groups`` (the checkpoint).
+
+    Returns one prediction row per (group, model, test season, test row). A baseline runs if its features are among
+    ``cols``. Folds without a label of both classes in training are left out. The fits and scores of a fold are
+    distributed jobs; folds run side by side.
     """
     checkpoint_dir(df.sparkSession)
-    df = df.checkpoint(eager=True)            # the feature lineage is planned once, not once per fold and model
-    seasons = sorted(r[0] for r in df.select(season).distinct().collect())
-    out = []
-    for s in seasons[1:]:
-        train, test = df.where(F.col(season) < s), df.where(F.col(season) == s)
-        base = [season, *keep, label]
+    df = df.where(F.col(label).isNotNull()).checkpoint(eager=True)   # the feature lineage runs once, not once per fold and model
+    base = [*groups, season, *keep, label]
+
+    def run(group, s, train, test):
+        classes = train.agg(F.avg(F.col(label).cast("double")), F.countDistinct(label)).first()
+        if classes[1] < 2 or test.isEmpty():
+            return None
+        out = []
+
+        def add(name, frame):
+            out.append(frame.select(*base, F.lit(name).alias("model"), F.col("y_prob").cast("double")))
+
         if "Baseline_BaseRate" in models:
-            rate = train.agg(F.avg(F.col(label).cast("double"))).first()[0]
-            out.append(test.select(*base, F.lit("Baseline_BaseRate").alias("model"), F.lit(rate).alias("y_prob")))
+            add("Baseline_BaseRate", test.withColumn("y_prob", F.lit(classes[0])))
+        if set(models) == {"Baseline_BaseRate"}:
+            return _union(out)
         tr, te = prepare(train, test, cols, label, center=False, balanced=True)
-        if "Baseline_LR_avg_point_diff_s2d" in models:
-            one = ["avg_point_diff_s2d"]
-            m = fit_lr(tr, one, label, 1.0, "weight")
-            out.append(score(m, te, one).select(*base, F.lit("Baseline_LR_avg_point_diff_s2d").alias("model"), "y_prob"))
+        tr = tr.checkpoint(eager=True)
+        for name, feats in BASELINES.items():
+            if name in models and set(feats) <= set(cols):
+                add(name, score(fit_lr(tr, feats, label, 1.0, "weight"), te, feats))
         if "LogisticRegression" in models:
-            m = fit_lr(tr, cols, label, 1.0, "weight")
-            out.append(score(m, te, cols).select(*base, F.lit("LogisticRegression").alias("model"), "y_prob"))
+            add("LogisticRegression", score(fit_lr(tr, cols, label, 1.0, "weight"), te, cols))
         if "RandomForest" in models:
-            m = fit_rf(tr, cols, label, "weight")
-            out.append(score(m, te, cols).select(*base, F.lit("RandomForest").alias("model"), "y_prob"))
+            add("RandomForest", score(fit_rf(tr, cols, label, "weight"), te, cols))
         if "GradientBoosting" in models:
-            m = fit_gbt(tr, cols, label)
-            out.append(score(m, te, cols).select(*base, F.lit("GradientBoosting").alias("model"), "y_prob"))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
+            add("GradientBoosting", score(fit_gbt(tr, cols, label), te, cols))
+        return _union(out)
+
+    res = _union(_folds(df, season, run, list(groups)))
+    kinds = dict(df.dtypes)
+    if res is None:
+        names = [*[(c, kinds[c]) for c in base], ("model", "string"), ("y_prob", "double")]
+        res = df.sparkSession.createDataFrame([], ", ".join(f"`{c}` {t}" for c, t in names))
     res = res.withColumnRenamed(label, "y_true").withColumnRenamed(season, "test_season")
     return res.checkpoint(eager=True)         # metrics read the stored predictions
 
 
+def next_game_backtest(df: DataFrame, sets: dict[str, list[str]], label: str = "home_win", season: str = "season_start",
+                       c: float = 1.0, min_train: int = MIN_TRAIN_ROWS, min_calibration: int = MIN_CALIBRATION_ROWS) -> DataFrame:
+    """Rolling next-game backtest of feature sets: for each test season, fit on the first 80 % of all
+    earlier games (centred scaling, L2), calibrate a temperature on the last 20 %, score the season.
+
+    A fold needs ``min_train`` training games (F6); the temperature needs ``min_calibration`` games, else T is null
+    and the raw probabilities count. Rows: (model, test_season, game_id, y_true, y_prob_raw, y_prob, temperature).
+    """
+    checkpoint_dir(df.sparkSession)
+    features = sorted({f for fs in sets.values() for f in fs})
+    df = df.where(F.col(label).isNotNull()).fillna(0.0, subset=features).checkpoint(eager=True)
+
+    def run(_, s, train, test):
+        if not enough_rows(train, min_train) or test.isEmpty():
+            return None
+        split = time_split(train, ["game_date", "game_id"], 0.8).checkpoint(eager=True)
+        fit_rows, cal = split.where("split = 'fit'").drop("split"), split.where("split = 'calib'").drop("split")
+        calibrate = enough_rows(cal, min_calibration)
+        stats = scaler_stats(fit_rows, features)
+        fit_s, cal_s, test_s = (scale(x, stats, True) for x in (fit_rows, cal, test))
+        fit_s = fit_s.checkpoint(eager=True)
+        out = []
+        for name, feats in sets.items():
+            m = fit_lr(fit_s, feats, label, c)
+            t = None
+            if calibrate:
+                one = score(m, cal_s, feats).select(F.lit(0).alias("_g"), F.col(label).alias("y_true"), "y_prob")
+                t = fit_temperature(one, ["_g"]).first()["temperature"]
+            p = F.least(F.greatest(F.col("y_prob"), F.lit(CALIBRATION_EPS)), F.lit(1 - CALIBRATION_EPS))
+            cooled = F.lit(1.0) / (1 + F.exp(-F.ln(p / (1 - p)) / F.lit(float(t)))) if t is not None else F.col("y_prob")
+            out.append(score(m, test_s, feats).select(
+                F.lit(name).alias("model"), F.col(season).alias("test_season"), "game_id", F.col(label).alias("y_true"),
+                F.col("y_prob").alias("y_prob_raw"), cooled.alias("y_prob"), F.lit(t).cast("double").alias("temperature")))
+        return _union(out)
+
+    res = _union(_folds(df, season, run))
+    if res is None:
+        res = df.sparkSession.createDataFrame([], "model string, test_season long, game_id long, y_true int, y_prob_raw double, "
+                                                  "y_prob double, temperature double")
+    return res.checkpoint(eager=True)
+
+
 def permutation_importance(model, test: DataFrame, cols: list[str], label: str, key: str,
                            repeats: int = PERM_REPEATS, seed: int = SEED) -> DataFrame:
     """AUC drop when one feature's values are shuffled across the test rows, ``repeats`` times.
 
-    Rows are replicated per (feature, repeat); each replica takes the feature
-    value of the row at its permuted position (a hash order per group, joined
-    by position), all replicas are scored in one pass, and AUC is computed per
-    (feature, repeat). Returns mean and population std of the drop per feature.
+    Only row numbers are replicated per (feature, repeat). Their places in a hash order per (feature, repeat) come
+    from a prefix sum over range partitions, so no task holds a whole test table; the value at that place takes
+    the row's own value's stead, all replicas are scored in one pass, and AUC is computed per (feature, repeat).
+    Returns mean and population std of the drop per feature.
     """
-    t = global_row_number(test, [key], out="_rn")
+    checkpoint_dir(test.sparkSession)
+    t = global_row_number(test, [key], out="_rn").checkpoint()
     base_auc = M.auc(score(model, t, cols).withColumn("_g", F.lit(0)), ["_g"], label, "y_prob").first()["auc"]
-    reps = t.select("*", F.explode(F.array(*[F.lit(c) for c in cols])).alias("_feature"),
-                    F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_rep"))
-    w = Window.partitionBy("_feature", "_rep").orderBy(F.xxhash64(F.lit(seed), "_feature", "_rep", "_rn"), "_rn")
-    reps = reps.withColumn("_src", F.row_number().over(w))
+    reps = t.select("_rn", F.explode(F.array(*[F.lit(c) for c in cols])).alias("_feature")).withColumn(
+        "_rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    reps = reps.withColumns({"_h": F.xxhash64(F.lit(seed), "_feature", "_rep", "_rn"), "_one": F.lit(1)})
+    placed = keyed_prefix_sums(reps, ["_feature", "_rep"], ["_h", "_rn"], ["_one"]).withColumnRenamed("_s__one", "_src")
     values = long_form(t, cols, ["_rn"]).select(F.col("_rn").alias("_src"), F.col("feature").alias("_feature"),
                                                   F.col("value").alias("_pv"))
-    reps = reps.join(values, ["_src", "_feature"], "left")
+    rows = placed.select("_rn", "_feature", "_rep", "_src").join(values, ["_src", "_feature"]).join(t, "_rn")
     for c in cols:
-        reps = reps.withColumn(c, F.when(F.col("_feature") == c, F.col("_pv")).otherwise(F.col(c)))
-    scored = score(model, reps, cols)
-    a = M.auc(scored, ["_feature", "_rep"], label, "y_prob")
+        rows = rows.withColumn(c, F.when(F.col("_feature") == c, F.col("_pv")).otherwise(F.col(c)))
+    a = M.auc(score(model, rows, cols), ["_feature", "_rep"], label, "y_prob")
     drop = F.lit(base_auc) - F.col("auc")
     return a.groupBy(F.col("_feature").alias("feature")).agg(
         F.avg(drop).alias("perm_importance_mean"), F.stddev_pop(drop).alias("perm_importance_std"))
 
 
-def temperature_grid(lo: float = 0.25, hi: float = 10.0, step: float = 0.05) -> list[float]:
-    n = int(round((hi - lo) / step))
-    return [round(lo + i * step, 10) for i in range(n + 1)]
-
-
 def fit_temperature(preds: DataFrame, by: list[str], y: str = "y_true", p: str = "y_prob",
-                    grid=None, refine: int = 10) -> DataFrame:
-    """Temperature T minimising the mean NLL of sigmoid(logit(p) / T) per group.
+                    most_steps: int = 60, tolerance: float = 1e-10) -> DataFrame:
+    """Temperature T > 0 minimising the mean NLL of sigmoid(logit(p) / T) per group; T is not bounded.
 
-    Re-aimed from a Nelder-Mead search: every row is expanded over a T grid
-    (``explode``, no cross join), NLL summed per (group, T), the best T taken;
-    a second grid ``refine`` times finer around it sharpens the answer.
-    Probabilities are clipped to [1e-6, 1 - 1e-6]; NLL adds 1e-15 inside the logs.
+    The NLL is convex in 1/T. Every step sums gradient and curvature per group and moves log(1/T) by a Newton step
+    of at most 1, so the range widens until the optimum is inside. Where predictions say nothing about the label
+    (the slope at 1/T = 0 is not negative) T is infinite and the NLL ln 2. Probabilities are clipped to [1e-6, 1 - 1e-6]; NLL adds 1e-15 inside
+    the logs. One pass over the predictions a step; a group's state is one row.
     """
-    grid = grid or temperature_grid()
+    checkpoint_dir(preds.sparkSession)
     q = F.least(F.greatest(F.col(p), F.lit(CALIBRATION_EPS)), F.lit(1 - CALIBRATION_EPS))
-    z = preds.select(*by, F.col(y).cast("double").alias("_y"), F.ln(q / (1 - q)).alias("_z"))
+    z = preds.select(*by, F.col(y).cast("double").alias("_y"), F.ln(q / (1 - q)).alias("_z")).dropna().checkpoint()
+    begun = z.groupBy(*by).agg(F.lit(0.0).alias("_u"), F.avg((0.5 - F.col("_y")) * F.col("_z")).alias("_s")).checkpoint()
+    state = begun.where("_s < 0").drop("_s")
 
-    def nll(expanded: DataFrame) -> DataFrame:
-        pt = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_z") / F.col("_t")))
+    def sums(state: DataFrame) -> DataFrame:
+        pt = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_z") * F.exp("_u")))
         ll = -(F.col("_y") * F.ln(pt + F.lit(1e-15)) + (1 - F.col("_y")) * F.ln(1 - pt + F.lit(1e-15)))
-        return expanded.groupBy(*by, "_t").agg(F.avg(ll).alias("nll"))
-
-    def best(t: DataFrame) -> DataFrame:
-        return t.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("nll", "_t"))) \
-                .where("_r = 1").drop("_r")
-
-    coarse = best(nll(z.withColumn("_t", F.explode(F.array(*[F.lit(float(t)) for t in grid])))))
-    step = (grid[1] - grid[0]) / refine
-    around = coarse.select(*by, F.explode(F.array(*[F.col("_t") + F.lit(k * step)
-                                                     for k in range(-refine, refine + 1)])).alias("_t"))
-    around = around.where(F.col("_t") > 0)
-    # one row per group and candidate T: a few dozen rows per group, broadcast into the expansion
-    fine = best(nll(z.join(F.broadcast(around), list(by), "inner")))
-    return fine.select(*by, F.col("_t").alias("temperature"), "nll")
+        return z.join(state, list(by)).groupBy(*by, "_u").agg(
+            F.avg(ll).alias("nll"), F.avg((pt - F.col("_y")) * F.col("_z")).alias("_g"),
+            F.avg(pt * (1 - pt) * F.col("_z") * F.col("_z")).alias("_h"))
+
+    for _ in range(most_steps):
+        b = F.exp("_u")
+        # slope and curvature in u = log(1/T); where the curvature is not positive the slope's sign gives the step
+        slope, bend = F.col("_g") * b, F.col("_h") * b * b + F.col("_g") * b
+        step = F.when(bend > 0, -slope / bend).otherwise(-F.signum(slope))
+        step = F.when(F.abs(slope) < tolerance, F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), step)))
+        moved = sums(state).select(*by, (F.col("_u") + step).alias("_u"), F.abs(step).alias("_step")).checkpoint()
+        state = moved.drop("_step")
+        if (moved.agg(F.max("_step")).first()[0] or 0.0) < tolerance:
+            break
+    flat = begun.where("_s >= 0").select(*by, F.lit(float("inf")).alias("temperature"), F.lit(math.log(2)).alias("nll"))
+    return sums(state).select(*by, F.exp(-F.col("_u")).alias("temperature"), "nll").unionByName(flat)

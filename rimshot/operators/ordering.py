@@ -28,7 +28,7 @@ def global_row_number(df: DataFrame, order: list[str | Column], num_partitions:
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = num_partitions or spark.sparkContext.defaultParallelism
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Range bounds are sampled from the input, whose row order after a shuffle is
     # not reproducible; a reliable checkpoint pins one partition assignment so the
     # per-partition counts and the row positions come from the same stored rows
@@ -50,11 +50,16 @@ def global_row_number(df: DataFrame, order: list[str | Column], num_partitions:
 
 
 def time_split(df: DataFrame, order: list[str], frac: float = 0.8, out: str = "split") -> DataFrame:
-    """Chronological split; the first ``cut = max(min(int(n*frac), n-1), 1)`` rows are 'fit', the rest 'calib'."""
-    numbered = global_row_number(df, order, out="_rn", total="_n")
-    cut = F.greatest(F.least(F.floor(F.col("_n") * F.lit(frac)), F.col("_n") - 1), F.lit(1))
-    return (numbered.withColumn(out, F.when(F.col("_rn") <= cut, "fit").otherwise("calib"))
-                    .drop("_rn", "_n"))
+    """Chronological split; the first ``cut = max(min(int(n*frac), n-1), 1)`` rows are 'fit', the rest 'calib'.
+
+    Only the order columns are numbered; the row at the cut is compared with every row."""
+    cut = first_rows(df, order, frac).collect()
+    if not cut:
+        return df.withColumn(out, F.lit("fit"))
+    mine = F.struct(*[F.struct(F.col(c).isNotNull(), F.col(c)) for c in order])
+    kinds = dict(df.dtypes)
+    edge = F.struct(*[F.struct(F.lit(cut[0][c] is not None), F.lit(cut[0][c]).cast(kinds[c])) for c in order])
+    return df.withColumn(out, F.when(mine <= edge, "fit").otherwise("calib"))
 
 
 def slice_rows(df: DataFrame, order: list[str], start: int, end: int) -> DataFrame:
@@ -63,97 +68,78 @@ def slice_rows(df: DataFrame, order: list[str], start: int, end: int) -> DataFra
     return numbered.where((F.col("_rn") > start) & (F.col("_rn") <= end)).drop("_rn")
 
 
-# A group whose distinct values stay under this bound is summarised by Spark's exact ``percentile``
-# aggregate, whose per-group state is a value -> count map (so memory ~ distinct values).
-IN_MEMORY_DISTINCT_LIMIT = 1_000_000
+def value_counts(df: DataFrame, keys: list[str], value: str, out: str = "_n") -> DataFrame:
+    """(keys, value as double, count): what quantiles and other statistics of a group need, reduced map-side."""
+    return df.select(*keys, F.col(value).cast("double").alias(value)).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(out))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
-                    in_memory_limit: int = IN_MEMORY_DISTINCT_LIMIT) -> DataFrame:
-    """Exact quantiles per group with linear interpolation (numpy / pandas default).
+def exact_quantiles(counts: DataFrame, keys: list[str], value: str, qs: dict[str, float], n: str = "_n") -> DataFrame:
+    """Exact quantiles per group with linear interpolation (numpy / pandas default) from (keys, value, n) counts.
 
-    Size-checked plan choice: one ``approx_count_distinct`` pass bounds the largest
-    group's distinct values. Under ``in_memory_limit`` a single exact ``percentile``
-    aggregate answers (partial maps merge map-side). Above it, the rank plan below
-    runs, whose memory does not depend on the group size:
-
-    Non-null values are globally sorted by (keys, value) and numbered; each
-    group's first position and size give the two ranks each quantile needs,
-    ``h = (n - 1) q``, and those rows are fetched with an equi join. No group
-    is ever gathered into one buffer, however many values it holds.
-    Returns one row per group with a column per name in ``qs``.
+    One plan for all sizes: the counts are range-partitioned on (keys, value) and summed up from below, so each
+    value knows which ranks it covers; ``h = (N - 1) q`` lies between two ranks, whose values a grouped maximum
+    picks. No group is gathered in one task. Nulls do not count; a group without values has no row.
     """
-    nn = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    widest = nn.groupBy(*keys).agg(F.approx_count_distinct("_v").alias("_d")).agg(F.max("_d")).first()[0]
-    if widest is not None and widest < in_memory_limit:
-        names = list(qs)
-        got = nn.groupBy(*keys).agg(F.percentile("_v", [float(qs[n]) for n in names]).alias("_q"))
-        return got.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    numbered = global_row_number(nn, [*keys, "_v"], out="_rn")
-    starts = numbered.groupBy(*keys).agg(F.min("_rn").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    wanted = starts.select(*keys, "_start", "_n", F.explode(F.array(*[
-        F.struct(F.lit(name).alias("q"), F.lit(float(q)).alias("p")) for name, q in qs.items()])).alias("_q"))
-    h = (F.col("_n") - 1) * F.col("_q.p")
-    wanted = wanted.select(*keys, F.col("_q.q").alias("_name"), (h - F.floor(h)).alias("_frac"),
-                           (F.col("_start") + F.floor(h)).alias("_lo"), (F.col("_start") + F.ceil(h)).alias("_hi"))
-    vals = numbered.select("_rn", "_v")
-    lo = vals.select(F.col("_rn").alias("_lo"), F.col("_v").alias("_vlo"))
-    hi = vals.select(F.col("_rn").alias("_hi"), F.col("_v").alias("_vhi"))
-    got = wanted.join(lo, "_lo").join(hi, "_hi")
-    got = got.select(*keys, "_name", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("_val"))
-    return got.groupBy(*keys).pivot("_name", list(qs)).agg(F.first("_val"))
+    known = counts.where(F.col(value).isNotNull())
+    below = keyed_prefix_sums(known, keys, [value], [n])
+    total = below.groupBy(*keys).agg(F.max(f"_s_{n}").alias("_total"))
+    picks = []
+    for name, q in qs.items():
+        h = (F.col("_total") - 1) * F.lit(float(q))
+        for part, rank in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            at = (rank >= F.col(f"_s_{n}") - F.col(n)) & (rank < F.col(f"_s_{n}"))
+            picks.append(F.max(F.when(at, F.col(value))).alias(f"_{name}_{part}"))
+    found = (below.join(total, _same(below, total, keys)).select(below["*"], "_total")
+             .groupBy(*keys, "_total").agg(*picks))
+    out = []
+    for name, q in qs.items():
+        h = (F.col("_total") - 1) * F.lit(float(q))
+        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        out.append((lo + (hi - lo) * (h - F.floor(h))).alias(name))
+    return found.select(*keys, *out)
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & a[k].eqNullSafe(b[k])
+    return cond
 
 
 def keyed_prefix_sums(df: DataFrame, keys: list[str], order: list[str], cols: list[str],
                       num_partitions: int | None = None) -> DataFrame:
-    """Per key, in ``order``: position ``_pos`` (1-based), inclusive running sums ``_s_<c>`` and
-    non-null counts ``_n_<c>`` of ``cols``, without a window over a whole key.
-
-    Rows are range-partitioned on (keys, order), so a hot key is spread over
-    many partitions (the partition assignment is pinned with a reliable
-    checkpoint). Running sums are computed per (partition, key) slice; each
-    slice's totals form a table of at most (partitions x keys per partition)
-    rows, whose running sum over partition order gives every slice its offset.
+    """``df`` with, per key in ``order``, inclusive running sums ``_s_<c>`` of the integer columns ``cols``, without
+    a window over a whole key.
+
+    Rows are range-partitioned on (keys, order), so a hot key is spread over many partitions (the partition
+    assignment is pinned with a reliable checkpoint). Running sums are computed per (partition, key) slice; each
+    slice's totals form a table of at most (partitions x keys per partition) rows, whose running sum over partition
+    order gives every slice its offset.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = num_partitions or spark.sparkContext.defaultParallelism
-    # values are summed as DECIMAL(38,12): prefix sums subtract exactly (no cancellation error when a
-    # frame is taken as a difference of two large running sums), with headroom up to 1e26
-    dec = "decimal(38,12)"
-    vals = [F.coalesce(F.col(c).cast(dec), F.lit(0).cast(dec)).alias(f"_x_{c}") for c in cols]
-    cnts = [F.col(c).isNotNull().cast("long").alias(f"_c_{c}") for c in cols]
-    d = (df.select("*", *vals, *cnts, F.lit(1).cast("long").alias("_one"))
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = (df.select(*df.columns, *[F.col(c).cast("long").alias(f"_x_{c}") for c in cols])
            .repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
            .withColumn("_pid", F.spark_partition_id())).checkpoint(eager=True)
-    summed = ["_one"] + [f"_x_{c}" for c in cols] + [f"_c_{c}" for c in cols]
     local_w = Window.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = d.select("*", *[F.sum(s).over(local_w).alias(f"_l{s}") for s in summed])
-    tot = d.groupBy("_pid", *keys).agg(*[F.sum(s).alias(f"_t{s}") for s in summed])
+    local = d.select("*", *[F.sum(f"_x_{c}").over(local_w).alias(f"_l_{c}") for c in cols])
+    tot = d.groupBy("_pid", *keys).agg(*[F.sum(f"_x_{c}").alias(f"_t_{c}") for c in cols])
     prev = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("_pid", *keys, *[F.coalesce(F.sum(f"_t{s}").over(prev), F.lit(0)).alias(f"_o{s}")
-                                       for s in summed])
-    j = local.join(offs, ["_pid", *keys])
-    out = j.select(*df.columns, (F.col("_l_one") + F.col("_o_one")).alias("_pos"),
-                   *[(F.col(f"_l_x_{c}") + F.col(f"_o_x_{c}")).alias(f"_s_{c}") for c in cols],
-                   *[(F.col(f"_l_c_{c}") + F.col(f"_o_c_{c}")).alias(f"_n_{c}") for c in cols],
-                   *[F.col(f"_x_{c}").alias(f"_v_{c}") for c in cols],
-                   *[F.col(f"_c_{c}").alias(f"_k_{c}") for c in cols])
-    return out
+    offs = tot.select("_pid", *keys, *[F.coalesce(F.sum(f"_t_{c}").over(prev), F.lit(0)).alias(f"_o_{c}") for c in cols])
+    j = local.join(offs, _same(local, offs, ["_pid", *keys]))
+    return j.select(*[local[c] for c in df.columns], *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"_s_{c}") for c in cols])
 
 
 def top_k_per_group(df: DataFrame, group: list[str], order: list, k: int, out: str = "rank") -> DataFrame:
-    """The ``k`` first rows per group under ``order`` (which must be total), ranked 1..k, in two stages.
+    """The ``k`` first rows per group under ``order`` (which must be total), ranked 1..k. Spark cuts every group to
+    k rows within each input partition before the shuffle (window group limit), so no task holds a hot group."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
 
-    Stage one ranks rows within (input partition, group) and keeps the local
-    top k; stage two ranks only those survivors per group. Every true top-k row
-    survives its own partition's cut, so the answer is exact, and no task ever
-    holds more than one input partition or k x partitions rows of a group, however
-    hot the group is.
-    """
-    local = Window.partitionBy("_tk_pid", *group).orderBy(*order)
-    cand = (df.withColumn("_tk_pid", F.spark_partition_id())
-              .withColumn("_tk_r", F.row_number().over(local)).where(F.col("_tk_r") <= k)
-              .drop("_tk_r", "_tk_pid"))
-    final = Window.partitionBy(*group).orderBy(*order)
-    return cand.withColumn(out, F.row_number().over(final)).where(F.col(out) <= k)
+
+def first_rows(df: DataFrame, order: list[str], frac: float) -> DataFrame:
+    """The single row at position max(min(int(n * frac), n - 1), 1) of the total order, order columns only."""
+    numbered = global_row_number(df.select(*order), order, out="_rn", total="_n")
+    cut = F.greatest(F.least(F.floor(F.col("_n") * F.lit(frac)), F.col("_n") - 1), F.lit(1))
+    return numbered.where(F.col("_rn") == cut).select(*order)

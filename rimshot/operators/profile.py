@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rimshot.operators.ordering import exact_quantiles
+from rimshot.operators.ordering import exact_quantiles, value_counts
 from rimshot.session import checkpoint_dir
 
 ID_LIKE = ("season", "season_start", "game_id", "team_id", "opp_team_id", "team_game_number", "checkpoint")
@@ -50,18 +50,22 @@ def missingness(df: DataFrame, cols: list[str]) -> DataFrame:
 def feature_audit(df: DataFrame, cols: list[str]) -> DataFrame:
     """Per feature: missing %, distinct values, mean, sample std, min, p01, median, p99, max, flags.
 
-    The long (feature, value) table is materialised once (reliable checkpoint): the statistics pass,
-    the range-partition sampling and the ordered numbering then read stored rows instead of each
-    re-running the feature lineage.
+    One pass over the features gives how often each (feature, value) occurs; all statistics follow from that table.
     """
     checkpoint_dir(df.sparkSession)
-    lf = long_form(df, cols).checkpoint(eager=True)
-    stats = lf.groupBy("feature").agg(
-        (F.avg(F.col("value").isNull().cast("double")) * 100).alias("missing_pct"),
-        F.countDistinct("value").alias("n_unique"),
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+    c = value_counts(long_form(df, cols), ["feature"], "value").checkpoint()
+    known = F.col("value").isNotNull()
+    n = F.sum(F.when(known, F.col("_n")))
+    basic = c.groupBy("feature").agg(
+        (F.sum(F.when(known, 0).otherwise(F.col("_n"))) / F.sum("_n") * 100).alias("missing_pct"),
+        F.count("value").alias("n_unique"), (F.sum(F.col("value") * F.col("_n")) / n).alias("mean"), n.alias("_known"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    q = exact_quantiles(lf, ["feature"], "value", {"p01": 0.01, "median": 0.5, "p99": 0.99})
+    # squared distances from the mean, which is known by now, do not cancel
+    spread = (c.where(known).join(basic.select("feature", F.col("mean").alias("_mean")), "feature").groupBy("feature")
+              .agg(F.sum(F.col("_n") * F.pow(F.col("value") - F.col("_mean"), 2)).alias("_ss")))
+    std = F.when(F.col("_known") > 1, F.sqrt(F.col("_ss") / (F.col("_known") - 1)))
+    stats = basic.join(spread, "feature", "left").select("feature", "missing_pct", "n_unique", "mean", std.alias("std"), "min", "max")
+    q = exact_quantiles(c, ["feature"], "value", {"p01": 0.01, "median": 0.5, "p99": 0.99})
     a = stats.join(q, "feature", "left")
     return a.select("*", (F.col("n_unique") <= 1).alias("is_constant"),
                     ((F.col("max") > F.col("p99") * 3) & (F.col("p99") != 0)).alias("has_extreme_outliers"))
@@ -111,7 +115,7 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
     """Equal-width histogram per feature between its min and max (the max falls in the last bin)."""
     lf = long_form(df, cols).where(F.col("value").isNotNull())
     rng = lf.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    j = lf.join(F.broadcast(rng), "feature")
+    j = lf.join(rng, "feature")
     width = F.col("hi") - F.col("lo")
     b = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("lo")) / width * bins), F.lit(bins - 1))) \
          .otherwise(F.lit(0))
@@ -119,10 +123,11 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
 
 
 def box_by_target(df: DataFrame, cols: list[str], target: str) -> DataFrame:
-    """Quartiles, min and max per (feature, target class) (long table materialised once, as in A11)."""
+    """Quartiles, min and max per (feature, target class), all from one table of value counts."""
     checkpoint_dir(df.sparkSession)
-    lf = long_form(df, cols, [target]).checkpoint(eager=True)
-    q = exact_quantiles(lf, ["feature", target], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    mm = lf.groupBy("feature", target).agg(F.min("value").alias("min"), F.max("value").alias("max"),
-                                           F.count("value").alias("n"))
-    return mm.join(q, ["feature", target], "left")
+    c = value_counts(long_form(df, cols, [target]), ["feature", target], "value").checkpoint()
+    q = exact_quantiles(c, ["feature", target], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    mm = c.groupBy("feature", target).agg(F.min("value").alias("min"), F.max("value").alias("max"),
+                                          F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("_n"))), F.lit(0)).alias("n"))
+    both = mm.join(q, mm["feature"].eqNullSafe(q["feature"]) & mm[target].eqNullSafe(q[target]), "left")
+    return both.select(mm["*"], "q1", "median", "q3")

@@ -43,7 +43,7 @@ def checkpoint_cutoffs(results: DataFrame, checkpoints=(20, 40, 60)) -> DataFram
 def team_state(results: DataFrame, elo_hist: DataFrame, teams: DataFrame, cutoffs: DataFrame,
                elo_start: float = E.ELO_START) -> DataFrame:
     """Wins and Elo of every team of the season as of the checkpoint cut-off date."""
-    cut = F.broadcast(cutoffs)
+    cut = cutoffs
     members = results.select("season_start", "team_id").distinct().join(cut, "season_start")
     played = (results.join(cut, "season_start").where(F.col("game_date") <= F.col("cutoff"))
                      .groupBy("season_start", "checkpoint", "team_id")
@@ -53,7 +53,7 @@ def team_state(results: DataFrame, elo_hist: DataFrame, teams: DataFrame, cutoff
                      .agg(F.max_by("elo_post", F.struct("game_date", "game_id")).alias("elo_cp")))
     s = (members.join(played, ["season_start", "checkpoint", "team_id"], "left")
                 .join(rated, ["season_start", "checkpoint", "team_id"], "left")
-                .join(F.broadcast(teams.select("team_id", "conference")), "team_id", "left"))
+                .join(teams.select("team_id", "conference"), "team_id", "left"))
     return s.select("season_start", "checkpoint", "team_id", "conference", "cutoff",
                     F.coalesce("wins_cp", F.lit(0).cast("bigint")).alias("wins_cp"),
                     F.coalesce("elo_cp", F.lit(elo_start)).alias("elo_cp"))
@@ -62,7 +62,7 @@ def team_state(results: DataFrame, elo_hist: DataFrame, teams: DataFrame, cutoff
 def remaining_games(games: DataFrame, cutoffs: DataFrame, season_type: str = "Regular Season") -> DataFrame:
     """Regular-season games after the cut-off (each counted once per checkpoint)."""
     g = games.where(F.col("season_type") == season_type)
-    return (g.join(F.broadcast(cutoffs), "season_start").where(F.col("game_date") > F.col("cutoff"))
+    return (g.join(cutoffs, "season_start").where(F.col("game_date") > F.col("cutoff"))
              .select("season_start", "checkpoint", "game_id", "home_team_id", "away_team_id"))
 
 

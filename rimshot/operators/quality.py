@@ -2,8 +2,8 @@
 
 J2-J5 orphans and cross-table consistency, A3 duplicates, F7 completeness,
 F8 ranges, A4-A7 schedule report. All are anti joins, inner joins or one
-grouped aggregate; dimension sides are broadcast, fact-to-fact checks shuffle
-on the join key only.
+grouped aggregate; joins shuffle on the join key only, or broadcast a side that
+Spark has measured.
 """
 
 from __future__ import annotations
@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def orphans(fact: DataFrame, dim: DataFrame, key: str, dim_key: str | None = None,
-            broadcast_dim: bool = False) -> DataFrame:
+def orphans(fact: DataFrame, dim: DataFrame, key: str, dim_key: str | None = None) -> DataFrame:
     """Distinct fact keys with no dimension row. A null key counts as an orphan.
 
     ``left_anti`` keeps rows whose key is null (the equality is unknown, so no
@@ -24,15 +23,13 @@ def orphans(fact: DataFrame, dim: DataFrame, key: str, dim_key: str | None = Non
     """
     dk = dim_key or key
     d = dim.select(F.col(dk).alias("_dk")).distinct()
-    if broadcast_dim:
-        d = F.broadcast(d)
     keys = fact.select(key).distinct()
     return keys.join(d, F.col(key) == F.col("_dk"), "left_anti")
 
 
 def game_orphans(games: DataFrame, teams: DataFrame) -> DataFrame:
     """Games whose home or away team is missing from the team dimension (or null)."""
-    ids = F.broadcast(teams.select("team_id").distinct())
+    ids = teams.select("team_id").distinct()
     h = ids.select(F.col("team_id").alias("_h"))
     a = ids.select(F.col("team_id").alias("_a"))
     j = (games.join(h, games.home_team_id == h._h, "left")
@@ -77,9 +74,13 @@ def incomplete(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def out_of_range(df: DataFrame, pct_cols: list[str] = (), count_cols: list[str] = ()) -> DataFrame:
-    """F8: a percentage outside [0, 1] or a negative counting stat; nulls pass (three-valued logic)."""
-    conds = [(F.col(c) < 0) | (F.col(c) > 1) for c in pct_cols if c in df.columns]
-    conds += [F.col(c) < 0 for c in count_cols if c in df.columns]
+    """F8: a percentage outside [0, 1] or a negative counting stat; nulls pass (three-valued logic). A column that
+    the frame lacks is an error."""
+    absent = [c for c in (*pct_cols, *count_cols) if c not in df.columns]
+    if absent:
+        raise ValueError(f"no such columns: {absent}")
+    conds = [(F.col(c) < 0) | (F.col(c) > 1) for c in pct_cols]
+    conds += [F.col(c) < 0 for c in count_cols]
     return df.where(reduce(lambda a, b: a | b, conds))
 
 

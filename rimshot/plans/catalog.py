@@ -44,7 +44,7 @@ def load_all() -> None:
     """Import every query module so it registers."""
     from rimshot.plans import (q_features, q_quality, q_results, q_elo, q_metrics,  # noqa: F401
                                q_projection, q_market, q_merge, q_profile, q_models, q_streaming,
-                               q_sources)
+                               q_sources, q_gaps)
 
 
 def queries() -> dict[str, QueryFn]:

@@ -9,6 +9,8 @@ from rimshot.operators import features as FT
 from rimshot.operators.labels import season_labels, seeds
 from rimshot.operators.results import features_base, team_game_results
 from rimshot.plans.catalog import query, round_doubles
+from rimshot.plans import q_elo  # noqa: F401  (registers the f_elo oracle CTE)
+from rimshot.plans.oracle_sql import register
 from rimshot.sources import fixtures as fx
 
 ROLL_COLS = list(FT.ROLLING_SPEC)
@@ -19,8 +21,13 @@ def base_table(spark, sf_dir):
     return features_base(team_game_results(g), fx.team_stats(spark, sf_dir))
 
 
+def calendar(spark, sf_dir):
+    """Every team's games with their dates: a cheap superset of the rows of all feature tables."""
+    return team_game_results(fx.games(spark, sf_dir)).select("season_start", "team_id", "game_date")
+
+
 def rolled_table(spark, sf_dir):
-    return FT.rolling(base_table(spark, sf_dir))
+    return FT.rolling(base_table(spark, sf_dir), calendar=calendar(spark, sf_dir))
 
 
 def labels_table(spark, sf_dir):
@@ -63,9 +70,12 @@ from y group by season_start""")
 def w04_leakage_mae(spark, sf_dir):
     """W4 + A21: the pre-game L10 of game m+1 must equal the post-game L10 of game m (MAE 0)."""
     b = base_table(spark, sf_dir)
-    pre = FT.rolling(b, {"pre_l10": ("is_win", 10)}, pre=True)
-    post = FT.rolling(pre, {"post_l10": ("is_win", 10)}, pre=False)
-    x = post.withColumn("post_l10_prev", F.lag("post_l10").over(FT.season_window()))
+    cal = calendar(spark, sf_dir)
+    pre = FT.rolling(b, {"pre_l10": ("is_win", 10)}, pre=True, calendar=cal)
+    post = FT.rolling(pre, {"post_l10": ("is_win", 10)}, pre=False, calendar=cal)
+    from rimshot.operators.sliced import slice_window, spread
+    keys, order = list(FT.SEASON_KEYS), list(FT.GAME_ORDER)
+    x = spread(post, keys, order, halo=1, calendar=cal).withColumn("post_l10_prev", F.lag("post_l10").over(slice_window(keys, order))).where("not _halo")
     return round_doubles(x.groupBy("season_start").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count("pre_l10").cast("bigint").alias("n_compared"),
         F.avg(F.abs(F.col("pre_l10") - F.col("post_l10_prev"))).alias("mae_pre_vs_post")))
@@ -81,9 +91,8 @@ from n join c on n.team_game_number = c.checkpoint + 1
 left join f_teams t on n.team_id = t.team_id""")
 def w07_checkpoints(spark, sf_dir):
     """W6 + W7 + J11: state before game N+1 for N in 20/40/60, with conference and division."""
-    numbered = FT.with_game_number(rolled_table(spark, sf_dir))
-    parts = [FT.checkpoint_rows(numbered, n) for n in (20, 40, 60)]
-    cp = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    numbered = FT.with_game_number(rolled_table(spark, sf_dir), calendar=calendar(spark, sf_dir))
+    cp = FT.checkpoint_rows(numbered, (20, 40, 60))
     cp = FT.attach_conference(cp, fx.teams(spark, sf_dir))
     return round_doubles(cp.select("checkpoint", "season_start", "game_id", "team_id", "team_game_number",
                                    "conference", "division", *ROLL_COLS))
@@ -124,7 +133,7 @@ def a09_label_base_rates(spark, sf_dir):
         F.max("seed").alias("max_seed"), F.count(F.lit(1)).alias("team_seasons")))
 
 
-@query("w14_rest_travel", """
+register("f_rest", """
 with v as (select r.*, case when is_home = 1 then team_id else opp_team_id end as venue_team_id from f_results r),
 x as (select v.*, t.lat, t.lon, o.lat as own_lat, o.lon as own_lon
       from v left join f_teams t on t.team_id = v.venue_team_id left join f_teams o on o.team_id = v.team_id),
@@ -135,9 +144,12 @@ z as (select y.*, 2 * 3958.8 * asin(least(1e0, sqrt(power(sin((radians(lat) - ra
              + cos(radians(plat)) * cos(radians(lat)) * power(sin((radians(lon) - radians(plon)) / 2), 2)))) as miles
       from y)
 select season_start, game_id, game_date, team_id, is_home, cast(rest_days as bigint) as rest_days,
-       case when rest_days <= 1 then 1 else 0 end as is_b2b, round(miles, 6) as travel_miles,
+       case when rest_days <= 1 then 1 else 0 end as is_b2b, miles as travel_miles,
        case when miles > 0 then 1 else 0 end as traveled
-from z""")
+from z""", ("f_results", "f_teams"))
+
+
+@query("w14_rest_travel", "select * replace (round(travel_miles, 6) as travel_miles) from f_rest")
 def w14_rest_travel(spark, sf_dir):
     """W14 + W15: rest days, back-to-back flag and miles travelled per team game."""
     r = FT.rest_travel(team_game_results(fx.games(spark, sf_dir)), fx.teams(spark, sf_dir))
@@ -146,11 +158,9 @@ def w14_rest_travel(spark, sf_dir):
                                   F.col("travel_miles"), "traveled"))
 
 
-ADV_OUT = ["net_rtg_l5", "net_rtg_l10", "net_rtg_s2d", "off_rtg_l10", "def_rtg_l10", "pace_l10",
-           "efg_pct_l10", "ts_pct_l10", "tov_pct_l10", "oreb_pct_l10", "dreb_pct_l10", "poss_l10"]
+ADV_OUT = list(FT.advanced_rolling_spec())
 
-
-@query("w13_advanced_rolling", """
+register("f_adv_roll", """
 with a as (select b.*, fga + 0.44e0 * fta - oreb + turnovers as poss,
                   case when fga + 0.44e0 * fta - oreb + turnovers <> 0
                        then 1e2 * pts / (fga + 0.44e0 * fta - oreb + turnovers) end as off_rtg
@@ -162,24 +172,18 @@ m as (select a.*, o.off_rtg as def_rtg, a.off_rtg - o.off_rtg as net_rtg, (a.pos
              case when a.oreb + o.dreb <> 0 then 1e0 * a.oreb / (a.oreb + o.dreb) end as oreb_pct,
              case when a.dreb + o.oreb <> 0 then 1e0 * a.dreb / (a.dreb + o.oreb) end as dreb_pct
       from a left join a o on a.game_id = o.game_id and a.opp_team_id = o.team_id)
-select season_start, game_id, team_id,
-       round(avg(net_rtg) over (w rows between 5 preceding and 1 preceding), 6) as net_rtg_l5,
-       round(avg(net_rtg) over (w rows between 10 preceding and 1 preceding), 6) as net_rtg_l10,
-       round(avg(net_rtg) over (w rows between unbounded preceding and 1 preceding), 6) as net_rtg_s2d,
-       round(avg(off_rtg) over (w rows between 10 preceding and 1 preceding), 6) as off_rtg_l10,
-       round(avg(def_rtg) over (w rows between 10 preceding and 1 preceding), 6) as def_rtg_l10,
-       round(avg(pace) over (w rows between 10 preceding and 1 preceding), 6) as pace_l10,
-       round(avg(efg_pct) over (w rows between 10 preceding and 1 preceding), 6) as efg_pct_l10,
-       round(avg(ts_pct) over (w rows between 10 preceding and 1 preceding), 6) as ts_pct_l10,
-       round(avg(tov_pct) over (w rows between 10 preceding and 1 preceding), 6) as tov_pct_l10,
-       round(avg(oreb_pct) over (w rows between 10 preceding and 1 preceding), 6) as oreb_pct_l10,
-       round(avg(dreb_pct) over (w rows between 10 preceding and 1 preceding), 6) as dreb_pct_l10,
-       round(avg(poss) over (w rows between 10 preceding and 1 preceding), 6) as poss_l10
-from m window w as (partition by season_start, team_id order by game_date, game_id)""")
+select season_start, game_id, team_id, """ + ", ".join(
+    f"avg({c}) over (w rows between {n or 'unbounded'} preceding and 1 preceding) as {o}"
+    for o, (c, n) in FT.advanced_rolling_spec().items()) + """
+from m window w as (partition by season_start, team_id order by game_date, game_id)""", ("f_base",))
+
+
+@query("w13_advanced_rolling", "select season_start, game_id, team_id, "
+       + ", ".join(f"round({c}, 6) as {c}" for c in ADV_OUT) + " from f_adv_roll")
 def w13_advanced_rolling(spark, sf_dir):
     """L5/L10/season-to-date means of possession-based efficiency metrics."""
     adv = FT.advanced_metrics(base_table(spark, sf_dir))
-    r = FT.rolling(adv, FT.advanced_rolling_spec())
+    r = FT.rolling(adv, FT.advanced_rolling_spec(), calendar=calendar(spark, sf_dir))
     return round_doubles(r.select("season_start", "game_id", "team_id", *ADV_OUT))
 
 
@@ -197,7 +201,7 @@ def j09_matchup(spark, sf_dir):
     return round_doubles(FT.matchup(rolled_table(spark, sf_dir), MATCHUP_FEATURES))
 
 
-@query("w16_core_availability", """
+register("f_core", """
 with p as (select season_start, team_id, game_id, player_id, minutes,
                   row_number() over (partition by game_id, player_id order by team_id, fgm, fga, fg3m, fg3a, ftm, fta,
                                      oreb, dreb, ast, turnovers, pts, minutes) as rn from f_player_raw),
@@ -217,8 +221,11 @@ top as (select *, row_number() over (partition by season_start, team_id, target
 team as (select season_start, team_id, target, cast(sum(games5) as bigint) as core_games5, sum(min5) as core_min5
          from top where r <= 8 group by 1, 2, 3)
 select n.season_start, n.team_id, n.game_id, n.gn as team_game_number,
-       coalesce(t.core_games5, 0) as core_games5, round(coalesce(t.core_min5, 0e0), 6) as core_min5
-from n left join team t on n.season_start = t.season_start and n.team_id = t.team_id and n.gn = t.target""")
+       coalesce(t.core_games5, 0) as core_games5, coalesce(t.core_min5, 0e0) as core_min5
+from n left join team t on n.season_start = t.season_start and n.team_id = t.team_id and n.gn = t.target""", ("f_player_raw", "f_results"))
+
+
+@query("w16_core_availability", "select * replace (round(core_min5, 6) as core_min5) from f_core")
 def w16_core_availability(spark, sf_dir):
     """Core-player appearances and minutes over the previous five games (injury proxy)."""
     from rimshot.operators.normalise import dedup_first
@@ -230,6 +237,56 @@ def w16_core_availability(spark, sf_dir):
     return round_doubles(r)
 
 
+ADV_DIFFS = {"net_rtg": "net_rtg", "efg": "efg_pct", "ts": "ts_pct", "tov": "tov_pct", "oreb": "oreb_pct", "dreb": "dreb_pct",
+             "pace": "pace", "poss": "poss"}
+NEXT_GAME_DIFFS = {"elo_diff": "elo_pre", "rest_adv_days": "rest_days", "win_pct_l10_diff": "win_pct_l10",
+                   "margin_l10_diff": "avg_point_diff_l10",
+                   **{f"{k}_{n}_diff": f"{c}_{n}" for n in ("l10", "l5", "s2d") for k, c in ADV_DIFFS.items()},
+                   "core_games_last5_adv": "core_games5", "core_minutes_last5_adv": "core_min5",
+                   "travel_miles_adv": "travel_miles", "is_travel_game_adv": "traveled"}
+
+
+def next_game_table(spark, sf_dir):
+    """One row per game: home minus away of the Elo rating before the game, the rolling form and efficiency, rest,
+    travel and core-player availability; back-to-back flags of both sides; ``home_win``."""
+    from rimshot.operators.elo import elo
+    from rimshot.operators.normalise import dedup_first
+    res = team_game_results(fx.games(spark, sf_dir))
+    cal = res.select("season_start", "team_id", "game_date")
+    spec = {**FT.advanced_rolling_spec(), "win_pct_l10": ("is_win", 10), "avg_point_diff_l10": ("point_diff", 10)}
+    team = FT.rolling(FT.advanced_metrics(base_table(spark, sf_dir)), spec, calendar=cal)
+    order = ["team_id", "fgm", "fga", "fg3m", "fg3a", "ftm", "fta", "oreb", "dreb", "ast", "turnovers", "pts", "minutes"]
+    players = dedup_first(fx.player_raw(spark, sf_dir), ["game_id", "player_id"], order)
+    keys = ["game_id", "team_id"]
+    team = (team.join(elo(res).select(*keys, "elo_pre"), keys, "left")
+            .join(FT.rest_travel(res, fx.teams(spark, sf_dir)).select(*keys, "rest_days", "is_b2b", "travel_miles", "traveled"), keys, "left")
+            .join(FT.core_availability(players, res).select(*keys, "core_games5", "core_min5"), keys, "left"))
+    home = F.col("is_home") == 1
+    side = lambda c, at_home: F.max(F.when(home if at_home else ~home, F.col(c)))
+    return team.groupBy("season_start", "game_id", "game_date").agg(
+        side("team_id", True).alias("home_team_id"), side("team_id", False).alias("away_team_id"),
+        side("is_win", True).alias("home_win"), side("is_b2b", True).alias("home_is_b2b"), side("is_b2b", False).alias("away_is_b2b"),
+        *[(side(c, True) - side(c, False)).cast("double").alias(out) for out, c in NEXT_GAME_DIFFS.items()])
+
+
+@query("j09_full", """
+with t as (select b.season_start, b.game_id, b.game_date, b.team_id, b.is_home, b.is_win, e.elo_pre, a.* exclude (season_start, game_id, team_id),
+                  r.win_pct_l10, r.avg_point_diff_l10, s.rest_days, s.is_b2b, s.travel_miles, s.traveled, c.core_games5, c.core_min5
+           from f_base b left join f_elo e using (game_id, team_id) left join f_adv_roll a using (game_id, team_id)
+           left join f_rolling r using (game_id, team_id) left join f_rest s using (game_id, team_id)
+           left join f_core c using (game_id, team_id))
+select season_start, game_id, game_date, max(case when is_home = 1 then team_id end) as home_team_id,
+       max(case when is_home = 0 then team_id end) as away_team_id, max(case when is_home = 1 then is_win end) as home_win,
+       max(case when is_home = 1 then is_b2b end) as home_is_b2b, max(case when is_home = 0 then is_b2b end) as away_is_b2b,
+       """ + ", ".join(
+    f"round(cast(max(case when is_home = 1 then {c} end) - max(case when is_home = 0 then {c} end) as double), {4 if o == 'elo_diff' else 6}) as {o}"
+    for o, c in NEXT_GAME_DIFFS.items()) + """
+from t group by season_start, game_id, game_date""")
+def j09_full(spark, sf_dir):
+    """J9 over Elo, W13, W14-W16: the table that the next-game models learn from."""
+    return round_doubles(next_game_table(spark, sf_dir).withColumn("elo_diff", F.round("elo_diff", 4)))
+
+
 @query("w05_form_timeline", """
 select season_start, team_id, game_id, game_date, gn as team_game_number, is_win, point_diff,
        round(win_pct_l10, 6) as win_pct_l10, round(win_pct_s2d, 6) as win_pct_s2d
@@ -246,7 +303,12 @@ def w05_form_timeline(spark, sf_dir):
 select season_start, game_id, game_date, team_id, opp_team_id, is_home, is_win, point_diff, pts, {_R}
 from f_rolling""")
 def w01_rolling_features_hot_key_safe(spark, sf_dir):
-    """W1-W3 through the hot-key-safe plan (prefix sums over range partitions + positional joins)."""
-    r = FT.rolling_hot_key_safe(base_table(spark, sf_dir))
+    """W1-W3 with slices of a few rows each, as a team-season that holds a large share of all rows would have."""
+    from rimshot.operators import sliced
+    held, sliced.SLICE_ROWS = sliced.SLICE_ROWS, 7
+    try:
+        r = rolled_table(spark, sf_dir)
+    finally:
+        sliced.SLICE_ROWS = held
     return round_doubles(r.select("season_start", "game_id", "game_date", "team_id", "opp_team_id", "is_home",
                                   "is_win", "point_diff", "pts", *ROLL_COLS))

@@ -16,7 +16,7 @@ from rimshot.operators import features as FT
 from rimshot.operators.ordering import time_split
 from rimshot.plans.catalog import query, round_doubles
 from rimshot.plans.oracle_sql import register
-from rimshot.plans.q_features import labels_table, rolled_table
+from rimshot.plans.q_features import calendar, labels_table, rolled_table
 from rimshot.sources import fixtures as fx
 
 GAME_FOLD = ["model", "season_start"]
@@ -49,25 +49,27 @@ select checkpoint, season_start, team_id, team_conference, y_true, 'win_pct_s2d'
 def preds_game(spark, sf_dir) -> DataFrame:
     r = rolled_table(spark, sf_dir).where(F.col("avg_point_diff_l10").isNotNull())
     keys = ["season_start", "game_id", "game_date", "team_id"]
-    a = r.select(*keys, F.lit("sigmoid_pd_l10").alias("model"), F.col("is_win").alias("y_true"),
-                 E.sigmoid(F.lit(0.1) * F.col("avg_point_diff_l10")).alias("y_prob"))
-    b = r.select(*keys, F.lit("win_pct_l10").alias("model"), F.col("is_win").alias("y_true"),
-                 F.col("win_pct_l10").alias("y_prob"))
-    return a.unionByName(b)
+    return _scores(r.withColumnRenamed("is_win", "y_true"), [*keys, "y_true"], {
+        "sigmoid_pd_l10": E.sigmoid(F.lit(0.1) * F.col("avg_point_diff_l10")), "win_pct_l10": F.col("win_pct_l10")})
+
+
+def _scores(df, keys, models) -> DataFrame:
+    """A row for each model, from one pass over ``df``."""
+    each = F.array(*[F.struct(F.lit(m).alias("model"), p.cast("double").alias("y_prob")) for m, p in models.items()])
+    rows = df.select(*keys, F.explode(each).alias("_m"))
+    first = [k for k in keys if k != "y_true"]
+    return rows.select(*first, "_m.model", "y_true", "_m.y_prob")
 
 
 def preds_checkpoint(spark, sf_dir) -> DataFrame:
-    numbered = FT.with_game_number(rolled_table(spark, sf_dir))
-    cps = [FT.checkpoint_rows(numbered, n) for n in (20, 40, 60)]
-    cp = cps[0].unionByName(cps[1]).unionByName(cps[2])
+    numbered = FT.with_game_number(rolled_table(spark, sf_dir), calendar=calendar(spark, sf_dir))
+    cp = FT.checkpoint_rows(numbered, (20, 40, 60))
     cp = FT.attach_conference(cp, fx.teams(spark, sf_dir)).withColumnRenamed("conference", "team_conference")
     cp = cp.join(labels_table(spark, sf_dir).select("season_start", "team_id", F.col("made_playoffs").alias("y_true")),
                  ["season_start", "team_id"], "left")
     keys = ["checkpoint", "season_start", "team_id", "team_conference", "y_true"]
-    a = cp.select(*keys, F.lit("sigmoid_pd_s2d").alias("model"),
-                  E.sigmoid(F.lit(0.1) * F.col("avg_point_diff_s2d")).alias("y_prob"))
-    b = cp.select(*keys, F.lit("win_pct_s2d").alias("model"), F.col("win_pct_s2d").alias("y_prob"))
-    return a.unionByName(b)
+    return _scores(cp, keys, {"sigmoid_pd_s2d": E.sigmoid(F.lit(0.1) * F.col("avg_point_diff_s2d")),
+                              "win_pct_s2d": F.col("win_pct_s2d")})
 
 
 def _auc_sql(src: str, fold: str) -> str:

@@ -11,7 +11,9 @@ from rimshot.operators import metrics as M
 from rimshot.operators import models as ML
 from rimshot.plans.catalog import query, round_doubles
 from rimshot.plans.oracle_sql import register
-from rimshot.plans.q_features import MATCHUP_FEATURES, base_table, labels_table, rolled_table
+from rimshot.operators.elo import elo
+from rimshot.operators.results import team_game_results
+from rimshot.plans.q_features import MATCHUP_FEATURES, base_table, calendar, labels_table, next_game_table, rolled_table
 from rimshot.plans.q_metrics import preds_game
 from rimshot.session import checkpoint_dir
 from rimshot.sources import fixtures as fx
@@ -33,7 +35,8 @@ def model_table(spark, sf_dir, checkpoint: int = 40):
     for r in RATES:
         spec[f"{r}_s2d"] = (r, None)
         spec[f"{r}_l10"] = (r, 10)
-    cp = FT.checkpoint_rows(FT.with_game_number(FT.rolling(b, spec)), checkpoint)
+    cal = calendar(spark, sf_dir)
+    cp = FT.checkpoint_rows(FT.with_game_number(FT.rolling(b, spec, calendar=cal), calendar=cal), checkpoint)
     cp = FT.attach_conference(cp, fx.teams(spark, sf_dir)).withColumnRenamed("conference", "team_conference")
     lab = labels_table(spark, sf_dir).select("season_start", "team_id", LABEL)
     return cp.join(lab, ["season_start", "team_id"], "left").select(
@@ -64,12 +67,18 @@ left join f_labels l on r.season_start = l.season_start and r.team_id = l.team_i
 where r.gn = 41""", ("f_base", "f_teams", "f_labels"))
 
 
-@query("l01_median_impute", "\nunion all\n".join(
-    f"select '{c}' as feature, round(quantile_cont({c}, 0.5), 6) as median from f_model_cp40" for c in MODEL_FEATURES))
+@query("l01_median_impute", "\nunion all\n".join([
+    *[f"select '{c}' as feature, round(quantile_cont({c}, 0.5), 6) as median from f_model_cp40" for c in MODEL_FEATURES],
+    "select 'conference_no', round(quantile_cont(case when team_conference = 'East' then 1 else 2 end + team_id % 2, 0.5), 6) from f_model_cp40",
+    "select 'nothing', null"]))
 def l01_median_impute(spark, sf_dir):
-    """L1: exact medians of the model features (fitted on the table; applied with fillna)."""
-    med = ML.medians(model_table(spark, sf_dir), MODEL_FEATURES)
-    rows = [(c, round(med[c], 6) if med.get(c) is not None else None) for c in MODEL_FEATURES]
+    """L1: exact medians of the model features, of an integer column and of one without any value."""
+    t = model_table(spark, sf_dir).withColumns({
+        "conference_no": (F.when(F.col("team_conference") == "East", 1).otherwise(2) + F.col("team_id") % 2).cast("int"),
+        "nothing": F.lit(None).cast("double")})
+    cols = [*MODEL_FEATURES, "conference_no", "nothing"]
+    med = ML.medians(t, cols)
+    rows = [(c, round(med[c], 6) if med.get(c) is not None else None) for c in cols]
     return spark.createDataFrame(rows, "feature string, median double")
 
 
@@ -96,84 +105,177 @@ def l04_class_weights(spark, sf_dir):
     return round_doubles(w.groupBy(LABEL, "weight").agg(F.count(F.lit(1)).alias("n")).select(LABEL, "n", "weight"))
 
 
-_GRID = ML.temperature_grid()
-_STEP = (_GRID[1] - _GRID[0]) / 10
-
-
-@query("l13_temperature_fit", f"""
-with z as (select model, 1e0 * y_true as y, ln(q / (1 - q)) as z
-           from (select model, y_true, least(greatest(y_prob, 1e-6), 1 - 1e-6) as q from f_preds_game) x),
-g as (select unnest([{", ".join(repr(float(t)) + "e0" if "e" not in repr(float(t)) else repr(float(t)) for t in _GRID)}]) as t),
-coarse as (select model, t, avg(-(y * ln(1e0 / (1e0 + exp(-z / t)) + 1e-15)
-                                  + (1 - y) * ln(1 - 1e0 / (1e0 + exp(-z / t)) + 1e-15))) as nll
-           from z join g on true group by model, t),
-cb as (select model, t from (select *, row_number() over (partition by model order by nll, t) as rk from coarse) x
-       where rk = 1),
-ft as (select model, t + k * {repr(_STEP)}e0 as t from cb, (select unnest(range(-10, 11)) as k) ks
-       where t + k * {repr(_STEP)}e0 > 0),
-fine as (select z.model, ft.t, avg(-(y * ln(1e0 / (1e0 + exp(-z / ft.t)) + 1e-15)
-                                     + (1 - y) * ln(1 - 1e0 / (1e0 + exp(-z / ft.t)) + 1e-15))) as nll
-         from z join ft on z.model = ft.model group by z.model, ft.t)
-select model, round(t, 6) as temperature, round(nll, 6) as nll
-from (select *, row_number() over (partition by model order by nll, t) as rk from fine) x where rk = 1""")
+@query("l13_temperature_fit", """
+with recursive z as materialized (select model, 1e0 * y_true as y, ln(q / (1 - q)) as z
+           from (select model, y_true, least(greatest(y_prob, 1e-6), 1 - 1e-6) as q from f_preds_game
+                 union all
+                 select model || ' relabelled', case when game_id % 4 = 0 then 0 else 1 end * case when y_prob >= 5e-1 then 1 else 0 end
+                        + case when game_id % 4 = 0 then 1 else 0 end * case when y_prob >= 5e-1 then 0 else 1 end,
+                        least(greatest(y_prob, 1e-6), 1 - 1e-6) from f_preds_game) x),
+s as (
+  select distinct model, 0 as k, -30e0 as lo, 30e0 as hi from z
+  union all
+  select model, k + 1, case when slope > 0 then (lo + hi) / 2 else lo end, case when slope > 0 then hi else (lo + hi) / 2 end
+  from (select s.model, s.k, s.lo, s.hi, avg((1e0 / (1e0 + exp(-z.z * exp(-(s.lo + s.hi) / 2))) - z.y) * z.z) as slope
+        from s join z on z.model = s.model where s.k < 80 group by s.model, s.k, s.lo, s.hi) step),
+t as (select model, exp((lo + hi) / 2) as t from s where k = 80)
+select t.model, round(t.t, 6) as temperature,
+       round(avg(-(y * ln(1e0 / (1e0 + exp(-z / t)) + 1e-15) + (1 - y) * ln(1 - 1e0 / (1e0 + exp(-z / t)) + 1e-15))), 6) as nll
+from t join z on z.model = t.model where t.t < 1e10 group by t.model, t.t
+union all
+select model, 'infinity'::double, round(ln(2e0), 6) from t where t >= 1e10""")
 def l13_temperature_fit(spark, sf_dir):
-    """Calibration temperature per model (grid, then a 10x finer grid around the best)."""
-    return round_doubles(ML.fit_temperature(preds_game(spark, sf_dir), ["model"]))
+    """Calibration temperature per model, without bounds (the oracle bisects on the slope of the NLL)."""
+    p = preds_game(spark, sf_dir).select("model", "game_id", "y_true", "y_prob")
+    says = F.col("y_prob") >= 0.5   # labels that follow the predictions, but for every fourth game
+    other = p.withColumns({"model": F.concat("model", F.lit(" relabelled")),
+                           "y_true": F.when(F.col("game_id") % 4 == 0, ~says).otherwise(says).cast("int")})
+    return round_doubles(ML.fit_temperature(p.unionByName(other), ["model"]))
+
+
+CHECKPOINTS = (20, 40, 60)
+# The checkpoint models' wide feature list.
+WIDE_FEATURES = ["win_pct_s2d", "win_pct_l10", "avg_point_diff_s2d", "avg_point_diff_l10",
+                 "avg_pts_l10", "avg_ast_l10", "avg_reb_l10", "avg_tov_l10", "is_home",
+                 "efg_s2d", "efg_l10", "ts_s2d", "ts_l10", "fg3a_rate_s2d", "fg3a_rate_l10", "fta_rate_s2d", "fta_rate_l10",
+                 "tov_rate_s2d", "tov_rate_l10", "elo_pre", "net_rtg_s2d", "net_rtg_l10", "off_rtg_s2d", "off_rtg_l10",
+                 "def_rtg_s2d", "def_rtg_l10"]
+
+
+def wide_table(spark, sf_dir):
+    """State before game N+1 for N in 20/40/60: rolling form, rates, ratings and Elo, conference, season label."""
+    res = team_game_results(fx.games(spark, sf_dir))
+    cal = calendar(spark, sf_dir)
+    b = FT.advanced_metrics(base_table(spark, sf_dir)).select(
+        "*", E.efg_pct("fgm", "fg3m", "fga").alias("efg"), E.ts_pct("pts", "fga", "fta").alias("ts"),
+        E.rate("fg3a", "fga").alias("fg3a_rate"), E.rate("fta", "fga").alias("fta_rate"),
+        E.tov_rate("turnovers", "fga", "fta").alias("tov_rate"))
+    spec = dict(FT.ROLLING_SPEC)
+    for c in ("efg", "ts", "fg3a_rate", "fta_rate", "tov_rate", "net_rtg", "off_rtg", "def_rtg"):
+        spec |= {f"{c}_s2d": (c, None), f"{c}_l10": (c, 10)}
+    cp = FT.checkpoint_rows(FT.with_game_number(FT.rolling(b, spec, calendar=cal), calendar=cal), CHECKPOINTS)
+    cp = FT.attach_conference(cp, fx.teams(spark, sf_dir)).withColumnRenamed("conference", "team_conference")
+    cp = cp.join(elo(res).select("game_id", "team_id", "elo_pre"), ["game_id", "team_id"], "left")
+    lab = labels_table(spark, sf_dir).select("season_start", "team_id", LABEL)
+    return cp.join(lab, ["season_start", "team_id"], "left").select(
+        "checkpoint", "season_start", "team_id", "team_conference", LABEL, *WIDE_FEATURES)
+
+
+def _backtest(spark, sf_dir, models=None, checkpoints=CHECKPOINTS):
+    t = wide_table(spark, sf_dir).where(F.col("checkpoint").isin(list(checkpoints)))
+    return ML.backtest(t, WIDE_FEATURES, LABEL, groups=["checkpoint"], **({"models": models} if models else {}))
+
+
+register("f_cp_labels", """
+with n as (select season_start, team_id, row_number() over (partition by season_start, team_id order by game_date, game_id) as gn from f_base)
+select gn - 1 as checkpoint, n.season_start, n.team_id, t.conference as team_conference, l.made_playoffs
+from n join f_labels l using (season_start, team_id) left join f_teams t using (team_id) where gn in (21, 41, 61)""",
+         ("f_base", "f_labels", "f_teams"))
+
+
+@query("l08_base_rate_backtest", """
+with p as (select t.checkpoint, t.season_start as test_season, t.team_id, t.team_conference, t.made_playoffs as y_true,
+                  'Baseline_BaseRate' as model, avg(1e0 * r.made_playoffs) as y_prob, count(distinct r.made_playoffs) as classes
+           from f_cp_labels t join f_cp_labels r on r.checkpoint = t.checkpoint and r.season_start < t.season_start
+           where t.made_playoffs is not null and r.made_playoffs is not null group by all)
+select cast(checkpoint as integer) as checkpoint, test_season, team_id, team_conference, y_true, model, round(y_prob, 6) as y_prob
+from p where classes = 2""")
+def l08_base_rate_backtest(spark, sf_dir):
+    """L8 at 20/40/60: the base rate of all earlier seasons as every team's probability."""
+    return round_doubles(_backtest(spark, sf_dir, ("Baseline_BaseRate",)))
+
+
+def _fold_scores(p):
+    by = ["checkpoint", "model", "test_season"]
+    fm = M.fold_metrics(p, by)
+    top8 = M.top_k_hits(p, 8, by, ["team_conference"]).select(*by, F.col("hit_rate").alias("top8conf"))
+    top16 = M.top_k_hits(p, 16, by, None, fixed_divisor=True).select(*by, F.col("hit_rate").alias("top16"))
+    return fm.join(top8, by).join(top16, by)
 
 
 @query("l10_backtest_checkpoint40")
 def l10_backtest_checkpoint40(spark, sf_dir):
-    """L8-L10 + L14: rolling season backtest at checkpoint 40: base rate, 1-feature LR, full LR."""
-    return round_doubles(ML.backtest(model_table(spark, sf_dir), MODEL_FEATURES, LABEL))
+    """L8-L10 + L14: predictions of the rolling backtest at checkpoint 40: all baselines and the full LR."""
+    return round_doubles(_backtest(spark, sf_dir, checkpoints=(40,)))
 
 
 @query("l10_backtest_fold_metrics")
 def l10_backtest_fold_metrics(spark, sf_dir):
-    """Q9 over the backtest: per (model, test season) AUC, log loss, Brier, accuracy, top-8 per conference."""
-    p = ML.backtest(model_table(spark, sf_dir), MODEL_FEATURES, LABEL)
-    fm = M.fold_metrics(p, ["model", "test_season"])
-    top8 = M.top_k_hits(p, 8, ["model", "test_season"], ["team_conference"]).select(
-        "model", "test_season", F.col("hit_rate").alias("top8conf"))
-    top16 = M.top_k_hits(p, 16, ["model", "test_season"], None, fixed_divisor=True).select(
-        "model", "test_season", F.col("hit_rate").alias("top16"))
-    return round_doubles(fm.join(top8, ["model", "test_season"]).join(top16, ["model", "test_season"]))
+    """Q9 over the backtest at 20/40/60 with seven baselines and the full LR: per (checkpoint, model, test season)
+    AUC, log loss, Brier, accuracy, top 16 and top 8 per conference."""
+    return round_doubles(_fold_scores(_backtest(spark, sf_dir)))
+
+
+@query("l10_backtest_summary")
+def l10_backtest_summary(spark, sf_dir):
+    """A19 over the backtest: mean and sample std over the folds of every score, per (checkpoint, model)."""
+    s = _fold_scores(_backtest(spark, sf_dir, ("Baseline_BaseRate", "Baseline_LR_elo_pre", "LogisticRegression")))
+    return round_doubles(M.backtest_summary(s, ["checkpoint", "model"], "test_season",
+                                            ["auc", "logloss", "brier", "accuracy", "top16", "top8conf"]))
 
 
 @query("l06_tree_models")
 def l06_tree_models(spark, sf_dir):
-    """L6 + L7: random forest (400 trees, balanced weights) and gradient boosting on the last season."""
-    t = model_table(spark, sf_dir)
+    """L6 + L7: random forest (400 trees, balanced weights) and gradient boosting in every fold at checkpoint 40."""
+    return round_doubles(_backtest(spark, sf_dir, ("RandomForest", "GradientBoosting"), (40,)))
+
+
+def _last_season(spark, sf_dir):
+    """(train, test) of the season model, prepared on the training seasons and stored once; None without both."""
+    checkpoint_dir(spark)
+    t = model_table(spark, sf_dir).where(F.col(LABEL).isNotNull()).checkpoint(eager=True)
     last = t.agg(F.max("season_start")).first()[0]
-    tr, te = ML.prepare(t.where(F.col("season_start") < last), t.where(F.col("season_start") == last),
-                        MODEL_FEATURES, LABEL, center=False, balanced=True)
-    rf = ML.score(ML.fit_rf(tr, MODEL_FEATURES, LABEL, "weight"), te, MODEL_FEATURES)
-    gbt = ML.score(ML.fit_gbt(tr, MODEL_FEATURES, LABEL), te, MODEL_FEATURES)
-    keep = ["season_start", "team_id", LABEL, "y_prob", "y_pred"]
-    return round_doubles(rf.select(*keep, F.lit("RandomForest").alias("model"))
-                         .unionByName(gbt.select(*keep, F.lit("GradientBoosting").alias("model"))))
+    train, test = t.where(F.col("season_start") < last), t.where(F.col("season_start") == last)
+    if last is None or train.select(LABEL).distinct().count() < 2:
+        return None
+    tr, te = ML.prepare(train, test, MODEL_FEATURES, LABEL, center=False, balanced=True)
+    return tr.checkpoint(eager=True), te
 
 
 @query("l11_lr_coefficients")
 def l11_lr_coefficients(spark, sf_dir):
     """Full-LR coefficients on the scaled features, trained on every season but the last."""
-    t = model_table(spark, sf_dir)
-    last = t.agg(F.max("season_start")).first()[0]
-    tr, _ = ML.prepare(t.where(F.col("season_start") < last), t.where(F.col("season_start") == last),
-                       MODEL_FEATURES, LABEL, center=False, balanced=True)
-    m = ML.fit_lr(tr, MODEL_FEATURES, LABEL, 1.0, "weight")
-    rows = [(f, round(c, 6), round(abs(c), 6)) for f, c in ML.coefficients(m, MODEL_FEATURES)]
+    sets, rows = _last_season(spark, sf_dir), []
+    if sets:
+        m = ML.fit_lr(sets[0], MODEL_FEATURES, LABEL, 1.0, "weight")
+        rows = [(f, round(c, 6), round(abs(c), 6)) for f, c in ML.coefficients(m, MODEL_FEATURES)]
     return spark.createDataFrame(rows, "feature string, coef double, abs_coef double")
 
 
+@query("l03_lr_optimality", "select feature, true as at_optimum from (values "
+       + ", ".join(f"('{c}')" for c in [*MODEL_FEATURES, "(intercept)"]) + ") v(feature) where (select count(distinct made_playoffs) from "
+       "f_model_cp40 where season_start < (select max(season_start) from f_model_cp40 where made_playoffs is not null)) = 2")
+def l03_lr_optimality(spark, sf_dir):
+    """L3: at the fitted coefficients the gradient of the weighted, penalised log loss vanishes in every feature."""
+    sets = _last_season(spark, sf_dir)
+    if not sets:
+        return spark.createDataFrame([], "feature string, at_optimum boolean")
+    tr = sets[0]
+    m = ML.fit_lr(tr, MODEL_FEATURES, LABEL, 1.0, "weight")
+    w = dict(zip(MODEL_FEATURES, m.coefficients))
+    z = F.lit(float(m.intercept)) + sum(F.col(c) * F.lit(float(v)) for c, v in w.items())
+    rest = (1 / (1 + F.exp(-z)) - F.col(LABEL)) * F.col("weight")
+    sums = tr.agg(*[F.sum(rest * F.col(c)).alias(c) for c in MODEL_FEATURES], F.sum(rest).alias("(intercept)"),
+                  F.sum("weight").alias("_w")).first()
+    # sklearn's form: |w|^2 / 2 + C * weighted losses, with C = 1
+    gaps = {**{c: sums[c] + w[c] for c in MODEL_FEATURES}, "(intercept)": sums["(intercept)"]}
+    return spark.createDataFrame([(c, bool(abs(g) < 1e-3 * sums["_w"])) for c, g in gaps.items()], "feature string, at_optimum boolean")
+
+
 @query("l12_permutation_importance")
 def l12_permutation_importance(spark, sf_dir):
-    """AUC drop per feature over 30 shuffles of the last season's test rows."""
-    t = model_table(spark, sf_dir)
-    last = t.agg(F.max("season_start")).first()[0]
-    tr, te = ML.prepare(t.where(F.col("season_start") < last), t.where(F.col("season_start") == last),
-                        MODEL_FEATURES, LABEL, center=False, balanced=True)
-    m = ML.fit_lr(tr, MODEL_FEATURES, LABEL, 1.0, "weight")
-    return round_doubles(ML.permutation_importance(m, te, MODEL_FEATURES, LABEL, "team_id"))
+    """AUC drop per model and feature over 30 shuffles of the last season's test rows, for LR, RF and GBT."""
+    sets, out = _last_season(spark, sf_dir), []
+    if sets:
+        tr, te = sets
+        fits = {"LogisticRegression": lambda: ML.fit_lr(tr, MODEL_FEATURES, LABEL, 1.0, "weight"),
+                "RandomForest": lambda: ML.fit_rf(tr, MODEL_FEATURES, LABEL, "weight"),
+                "GradientBoosting": lambda: ML.fit_gbt(tr, MODEL_FEATURES, LABEL)}
+        out = [ML.permutation_importance(fit(), te, MODEL_FEATURES, LABEL, "team_id").withColumn("model", F.lit(name))
+               for name, fit in fits.items()]
+    if not out:
+        return spark.createDataFrame([], "feature string, perm_importance_mean double, perm_importance_std double, model string")
+    return round_doubles(out[0].unionByName(out[1]).unionByName(out[2]))
 
 
 @query("l05_tune_c_next_game")
@@ -186,47 +288,51 @@ def l05_tune_c_next_game(spark, sf_dir):
                                  "c double, logloss double, chosen boolean")
 
 
-BASE_SET = [f"{f}_diff" for f in MATCHUP_FEATURES]
-CONTEXT_SET = BASE_SET + ["rest_adv_days", "home_b2b", "away_b2b", "travel_miles_diff", "core_games5_diff",
-                          "core_min5_diff"]
+# The next-game feature sets.
+_REST = ["elo_diff", "rest_adv_days", "home_is_b2b", "away_is_b2b", "win_pct_l10_diff", "margin_l10_diff"]
+_SIX = ["net_rtg", "efg", "ts", "tov", "oreb", "dreb"]
 
 
-def next_game_table(spark, sf_dir):
-    """v_game_training_nextgame (J9 + W14-W16): one row per game, home-minus-away rolling differences,
-    rest advantage and back-to-back flags, travel difference and core-availability difference."""
-    from rimshot.operators.normalise import dedup_first
-    from rimshot.operators.results import team_game_results
-    res = team_game_results(fx.games(spark, sf_dir))
-    rt = FT.rest_travel(res, fx.teams(spark, sf_dir)).select("game_id", "team_id", "rest_days", "is_b2b", "travel_miles")
-    raw = fx.player_raw(spark, sf_dir)
-    players = dedup_first(raw, ["game_id", "player_id"], ["team_id", "fgm", "fga", "pts", "minutes"])
-    core = FT.core_availability(players, res).select("game_id", "team_id", "core_games5", "core_min5")
-    rolled = rolled_table(spark, sf_dir).join(rt, ["game_id", "team_id"], "left").join(core, ["game_id", "team_id"], "left")
-    home = F.col("is_home") == 1
-    aggs = [F.max(F.when(home, F.col("is_win"))).alias("home_win")]
-    for f in MATCHUP_FEATURES:
-        aggs.append((F.max(F.when(home, F.col(f))) - F.max(F.when(~home, F.col(f)))).alias(f"{f}_diff"))
-    aggs += [(F.max(F.when(home, F.col("rest_days"))) - F.max(F.when(~home, F.col("rest_days")))).alias("rest_adv_days"),
-             F.max(F.when(home, F.col("is_b2b"))).alias("home_b2b"), F.max(F.when(~home, F.col("is_b2b"))).alias("away_b2b"),
-             (F.max(F.when(home, F.col("travel_miles"))) - F.max(F.when(~home, F.col("travel_miles")))).alias("travel_miles_diff"),
-             (F.max(F.when(home, F.col("core_games5"))) - F.max(F.when(~home, F.col("core_games5")))).alias("core_games5_diff"),
-             (F.max(F.when(home, F.col("core_min5"))) - F.max(F.when(~home, F.col("core_min5")))).alias("core_min5_diff")]
-    g = rolled.groupBy("season_start", "game_id", "game_date").agg(*aggs).where(F.col("home_win").isNotNull())
-    return g.fillna(0.0, subset=CONTEXT_SET)                        # P14
+def _diffs(names, n):
+    return [f"{x}_{n}_diff" for x in names]
+
+
+NEXT_GAME_SETS = {
+    "M3_adv_l10": _REST + _diffs([*_SIX, "pace", "poss"], "l10"),
+    "M4_adv_l10_l5_s2d": _REST + [f for n in ("l10", "l5", "s2d") for f in _diffs([*_SIX, "pace", "poss"], n)],
+    "M5_adv_l10_plus_s2d": _REST + _diffs(_SIX, "l10") + _diffs(_SIX, "s2d"),
+}
+INJURY_TRAVEL = ["core_games_last5_adv", "core_minutes_last5_adv", "travel_miles_adv", "is_travel_game_adv"]
+COMPARED_SETS = {"base": NEXT_GAME_SETS["M5_adv_l10_plus_s2d"],
+                 "injury_travel": NEXT_GAME_SETS["M5_adv_l10_plus_s2d"] + INJURY_TRAVEL}
+
+
+def _next_game_scores(p):
+    by = ["model", "test_season"]
+    fm = M.fold_metrics(p, by)
+    raw = M.fold_metrics(p, by, p="y_prob_raw").select(
+        *by, *[F.col(c).alias(f"{c}_raw") for c in ("mean_p", "logloss", "brier", "auc")])
+    e = M.ece(M.calibration(p, by), by)
+    t = p.groupBy(*by).agg(F.max("temperature").alias("temperature"))
+    return fm.join(raw, by).join(e, by).join(t, by)
+
+
+@query("l10_next_game")
+def l10_next_game(spark, sf_dir):
+    """Rolling next-game backtest of M3, M4 and M5 over all seasons: scores before and after the
+    temperature, ECE, T, per (model, test season) with at least 500 training games."""
+    return round_doubles(_next_game_scores(ML.next_game_backtest(next_game_table(spark, sf_dir), NEXT_GAME_SETS)))
+
+
+@query("l10_next_game_calibration")
+def l10_next_game_calibration(spark, sf_dir):
+    """Q5 over the next-game backtest (M5), empty bins kept with n = 0."""
+    one = {"M5_adv_l10_plus_s2d": NEXT_GAME_SETS["M5_adv_l10_plus_s2d"]}
+    p = ML.next_game_backtest(next_game_table(spark, sf_dir), one)
+    return round_doubles(M.calibration(p, ["model", "test_season"], keep_empty=True))
 
 
 @query("l09_feature_set_comparison")
 def l09_feature_set_comparison(spark, sf_dir):
-    """L9 + L3 + L2 + Q1-Q4: next-game LR with the base feature set vs base + rest/travel/injury context,
-    trained on every season but the last (centred scaling), evaluated on the last."""
-    checkpoint_dir(spark)
-    t = next_game_table(spark, sf_dir).checkpoint(eager=True)
-    last = t.agg(F.max("season_start")).first()[0]
-    train, test = t.where(F.col("season_start") < last), t.where(F.col("season_start") == last)
-    out = []
-    for name, cols in (("base", BASE_SET), ("base_plus_context", CONTEXT_SET)):
-        tr, te = ML.prepare(train, test, cols, "home_win", center=True, balanced=False)
-        m = ML.fit_lr(tr, cols, "home_win", 1.0)
-        s = ML.score(m, te, cols).withColumn("feature_set", F.lit(name))
-        out.append(M.fold_metrics(s, ["feature_set"], "home_win", "y_prob"))
-    return round_doubles(out[0].unionByName(out[1]))
+    """Base against base + injury/travel features over all seasons, as in ``l10_next_game``."""
+    return round_doubles(_next_game_scores(ML.next_game_backtest(next_game_table(spark, sf_dir), COMPARED_SETS)))
