@@ -131,35 +131,77 @@ def test_upsert_and_insert_ignore(spark):
     assert got == [(1, "a"), (2, "b"), (3, "C")]
 
 
-def test_hot_key_safe_rolling_equals_window(spark):
-    from rimshot.operators.features import rolling, rolling_hot_key_safe
+def _hot_rows():
     rows = []
     for i in range(400):                       # one hot team-season holds most rows
         rows.append((2020, 1, dt.date(2020, 10, 1) + dt.timedelta(days=i // 3), i, i % 2, None if i % 17 == 0 else i % 9))
     for i in range(30):
         rows.append((2020, 2, dt.date(2020, 10, 1) + dt.timedelta(days=i), 1000 + i, (i + 1) % 2, i % 5))
-    df = spark.createDataFrame(rows, "season_start long, team_id long, game_date date, game_id long, is_win int, "
-                                     "point_diff long")
+    rows += [(None, 3, dt.date(2020, 10, 1), 2000, 1, 1), (2020, 4, None, 2001, 1, 1), (2020, 4, dt.date(2020, 10, 2), 2002, 0, 3)]
+    return rows
+
+
+_HOT = "season_start long, team_id long, game_date date, game_id long, is_win int, point_diff long"
+
+
+def test_sliced_windows_equal_plain_windows(spark, monkeypatch):
+    from pyspark.sql.window import Window
+    from rimshot.operators import sliced
+    from rimshot.operators.features import rolling, with_game_number
+    df = spark.createDataFrame(_hot_rows(), _HOT)
     spec = {"w5": ("is_win", 5), "w10": ("point_diff", 10), "s2d": ("point_diff", None)}
-    for pre in (True, False):
-        a = {r.game_id: r for r in rolling(df, spec, pre=pre).collect()}
-        b = {r.game_id: r for r in rolling_hot_key_safe(df, spec, pre=pre).collect()}
-        assert a.keys() == b.keys()
-        for k in a:
-            for c in spec:
-                x, y = a[k][c], b[k][c]
-                assert (x is None and y is None) or abs(x - y) < 1e-9, (k, c, pre, x, y)
-
-
-def test_exact_quantiles_both_plans_agree(spark):
-    from rimshot.operators.ordering import exact_quantiles
-    df = spark.range(0, 2001).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 1000 / 7.0).alias("v"))
+    w = Window.partitionBy("season_start", "team_id").orderBy("game_date", "game_id")
+    for size in (4096, 40, 7, 1):
+        monkeypatch.setattr(sliced, "SLICE_ROWS", size)
+        for pre in (True, False):
+            end = -1 if pre else 0
+            frames = {"w5": ("is_win", -5), "w10": ("point_diff", -10), "s2d": ("point_diff", Window.unboundedPreceding)}
+            plain = df.select("game_id", *[F.avg(c).over(w.rowsBetween(n if n < -1000 or pre else n + 1, end)).alias(o)
+                                           for o, (c, n) in frames.items()])
+            want = {r.game_id: r for r in plain.collect()}
+            got = rolling(df, spec, pre=pre).collect()
+            assert len(got) == len(want)
+            for r in got:
+                for c in spec:
+                    x, y = r[c], want[r.game_id][c]
+                    assert (x is None and y is None) or abs(x - y) < 1e-9, (size, r.game_id, c, pre, x, y)
+        want = {r.game_id: r.n for r in df.select("game_id", F.row_number().over(w).alias("n")).collect()}
+        assert {r.game_id: r.team_game_number for r in with_game_number(df).collect()} == want
+
+
+def test_hot_team_season_is_spread_over_tasks(spark, monkeypatch):
+    from rimshot.operators import sliced
+    monkeypatch.setattr(sliced, "SLICE_ROWS", 40)
+    df = spark.createDataFrame(_hot_rows(), _HOT)
+    rows = sliced.spread(df, ["season_start", "team_id"], ["game_date", "game_id"], halo=10)
+    sizes = {r["_slice"]: r["count"] for r in rows.where("team_id = 1 and season_start = 2020").groupBy("_slice").count().collect()}
+    assert len(sizes) >= 8 and max(sizes.values()) <= 40 + 3 + 10
+
+
+def test_nan_and_tiny_values_keep_their_means(spark):
+    from rimshot.operators.features import rolling
+    rows = [(2020, 1, dt.date(2020, 10, 1 + i), i, v) for i, v in enumerate([1e-14, 2e-14, float("nan"), 4.0])]
+    df = spark.createDataFrame(rows, "season_start long, team_id long, game_date date, game_id long, x double")
+    got = [r.s for r in rolling(df, {"s": ("x", None)}).orderBy("game_id").collect()]
+    assert got[0] is None and got[1] == 1e-14 and abs(got[2] - 1.5e-14) < 1e-20 and got[3] != got[3]
+
+
+def test_exact_quantiles_equal_numpy(spark):
+    import numpy as np
+    from rimshot.operators.ordering import exact_quantiles, value_counts
+    df = spark.range(0, 2001).select(F.when(F.col("id") % 3 != 2, F.col("id") % 3).alias("g"),
+                                     F.when(F.col("id") % 11 != 0, (F.col("id") * 7919) % 1000 / 7.0).alias("v"))
     qs = {"p01": 0.01, "med": 0.5, "p99": 0.99}
-    a = {r.g: r for r in exact_quantiles(df, ["g"], "v", qs).collect()}
-    b = {r.g: r for r in exact_quantiles(df, ["g"], "v", qs, in_memory_limit=0).collect()}
-    for g in a:
-        for q in qs:
-            assert abs(a[g][q] - b[g][q]) < 1e-9
+    got = {r.g: r for r in exact_quantiles(value_counts(df, ["g"], "v"), ["g"], "v", qs).collect()}
+    values = {}
+    for r in df.collect():
+        values.setdefault(r.g, [])
+        if r.v is not None:
+            values[r.g].append(r.v)
+    assert got.keys() == values.keys()
+    for g, v in values.items():
+        for name, q in qs.items():
+            assert abs(got[g][name] - np.quantile(v, q)) < 1e-9
 
 
 def test_elo_streaming_matches_whole_season(spark):
@@ -218,16 +260,3 @@ def test_outcome_quotes_share_the_earlier_time(spark):
     assert [r.outcome_name for r in rows] == ["A", "B"]
     assert rows[0].asof_ts == rows[1].asof_ts == dt.datetime(2023, 11, 14, 22, 13, 21)
     assert rows[1].mid is None and abs(rows[0].mid - 0.5) < 1e-12
-
-
-def test_hot_key_switch_game_numbers_match_window(spark):
-    from rimshot.operators.features import HOT_KEY_CONF, with_game_number
-    rows = [(2020, 1 if i < 300 else 2, dt.date(2020, 10, 1) + dt.timedelta(days=i // 4), i) for i in range(340)]
-    df = spark.createDataFrame(rows, "season_start long, team_id long, game_date date, game_id long")
-    a = {r.game_id: r.team_game_number for r in with_game_number(df).collect()}
-    spark.conf.set(HOT_KEY_CONF, "true")
-    try:
-        b = {r.game_id: r.team_game_number for r in with_game_number(df).collect()}
-    finally:
-        spark.conf.unset(HOT_KEY_CONF)
-    assert a == b and max(a.values()) == 300
