@@ -249,8 +249,8 @@ def next_game_backtest(df: DataFrame, sets: dict[str, list[str]], label: str = "
             m = fit_lr(fit_s, feats, label, c)
             t = None
             if calibrate:
-                one = score(m, cal_s, feats).select(F.lit(0).alias("_g"), F.col(label).alias("y_true"), "y_prob")
-                t = fit_temperature(one, ["_g"]).first()["temperature"]
+                one = score(m, cal_s, feats).select(F.lit(0).alias("fold"), F.col(label).alias("y_true"), "y_prob")
+                t = fit_temperature(one, ["fold"]).first()["temperature"]
             p = F.least(F.greatest(F.col("y_prob"), F.lit(CALIBRATION_EPS)), F.lit(1 - CALIBRATION_EPS))
             cooled = F.lit(1.0) / (1 + F.exp(-F.ln(p / (1 - p)) / F.lit(float(t)))) if t is not None else F.col("y_prob")
             out.append(score(m, test_s, feats).select(
