@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from rimshot.llm.pieces import Memo, pieces, slices
 from rimshot.llm.registry import query, table
-from rimshot.llm.worker import kept
+from rimshot.llm.worker import gathered, kept, small_batches
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -216,7 +216,7 @@ def _rows(batches: Iterator[pa.RecordBatch], path: str, pattern: str, digests: b
     token = np.empty(bpe.none, object)
     for i, t in bpe.tokens.items():
         token[i] = t
-    for batch in batches:
+    for batch in gathered(batches, 1):
         names, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
         ids_of: list[bytes] = []
         for part in slices(texts, 16_000_000):
@@ -241,12 +241,14 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     Null or empty texts have no ids; a null id stays null; repeated rows give repeated rows; other columns of
     ``df`` are not read. One narrow stage: no shuffle, a bounded memo of words in each task.
     """
+    small_batches(df.sparkSession)
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(lambda b: _rows(b, path, pattern, False), "doc_id long, ids array<long>")
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document the number of ids and digests of the ids and of the bytes that decoding gives; rows as ``encode``."""
+    small_batches(df.sparkSession)
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(lambda b: _rows(b, path, pattern, True), SCHEMA)
 

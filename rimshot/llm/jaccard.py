@@ -32,7 +32,7 @@ from pyspark.sql import Window
 
 from rimshot.llm.components import connected_components
 from rimshot.llm.registry import query, table
-from rimshot.llm.worker import forget
+from rimshot.llm.worker import forget, small_batches
 from rimshot.llm.shingles import mix, shingle_set
 from rimshot.llm.sketch import BucketCounts, bits_for, summed
 from rimshot.session import checkpoint_dir
@@ -340,6 +340,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
+    small_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     sketch = bits_for(docs)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rimshot.llm.registry import query, table
-from rimshot.llm.worker import forget
+from rimshot.llm.worker import forget, small_batches
 from rimshot.operators.ordering import global_row_number
 from rimshot.session import checkpoint_dir
 
@@ -178,6 +178,7 @@ def _without(text: str, gone: list[dict]) -> tuple[str, list[int], int]:
 
 def _joined(df: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, str, str]:
     """``df`` with two columns more, of unused names: the id, and the runs to remove."""
+    small_batches(df.sparkSession)
     taken = set(df.columns)
     key, h, gone = (next(n + "_" * k for k in range(99) if n + "_" * k not in taken) for n in ("_key", "_h", "_gone"))
     rows = df.withColumn(key, F.col(id_col).cast("long")).withColumn(h, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rimshot.llm.worker import small_batches
+
 
 def with_next(df: DataFrame, key: str, value: str, work: Callable, schema: str) -> DataFrame:
     """``work`` over iterators of (key, value, next value), by descending key; after the last row comes the first.
@@ -17,6 +19,7 @@ def with_next(df: DataFrame, key: str, value: str, work: Callable, schema: str)
     are ordered by value, descending, so repeated rows follow each other.
     """
     spark = df.sparkSession
+    small_batches(spark)
     source = df.select(F.col(key).cast("long").alias("k"), F.col(value).alias("v"))
     wanted = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = source.stat.approxQuantile("k", [i / wanted for i in range(1, wanted)], 0.2 / wanted) if wanted > 1 else []

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from rimshot.llm.pieces import Memo, pieces, slices
 from rimshot.llm.registry import query, table
-from rimshot.llm.worker import kept
+from rimshot.llm.worker import gathered, kept, small_batches
 
 END_ID = 1
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -201,7 +201,7 @@ def _pack_rows(batches: Iterator[pa.RecordBatch], path: str, limits: tuple[int,
                 ids[i] = array("I", tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes()
         return ids
 
-    for batch in batches:
+    for batch in gathered(batches, 1):
         docs = batch.column(0).to_pylist()
         texts = [t or "" for t in batch.column(1).to_pylist()]
         prompts = [t or "" for t in batch.column(2).to_pylist()] if batch.num_columns > 2 else None
@@ -231,6 +231,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     read. One narrow stage: every task packs its own rows, with at most ``window`` examples waiting; a retried
     task gives the same rows, since sequence numbers follow from the task's partition.
     """
+    small_batches(df.sparkSession)
     columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
     if prompt_col:
         columns.append(F.col(prompt_col).alias("prompt"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from rimshot.llm.registry import query, table
-from rimshot.llm.worker import forget
+from rimshot.llm.worker import forget, small_batches
 
 _WORD = re.compile(r"\w+")
 PREFIX = 4
@@ -139,6 +139,7 @@ def best_cut(score: np.ndarray, toxic: np.ndarray) -> float:
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> list:
     """(toxic, feature bytes, count bytes) of at most ``sample`` documents of each label, by least hash of the id."""
     spark = docs.sparkSession
+    small_batches(spark)
     known = (labels.select(F.col("doc_id").cast("long").alias("i"), F.col("toxic").cast("int").alias("toxic"))
              .dropna().groupBy("i").agg(F.max("toxic").alias("toxic")))
     picked = []

@@ -1,10 +1,13 @@
-"""What a Python worker keeps from one task to the next: one object at a time, so that stages do not add up."""
+"""Memory of Python workers: what is kept from one task to the next, and how much comes at once."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
+from pyspark.sql import SparkSession
+
 _KEPT: dict[tuple, Any] = {}
 
 
@@ -19,3 +22,27 @@ def kept(key: tuple, make: Callable[[], Any]) -> Any:
 def forget() -> None:
     """Let go of what is kept; tasks that keep nothing call this before they fill their own memory."""
     _KEPT.clear()
+
+
+TEXTS_PER_BATCH = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session hand over at most ``TEXTS_PER_BATCH`` rows at once: a batch of whole texts lies in the
+    executor's memory outside its heap, and again in the Python worker."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= TEXTS_PER_BATCH:
+        spark.conf.set(_BATCH, str(TEXTS_PER_BATCH))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+    """Consecutive batches joined until their column has ``most_bytes``, for work that gains from many texts."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= most_bytes:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
