@@ -77,6 +77,20 @@ def game_probabilities(remaining: DataFrame, state: DataFrame, alpha: float = DE
     return j.withColumn("p_home_win", E.temperature_scale(p, temp, E.PROJECTION_EPS))
 
 
+def expected_wins(games: DataFrame, state: DataFrame, cutoffs: DataFrame, **model) -> DataFrame:
+    """M5's expected wins, exactly and without draws: wins at the cut-off and the sum of the win probabilities of
+    the games that remain, per (season, checkpoint, team). One pass over the games, both sides from each row."""
+    p = game_probabilities(remaining_games(games, cutoffs), state, **model)
+    side = lambda team, chance: F.struct(F.col(team).alias("team_id"), chance.alias("chance"))
+    ahead = (p.select("season_start", "checkpoint", F.inline(F.array(
+        side("home_team_id", F.col("p_home_win")), side("away_team_id", 1 - F.col("p_home_win")))))
+        .groupBy("season_start", "checkpoint", "team_id").agg(F.sum("chance").alias("_more"), F.count(F.lit(1)).alias("games_left")))
+    j = state.join(ahead, ["season_start", "checkpoint", "team_id"], "left")
+    return j.select("season_start", "checkpoint", "team_id", "conference", "wins_cp",
+                    F.coalesce("games_left", F.lit(0)).alias("games_left"),
+                    (F.col("wins_cp") + F.coalesce("_more", F.lit(0.0))).alias("exp_wins"))
+
+
 # Fixed values of the draw hash: a 32-bit integer mixer (two multiply-xorshift rounds).
 MIX_MULT = 0x45D9F3B
 TWO_32 = 4294967296

@@ -12,7 +12,8 @@ from rimshot.plans.catalog import query, round_doubles
 from rimshot.plans.oracle_sql import register
 from rimshot.sources import fixtures as fx
 
-N_DRAWS = 200   # tests and the correctness gate; the bench uses more draws
+N_DRAWS = 200   # draws of the kept m05 query; exact expected wins need none (m01_expected_wins)
+
 
 def _mix_sql(x: str) -> str:
     """The projection's 32-bit mixer (see rimshot.operators.projection) written in DuckDB SQL."""
@@ -76,6 +77,37 @@ def w17_team_state(spark, sf_dir):
     return st.withColumn("elo_cp", F.round("elo_cp", 4))
 
 
+register("f_chances", """
+with g as (select c.season_start, c.checkpoint, f.game_id, f.home_team_id, f.away_team_id
+           from f_games f join f_cutoffs c on f.season_start = c.season_start
+           where f.season_type = 'Regular Season' and f.game_date > c.cutoff)
+select g.*, 1e0 / (1e0 + exp(-(h.elo_cp - a.elo_cp) * 0.005756462732485115 / 2)) as p_home_win
+from g join f_state h on (h.season_start, h.checkpoint, h.team_id) = (g.season_start, g.checkpoint, g.home_team_id)
+       join f_state a on (a.season_start, a.checkpoint, a.team_id) = (g.season_start, g.checkpoint, g.away_team_id)""",
+         ("f_games", "f_cutoffs", "f_state"))
+
+
+@query("m01_game_probabilities", """
+select season_start, checkpoint, game_id, home_team_id, away_team_id, round(p_home_win, 6) as p_home_win from f_chances""")
+def m01_game_probabilities(spark, sf_dir):
+    """J7 + M1: the home side's chance in every remaining game of each checkpoint."""
+    g, cut, st = _state(spark, sf_dir)
+    p = P.game_probabilities(P.remaining_games(g, cut), st)
+    return round_doubles(p.select("season_start", "checkpoint", "game_id", "home_team_id", "away_team_id", "p_home_win"))
+
+
+@query("m01_expected_wins", """
+with c as (select season_start, checkpoint, unnest([home_team_id, away_team_id]) as team_id,
+                  unnest([p_home_win, 1 - p_home_win]) as chance from f_chances)
+select s.season_start, s.checkpoint, s.team_id, any_value(s.conference) as conference, any_value(s.wins_cp) as wins_cp,
+       count(chance) as games_left, round(any_value(s.wins_cp) + coalesce(sum(chance), 0), 6) as exp_wins
+from f_state s left join c using (season_start, checkpoint, team_id) group by s.season_start, s.checkpoint, s.team_id""")
+def m01_expected_wins(spark, sf_dir):
+    """Expected wins without draws: wins so far and the chances of the games that remain."""
+    g, cut, st = _state(spark, sf_dir)
+    return round_doubles(P.expected_wins(g, st, cut))
+
+
 @query("m05_season_projection", _expand_mix(f"""
 with g as (select c.season_start, c.checkpoint, f.game_id, f.home_team_id, f.away_team_id
            from f_games f join f_cutoffs c on f.season_start = c.season_start
