@@ -216,10 +216,10 @@ def _rows(batches: Iterator[pa.RecordBatch], path: str, pattern: str, digests: b
     token = np.empty(bpe.none, object)
     for i, t in bpe.tokens.items():
         token[i] = t
-    for batch in gathered(batches, 1):
+    for batch in gathered(batches, 1, 8_000_000):
         names, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
         ids_of: list[bytes] = []
-        for part in slices(texts, 16_000_000):
+        for part in slices(texts, 8_000_000):
             cut = [pieces(t) for t in part]
             ids_of += memo.ids([bpe.pattern.findall(t) if c is None else c for t, c in zip(part, cut)])
         ids = [np.frombuffer(x, "<u4") for x in ids_of]

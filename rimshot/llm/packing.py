@@ -201,12 +201,12 @@ def _pack_rows(batches: Iterator[pa.RecordBatch], path: str, limits: tuple[int,
                 ids[i] = array("I", tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes()
         return ids
 
-    for batch in gathered(batches, 1):
+    for batch in gathered(batches, 1, 3_000_000):
         docs = batch.column(0).to_pylist()
         texts = [t or "" for t in batch.column(1).to_pylist()]
         prompts = [t or "" for t in batch.column(2).to_pylist()] if batch.num_columns > 2 else None
         done = 0
-        for part in slices(texts, 16_000_000):
+        for part in slices(texts, 3_000_000):
             answers = encoded(part)
             heads = encoded(prompts[done: done + len(part)]) if prompts else [b""] * len(part)
             for doc, head, body in zip(docs[done: done + len(part)], heads, answers):

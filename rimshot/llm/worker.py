@@ -35,7 +35,7 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(TEXTS_PER_BATCH))
 
 
-def gathered(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Consecutive batches joined until their column has ``most_bytes``, for work that gains from many texts."""
     held, size = [], 0
     for batch in batches:
