@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -20,8 +22,17 @@ def kept(key: tuple, make: Callable[[], Any]) -> Any:
 
 
 def forget() -> None:
-    """Let go of what is kept; tasks that keep nothing call this before they fill their own memory."""
+    """Let go of what is kept and hand free memory back; tasks that keep nothing call this before they begin, as an
+    idle worker of an earlier stage would otherwise hold its memory for good."""
+    if not _KEPT:
+        return
     _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 TEXTS_PER_BATCH = 1000
