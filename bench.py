@@ -20,12 +20,12 @@ from rimshot.session import build_session  # noqa: E402
 
 HEADLINE = [
     "f02_training_model",       # W1-W3 + W8 + F2: the flagship feature view
-    "w01_rolling_features_hot_key_safe",  # W1-W3 via range-partitioned prefix sums (hot-key plan)
+    "w01_rolling_features",     # W1-W3
     "w13_advanced_rolling",     # J1 + opponent join + 30 window frames
     "w16_core_availability",    # W16 player explode x10 + top-8 per team game
     "j09_matchup",              # J9 game-level differences
     "w12_elo_history",          # W12 per-season recurrence
-    "m05_season_projection",    # M1-M5 projection (200 draws per game)
+    "m01_expected_wins",        # W17 M1: exact expected wins
     "q01_fold_metrics_game",    # Q1-Q4 metrics
     "j05_score_mismatch",       # J5 three-way join check
     "a01_pivot_games_bulk",     # A1 game-log pivot

@@ -245,7 +245,7 @@ def market_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
                  .when(shape == 4, F.lit('["Yes", "No"]'))
                  .otherwise(F.concat(F.lit('["'), away_code, F.lit('", "'), home_code, F.lit('"]'))))
     question = F.when(wrong, F.lit("Will T98 beat T99?")).otherwise(
-        F.concat(F.lit("Will "), away_code, F.lit("  beat "), home_code, F.lit("?")))
+        F.concat(F.lit("\t\n Will "), away_code, F.lit("  beat "), home_code, F.lit("?")))
     iso = F.concat(d, F.lit("T23:30:00Z"))
     start = F.when(gid % 11 == 0, F.lit("TBD")).otherwise(iso)
     teams_arr = F.array(F.struct(away_code.alias("abbreviation"), F.lit("away").alias("hostStatus")),
