@@ -175,7 +175,8 @@ def epoch_ms_to_ts(x) -> Column:
 
 # E17 first parseable ISO date of several candidates
 def first_valid_date(*cands) -> Column:
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(_c(c))) for c in cands])
+    """The first that parses; its own date part, as written."""
+    return F.coalesce(*[F.when(F.try_to_timestamp(_c(c)).isNotNull(), F.to_date(F.substring(_c(c), 1, 10))) for c in cands])
 
 
 # E18 text normalisation

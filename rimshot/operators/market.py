@@ -35,7 +35,7 @@ def book_quotes(df: DataFrame, book_col: str = "book") -> DataFrame:
     parsed = df.withColumn("_b", b).withColumn("_bids", _levels(F.col("_b.bids"))).withColumn(
         "_asks", _levels(F.col("_b.asks")))
     bid, ask = E.best_bid(F.col("_bids")), E.best_ask(F.col("_asks"))
-    mid = F.when(bid.isNotNull() & ask.isNotNull(), F.lit(0.5) * (bid + ask))
+    mid = E.mid_price(bid, ask)
     keep = [c for c in df.columns if c != book_col]
     return parsed.select(
         *keep, E.epoch_ms_to_ts(F.col("_b.timestamp")).alias("asof_ts"),
@@ -58,15 +58,12 @@ def market_map(df: DataFrame, market_col: str = "market") -> DataFrame:
         last = F.try_element_at(hit, F.lit(-1))
         return F.coalesce(last["abbreviation"], last["abbr"])
 
-    def iso_date(c):
-        return F.when(F.try_to_timestamp(c).isNotNull(), F.to_date(F.substring(c, 1, 10)))
-
     keep = [c for c in df.columns if c != market_col]
     return x.select(
         *keep, F.col("_m.id").alias("gamma_market_id"), F.col("_m.conditionId").alias("clob_market_id"),
         ev["id"].alias("gamma_event_id"), F.get(tokens, 0).alias("token_yes_id"), F.get(tokens, 1).alias("token_no_id"),
         abbr("home").alias("home_team_abbr"), abbr("away").alias("away_team_abbr"),
-        F.coalesce(iso_date(F.col("_m.startDateIso")), iso_date(F.col("_m.endDateIso"))).alias("game_date"))
+        E.first_valid_date("_m.startDateIso", "_m.endDateIso").alias("game_date"))
 
 
 def outcome_quotes(markets: DataFrame, books: DataFrame) -> DataFrame:

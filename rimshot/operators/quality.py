@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rimshot.functions.expressions import round_half_up
+
 
 def orphans(fact: DataFrame, dim: DataFrame, key: str, dim_key: str | None = None) -> DataFrame:
     """Distinct fact keys with no dimension row. A null key counts as an orphan.
@@ -105,7 +107,7 @@ def team_games_distribution(schedule: DataFrame, season: str = "season_start", e
     per_team = home.unionByName(away).groupBy(season, "team_id").agg(F.sum("n").alias("games"))
     return per_team.groupBy(season).agg(
         F.min("games").alias("min_games"), F.max("games").alias("max_games"),
-        F.round(F.avg("games"), 2).alias("avg_games"),
+        round_half_up(F.avg("games"), 2).alias("avg_games"),
         F.sum(F.when(F.col("games") == expected, 1).otherwise(0)).cast("bigint").alias("teams_at_expected"),
         F.count(F.lit(1)).alias("teams"))
 

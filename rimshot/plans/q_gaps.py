@@ -8,12 +8,16 @@ import os
 
 from pyspark.sql import functions as F
 
+from rimshot.functions import expressions as E
 from rimshot.operators import features as FT
 from rimshot.operators import filters as FL
 from rimshot.operators import metrics as M
 from rimshot.operators import normalise as N
+from rimshot.operators.elo import elo
 from rimshot.operators.merge import replace_slice
 from rimshot.operators.ordering import slice_rows
+from rimshot.operators.results import team_game_results
+from rimshot.plans import q_elo  # noqa: F401  (registers the f_elo oracle CTE)
 from rimshot.plans.catalog import query, round_doubles
 from rimshot.plans.q_metrics import GAME_FOLD, _BIN_SQL, preds_game
 from rimshot.session import scratch_path
@@ -166,7 +170,6 @@ select game_id, team_id, case when game_id % 4 = 0 then 0 else is_home end as is
        coalesce(case when game_id % 3 <> 0 then 1e0 * team_points end, 0e0) as team_points from f_results""")
 def p13_model_input(spark, sf_dir):
     """P13 + P14: required columns, booleans as numbers, a missing is_home as 0, missing features as 0."""
-    from rimshot.operators.results import team_game_results
     r = team_game_results(fx.games(spark, sf_dir)).select(
         "game_id", "team_id", F.when(F.col("game_id") % 4 != 0, F.col("is_home")).alias("is_home"),
         (F.col("is_win") == 1).alias("is_win"), F.when(F.col("game_id") % 3 != 0, F.col("team_points").cast("double")).alias("team_points"))
@@ -197,3 +200,31 @@ from k left join b on b.model = k.model and b.season_start = k.season_start and
 def q05_calibration_all_bins(spark, sf_dir):
     """Q5: the calibration table with its empty bins."""
     return round_doubles(M.calibration(preds_game(spark, sf_dir), GAME_FOLD, keep_empty=True))
+
+
+@query("e06_elo_expected", """
+select h.season_start, h.game_id, h.team_id, round(1e0 / (1e0 + pow(1e1, (a.elo_pre - h.elo_pre) / 4e2)), 6) as expected
+from f_elo h join f_elo a on a.game_id = h.game_id and a.team_id = h.opp_team_id where h.is_home = 1""")
+def e06_elo_expected(spark, sf_dir):
+    """The home side's expected result from both ratings before the game."""
+    h = elo(team_game_results(fx.games(spark, sf_dir)))
+    both = h.where("is_home = 1").join(h.where("is_home = 0").select("game_id", F.col("elo_pre").alias("elo_away")), "game_id")
+    return round_doubles(both.select("season_start", "game_id", "team_id", E.elo_expected("elo_pre", "elo_away").alias("expected")))
+
+
+@query("e10_season_texts", """
+select game_id, season_start || '-' || lpad(cast((season_start + 1) % 100 as varchar), 2, '0') as season,
+       cast(season_start as integer) as season_back from f_games""")
+def e10_season_texts(spark, sf_dir):
+    """Season from a date, its text, and the season's start read back from the text."""
+    g = fx.games(spark, sf_dir).select("game_id", E.season_text(E.season_start_from_date("game_date")).alias("season"))
+    return g.withColumn("season_back", E.season_start_from_text("season"))
+
+
+@query("u08_audit_columns", "select game_id, home_points, true as stamped from f_games where season_type = 'Playoffs'")
+def u08_audit_columns(spark, sf_dir):
+    """U8: audit times are set on every loaded row; the times themselves are left out of the comparison."""
+    from rimshot.operators.merge import with_audit
+    g = fx.games(spark, sf_dir).where("season_type = 'Playoffs'").select("game_id", "home_points")
+    a = with_audit(g, "created_at", "updated_at")
+    return a.select("game_id", "home_points", (F.col("created_at").isNotNull() & (F.col("created_at") <= F.col("updated_at"))).alias("stamped"))

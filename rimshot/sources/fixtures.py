@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rimshot.functions.expressions import season_start_from_date
 from rimshot.sources.tables import read_table
 
 # Fixed values of the fixture rules.
 N_TEAMS = 30
-SEASON_START_MONTH = 9
 REGULAR = "Regular Season"
 PLAY_IN = "PlayIn"
 PLAYOFFS = "Playoffs"
@@ -36,7 +36,7 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = F.col("o_custkey") % N_TEAMS
     return o.select(
         F.col("o_orderkey").alias("game_id"),
-        _i(F.when(F.month(d) >= SEASON_START_MONTH, F.year(d)).otherwise(F.year(d) - 1)).alias("season_start"),
+        season_start_from_date(d).alias("season_start"),
         d.alias("game_date"),
         home.alias("home_team_id"),
         ((home + 1 + F.col("o_orderkey") % 29) % N_TEAMS).alias("away_team_id"),
