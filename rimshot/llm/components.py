@@ -29,17 +29,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
         else:
             out = (linked.select(F.col("v").alias("a"), F.col("m").alias("b"))
                    .unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))))
-        return out.filter("a <> b").distinct()
+        return out.filter("a <> b")
 
-    def state(graph: DataFrame) -> tuple:
-        return tuple(graph.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def settled(graph: DataFrame) -> bool:
+        """Whether every node but the least of its component has one edge, which leads to that one."""
+        if not graph.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+            return False
+        return graph.select(F.col("b").alias("a")).join(graph.select("a"), "a", "left_semi").isEmpty()
 
     graph = edges.filter("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
     graph = graph.distinct().checkpoint()
-    last = None
-    while (now := state(graph)) != last:
-        last = now
-        graph = star(star(graph, True), False).checkpoint()
+    while not settled(graph):
+        graph = star(star(graph, True), False).distinct().checkpoint()
     # every edge now leads from a node to the least of its component
     found = graph.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())

@@ -44,7 +44,7 @@ FREQUENT_LEAST = 32
 NARROW = 128            # bytes that a bitmap has at most while pairs are sought
 BLOCK = 1024            # sets of a group that are compared in one task
 MOST_TURNS = 12         # rounds of comparing to leaders, ended before if fewer than one in
-FEW_JOINED = 10         # so many comparisons joins two components; what is left is compared exactly
+FEW_JOINED = 3          # so many comparisons joins two components; what is left is compared exactly
 
 
 # --- one set ------------------------------------------------------------------------------------------------
