@@ -31,10 +31,6 @@ ROLLING_SPEC = {
 }
 
 
-def season_window(keys=SEASON_KEYS, order=GAME_ORDER):
-    return Window.partitionBy(*keys).orderBy(*order)
-
-
 def rolling(df: DataFrame, spec: dict = ROLLING_SPEC, pre: bool = True,
             keys=SEASON_KEYS, order=GAME_ORDER, calendar: DataFrame | None = None) -> DataFrame:
     """Windowed means per team-season (``calendar`` as for ``sliced.spread``).
