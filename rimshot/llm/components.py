@@ -33,9 +33,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     def settled(graph: DataFrame) -> bool:
         """Whether every node but the least of its component has one edge, which leads to that one."""
-        if not graph.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-            return False
-        return graph.select(F.col("b").alias("a")).join(graph.select("a"), "a", "left_semi").isEmpty()
+        ends = graph.select("a", F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+            graph.select(F.col("b").alias("a"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        each = ends.groupBy("a").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+        return each.filter("out > 1 or (out = 1 and into = 1)").isEmpty()
 
     graph = edges.filter("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
     graph = graph.distinct().checkpoint()

@@ -382,7 +382,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     tested = None
     for turn in range(MOST_TURNS):
-        open_rows = (unsettled() if turn else component(groups)).checkpoint()
+        open_rows = unsettled().checkpoint() if turn else groups.withColumn("component", F.col("c"))
         if turn:
             rank = F.struct(F.xxhash64("c", F.lit(turn)).alias("r"), F.col("c"))
             ranked = open_rows

@@ -52,7 +52,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(sizes, pa.list_(pa.int32()))], ["doc_id", "h", "ids", "sizes"])
 
 
-_RUN = "doc_id long, h long, start int, run1 long, run2 long, ids array<long>, sizes array<int>"
+_RUN = "doc_id long, h long, start int, run1 long, run2 long, ids array<long>, sizes array<int>, most int"
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -69,9 +69,10 @@ def _stretches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]):
                 if sizes[a:b].sum() >= min_words:
                     d = xxhash.xxh128_intdigest(ids[a:b].tobytes())
-                    out.append((doc, h, int(at[a]), _signed(d >> 64), _signed(d & ((1 << 64) - 1)), ids[a:b], sizes[a:b]))
+                    most = max(n for _, n in lengths(sizes[a:b], min_words))
+                    out.append((doc, h, int(at[a]), _signed(d >> 64), _signed(d & ((1 << 64) - 1)), ids[a:b], sizes[a:b], most))
         if out:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
                                              [f.split()[0] for f in _RUN.split(", ")])
 
@@ -148,7 +149,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     placed = runs.join(firsts, ["run1", "run2"])
     copies = placed.filter(_place() != F.col("first")).select("doc_id", "h", "start", F.size("ids").alias("lines"))
     own = placed.filter(_place() == F.col("first")).drop("first").checkpoint()
-    longest = own.select(F.max(F.least(F.size("ids"), F.lit(2 * min_words)))).first()[0]
+    longest = own.select(F.max("most")).first()[0]  # lines of the longest run that is looked at
     if longest is None:
         found = copies
     else:
