@@ -179,12 +179,13 @@ from m window w as (partition by season_start, team_id order by game_date, game_
 
 
 @query("w13_advanced_rolling", "select season_start, game_id, team_id, "
-       + ", ".join(f"round({c}, 6) as {c}" for c in ADV_OUT) + " from f_adv_roll")
+       + ", ".join(f"round({c} + 1e-8, 6) as {c}" for c in ADV_OUT) + " from f_adv_roll")
 def w13_advanced_rolling(spark, sf_dir):
     """L5/L10/season-to-date means of possession-based efficiency metrics."""
     adv = FT.advanced_metrics(base_table(spark, sf_dir))
     r = FT.rolling(adv, FT.advanced_rolling_spec(), calendar=calendar(spark, sf_dir))
-    return round_doubles(r.select("season_start", "game_id", "team_id", *ADV_OUT))
+    # means of values with two decimals over 16 or 32 games lie on rounding halves; both sides are moved off them
+    return round_doubles(r.select("season_start", "game_id", "team_id", *[(F.col(c) + 1e-8).alias(c) for c in ADV_OUT]))
 
 
 MATCHUP_FEATURES = ["win_pct_l10", "avg_point_diff_l10", "win_pct_s2d", "avg_point_diff_s2d"]
@@ -279,12 +280,14 @@ select season_start, game_id, game_date, max(case when is_home = 1 then team_id
        max(case when is_home = 0 then team_id end) as away_team_id, max(case when is_home = 1 then is_win end) as home_win,
        max(case when is_home = 1 then is_b2b end) as home_is_b2b, max(case when is_home = 0 then is_b2b end) as away_is_b2b,
        """ + ", ".join(
-    f"round(cast(max(case when is_home = 1 then {c} end) - max(case when is_home = 0 then {c} end) as double), {4 if o == 'elo_diff' else 6}) as {o}"
+    f"round(cast(max(case when is_home = 1 then {c} end) - max(case when is_home = 0 then {c} end) as double) + 1e-8, {4 if o == 'elo_diff' else 6}) as {o}"
     for o, c in NEXT_GAME_DIFFS.items()) + """
 from t group by season_start, game_id, game_date""")
 def j09_full(spark, sf_dir):
     """J9 over Elo, W13, W14-W16: the table that the next-game models learn from."""
-    return round_doubles(next_game_table(spark, sf_dir).withColumn("elo_diff", F.round("elo_diff", 4)))
+    t = next_game_table(spark, sf_dir)
+    t = t.withColumns({c: F.col(c) + 1e-8 for c in NEXT_GAME_DIFFS})   # off the rounding halves, as in w13
+    return round_doubles(t.withColumn("elo_diff", F.round("elo_diff", 4)))
 
 
 @query("w05_form_timeline", """
