@@ -75,6 +75,42 @@ def test_licences_equal_sql(spark):
     assert licences.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_licence_windows_across_and_within_lines(spark):
+    import textwrap
+
+    full = {name: max((t for k, t in licences.NOTICES if k == name), key=len) for name, _ in licences.NOTICES}
+    wrapped = {i: (name, "A project of ours\n\n" + "\n".join(textwrap.wrap(f"Copyright 2020 Foo. {t}", 80)) + "\n\nand more of our own words")
+               for i, (name, t) in enumerate(sorted(full.items()))}
+    edited = wrapped[sorted(full).index("MIT")][1].replace("free of charge", "at no cost").replace("sublicense,", "")
+    rows = [(i, t) for i, (_, t) in wrapped.items()]
+    rows += [(100, "Copyright (c) 2020 Foo. All rights reserved. Foo is a mark."), (101, edited), (102, "no rights were reserved by all"),
+             (103, f"{full['MIT']}\n{full['ISC']}"), (104, None), (105, ""), (106, "one"), (None, "x All rights reserved."), (106, "one")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, w int")
+    got = defaultdict(list)
+    for r in licences.scan_windows(df).collect():
+        got[r.doc_id].append(r)
+    old = {r.doc_id for r in licences.scan(df).collect()}
+    for i, (name, text) in wrapped.items():
+        best = max(got[i], key=lambda r: r.dice)
+        assert best.licence == name and best.dice == 1.0
+        lines = [k for k, line in enumerate(text.split("\n"), 1) for w in re.split(r"[\W_]+", line) if w]
+        assert (best.first_line, best.last_line) == (lines[best.first_word], lines[best.first_word + len([w for w in re.split(r"[\W_]+", full[name]) if w]) - 1])
+    assert sorted(full).index("MIT") not in old and 100 not in old
+    assert [(r.licence, r.dice, r.first_word) for r in got[100]] == [("Proprietary", 1.0, 4)]
+    assert {r.licence for r in got[101]} == {"MIT"} and 0.9 < max(r.dice for r in got[101]) < 1
+    assert {r.licence for r in got[103]} == {"MIT", "ISC"} and all(r.dice == 1 for r in got[103])
+    assert [r.licence for r in got[None]] == ["Proprietary"]
+    assert not {102, 104, 105, 106} & set(got)
+    assert licences.scan_windows(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_licence_anchors_lose_nothing():
+    for _, text in licences.NOTICES:
+        size, bag = sum(licences.template_bigrams(text).values()), licences.template_bigrams(text)
+        held = sum(bag[b] for b in {b for b, _ in licences.anchors(text, 0.7)})
+        assert size - held < 0.7 * size
+
+
 def test_size_bounds_lose_nothing():
     for size in range(1, 60):
         low, high = licences.bounds(size, 0.7)
