@@ -23,8 +23,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the later copies of runs of lines; documents that were such copies as a whole go."""
-    return linededup.dedup_lines(docs)
+    """Texts without the later copies of runs of words; documents that were such copies as a whole go."""
+    return linededup.dedup_lines(docs, words=True)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,10 +14,18 @@ length (``min_words``), or of a few lines more, is a later copy if its interval
 The runs looked at from each start are those whose lines beyond the least length have fewer than ``min_words``
 words. They cover every maximal repeated run: of the starts within it, the last that leaves enough words up to its
 end has such a run to the end, and those before it overlap.
+
+By words (``words=True``, as the query and the pipeline call it) the unit is a word, wherever lines end, so a passage
+within longer lines counts with all its words. A block is half of the least length of words, and its rank the hash of
+its words; one doubling gives the rank of the least length, whose intervals tell the later copies. Only blocks
+that are the least (by hash) of all blocks in some run of the least length are dealt out first: equal runs have equal
+least blocks, so a run whose least block is nowhere else is not repeated, and most suffixes are never sent.
 """
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rimshot.llm.registry import query, table
+from rimshot.llm.sketch import SCHEMA, BucketCounts, bits_for, summed
 from rimshot.llm.worker import forget, small_batches
 from rimshot.operators.ordering import global_row_number
 from rimshot.session import checkpoint_dir
@@ -162,6 +171,150 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return found.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "lines")).alias("gone"))
 
 
+def _blocks(text: str, min_words: int) -> np.ndarray:
+    """Hashes of all blocks of half of ``min_words`` words, by their first word; none in a text without a run."""
+    found = text.split()
+    if len(found) < min_words:
+        return np.zeros(0, np.uint64)
+    ids = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+    size = (min_words + 1) // 2
+    out = np.zeros(len(ids) - size + 1, np.uint64)
+    for k in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + ids[k: k + len(out)]
+    out ^= out >> np.uint64(33)
+    out *= np.uint64(0xFF51AFD7ED558CCD)
+    return out ^ (out >> np.uint64(33))
+
+
+def _least(blocks: np.ndarray, min_words: int) -> np.ndarray:
+    """For every run of ``min_words`` words the place of its least block, the first of equals."""
+    width = min_words - (min_words + 1) // 2 + 1
+    if len(blocks) < width:
+        return np.zeros(0, np.int64)
+    return np.lib.stride_tricks.sliding_window_view(blocks, width).argmin(axis=1) + np.arange(len(blocks) - width + 1)
+
+
+_MARKS = "doc_id long, h long, run1 long, run2 long, words int, marks array<long>"
+
+
+def _marks(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """Of every text with enough words the digest of its words, and its least blocks in order."""
+    forget()
+    for batch in batches:
+        out = []
+        for doc, h, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            blocks = _blocks(text, min_words)
+            if len(blocks):
+                found = text.split()
+                d = xxhash.xxh128_intdigest(" ".join(found))
+                out.append((doc, h, _signed(d >> 64), _signed(d & ((1 << 64) - 1)), len(found),
+                            blocks[np.unique(_least(blocks, min_words))].view(np.int64)))
+        if out:
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
+                                             [f.split()[0] for f in _MARKS.split(", ")])
+
+
+def _word_names(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """Of every document the runs whose least block is among the repeated: their places, and the hashes of the first
+    and the last block of each."""
+    forget()
+    second, seen = min_words - (min_words + 1) // 2, set()
+    for batch in batches:
+        out = []
+        for doc, h, text, again in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if (doc, h) in seen:  # repeated rows are one document
+                continue
+            seen.add((doc, h))
+            blocks = _blocks(text, min_words)
+            start = np.flatnonzero(np.isin(blocks[_least(blocks, min_words)], np.array(again, np.int64).view(np.uint64)))
+            if len(start):
+                out.append((doc, h, blocks[start].view(np.int64), blocks[start + second].view(np.int64), start.astype(np.int32)))
+        if out:
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "h", "a", "b", "start"])
+
+
+def _buckets(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each bucket of the hashes ``h`` in ``keys``: at most 2 MB."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = BucketCounts(bits)
+        for batch in batches:
+            counts.add(batch.column(0).to_numpy().view(np.uint64))
+        rows = list(counts.rows())
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
+                                         ["block", "counts"])
+
+    return np.packbits(summed(keys.select("h").mapInArrow(run, SCHEMA), bits, 1))
+
+
+def _within(df: DataFrame, h: str, buckets: np.ndarray, bits: int, inside: bool = True) -> DataFrame:
+    """The rows of ``df`` whose hash is in the buckets, or the others: what has no partner is spared the shuffle."""
+    at, mask = df.columns.index(h), (1 << bits) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.column(at).to_numpy() & mask
+            yield batch.filter(pa.array(((buckets[k >> 3] >> (7 - (k & 7))) & 1 == 1) == inside))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def repeated_words(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, h, gone): for each document of ``docs`` (doc_id, h, text) with later copies, an array of
+    (start, lines) over its words."""
+    checkpoint_dir(docs.sparkSession)
+    docs = docs.select("doc_id", "h", "text")
+    marks = (docs.mapInArrow(lambda b: _marks(b, min_words), _MARKS).dropDuplicates(["doc_id", "h"])
+             .withColumn("start", F.lit(0)).checkpoint())
+    firsts = marks.groupBy("run1", "run2").agg(F.min(_place()).alias("first")).checkpoint()
+    placed = marks.join(firsts, ["run1", "run2"])
+    copies = placed.filter(_place() != F.col("first")).select("doc_id", "h", "start", F.col("words").alias("lines"))
+    own = placed.filter(_place() == F.col("first")).select("doc_id", "h", "marks").checkpoint()
+    each = own.select("doc_id", "h", F.explode("marks").alias("mark"))
+    again = each.groupBy("mark").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("mark").checkpoint()
+    held = (each.join(again, "mark").groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_x"))
+            .agg(F.collect_set("mark").alias("again")).checkpoint())
+    bits = bits_for(docs, 256, most=24)
+    texts = _within(docs, "h", _buckets(held.select(F.col("_x").alias("h")), bits), bits)
+    names = (texts.join(held, texts["doc_id"].eqNullSafe(F.col("_d")) & (texts["h"] == F.col("_x")))
+             .select("doc_id", "h", "text", "again")
+             .mapInArrow(lambda b: _word_names(b, min_words), "doc_id long, h long, a array<long>, b array<long>, start array<int>")
+             .checkpoint().select("doc_id", "h", F.explode(F.arrays_zip("a", "b", "start")).alias("x"))
+             .select("x.a", "x.b", "doc_id", "h", "x.start"))
+    interval = (names.groupBy("a", "b").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("times"))
+                .filter("times > 1").drop("times").checkpoint())
+    later = (names.join(interval, ["a", "b"]).filter(_place() > F.col("first"))
+             .select("doc_id", "h", "start", F.lit(min_words).alias("lines")))
+    return copies.unionByName(later).groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "lines")).alias("gone"))
+
+
+def _without_words(text: str, gone: list[dict]) -> tuple[str, list[int], int, int]:
+    """The text without the words in ``gone``, and without lines that lose all their words; the numbers from 0 of
+    such lines among all lines; lines with a word; words that went. Signs between words go with the word before them."""
+    if not gone:
+        return text, [], sum(1 for line in text.split("\n") if line.split()), 0
+    drop = np.zeros(len(text.split()) + 1, np.int64)
+    for g in gone:
+        drop[g["start"]] += 1
+        drop[g["start"] + g["lines"]] -= 1
+    dropped = np.cumsum(drop) > 0
+    kept, out, filled, at = [], [], 0, 0
+    for i, line in enumerate(text.split("\n")):
+        spans = [m.span() for m in re.finditer(r"\S+", line)]
+        mine, at = dropped[at: at + len(spans)], at + len(spans)
+        filled += bool(spans)
+        if not mine.any():
+            kept.append(line)
+        elif mine.all():
+            out.append(i)
+        else:
+            ends = [*[a for a, _ in spans[1:]], len(line)]
+            new = line[:spans[0][0]] + "".join(line[a:e] for (a, _), e, d in zip(spans, ends, mine) if not d)
+            kept.append(new.rstrip() if mine[-1] else new)
+    return "\n".join(kept), out, filled, int(dropped.sum())
+
+
 def _without(text: str, gone: list[dict]) -> tuple[str, list[int], int]:
     """The text without the lines in ``gone``; their numbers from 0 among all lines; lines with a word."""
     lines = text.split("\n")
@@ -177,20 +330,26 @@ def _without(text: str, gone: list[dict]) -> tuple[str, list[int], int]:
     return "\n".join(line for i, line in enumerate(lines) if i not in dropped), out, len(filled)
 
 
-def _joined(df: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, str, str]:
+def _joined(df: DataFrame, id_col: str, text_col: str, min_words: int, words: bool = False) -> tuple[DataFrame, str, str]:
     """``df`` with two columns more, of unused names: the id, and the runs to remove."""
     small_batches(df.sparkSession)
     taken = set(df.columns)
     key, h, gone = (next(n + "_" * k for k in range(99) if n + "_" * k not in taken) for n in ("_key", "_h", "_gone"))
     rows = df.withColumn(key, F.col(id_col).cast("long")).withColumn(h, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     docs = rows.select(F.col(key).alias("doc_id"), F.col(h).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = repeated_lines(docs, min_words).select(F.col("doc_id").alias("_d"), F.col("h").alias("_x"), F.col("gone").alias(gone))
+    found = (repeated_words if words else repeated_lines)(docs, min_words).select(F.col("doc_id").alias("_d"), F.col("h").alias("_x"), F.col("gone").alias(gone))
+    if words:
+        found, bits = found.checkpoint(), bits_for(docs, 256, most=24)
+        buckets = _buckets(found.select(F.col("_x").alias("h")), bits)
+        rest = _within(rows, h, buckets, bits, False).withColumn(gone, F.lit(None).cast(found.schema[gone].dataType))
+        rows = _within(rows, h, buckets, bits)
     out = rows.join(found, rows[key].eqNullSafe(F.col("_d")) & (rows[h] == F.col("_x")), "left")
-    return out.select(*[rows[c] for c in df.columns], rows[key], gone), key, gone
+    out = out.select(*[rows[c] for c in df.columns], rows[key], gone)
+    return (out.unionByName(rest.select(*df.columns, key, gone)) if words else out), key, gone
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-                drop_emptied: bool = True) -> DataFrame:
+                drop_emptied: bool = True, words: bool = False) -> DataFrame:
     """``df`` with the later copies of repeated line runs taken out of its texts; all its columns stay.
 
     A run is a row of lines of a document, lines without words aside, that has at least ``min_words`` words in
@@ -198,16 +357,22 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     order of id (null last), hash of the text and line. Runs do not go beyond a document. Documents that had words
     and lose them all go, unless ``drop_emptied`` is false. Null and empty texts stay as they are. Repeated rows (equal id and
     text) count as one document, and stay as often as they occur.
+
+    With ``words`` a run is a row of words instead, wherever lines begin and end: the later copies' words go, and with
+    them the lines that have no other words.
     """
-    joined, key, gone = _joined(df, id_col, text_col, min_words)
+    joined, key, gone = _joined(df, id_col, text_col, min_words, words)
     at, n = df.columns.index(text_col), len(df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keep = [], []
             for text, spans in zip(batch.column(at).to_pylist(), batch.column(n + 1).to_pylist()):
-                new, out, filled = _without(text or "", spans)
-                texts.append(new if out else text)
+                if words:
+                    new, out, filled, _ = _without_words(text or "", spans)
+                else:
+                    new, out, filled = _without(text or "", spans)
+                texts.append(new if spans else text)
                 keep.append(not (drop_emptied and out and len(out) == filled))
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(n)]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:n]).filter(pa.array(keep, pa.bool_()))
@@ -217,9 +382,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 @query("op5_line_dedup")
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: lines with a word, how many of them are later copies, their numbers (from 0, among all lines,
-    as first-last spans), and the SHA-256 of the text that is left."""
-    joined, key, gone = _joined(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", MIN_WORDS)
+    """Per document: lines with a word, how many of them are later copies as a whole, their numbers (from 0, among all
+    lines, as first-last spans), the SHA-256 of the text that is left, and how many words are later copies."""
+    joined, key, gone = _joined(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", MIN_WORDS, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -227,13 +392,15 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         for batch in batches:
             out = []
             for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
-                new, dropped, filled = _without(text or "", spans)
+                new, dropped, filled, lost = _without_words(text or "", spans)
                 cuts = [k for k in range(1, len(dropped)) if dropped[k] != dropped[k - 1] + 1]
                 named = ",".join(f"{dropped[a]}-{dropped[b - 1]}" for a, b in zip([0, *cuts], [*cuts, len(dropped)]) if dropped)
-                out.append((doc, filled, len(dropped), named, hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                out.append((doc, filled, len(dropped), named, hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), lost))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
-                                                 ["doc_id", "n_lines", "n_deleted", "deleted", "clean_sha256"])
+                                                 ["doc_id", "n_lines", "n_deleted", "deleted", "clean_sha256",
+                                                  "n_deleted_words"])
 
-    return joined.mapInArrow(run, "doc_id long, n_lines long, n_deleted long, deleted string, clean_sha256 string")
+    return joined.mapInArrow(run, "doc_id long, n_lines long, n_deleted long, deleted string, clean_sha256 string, "
+                                  "n_deleted_words long")

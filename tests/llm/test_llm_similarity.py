@@ -165,3 +165,44 @@ def test_line_dedup_edges(spark):
     rows = [(1, long + "\nown end"), (2, "own start\n" + long), (2, "own start\n" + long), (3, long), (None, long)]
     got = sorted(map(tuple, linededup.dedup_lines(spark.createDataFrame(rows, schema)).collect()), key=str)
     assert got == sorted([(1, long + "\nown end"), (2, "own start"), (2, "own start")], key=str)  # copies as a whole go
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_word_dedup_equals_brute_force(spark, seed):
+    rng = random.Random(seed)
+    least, shared = 9, [[f"p{k}w{i}" for i in range(rng.randint(7, 14))] for k in range(6)]
+    docs = []
+    for i in range(40):
+        words = []
+        for _ in range(rng.randint(0, 5)):
+            words += rng.choice(shared) if rng.random() < 0.7 else [f"u{rng.randrange(2000)}" for _ in range(rng.randint(1, 9))]
+        docs.append((i, "".join(w + rng.choice([" ", " ", " ", "  ", "\n"]) for w in words)))
+    docs[7], docs[9] = (7, docs[3][1]), (9, docs[3][1].replace("\n", " ") + "zz")
+    df = spark.createDataFrame([*docs, docs[5]], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(df, min_words=least, drop_emptied=False, words=True).collect()}
+    seen, changed = set(), 0
+    for i, text in docs:
+        words = text.split()
+        gone = set()
+        for a in range(len(words) - least + 1):
+            run = tuple(words[a: a + least])
+            if run in seen:
+                gone |= set(range(a, a + least))
+            seen.add(run)
+        changed += bool(gone)
+        assert got[i].split() == [w for k, w in enumerate(words) if k not in gone]
+        if not gone:
+            assert got[i] == text
+    assert changed > 5
+
+
+def test_word_dedup_within_longer_lines(spark):
+    passage = " ".join(f"w{i}" for i in range(54))
+    rows = [(39, f"first text {passage} ends here\nlast line"), (900, f"other start of {passage} other end\nown line"), (901, passage),
+            (None, None), (902, ""), (903, "x " * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in linededup.dedup_lines(df).collect()}
+    assert passage in kept[900]  # whole lines only
+    kept = {r.doc_id: r.text for r in linededup.dedup_lines(df, words=True).collect()}
+    assert kept == {39: rows[0][1], 900: "other start of other end\nown line", None: None, 902: "", 903: "x " * 20}
+    assert linededup.dedup_lines(spark.createDataFrame([], "doc_id long, text string"), words=True).count() == 0
