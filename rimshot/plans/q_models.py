@@ -161,6 +161,9 @@ def wide_table(spark, sf_dir):
         "checkpoint", "season_start", "team_id", "team_conference", LABEL, *WIDE_FEATURES)
 
 
+ALL_MODELS = ("Baseline_BaseRate", *ML.BASELINES, "LogisticRegression", "RandomForest", "GradientBoosting")
+
+
 def _backtest(spark, sf_dir, models=None, checkpoints=CHECKPOINTS):
     t = wide_table(spark, sf_dir).where(F.col("checkpoint").isin(list(checkpoints)))
     return ML.backtest(t, WIDE_FEATURES, LABEL, groups=["checkpoint"], **({"models": models} if models else {}))
@@ -201,23 +204,23 @@ def l10_backtest_checkpoint40(spark, sf_dir):
 
 @query("l10_backtest_fold_metrics")
 def l10_backtest_fold_metrics(spark, sf_dir):
-    """Q9 over the backtest at 20/40/60 with seven baselines and the full LR: per (checkpoint, model, test season)
-    AUC, log loss, Brier, accuracy, top 16 and top 8 per conference."""
-    return round_doubles(_fold_scores(_backtest(spark, sf_dir)))
+    """Q9 over the backtest of all models at 20/40/60: per (checkpoint, model, test season) AUC, log loss, Brier,
+    accuracy, top 16 and top 8 per conference."""
+    return round_doubles(_fold_scores(_backtest(spark, sf_dir, ALL_MODELS)))
 
 
 @query("l10_backtest_summary")
 def l10_backtest_summary(spark, sf_dir):
-    """A19 over the backtest: mean and sample std over the folds of every score, per (checkpoint, model)."""
-    s = _fold_scores(_backtest(spark, sf_dir, ("Baseline_BaseRate", "Baseline_LR_elo_pre", "LogisticRegression")))
+    """A19 over the backtest of all models: mean and sample std over the folds of every score, per (checkpoint, model)."""
+    s = _fold_scores(_backtest(spark, sf_dir, ALL_MODELS))
     return round_doubles(M.backtest_summary(s, ["checkpoint", "model"], "test_season",
                                             ["auc", "logloss", "brier", "accuracy", "top16", "top8conf"]))
 
 
 @query("l06_tree_models")
 def l06_tree_models(spark, sf_dir):
-    """L6 + L7: random forest (400 trees, balanced weights) and gradient boosting in every fold at checkpoint 40."""
-    return round_doubles(_backtest(spark, sf_dir, ("RandomForest", "GradientBoosting"), (40,)))
+    """L6 + L7: random forest (400 trees, balanced weights) and gradient boosting in every fold at 20/40/60."""
+    return round_doubles(_backtest(spark, sf_dir, ("RandomForest", "GradientBoosting")))
 
 
 def _last_season(spark, sf_dir):

@@ -196,3 +196,24 @@ def test_permutation_importance_finds_the_feature(spark):
     m = ML.fit_lr(t, ["a", "b"], "y", 1.0)
     got = {r.feature: r.perm_importance_mean for r in ML.permutation_importance(m, t, ["a", "b"], "y", "team_id", repeats=3).collect()}
     assert got["a"] > 0.3 and abs(got["b"]) < 0.05
+
+
+@pytest.mark.parametrize("name", ["l10_backtest_summary", "l10_backtest_fold_metrics"])
+def test_backtest_scores_all_models(spark, monkeypatch, name):
+    from rimshot.plans import q_models
+
+    asked = {}
+
+    def backtest(t, *_, models=(), **__):
+        asked.update(models=set(models), checkpoints={r.checkpoint for r in t.collect()})
+        raise StopIteration
+
+    monkeypatch.setattr(q_models, "wide_table", lambda *_: spark.createDataFrame([(20,), (40,), (60,)], "checkpoint int"))
+    monkeypatch.setattr(q_models.ML, "backtest", backtest)
+    with pytest.raises(StopIteration):
+        getattr(q_models, name)(spark, "")
+    assert asked["checkpoints"] == {20, 40, 60}
+    assert asked["models"] == {"Baseline_BaseRate", *q_models.ML.BASELINES, "LogisticRegression", "RandomForest", "GradientBoosting"}
+    with pytest.raises(StopIteration):
+        q_models.l06_tree_models(spark, "")
+    assert asked == {"checkpoints": {20, 40, 60}, "models": {"RandomForest", "GradientBoosting"}}
