@@ -304,6 +304,6 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
-@query("op2_licence_windows")
-def op2_licence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("licence_windows")
+def licence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_windows(table(spark, sf_dir, "documents"))

@@ -15,7 +15,7 @@ The runs looked at from each start are those whose lines beyond the least length
 words. They cover every maximal repeated run: of the starts within it, the last that leaves enough words up to its
 end has such a run to the end, and those before it overlap.
 
-By words (``words=True``, as the query and the pipeline call it) the unit is a word, wherever lines end, so a passage
+By words (``words=True``, as the query calls it) the unit is a word, wherever lines end, so a passage
 within longer lines counts with all its words. A block is half of the least length of words, and its rank the hash of
 its words; one doubling gives the rank of the least length, whose intervals tell the later copies. Only blocks
 that are the least (by hash) of all blocks in some run of the least length are dealt out first: equal runs have equal
