@@ -11,12 +11,16 @@ import os
 
 from pyspark.sql import functions as F
 
+from rimshot.operators.features import ROLLING_SPEC
 from rimshot.plans.catalog import query, round_doubles
+from rimshot.plans.oracle_sql import register
 from rimshot.session import scratch_path
 from rimshot.sources import fixtures as fx
+from rimshot.streaming import daily as D
 from rimshot.streaming import jobs as J
 
 N_CHUNKS = 6
+N_FILES = 4
 
 
 def _scratch(spark, name):
@@ -60,50 +64,115 @@ def x01_quote_stream(spark, sf_dir):
                                     "liquidity_depth_2c"))
 
 
-@query("x02_daily_games_stream", """
+# What the last deliveries say: games of the first season whose id is a multiple of 7 come again with other points and
+# assists, some player rows with another point, some standings with another win.
+_CORRECTED = "season_start = (select min(season_start) from f_game_log) and game_id % 7 = 0"
+register("f_daily_log", f"""
+select game_id, season_start, game_date, season_type, team_id, matchup,
+       pts + case when {_CORRECTED} and matchup like '%vs.%' then 500 else 0 end as pts,
+       case when {_CORRECTED} then case when matchup like '%vs.%' then 'W' else 'L' end else wl end as wl
+from f_game_log""", ("f_game_log",))
+register("f_daily_games", """
 select game_id, min(game_date) as game_date,
        max(case when matchup like '%vs.%' then team_id end) as home_team_id,
        max(case when matchup like '%@%' and matchup not like '%vs.%' then team_id end) as away_team_id,
        max(case when matchup like '%vs.%' then pts end) as home_points,
        max(case when matchup like '%@%' and matchup not like '%vs.%' then pts end) as away_points,
-       max(case when wl = 'W' then team_id end) as winner,
-       min(season_type) = 'PlayIn' as play_in_flag, min(season_type) = 'Playoffs' as playoff_flag,
-       min(season_type) as season_type, min(season_start) as season_start
-from f_game_log group by game_id having count(*) = 2""")
-def x02_daily_games_stream(spark, sf_dir):
-    """See ``_daily``; the games table."""
-    g = spark.read.parquet(os.path.join(_daily(spark, sf_dir), "games"))
-    return g.select("game_id", "game_date", "home_team_id", "away_team_id", "home_points", "away_points", "winner",
-                    "play_in_flag", "playoff_flag", "season_type", F.col("season_start").cast("bigint").alias("season_start"))
-
-
-@query("x02_daily_features", """
-select season_start, game_id, team_id, is_win,
-       round(avg(is_win) over (w rows between 5 preceding and 1 preceding), 6) as win_pct_l5,
-       round(avg(is_win) over (w rows between 10 preceding and 1 preceding), 6) as win_pct_l10,
-       round(avg(is_win) over (w rows between unbounded preceding and 1 preceding), 6) as win_pct_s2d
-from f_results window w as (partition by season_start, team_id order by game_date, game_id)""")
-def x02_daily_features(spark, sf_dir):
-    """See ``_daily``; the feature table, refreshed with every batch."""
-    f = spark.read.parquet(os.path.join(_daily(spark, sf_dir, files_per_trigger=3), "features"))
-    return round_doubles(f.select(F.col("season_start").cast("bigint").alias("season_start"), "game_id", "team_id", "is_win",
-                                  *J.RESULT_SPEC))
+       max(case when wl = 'W' then team_id end) as winner, min(season_type) as season_type, min(season_start) as season_start
+from f_daily_log group by game_id having count(*) = 2""", ("f_daily_log",))
+_BOX_COLUMNS = [c for c in D.FEEDS["team_box"].columns if c not in D.FEEDS["team_box"].keys]
+register("f_daily_team_box", f"""
+select game_id, season_start, team_id, {", ".join(c if c != "ast" else f"ast + case when {_CORRECTED} then 3 else 0 end as ast" for c in _BOX_COLUMNS)}
+from f_team_box""", ("f_team_box", "f_game_log"))
 
 
-def _daily(spark, sf_dir, files_per_trigger: int = 1) -> str:
-    """Land the game log and run X2 over it; the folder of its tables. A season's rows come in one file each, but
-    for the away rows of every fifth game, which come with the next season's file; part of the first season is
-    delivered again, with other points, which must not count."""
+def _daily(spark, sf_dir, files_per_trigger: int, feeds=tuple(D.FEEDS)) -> str:
+    """Land the feeds in ``N_FILES`` deliveries each and run the daily load over them; the folder of its tables.
+
+    Seasons are dealt to the deliveries; the away rows of every fifth game come one delivery later, and the last
+    delivery of each feed holds the corrections told above, a row without a team and, of the log, nothing else.
+    """
     root = _scratch(spark, "daily")
-    log = fx.game_log(spark, sf_dir)
-    first, last = log.agg(F.min("season_start"), F.max("season_start")).first()
-    n = last - first + 1
-    split = (F.col("game_id") % 5 == 0) & F.col("matchup").contains("@")
-    base = log.withColumn("chunk", (F.col("season_start") - F.lit(first) + split.cast("int")).cast("int"))
-    again = (log.where((F.col("season_start") == first) & (F.col("game_id") % 7 == 0))
-             .withColumns({"pts": F.col("pts") + 500, "chunk": F.lit(n + 1)}))
-    J.land_in_time_order(base.unionByName(again).repartition(1), os.path.join(root, "landing"), "game_date", n + 2, fmt="parquet")
-    q = J.daily_games_stream(spark, os.path.join(root, "landing", "chunk-*"), os.path.join(root, "log"), os.path.join(root, "games"),
-                             os.path.join(root, "features"), os.path.join(root, "_progress"), files_per_trigger=files_per_trigger)
-    q.awaitTermination()
-    return root
+    g = fx.game_log(spark, sf_dir)
+    players = fx.player_raw(spark, sf_dir)
+    stand = fx.standings(spark, sf_dir).withColumn("run_date", F.make_date(F.col("season_start") + 1, F.lit(6), F.lit(30)))
+    raw = {"game_log": g, "team_box": fx.team_box(spark, sf_dir, players), "player_box": players, "standings": stand}
+    first = g.agg(F.min("season_start")).first()[0]
+    game, home = F.col("game_id") % 7 == 0, F.col("matchup").contains("vs.")
+    corrected = {
+        "game_log": (game, {"pts": F.col("pts") + F.when(home, 500).otherwise(0), "wl": F.when(home, "W").otherwise("L")}),
+        "team_box": (game, {"ast": F.col("ast") + 3}),
+        "player_box": (F.col("player_id") % 3 == 0, {"pts": F.col("pts") + 1}),
+        "standings": (F.col("team_id") % 5 == 0, {"wins": F.col("wins") + 1}),
+    }
+    for name in feeds:
+        columns = D.FEEDS[name].columns
+        rows = raw[name].select(*columns).withColumn("chunk", F.pmod(F.col("season_start") - F.lit(first), F.lit(N_FILES - 2)).cast("int"))
+        if name == "game_log":
+            rows = rows.withColumn("chunk", F.col("chunk") + ((F.col("game_id") % 5 == 0) & ~home).cast("int"))
+        which, change = corrected[name]
+        again = rows.where((F.col("season_start") == first) & which).withColumns(change).withColumn("chunk", F.lit(N_FILES - 1))
+        nobody = again.limit(1).withColumn("team_id" if name != "player_box" else "player_id", F.lit(None).cast("long"))
+        landed = rows.unionByName(again).unionByName(nobody).repartition(1).checkpoint()
+        J.land_in_time_order(landed, os.path.join(root, "landing", name), "season_start", N_FILES, fmt="parquet")
+    D.daily_load_stream(spark, {n: os.path.join(root, "landing", n, "chunk-*") for n in feeds}, os.path.join(root, "tables"),
+                        os.path.join(root, "_progress"), files_per_trigger=files_per_trigger).awaitTermination()
+    return os.path.join(root, "tables")
+
+
+def _table(spark, folder, name, *columns):
+    return spark.read.parquet(os.path.join(folder, name)).withColumn("season_start", F.col("season_start").cast("long")).select(*columns)
+
+
+@query("x02_daily_games_stream", """
+select game_id, game_date, home_team_id, away_team_id, home_points, away_points, winner, season_type = 'PlayIn' as play_in_flag,
+       season_type = 'Playoffs' as playoff_flag, season_type, season_start
+from f_daily_games""")
+def x02_daily_games_stream(spark, sf_dir):
+    """The games table after all deliveries, one file of the log a batch; corrected games replace the first ones."""
+    return _table(spark, _daily(spark, sf_dir, 1, ["game_log"]), "games", "game_id", "game_date", "home_team_id", "away_team_id",
+                  "home_points", "away_points", "winner", "play_in_flag", "playoff_flag", "season_type", "season_start")
+
+
+@query("x02_daily_features", f"""
+with r as (
+  select season_start, game_id, game_date, home_team_id as team_id, away_team_id as opp_team_id, 1 as is_home,
+         case when home_points > away_points then 1 else 0 end as is_win, home_points - away_points as point_diff
+  from f_daily_games where season_type = 'Regular Season'
+  union all
+  select season_start, game_id, game_date, away_team_id, home_team_id, 0,
+         case when away_points > home_points then 1 else 0 end, away_points - home_points
+  from f_daily_games where season_type = 'Regular Season'),
+b as (select r.*, s.pts, s.turnovers, s.ast, s.oreb + s.dreb as reb from r join f_daily_team_box s using (season_start, game_id, team_id))
+select season_start, game_id, game_date, team_id, opp_team_id, is_home, is_win,
+       {", ".join(f"round(avg({c}) over (w rows between {'unbounded' if n is None else n} preceding and 1 preceding), 6) as {out}"
+                  for out, (c, n) in ROLLING_SPEC.items())}
+from b window w as (partition by season_start, team_id order by game_date, game_id)""")
+def x02_daily_features(spark, sf_dir):
+    """The rolling features after all deliveries of log and team box, three files of each a batch."""
+    return round_doubles(_table(spark, _daily(spark, sf_dir, 3, ["game_log", "team_box"]), "features", "season_start", "game_id",
+                                "game_date", "team_id", "opp_team_id", "is_home", "is_win", *ROLLING_SPEC))
+
+
+@query("x02_daily_player_box", f"""
+with d as (
+  select *, 0 as delivery from f_player_raw
+  union all
+  select * replace (pts + 1 as pts), 1 from f_player_raw
+  where season_start = (select min(season_start) from f_game_log) and player_id % 3 = 0),
+n as (select *, row_number() over (partition by season_start, game_id, player_id order by delivery desc,
+        {", ".join(f"{c} desc" for c in D.FEEDS["player_box"].columns if c not in D.FEEDS["player_box"].keys)}) as rn from d)
+select {", ".join(D.FEEDS["player_box"].columns)} from n where rn = 1""")
+def x02_daily_player_box(spark, sf_dir):
+    """Player rows after all deliveries in one batch; of the rows of one key the last delivered, then the greatest."""
+    return _table(spark, _daily(spark, sf_dir, 100, ["player_box"]), "player_box", *D.FEEDS["player_box"].columns)
+
+
+@query("x02_daily_standings", """
+select season_start, make_date(cast(season_start + 1 as integer), 6, 30) as run_date, team_id, conference, division,
+       wins + case when season_start = (select min(season_start) from f_game_log) and team_id % 5 = 0 then 1 else 0 end as wins,
+       losses, playoff_rank
+from f_standings""")
+def x02_daily_standings(spark, sf_dir):
+    """Standings after all deliveries, two files a batch."""
+    return _table(spark, _daily(spark, sf_dir, 2, ["standings"]), "standings", *D.FEEDS["standings"].columns)

@@ -1,19 +1,13 @@
-"""Incremental loads as Structured Streaming jobs.
+"""Incremental loads as Structured Streaming jobs.
 
 X1: order-book snapshots land as JSON files; each becomes a quote (S6). Every micro-batch is merged into the quote
 table with insert-ignore (U2): the first row per key within the batch, then only keys that the table does not hold.
 The table is partitioned by the quote's date and a batch reads the dates it touches only, so a quote may come as
 late as it likes, and no state is kept in the stream.
 
-X2: daily game-log files land in a folder; each micro-batch adds its rows to the stored log, insert-ignore by
-(game_id, team_id). The games it touches are pivoted to game rows (A2, daily rule) from the stored rows, so a game
-whose two rows come in different files, or come again, gives the same result however files fall into batches. They
-are upserted (U1) into the games table partitioned by season, and the rolling features of only the touched seasons
-are recomputed and their partitions replaced. Batches are materialised with a reliable ``checkpoint()`` before the
-partition overwrite, so a table is never overwritten while it is being read and a lost executor recomputes from
-stored data.
+X2, the daily load of all feeds, is in ``rimshot.streaming.daily``.
 
-Both jobs keep their progress in a checkpoint location and can run with ``availableNow`` (process what landed, then
+Both keep their progress in a checkpoint location and can run with ``availableNow`` (process what landed, then
 stop) or a processing-time trigger. A batch that is run again after a failure changes nothing that it already did.
 """
 
@@ -24,24 +18,13 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rimshot.operators.features import rolling
 from rimshot.operators.market import book_quotes
-from rimshot.operators.merge import _first_per_key, replace_slice, upsert
-from rimshot.operators.results import pivot_games, team_game_results
+from rimshot.operators.merge import _first_per_key
 from rimshot.session import checkpoint_dir
+from rimshot.streaming.daily import exists
 
 BOOK_FILE_SCHEMA = "snapshot_id long, game_id long, book string"
 QUOTE_KEYS = ["asof_ts", "game_id"]
-LOG_SCHEMA = ("game_id long, season_start long, game_date date, season_type string, team_id long, pts long, "
-              "matchup string, wl string")
-LOG_KEYS = ["game_id", "team_id"]
-RESULT_SPEC = {"win_pct_l5": ("is_win", 5), "win_pct_l10": ("is_win", 10), "win_pct_s2d": ("is_win", None)}
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether the table's folder is there, on any file system; what cannot be asked or read is an error."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def quote_stream(spark: SparkSession, landing: str, table: str, checkpoint: str,
@@ -56,7 +39,7 @@ def quote_stream(spark: SparkSession, landing: str, table: str, checkpoint: str,
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         new = _first_per_key(batch, QUOTE_KEYS, [F.col("snapshot_id")]).withColumn("quote_date", F.to_date("asof_ts"))
-        if _exists(spark, table):
+        if exists(spark, table):
             checkpoint_dir(spark)
             new = new.checkpoint()
             # the dates of one batch of files; the scan of the stored quotes is pruned to them
@@ -70,45 +53,6 @@ def quote_stream(spark: SparkSession, landing: str, table: str, checkpoint: str,
     return w.start()
 
 
-def daily_games_stream(spark: SparkSession, landing: str, log_table: str, games_table: str, features_table: str,
-                       checkpoint: str, available_now: bool = True, files_per_trigger: int = 10):
-    """Landed daily game-log files -> stored log -> games upsert -> rolling features of touched seasons refreshed.
-
-    Of several rows of one (game, team) the first delivered counts: by the file's time and path, then content.
-    """
-    src = (spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
-           .select("*", F.col("_metadata.file_modification_time").alias("_at"), F.col("_metadata.file_path").alias("_file")))
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():                                     # S14: nothing landed, nothing to do
-            return
-        checkpoint_dir(spark)
-        columns = [c for c in batch.columns if c not in ("_at", "_file")]
-        new = _first_per_key(batch, LOG_KEYS, ["_at", "_file", "pts", "matchup", "wl"]).select(*columns).checkpoint()
-        touched = [r.season_start for r in new.select("season_start").distinct().collect()]
-        fresh = new
-        if _exists(spark, log_table):
-            stored = spark.read.parquet(log_table).where(F.col("season_start").isin(touched)).select(*columns)
-            fresh = new.join(stored.select(*LOG_KEYS), LOG_KEYS, "left_anti")
-        fresh.write.mode("append").partitionBy("season_start").parquet(log_table)
-        stored = spark.read.parquet(log_table).where(F.col("season_start").isin(touched)).select(*columns)
-        new_games = pivot_games(stored.join(new.select("game_id").distinct(), "game_id", "left_semi"), mode="daily")
-        if _exists(spark, games_table):
-            current = spark.read.parquet(games_table).where(F.col("season_start").isin(touched))
-            new_games = upsert(current, new_games.select(*current.columns), ["game_id"])
-        new_games = new_games.checkpoint(eager=True)            # read before the table is replaced
-        if new_games.isEmpty():                                 # no complete game yet
-            return
-        replace_slice(new_games, games_table, ["season_start"])
-        season_games = spark.read.parquet(games_table).where(F.col("season_start").isin(touched))
-        feats = rolling(team_game_results(season_games), RESULT_SPEC)
-        replace_slice(feats.checkpoint(eager=True), features_table, ["season_start"])
-
-    w = src.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
-
-
 def land_in_time_order(df: DataFrame, folder: str, ts_col: str, n_chunks: int, fmt: str = "json") -> None:
     """Landing helper: write ``df`` as ``n_chunks`` event-time ranges, one after another, so the file
     stream (which orders new files by modification time) sees them in time order. ``chunk`` (0-based)

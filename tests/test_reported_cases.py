@@ -14,6 +14,7 @@ from rimshot.operators import normalise as N
 from rimshot.operators.elo import elo
 from rimshot.operators.results import pivot_games
 from rimshot.sources import files as S
+from rimshot.streaming import daily as D
 from rimshot.streaming import jobs as J
 
 
@@ -56,26 +57,13 @@ def _log(game, team, pts, home, wl, season=2020, day=1):
     return (game, season, dt.date(2020, 10, day), "Regular Season", team, pts, f"T{team} {'vs.' if home else '@'} X", wl)
 
 
-@pytest.mark.parametrize("files_per_trigger", [1, 10])
-def test_games_may_be_split_over_files_and_delivered_again(spark, files_per_trigger):
-    root = _tmp()
-    files = [[_log(1, 10, 100, True, "W")], [_log(1, 11, 90, False, "L"), _log(2, 12, 80, True, "L", day=2), _log(2, 13, 85, False, "W", day=2)],
-             [_log(2, 12, 999, True, "W", day=2), _log(2, 13, 0, False, "L", day=2), _log(3, 10, 70, True, "W", day=3)]]
-    _land(spark, os.path.join(root, "in"), files, J.LOG_SCHEMA, "parquet")
-    J.daily_games_stream(spark, os.path.join(root, "in", "f*"), *[os.path.join(root, x) for x in ("log", "games", "features", "progress")],
-                         files_per_trigger=files_per_trigger).awaitTermination()
-    games = {r.game_id: (r.home_team_id, r.home_points, r.away_points, r.winner) for r in spark.read.parquet(os.path.join(root, "games")).collect()}
-    assert games == {1: (10, 100, 90, 10), 2: (12, 80, 85, 13)}
-    assert spark.read.parquet(os.path.join(root, "features")).count() == 4
-
-
 def test_unreadable_table_is_an_error(spark):
     root = _tmp()
-    assert not J._exists(spark, os.path.join(root, "none"))
+    assert not D.exists(spark, os.path.join(root, "none"))
     os.makedirs(os.path.join(root, "games"))
     with open(os.path.join(root, "games", "part-0.parquet"), "w") as f:
         f.write("no parquet")
-    assert J._exists(spark, os.path.join(root, "games"))
+    assert D.exists(spark, os.path.join(root, "games"))
     with pytest.raises(Exception):
         spark.read.parquet(os.path.join(root, "games")).collect()
 
@@ -92,14 +80,14 @@ def test_repeated_source_keys(spark):
 
 
 def test_unmarked_row_sets_no_winner(spark):
-    log = spark.createDataFrame([_log(1, 10, 100, True, "L"), (1, 2020, dt.date(2020, 10, 1), "Regular Season", 11, 120, "unmarked", "W")], J.LOG_SCHEMA)
+    log = spark.createDataFrame([_log(1, 10, 100, True, "L"), (1, 2020, dt.date(2020, 10, 1), "Regular Season", 11, 120, "unmarked", "W")], D.FEEDS["game_log"].schema)
     for mode in ("bulk", "daily"):
         r = pivot_games(log, mode).first()
         assert (r.home_team_id, r.away_team_id, r.winner) == (10, None, None)
 
 
 def test_pivot_uses_one_exchange(spark):
-    plan = pivot_games(spark.createDataFrame([_log(1, 10, 100, True, "L")], J.LOG_SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    plan = pivot_games(spark.createDataFrame([_log(1, 10, 100, True, "L")], D.FEEDS["game_log"].schema))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
 
 
