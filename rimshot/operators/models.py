@@ -1,11 +1,11 @@
-"""Model training, scoring and evaluation on MLlib.
+"""Model training, scoring and evaluation.
 
 Preprocessing is fitted on the training rows only, with aggregates that
 return a handful of numbers per feature (median, mean, std, class counts).
 Those numbers are applied to train and test as plain column expressions,
-so no data is collected. Models are MLlib estimators; the season backtest is
-a short driver loop over test seasons, and every fit and score inside it is
-distributed.
+so no data is collected. Single models are MLlib estimators. The season
+backtest of the checkpoint models fits all folds in one plan (``folds``);
+that of the next-game models is a short driver loop over test seasons.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rimshot.functions.expressions import CALIBRATION_EPS
+from rimshot.operators import folds as FD
 from rimshot.operators import metrics as M
 from rimshot.operators.filters import MIN_CALIBRATION_ROWS, MIN_TRAIN_ROWS, enough_rows
 from rimshot.operators.ordering import exact_quantiles, global_row_number, keyed_prefix_sums, time_split, value_counts
@@ -174,53 +175,52 @@ def _union(frames: list[DataFrame]) -> DataFrame | None:
     return reduce(lambda a, b: a.unionByName(b), frames) if frames else None
 
 
+TREE_MODELS = ("RandomForest", "GradientBoosting")
+
+
 def backtest(df: DataFrame, cols: list[str], label: str, season: str = "season_start",
              models=("Baseline_BaseRate", *BASELINES, "LogisticRegression"),
              keep: list[str] = ("team_id", "team_conference"), groups: list[str] = ()) -> DataFrame:
     """Rolling season backtest: train on every earlier season, test on the next one, for each value of
     ``groups`` (the checkpoint).
 
-    Returns one prediction row per (group, model, test season, test row). A baseline runs if its features are among
-    ``cols``. Folds without a label of both classes in training are left out. The fits and scores of a fold are
-    distributed jobs; folds run side by side.
+    Returns one prediction row per (group, model, test season, test row), stored. A baseline runs if its features are
+    among ``cols``. Folds without a label of both classes in training are left out. All folds are fitted and scored
+    together (``operators.folds``): one Newton fit for all logistic models, one forest, one boosting.
     """
-    checkpoint_dir(df.sparkSession)
-    df = df.where(F.col(label).isNotNull()).checkpoint(eager=True)   # the feature lineage runs once, not once per fold and model
-    base = [*groups, season, *keep, label]
+    names = [*groups, season, *keep, label]
+    kinds = dict(df.dtypes)
+    folds = FD.make_folds(df.select(*names, *[c for c in cols if c not in names]), cols, label, season, list(groups))
+    if folds is None:
+        schema = ", ".join(f"`{c}` {t}" for c, t in [*[(c, kinds[c]) for c in names], ("model", "string"), ("y_prob", "double")])
+        found = df.sparkSession.createDataFrame([], schema)
+    else:
+        with ThreadPoolExecutor(3) as pool:  # the learners do not depend on each other
+            parts = list(pool.map(lambda f: f(), _learners(folds, models)))
+        found = _union(parts).join(folds.base.select("rid", *names), "rid").select(*names, "model", "y_prob")
+    res = found.withColumnRenamed(label, "y_true").withColumnRenamed(season, "test_season")
+    return res.checkpoint(eager=True)         # metrics read the stored predictions
 
-    def run(group, s, train, test):
-        classes = train.agg(F.avg(F.col(label).cast("double")), F.countDistinct(label)).first()
-        if classes[1] < 2 or test.isEmpty():
-            return None
-        out = []
 
-        def add(name, frame):
-            out.append(frame.select(*base, F.lit(name).alias("model"), F.col("y_prob").cast("double")))
-
-        if "Baseline_BaseRate" in models:
-            add("Baseline_BaseRate", test.withColumn("y_prob", F.lit(classes[0])))
-        if set(models) == {"Baseline_BaseRate"}:
-            return _union(out)
-        tr, te = prepare(train, test, cols, label, center=False, balanced=True)
-        tr = tr.checkpoint(eager=True)
-        for name, feats in BASELINES.items():
-            if name in models and set(feats) <= set(cols):
-                add(name, score(fit_lr(tr, feats, label, 1.0, "weight"), te, feats))
-        if "LogisticRegression" in models:
-            add("LogisticRegression", score(fit_lr(tr, cols, label, 1.0, "weight"), te, cols))
-        if "RandomForest" in models:
-            add("RandomForest", score(fit_rf(tr, cols, label, "weight"), te, cols))
+def _learners(folds, models) -> list:
+    """Functions that fit and score the wanted models of all folds: (rid, fold, model, y_prob), stored."""
+    out = []
+    if "Baseline_BaseRate" in models:
+        rate = F.get(F.array(*[F.lit(s) for s in folds.share]), F.col("fold"))
+        out.append(lambda: folds.rows.where("test").select("rid", "fold", F.lit("Baseline_BaseRate").alias("model"), rate.alias("y_prob")))
+    linear = {m: fs for m, fs in BASELINES.items() if m in models and set(fs) <= set(folds.features)}
+    if "LogisticRegression" in models:
+        linear["LogisticRegression"] = folds.features
+    if linear:
+        out.append(lambda: FD.score_logistic(folds, FD.fit_logistic(folds, linear)).checkpoint())
+    if set(TREE_MODELS) & set(models):
+        rows = FD.binned(folds)
         if "GradientBoosting" in models:
-            add("GradientBoosting", score(fit_gbt(tr, cols, label), te, cols))
-        return _union(out)
-
-    res = _union(_folds(df, season, run, list(groups)))
-    kinds = dict(df.dtypes)
-    if res is None:
-        names = [*[(c, kinds[c]) for c in base], ("model", "string"), ("y_prob", "double")]
-        res = df.sparkSession.createDataFrame([], ", ".join(f"`{c}` {t}" for c, t in names))
-    res = res.withColumnRenamed(label, "y_true").withColumnRenamed(season, "test_season")
-    return res.checkpoint(eager=True)         # metrics read the stored predictions
+            out.append(lambda: FD.boost(folds, rows, GBT_TREES, GBT_DEPTH, GBT_RATE).checkpoint())
+        if "RandomForest" in models:
+            tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a row for each tree follows
+            out.append(lambda: FD.forest(folds, rows.repartition(tasks), RF_TREES, RF_MIN_LEAF, SEED).checkpoint())
+    return out
 
 
 def next_game_backtest(df: DataFrame, sets: dict[str, list[str]], label: str = "home_win", season: str = "season_start",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rimshot.functions import expressions as E
 from rimshot.operators import features as FT
+from rimshot.operators import folds as FD
 from rimshot.operators import metrics as M
 from rimshot.operators import models as ML
 from rimshot.plans.catalog import query, round_doubles
@@ -15,7 +16,7 @@ from rimshot.operators.elo import elo
 from rimshot.operators.results import team_game_results
 from rimshot.plans.q_features import MATCHUP_FEATURES, base_table, calendar, labels_table, next_game_table, rolled_table
 from rimshot.plans.q_metrics import preds_game
-from rimshot.session import checkpoint_dir
+from rimshot.session import checkpoint_dir, scratch_path
 from rimshot.sources import fixtures as fx
 
 LABEL = "made_playoffs"
@@ -169,6 +170,19 @@ def _backtest(spark, sf_dir, models=None, checkpoints=CHECKPOINTS):
     return ML.backtest(t, WIDE_FEATURES, LABEL, groups=["checkpoint"], **({"models": models} if models else {}))
 
 
+_STORED: dict[tuple[str, str], str] = {}  # (application, tables) -> folder of the predictions of all models
+
+
+def all_predictions(spark, sf_dir):
+    """The backtest of all models at 20/40/60, fitted and stored once for all queries of an application that read it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        folder = scratch_path(spark, "predictions")
+        _backtest(spark, sf_dir, ALL_MODELS).write.parquet(folder)
+        _STORED[key] = folder
+    return spark.read.parquet(_STORED[key])
+
+
 register("f_cp_labels", """
 with n as (select season_start, team_id, row_number() over (partition by season_start, team_id order by game_date, game_id) as gn from f_base)
 select gn - 1 as checkpoint, n.season_start, n.team_id, t.conference as team_conference, l.made_playoffs
@@ -196,6 +210,10 @@ def _fold_scores(p):
     return fm.join(top8, by).join(top16, by)
 
 
+def _summary(scores):
+    return M.backtest_summary(scores, ["checkpoint", "model"], "test_season", ["auc", "logloss", "brier", "accuracy", "top16", "top8conf"])
+
+
 @query("l10_backtest_checkpoint40")
 def l10_backtest_checkpoint40(spark, sf_dir):
     """L8-L10 + L14: predictions of the rolling backtest at checkpoint 40: all baselines and the full LR."""
@@ -206,21 +224,104 @@ def l10_backtest_checkpoint40(spark, sf_dir):
 def l10_backtest_fold_metrics(spark, sf_dir):
     """Q9 over the backtest of all models at 20/40/60: per (checkpoint, model, test season) AUC, log loss, Brier,
     accuracy, top 16 and top 8 per conference."""
-    return round_doubles(_fold_scores(_backtest(spark, sf_dir, ALL_MODELS)))
+    return round_doubles(_fold_scores(all_predictions(spark, sf_dir)))
 
 
 @query("l10_backtest_summary")
 def l10_backtest_summary(spark, sf_dir):
     """A19 over the backtest of all models: mean and sample std over the folds of every score, per (checkpoint, model)."""
-    s = _fold_scores(_backtest(spark, sf_dir, ALL_MODELS))
-    return round_doubles(M.backtest_summary(s, ["checkpoint", "model"], "test_season",
-                                            ["auc", "logloss", "brier", "accuracy", "top16", "top8conf"]))
+    return round_doubles(_summary(_fold_scores(all_predictions(spark, sf_dir))))
 
 
 @query("l06_tree_models")
 def l06_tree_models(spark, sf_dir):
-    """L6 + L7: random forest (400 trees, balanced weights) and gradient boosting in every fold at 20/40/60."""
-    return round_doubles(_backtest(spark, sf_dir, ("RandomForest", "GradientBoosting")))
+    """L6 + L7: random forest (400 trees, balanced in each bootstrap) and gradient boosting in every fold at 20/40/60."""
+    return round_doubles(all_predictions(spark, sf_dir).where(F.col("model").isin(*ML.TREE_MODELS)))
+
+
+_FOLDS_SQL = f"""
+folds as (select distinct t.checkpoint, t.season_start as test_season from f_cp_labels t
+          where t.made_playoffs is not null and exists (
+            select 1 from f_cp_labels r where r.checkpoint = t.checkpoint and r.season_start < t.season_start
+            having count(distinct r.made_playoffs) = 2))"""
+
+
+@query("l10_lr_optimality", f"""
+with {_FOLDS_SQL},
+features as (select * from (values {", ".join(f"('{m}', '{f}')" for m, fs in [*ML.BASELINES.items(), ("LogisticRegression", WIDE_FEATURES)]
+                                              for f in [*fs, "(intercept)"])}) v(model, feature))
+select cast(checkpoint as integer) as checkpoint, test_season, model, feature, true as at_optimum from folds cross join features""")
+def l10_lr_optimality(spark, sf_dir):
+    """L3 + L8 + L10: in every fold, at the weights of every logistic model the gradient of the balanced, penalised log
+    loss vanishes in every feature. The gradient is stated anew here, with SQL sums over the fold's training rows."""
+    models = {**ML.BASELINES, "LogisticRegression": WIDE_FEATURES}
+    folds = FD.make_folds(wide_table(spark, sf_dir), WIDE_FEATURES, LABEL, groups=["checkpoint"])
+    if folds is None:
+        return spark.createDataFrame([], "checkpoint int, test_season long, model string, feature string, at_optimum boolean")
+    fitted = FD.fit_logistic(folds, models)
+    table = spark.createDataFrame(
+        [(f, m, [WIDE_FEATURES.index(x) for x in models[m]], [float(v) for v in w]) for (f, m), w in fitted.weights.items()],
+        "fold int, model string, cols array<int>, w array<double>")
+    names = spark.createDataFrame([(i, *k) for i, k in enumerate(folds.keys)], "fold int, checkpoint int, test_season long")
+    train = folds.rows.where(~F.col("test"))
+    n = train.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1"))
+    rows = (train.join(n, "fold").join(table, "fold")
+            .withColumn("a", F.concat(F.transform("cols", lambda c: F.get("x", c)), F.array(F.lit(1.0)))))
+    z = F.aggregate(F.zip_with("a", "w", lambda a, w: a * w), F.lit(0.0), lambda s, v: s + v)
+    rest = (F.lit(1.0) / (1 + F.exp(-z)) - F.col("y")) * F.col("n") / (2 * F.when(F.col("y") == 1, F.col("n1")).otherwise(F.col("n") - F.col("n1")))
+    g = (rows.select("fold", "model", "n", "w", "cols", rest.alias("rest"), F.posexplode("a").alias("i", "v"))
+         .groupBy("fold", "model", "n", "w", "cols", "i").agg(F.sum(F.col("rest") * F.col("v")).alias("g")))
+    inner = F.col("i") < F.size("cols")
+    gap = F.col("g") + F.when(inner, F.get("w", F.col("i"))).otherwise(0.0)
+    feature = F.when(inner, F.get(F.array(*[F.lit(c) for c in WIDE_FEATURES]), F.get("cols", F.col("i")))).otherwise("(intercept)")
+    return g.join(names, "fold").select("checkpoint", "test_season", "model", feature.alias("feature"),
+                                        (F.abs(gap) < 1e-6 * F.col("n")).alias("at_optimum"))
+
+
+@query("l10_base_rate_summary", f"""
+with {_FOLDS_SQL},
+p as (select t.checkpoint, t.season_start as test_season, t.team_id, t.team_conference, t.made_playoffs as y,
+             (select avg(1e0 * r.made_playoffs) from f_cp_labels r
+              where r.checkpoint = t.checkpoint and r.season_start < t.season_start and r.made_playoffs is not null) as q
+      from f_cp_labels t join folds f on f.checkpoint = t.checkpoint and f.test_season = t.season_start
+      where t.made_playoffs is not null),
+k as (select *, row_number() over (partition by checkpoint, test_season order by team_id) as r16,
+             row_number() over (partition by checkpoint, test_season, team_conference order by team_id) as r8 from p),
+m as (select checkpoint, test_season, case when count(distinct y) = 2 then 5e-1 end as auc, avg(-(y * ln(q) + (1 - y) * ln(1 - q))) as logloss,
+             avg((q - y) * (q - y)) as brier, avg(case when (q >= 5e-1) = (y = 1) then 1e0 else 0e0 end) as accuracy,
+             sum(case when r16 <= 16 then y else 0 end) / 16e0 as top16,
+             sum(case when r8 <= 8 then 1e0 * y else 0 end) / sum(case when r8 <= 8 then 1 else 0 end) as top8conf
+      from k group by checkpoint, test_season)
+select cast(checkpoint as integer) as checkpoint, 'Baseline_BaseRate' as model, count(distinct test_season) as folds,
+       {", ".join(f"round(avg({c}), 6) as {c}_mean, round(stddev_samp({c}), 6) as {c}_std"
+                  for c in ("auc", "logloss", "brier", "accuracy", "top16", "top8conf"))}
+from m group by checkpoint""")
+def l10_base_rate_summary(spark, sf_dir):
+    """A19 over the backtest of the base rate: all six scores, with ties by team."""
+    return round_doubles(_summary(_fold_scores(_backtest(spark, sf_dir, ("Baseline_BaseRate",)))))
+
+
+@query("l07_root_gains", f"""
+with t as (select row_number() over () as id, * from f_model_cp40 where {LABEL} is not null),
+s as (select distinct season_start as test_season from t),
+r as (select s.test_season, t.id, 1e0 * t.{LABEL} as y, {", ".join(f"t.{c}" for c in MODEL_FEATURES)} from s join t on t.season_start < s.test_season),
+v as (unpivot r on {", ".join(MODEL_FEATURES)} into name feature value x),
+a as (select test_season, count(*) as n, sum(y) as n1 from r group by test_season having count(distinct y) = 2),
+med as (select test_season, feature, median(x) as x from v group by all),
+w as (select r.test_season, r.id, r.y, m.feature, coalesce(v.x, m.x) as x
+      from r join med m using (test_season) left join v on v.test_season = r.test_season and v.id = r.id and v.feature = m.feature),
+c as (select test_season, feature, x, sum(count(*)) over (partition by test_season, feature order by x) as l,
+             sum(sum(y)) over (partition by test_season, feature order by x) as l1
+      from w group by test_season, feature, x)
+select test_season, n, round(max(case when l < n then
+         power(l1 - l * n1 / n, 2) / l + power((n1 - l1) - (n - l) * n1 / n, 2) / (n - l) end), 6) as gain
+from c join a using (test_season) group by test_season, n""")
+def l07_root_gains(spark, sf_dir):
+    """The gain of the first boosted tree's root split in every fold at checkpoint 40; the oracle tries every cut of
+    every feature."""
+    folds = FD.make_folds(model_table(spark, sf_dir), MODEL_FEATURES, LABEL)
+    rows = [] if folds is None else [(k[0], n, round(float(g), 6)) for k, n, g in zip(folds.keys, folds.size, FD.root_gains(folds, FD.binned(folds)))]
+    return spark.createDataFrame(rows, "test_season long, n long, gain double")
 
 
 def _last_season(spark, sf_dir):

@@ -186,7 +186,7 @@ def test_permutation_importance_finds_the_feature(spark):
     assert got["a"] > 0.3 and abs(got["b"]) < 0.05
 
 
-@pytest.mark.parametrize("name", ["l10_backtest_summary", "l10_backtest_fold_metrics"])
+@pytest.mark.parametrize("name", ["l10_backtest_summary", "l10_backtest_fold_metrics", "l06_tree_models"])
 def test_backtest_scores_all_models(spark, monkeypatch, name):
     from rimshot.plans import q_models
 
@@ -202,6 +202,3 @@ def test_backtest_scores_all_models(spark, monkeypatch, name):
         getattr(q_models, name)(spark, "")
     assert asked["checkpoints"] == {20, 40, 60}
     assert asked["models"] == {"Baseline_BaseRate", *q_models.ML.BASELINES, "LogisticRegression", "RandomForest", "GradientBoosting"}
-    with pytest.raises(StopIteration):
-        q_models.l06_tree_models(spark, "")
-    assert asked == {"checkpoints": {20, 40, 60}, "models": {"RandomForest", "GradientBoosting"}}
