@@ -4,6 +4,7 @@ Every metric takes a predictions DataFrame with a 0/1 label ``y`` and a
 probability ``p`` and a list of grouping columns (the fold: model,
 checkpoint, test season, ...). Nothing is collected: each metric is one
 groupBy, a two-stage top-k, or a distributed prefix sum over a reduced table.
+Sums of scores do not depend on the order of the rows (``functions.exact``).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rimshot.functions.exact import exact_avg, exact_sum
 from rimshot.functions.expressions import FLOAT_EPS, calibration_bin
 from rimshot.operators.ordering import exact_quantiles, keyed_prefix_sums, top_k_per_group
 from rimshot.session import checkpoint_dir
@@ -43,11 +45,11 @@ def auc(df: DataFrame, by: list[str], y: str = "y_true", p: str = "y_prob") -> D
 
 def log_loss_expr(y: str = "y_true", p: str = "y_prob", eps: float = FLOAT_EPS):
     q = F.least(F.greatest(F.col(p), F.lit(eps)), F.lit(1.0 - eps))
-    return F.avg(-(_y(y) * F.ln(q) + (1.0 - _y(y)) * F.ln(1.0 - q)))
+    return exact_avg(-(_y(y) * F.ln(q) + (1.0 - _y(y)) * F.ln(1.0 - q)))
 
 
 def brier_expr(y: str = "y_true", p: str = "y_prob"):
-    return F.avg(F.pow(F.col(p) - _y(y), 2))
+    return exact_avg(F.pow(F.col(p) - _y(y), 2))
 
 
 def accuracy_expr(y: str = "y_true", p: str = "y_prob", threshold: float = 0.5):
@@ -58,7 +60,7 @@ def accuracy_expr(y: str = "y_true", p: str = "y_prob", threshold: float = 0.5):
 def fold_metrics(df: DataFrame, by: list[str], y: str = "y_true", p: str = "y_prob") -> DataFrame:
     """Q2-Q4 + Q7 + Q1 per fold: n, mean p, mean y, log loss, Brier, accuracy at 0.5, AUC."""
     m = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_p"), F.avg(_y(y)).alias("mean_y"),
+        F.count(F.lit(1)).alias("n"), exact_avg(p).alias("mean_p"), F.avg(_y(y)).alias("mean_y"),
         log_loss_expr(y, p).alias("logloss"), brier_expr(y, p).alias("brier"),
         accuracy_expr(y, p).alias("accuracy"))
     return m.join(auc(df, by, y, p), by, "left")
@@ -84,7 +86,7 @@ def calibration(df: DataFrame, by: list[str], y: str = "y_true", p: str = "y_pro
     """Q5: calibration table per fold: bin (right-closed), n, mean p, actual rate, |gap|. Empty bins are absent, or,
     with ``keep_empty``, have n = 0 and nulls."""
     b = df.withColumn("bin", calibration_bin(F.col(p), n_bins))
-    t = b.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("pred_mean"),
+    t = b.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), exact_avg(p).alias("pred_mean"),
                                   F.avg(_y(y)).alias("actual_rate"))
     if keep_empty:
         every = t.select(*by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))))
@@ -97,7 +99,7 @@ def ece(cal: DataFrame, by: list[str]) -> DataFrame:
     c = cal.where(F.col("pred_mean").isNotNull() & F.col("actual_rate").isNotNull() & F.col("n").isNotNull())
     w = Window.partitionBy(*by)
     c = c.withColumn("weight", F.col("n") / F.sum("n").over(w))
-    return c.groupBy(*by).agg(F.sum(F.abs(F.col("pred_mean") - F.col("actual_rate")) * F.col("weight")).alias("ece"))
+    return c.groupBy(*by).agg(exact_sum(F.abs(F.col("pred_mean") - F.col("actual_rate")) * F.col("weight")).alias("ece"))
 
 
 def prediction_summary(df: DataFrame, by: list[str], y: str = "y_true", p: str = "y_prob", digits: int = 3) -> DataFrame:
@@ -105,7 +107,7 @@ def prediction_summary(df: DataFrame, by: list[str], y: str = "y_true", p: str =
     # one pass: everything follows from how often each (label, probability) occurs
     checkpoint_dir(df.sparkSession)
     c = df.groupBy(*by, F.col(p).cast("double").alias("_p"), _y(y).alias("_y")).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
-    weighted = lambda v: F.sum(v * F.col("_n")) / F.sum(F.when(v.isNotNull(), F.col("_n")))
+    weighted = lambda v: exact_sum(v * F.col("_n")) / F.sum(F.when(v.isNotNull(), F.col("_n")))
     g = c.groupBy(*by).agg(
         F.sum("_n").alias("n"), weighted(F.col("_y")).alias("actual_rate"), weighted(F.col("_p")).alias("mean_p"),
         (F.sum(F.when(F.col("_p") >= 0.5, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("frac_over_05"))
@@ -127,7 +129,7 @@ def backtest_summary(metrics: DataFrame, by: list[str], fold: str, cols: list[st
     """Over folds: number of folds, mean and sample std of each metric (one fold -> null std)."""
     aggs = [F.countDistinct(fold).alias("folds")]
     for c in cols:
-        aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std")]
+        aggs += [exact_avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std")]
     return metrics.groupBy(*by).agg(*aggs)
 
 
@@ -136,7 +138,7 @@ def weighted_means(metrics: DataFrame, by: list[str], weight: str, cols: list[st
     aggs = []
     for c in cols:
         w = F.when(F.col(c).isNotNull(), F.col(weight))
-        aggs.append((F.sum(F.col(c) * F.col(weight)) / F.sum(w)).alias(f"{c}_wmean"))
+        aggs.append((exact_sum(F.col(c) * F.col(weight)) / F.sum(w)).alias(f"{c}_wmean"))
     return metrics.groupBy(*by).agg(*aggs)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rimshot.functions.exact import exact_sum
 from rimshot.operators.ordering import exact_quantiles, value_counts
 from rimshot.session import checkpoint_dir
 
@@ -58,11 +59,11 @@ def feature_audit(df: DataFrame, cols: list[str]) -> DataFrame:
     n = F.sum(F.when(known, F.col("_n")))
     basic = c.groupBy("feature").agg(
         (F.sum(F.when(known, 0).otherwise(F.col("_n"))) / F.sum("_n") * 100).alias("missing_pct"),
-        F.count("value").alias("n_unique"), (F.sum(F.col("value") * F.col("_n")) / n).alias("mean"), n.alias("_known"),
+        F.count("value").alias("n_unique"), (exact_sum(F.col("value") * F.col("_n")) / n).alias("mean"), n.alias("_known"),
         F.min("value").alias("min"), F.max("value").alias("max"))
     # squared distances from the mean, which is known by now, do not cancel
     spread = (c.where(known).join(basic.select("feature", F.col("mean").alias("_mean")), "feature").groupBy("feature")
-              .agg(F.sum(F.col("_n") * F.pow(F.col("value") - F.col("_mean"), 2)).alias("_ss")))
+              .agg(exact_sum(F.col("_n") * F.pow(F.col("value") - F.col("_mean"), 2)).alias("_ss")))
     std = F.when(F.col("_known") > 1, F.sqrt(F.col("_ss") / (F.col("_known") - 1)))
     stats = basic.join(spread, "feature", "left").select("feature", "missing_pct", "n_unique", "mean", std.alias("std"), "min", "max")
     q = exact_quantiles(c, ["feature"], "value", {"p01": 0.01, "median": 0.5, "p99": 0.99})

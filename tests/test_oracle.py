@@ -24,10 +24,6 @@ def _canon(rows, cols):
 
 
 ORACLES = entry.oracle_sql()
-# Queries over means of non-integer doubles (ratings, rates, probabilities).
-SUMMED_IN_ANY_ORDER = {"w13_advanced_rolling", "j09_full", "w16_core_availability", "m05_season_projection", "w17_team_state",
-                       "q01_fold_metrics_game", "q06_ece_game", "a11_feature_audit", "a13_corr_matrix", "l02_scaler_stats"}
-
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, duck, name):
@@ -39,21 +35,7 @@ def test_query_matches_oracle(spark, duck, name):
     orows = cur.fetchall()
     assert sorted(df.columns) == sorted(ocols)
     a, b = _canon(rows, df.columns), _canon(orows, ocols)
-    if name not in SUMMED_IN_ANY_ORDER:
-        assert a == b
-    elif a != b:
-        # Means of many doubles are rounded to 6 places on both sides; a value that lies on a rounding half can
-        # land on either neighbour, as the order of the sum decides. Align rows on coarser keys and
-        # accept float differences up to 2e-6; everything else must be equal.
-        assert len(a) == len(b)
-        coarse = lambda t: tuple((x is None, str(type(x)), round(x, 3) if isinstance(x, float) else (x if x is not None else 0))
-                                 for x in t)
-        for x, y in zip(sorted(a, key=coarse), sorted(b, key=coarse)):
-            for u, v in zip(x, y):
-                if isinstance(u, float) and isinstance(v, float):
-                    assert abs(u - v) <= 2e-6, (name, x, y)
-                else:
-                    assert u == v, (name, x, y)
+    assert a == b
 
 
 def test_every_query_has_a_unique_name():
