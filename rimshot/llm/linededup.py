@@ -19,7 +19,8 @@ By words (``words=True``, as the query calls it) the unit is a word, wherever li
 within longer lines counts with all its words. A block is half of the least length of words, and its rank the hash of
 its words; one doubling gives the rank of the least length, whose intervals tell the later copies. Only blocks
 that are the least (by hash) of all blocks in some run of the least length are dealt out first: equal runs have equal
-least blocks, so a run whose least block is nowhere else is not repeated, and most suffixes are never sent.
+least blocks, so a run whose least block is nowhere else is not repeated, and most suffixes are never sent. Of the
+runs that are left, those whose name occurs once in a count of all names by buckets are not sent either.
 """
 
 from __future__ import annotations
@@ -260,6 +261,39 @@ def _within(df: DataFrame, h: str, buckets: np.ndarray, bits: int, inside: bool
     return df.mapInArrow(run, df.schema)
 
 
+def _name_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of each run from those of its first and last block."""
+    x = (a.view(np.uint64) ^ (b.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(32))
+
+
+def _repeated_names(names: DataFrame, bits: int) -> DataFrame:
+    """``names`` (arrays a, b, start of each document) without runs whose name occurs once: names are counted in
+    2**``bits`` buckets over all documents, so some that occur once stay, and none that is repeated goes."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = BucketCounts(bits)
+        for batch in batches:
+            counts.add(_name_hashes(batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy()))
+        rows = list(counts.rows())
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
+                                         ["block", "counts"])
+
+    buckets, mask = np.packbits(summed(names.mapInArrow(count, SCHEMA), bits, 2)), np.uint64((1 << bits) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for batch in batches:
+            a, b, start = (batch.column(i).flatten().to_numpy() for i in (2, 3, 4))
+            k = (_name_hashes(a, b) & mask).astype(np.int64)
+            keep = (buckets[k >> 3] >> (7 - (k & 7))) & 1 == 1
+            ends = batch.column(2).offsets.to_numpy()
+            left = np.concatenate([[0], np.cumsum(keep)])[ends - ends[0]].astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(left), pa.array(x[keep])) for x in (a, b, start)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], batch.schema.names)
+
+    return names.mapInArrow(run, names.schema)
+
+
 def repeated_words(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, h, gone): for each document of ``docs`` (doc_id, h, text) with later copies, an array of
     (start, lines) over its words."""
@@ -280,7 +314,8 @@ def repeated_words(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     names = (texts.join(held, texts["doc_id"].eqNullSafe(F.col("_d")) & (texts["h"] == F.col("_x")))
              .select("doc_id", "h", "text", "again")
              .mapInArrow(lambda b: _word_names(b, min_words), "doc_id long, h long, a array<long>, b array<long>, start array<int>")
-             .checkpoint().select("doc_id", "h", F.explode(F.arrays_zip("a", "b", "start")).alias("x"))
+             .checkpoint())
+    names = (_repeated_names(names, bits_for(docs, 16, most=26)).select("doc_id", "h", F.explode(F.arrays_zip("a", "b", "start")).alias("x"))
              .select("x.a", "x.b", "doc_id", "h", "x.start"))
     interval = (names.groupBy("a", "b").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("times"))
                 .filter("times > 1").drop("times").checkpoint())
@@ -333,17 +368,18 @@ def _without(text: str, gone: list[dict]) -> tuple[str, list[int], int]:
 def _joined(df: DataFrame, id_col: str, text_col: str, min_words: int, words: bool = False) -> tuple[DataFrame, str, str]:
     """``df`` with two columns more, of unused names: the id, and the runs to remove."""
     small_batches(df.sparkSession)
-    taken = set(df.columns)
-    key, h, gone = (next(n + "_" * k for k in range(99) if n + "_" * k not in taken) for n in ("_key", "_h", "_gone"))
+    taken = {c.lower() for c in df.columns}
+    key, h, gone, d, x = (next(n + "_" * k for k in range(len(taken) + 1) if n + "_" * k not in taken)
+                          for n in ("_key", "_h", "_gone", "_d", "_x"))
     rows = df.withColumn(key, F.col(id_col).cast("long")).withColumn(h, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     docs = rows.select(F.col(key).alias("doc_id"), F.col(h).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = (repeated_words if words else repeated_lines)(docs, min_words).select(F.col("doc_id").alias("_d"), F.col("h").alias("_x"), F.col("gone").alias(gone))
+    found = (repeated_words if words else repeated_lines)(docs, min_words).select(F.col("doc_id").alias(d), F.col("h").alias(x), F.col("gone").alias(gone))
     if words:
         found, bits = found.checkpoint(), bits_for(docs, 256, most=24)
-        buckets = _buckets(found.select(F.col("_x").alias("h")), bits)
+        buckets = _buckets(found.select(F.col(x).alias("h")), bits)
         rest = _within(rows, h, buckets, bits, False).withColumn(gone, F.lit(None).cast(found.schema[gone].dataType))
         rows = _within(rows, h, buckets, bits)
-    out = rows.join(found, rows[key].eqNullSafe(F.col("_d")) & (rows[h] == F.col("_x")), "left")
+    out = rows.join(found, rows[key].eqNullSafe(F.col(d)) & (rows[h] == F.col(x)), "left")
     out = out.select(*[rows[c] for c in df.columns], rows[key], gone)
     return (out.unionByName(rest.select(*df.columns, key, gone)) if words else out), key, gone
 
