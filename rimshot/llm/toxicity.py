@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -163,13 +163,15 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sa
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()),
                                               pa.array(counts, pa.binary())], ["i", "toxic", "ids", "counts"])
 
-    got = rows.mapInArrow(run, "i long, toxic boolean, ids binary, counts binary").collect()
     # copies would make the words of one text look like signs of its label: of texts with the same label and the
-    # same least features one stays
-    seen = {}
-    for r in sorted(got, key=lambda r: (r["i"], r["toxic"], bytes(r["ids"]))):
-        seen.setdefault((r["toxic"], bytes(r["ids"][:8 * SKETCH])), r)
-    return list(seen.values())
+    # same least features one stays; ids may be repeated, so the rows are cut to the sample again
+    one = (rows.mapInArrow(run, "i long, toxic boolean, ids binary, counts binary")
+           .groupBy("toxic", F.substring("ids", 1, 8 * SKETCH).alias("least"))
+           .agg(F.min(F.struct("i", "ids", "counts")).alias("r")))
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("r.i"), "r")
+    got = (one.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample)
+           .select("r.i", "toxic", "r.ids", "r.counts").collect())
+    return sorted(got, key=lambda r: (r["i"], r["toxic"], bytes(r["ids"])))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
