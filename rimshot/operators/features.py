@@ -185,32 +185,33 @@ def core_availability(players: DataFrame, results: DataFrame, core: int = CORE_P
     """Injury proxy per team game: of the team's ``core`` players (most minutes over the previous
     10 team games, ties by player_id), how many appearances and minutes they had in the previous 5.
 
-    Each player row of team game m is exploded to target games m+1..m+10 (an equi join on
-    (season, team, target game number) afterwards, never a range join); per (team, target,
-    player) the minutes over 10 and 5 games and the games played in the last 5 are summed.
-    Work and state grow with player rows x 10, and each target group holds one team's roster.
+    A team game's players are gathered in one array (its roster), and a frame of ten rows over the season window holds
+    the rosters before each game. They are taken apart after that exchange: sums per player, the ranking and the sums
+    per game all keep the window's partitioning, so player rows are dealt out once, to their team game.
     """
-    numbered = with_game_number(results.select("season_start", "team_id", "game_id", "game_date"))
-    p = players.join(numbered.select("season_start", "team_id", "game_id", "team_game_number"),
-                     ["season_start", "team_id", "game_id"])
-    p = p.select("season_start", "team_id", "player_id", "team_game_number",
-                 F.coalesce(E.minutes_played("minutes"), F.lit(0.0)).alias("_min"),
-                 F.explode(F.sequence(F.lit(1), F.lit(LOOKBACK))).alias("_k"))
-    recent = F.col("_k") <= RECENT
-    per = p.groupBy("season_start", "team_id", (F.col("team_game_number") + F.col("_k")).alias("target"),
-                    "player_id").agg(
-        F.sum("_min").alias("min10"),
-        F.sum(F.when(recent, F.col("_min")).otherwise(0.0)).alias("min5"),
-        F.sum(F.when(recent & (F.col("_min") > 0), 1).otherwise(0)).alias("games5"))
-    w = Window.partitionBy("season_start", "team_id", "target").orderBy(F.desc("min10"), F.asc("player_id"))
-    top = per.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= core)
-    team = top.groupBy("season_start", "team_id", "target").agg(
-        F.sum("games5").cast("bigint").alias("core_games5"), F.sum("min5").alias("core_min5"))
-    return (numbered.join(team, (numbered.season_start == team.season_start) & (numbered.team_id == team.team_id)
-                          & (numbered.team_game_number == team.target), "left")
-                    .select(numbered.season_start, numbered.team_id, "game_id", "team_game_number",
-                            F.coalesce("core_games5", F.lit(0).cast("bigint")).alias("core_games5"),
-                            F.coalesce("core_min5", F.lit(0.0)).alias("core_min5")))
+    keys, order = list(SEASON_KEYS), list(GAME_ORDER)
+    game = [*keys, "game_id"]
+    roster = players.groupBy(*game).agg(F.collect_list(F.struct(
+        "player_id", F.coalesce(E.minutes_played("minutes"), F.lit(0.0)).alias("m"))).alias("_roster"))
+    days = results.select(*keys, "game_id", "game_date")
+    rows = spread(days.join(roster, game, "left"), keys, order, halo=LOOKBACK, calendar=days)
+    w = slice_window(keys, order)
+    at = F.row_number().over(w)
+    own = F.col("_before") + F.sum((~F.col("_halo")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    before = F.collect_list(F.struct(F.col("_at"), F.coalesce("_roster", F.array().cast(roster.schema["_roster"].dataType)).alias("_r")))
+    part = [*keys, "_slice", "game_date", "game_id"]
+    seen = (rows.withColumns({"_at": at, "team_game_number": own.cast("bigint")})
+            .withColumn("_last", before.over(w.rowsBetween(-LOOKBACK, -1))).where(~F.col("_halo")))
+    each = F.flatten(F.transform("_last", lambda g: F.transform(g["_r"], lambda p: F.struct(
+        p["player_id"].alias("player_id"), p["m"].alias("m"), (F.col("_at") - g["_at"] <= RECENT).alias("recent")))))
+    long = seen.select(*part, "team_game_number", F.explode_outer(each).alias("_p")).select(*part, "team_game_number", "_p.*")
+    per = long.groupBy(*part, "team_game_number", "player_id").agg(
+        F.sum("m").alias("min10"), F.sum(F.when(F.col("recent"), F.col("m")).otherwise(0.0)).alias("min5"),
+        F.sum(F.when(F.col("recent") & (F.col("m") > 0), 1).otherwise(0)).alias("games5"))
+    best = Window.partitionBy(*part, "team_game_number").orderBy(F.desc("min10"), F.asc("player_id"))
+    top = per.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= core)
+    return top.groupBy(*part, "team_game_number").agg(F.sum("games5").cast("bigint").alias("core_games5"), F.sum("min5").alias("core_min5")).select(
+        *game, "team_game_number", "core_games5", "core_min5")
 
 
 def form_timeline(features: DataFrame, games: int = 30) -> DataFrame:

@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rimshot.operators.ordering import exact_quantiles, value_counts
+from rimshot.operators.ordering import value_counts
+from rimshot.operators.selection import quantiles
 from rimshot.session import checkpoint_dir
 
 BINS = 256  # cuts at up to 255 quantiles: at every value of a feature with fewer than 256 training rows
@@ -87,7 +88,7 @@ def make_folds(df: DataFrame, features: list[str], label: str, season: str = "se
         F.array(*[F.col(c).cast("double") for c in features]).alias("x"))).checkpoint()
     train = raw.where(~F.col("test"))
     long = train.select("fold", F.posexplode("x").alias("feature", "value"))
-    middle = exact_quantiles(value_counts(long, ["fold", "feature"], "value"), ["fold", "feature"], "value", {"median": 0.5})
+    middle = quantiles(value_counts(long, ["fold", "feature"], "value"), ["fold", "feature"], "value", {"median": 0.5})
     p = len(features)
     med = np.zeros((len(keys), p))
     for r in middle.collect():  # folds x features

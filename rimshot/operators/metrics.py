@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 
 from rimshot.functions.exact import exact_avg, exact_sum
 from rimshot.functions.expressions import FLOAT_EPS, calibration_bin
-from rimshot.operators.ordering import exact_quantiles, keyed_prefix_sums, top_k_per_group
+from rimshot.operators.ordering import keyed_prefix_sums, top_k_per_group
+from rimshot.operators.selection import quantiles
 from rimshot.session import checkpoint_dir
 
 
@@ -111,7 +112,7 @@ def prediction_summary(df: DataFrame, by: list[str], y: str = "y_true", p: str =
     g = c.groupBy(*by).agg(
         F.sum("_n").alias("n"), weighted(F.col("_y")).alias("actual_rate"), weighted(F.col("_p")).alias("mean_p"),
         (F.sum(F.when(F.col("_p") >= 0.5, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("frac_over_05"))
-    q = exact_quantiles(c.groupBy(*by, "_p").agg(F.sum("_n").alias("_n")), list(by), "_p", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    q = quantiles(c.groupBy(*by, "_p").agg(F.sum("_n").alias("_n")), list(by), "_p", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
     g = g.join(q, list(by), "left").select(*by, "n", "actual_rate", "mean_p", "p10", "p50", "p90", "frac_over_05")
     for c in ("actual_rate", "mean_p", "p10", "p50", "p90", "frac_over_05"):
         g = g.withColumn(c, F.bround(F.col(c), digits))

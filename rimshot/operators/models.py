@@ -26,8 +26,9 @@ from rimshot.functions.expressions import CALIBRATION_EPS
 from rimshot.operators import folds as FD
 from rimshot.operators import metrics as M
 from rimshot.operators.filters import MIN_CALIBRATION_ROWS, MIN_TRAIN_ROWS, enough_rows
-from rimshot.operators.ordering import exact_quantiles, global_row_number, keyed_prefix_sums, time_split, value_counts
+from rimshot.operators.ordering import global_row_number, keyed_prefix_sums, time_split, value_counts
 from rimshot.operators.profile import long_form
+from rimshot.operators.selection import quantiles
 from rimshot.session import checkpoint_dir
 
 # Fixed values.
@@ -40,7 +41,7 @@ SEED = 42
 
 def medians(train: DataFrame, cols: list[str]) -> dict[str, float]:
     """L1: exact per-feature medians of the training rows (one small row per feature comes back)."""
-    q = exact_quantiles(value_counts(long_form(train, cols), ["feature"], "value"), ["feature"], "value", {"median": 0.5})
+    q = quantiles(value_counts(long_form(train, cols), ["feature"], "value"), ["feature"], "value", {"median": 0.5})
     found = {r.feature: r.median for r in q.collect()}
     return {c: found.get(c) for c in cols}
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rimshot.operators.selection import row_at
 from rimshot.session import checkpoint_dir
 
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition id in the upper bits, row index in the lower 33
@@ -52,13 +53,16 @@ def global_row_number(df: DataFrame, order: list[str | Column], num_partitions:
 def time_split(df: DataFrame, order: list[str], frac: float = 0.8, out: str = "split") -> DataFrame:
     """Chronological split; the first ``cut = max(min(int(n*frac), n-1), 1)`` rows are 'fit', the rest 'calib'.
 
-    Only the order columns are numbered; the row at the cut is compared with every row."""
-    cut = first_rows(df, order, frac).collect()
-    if not cut:
+    ``df`` is stored, the row at the cut is found by selection, without a sort, and every row is compared with it."""
+    checkpoint_dir(df.sparkSession)
+    df = df.checkpoint()
+    n = df.count()
+    cut = row_at(df, order, max(min(int(n * frac), n - 1), 1) - 1) if n else None
+    if cut is None:
         return df.withColumn(out, F.lit("fit"))
     mine = F.struct(*[F.struct(F.col(c).isNotNull(), F.col(c)) for c in order])
     kinds = dict(df.dtypes)
-    edge = F.struct(*[F.struct(F.lit(cut[0][c] is not None), F.lit(cut[0][c]).cast(kinds[c])) for c in order])
+    edge = F.struct(*[F.struct(F.lit(cut[c] is not None), F.lit(cut[c]).cast(kinds[c])) for c in order])
     return df.withColumn(out, F.when(mine <= edge, "fit").otherwise("calib"))
 
 
@@ -73,32 +77,6 @@ def value_counts(df: DataFrame, keys: list[str], value: str, out: str = "_n") ->
     return df.select(*keys, F.col(value).cast("double").alias(value)).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(out))
 
 
-def exact_quantiles(counts: DataFrame, keys: list[str], value: str, qs: dict[str, float], n: str = "_n") -> DataFrame:
-    """Exact quantiles per group with linear interpolation (numpy / pandas default) from (keys, value, n) counts.
-
-    One plan for all sizes: the counts are range-partitioned on (keys, value) and summed up from below, so each
-    value knows which ranks it covers; ``h = (N - 1) q`` lies between two ranks, whose values a grouped maximum
-    picks. No group is gathered in one task. Nulls do not count; a group without values has no row.
-    """
-    known = counts.where(F.col(value).isNotNull())
-    below = keyed_prefix_sums(known, keys, [value], [n])
-    total = below.groupBy(*keys).agg(F.max(f"_s_{n}").alias("_total"))
-    picks = []
-    for name, q in qs.items():
-        h = (F.col("_total") - 1) * F.lit(float(q))
-        for part, rank in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            at = (rank >= F.col(f"_s_{n}") - F.col(n)) & (rank < F.col(f"_s_{n}"))
-            picks.append(F.max(F.when(at, F.col(value))).alias(f"_{name}_{part}"))
-    found = (below.join(total, _same(below, total, keys)).select(below["*"], "_total")
-             .groupBy(*keys, "_total").agg(*picks))
-    out = []
-    for name, q in qs.items():
-        h = (F.col("_total") - 1) * F.lit(float(q))
-        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        out.append((lo + (hi - lo) * (h - F.floor(h))).alias(name))
-    return found.select(*keys, *out)
-
-
 def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     cond = F.lit(True)
     for k in keys:
@@ -136,10 +114,3 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list, k: int, out: s
     k rows within each input partition before the shuffle (window group limit), so no task holds a hot group."""
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
-
-
-def first_rows(df: DataFrame, order: list[str], frac: float) -> DataFrame:
-    """The single row at position max(min(int(n * frac), n - 1), 1) of the total order, order columns only."""
-    numbered = global_row_number(df.select(*order), order, out="_rn", total="_n")
-    cut = F.greatest(F.least(F.floor(F.col("_n") * F.lit(frac)), F.col("_n") - 1), F.lit(1))
-    return numbered.where(F.col("_rn") == cut).select(*order)

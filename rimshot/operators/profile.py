@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rimshot.functions.exact import exact_sum
-from rimshot.operators.ordering import exact_quantiles, value_counts
+from rimshot.operators.ordering import value_counts
+from rimshot.operators.selection import quantiles
 from rimshot.session import checkpoint_dir
 
 ID_LIKE = ("season", "season_start", "game_id", "team_id", "opp_team_id", "team_game_number", "checkpoint")
@@ -66,7 +67,7 @@ def feature_audit(df: DataFrame, cols: list[str]) -> DataFrame:
               .agg(exact_sum(F.col("_n") * F.pow(F.col("value") - F.col("_mean"), 2)).alias("_ss")))
     std = F.when(F.col("_known") > 1, F.sqrt(F.col("_ss") / (F.col("_known") - 1)))
     stats = basic.join(spread, "feature", "left").select("feature", "missing_pct", "n_unique", "mean", std.alias("std"), "min", "max")
-    q = exact_quantiles(c, ["feature"], "value", {"p01": 0.01, "median": 0.5, "p99": 0.99})
+    q = quantiles(c, ["feature"], "value", {"p01": 0.01, "median": 0.5, "p99": 0.99})
     a = stats.join(q, "feature", "left")
     return a.select("*", (F.col("n_unique") <= 1).alias("is_constant"),
                     ((F.col("max") > F.col("p99") * 3) & (F.col("p99") != 0)).alias("has_extreme_outliers"))
@@ -127,7 +128,7 @@ def box_by_target(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     """Quartiles, min and max per (feature, target class), all from one table of value counts."""
     checkpoint_dir(df.sparkSession)
     c = value_counts(long_form(df, cols, [target]), ["feature", target], "value").checkpoint()
-    q = exact_quantiles(c, ["feature", target], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    q = quantiles(c, ["feature", target], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     mm = c.groupBy("feature", target).agg(F.min("value").alias("min"), F.max("value").alias("max"),
                                           F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("_n"))), F.lit(0)).alias("n"))
     both = mm.join(q, mm["feature"].eqNullSafe(q["feature"]) & mm[target].eqNullSafe(q[target]), "left")

@@ -77,7 +77,8 @@ select feature, round(100 * avg(case when value is null then 1e0 else 0e0 end),
 from lf group by feature""")
 def a11_feature_audit(spark, sf_dir):
     """Feature audit with exact distributed quantiles."""
-    return round_doubles(PR.feature_audit(training(spark, sf_dir), PR.numeric_features(training(spark, sf_dir), TARGET)))
+    t = training(spark, sf_dir)
+    return round_doubles(PR.feature_audit(t, PR.numeric_features(t, TARGET)))
 
 
 @query("a12_std_diff", f"""

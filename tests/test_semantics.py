@@ -188,11 +188,12 @@ def test_nan_and_tiny_values_keep_their_means(spark):
 
 def test_exact_quantiles_equal_numpy(spark):
     import numpy as np
-    from rimshot.operators.ordering import exact_quantiles, value_counts
+    from rimshot.operators.ordering import value_counts
+    from rimshot.operators.selection import quantiles
     df = spark.range(0, 2001).select(F.when(F.col("id") % 3 != 2, F.col("id") % 3).alias("g"),
                                      F.when(F.col("id") % 11 != 0, (F.col("id") * 7919) % 1000 / 7.0).alias("v"))
     qs = {"p01": 0.01, "med": 0.5, "p99": 0.99}
-    got = {r.g: r for r in exact_quantiles(value_counts(df, ["g"], "v"), ["g"], "v", qs).collect()}
+    got = {r.g: r for r in quantiles(value_counts(df, ["g"], "v"), ["g"], "v", qs).collect()}
     values = {}
     for r in df.collect():
         values.setdefault(r.g, [])
