@@ -15,11 +15,12 @@ from pyspark.sql.window import Window
 from rimshot.functions.expressions import normalize_game_id
 
 
-def _first_per_key(df: DataFrame, keys: list[str], order: list | None) -> DataFrame:
-    """Keep one row per key: the first by ``order`` (a total order gives a deterministic pick)."""
+def _first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """Keep one row per key: the first by ``order``, and of equal ones the first by the remaining columns, nulls first."""
     if not order:
-        return df.dropDuplicates(keys)
-    w = Window.partitionBy(*keys).orderBy(*order)
+        raise ValueError("which row of a key is the first needs an order")
+    rest = [F.col(c).asc_nulls_first() for c in df.columns if c not in keys]
+    w = Window.partitionBy(*keys).orderBy(*order, *rest)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
@@ -40,8 +41,9 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], order: list |
     return target.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
-def insert_ignore(target: DataFrame, source: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
-    """``ON CONFLICT DO NOTHING``: only source keys absent from the target are added (first per key)."""
+def insert_ignore(target: DataFrame, source: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """``ON CONFLICT DO NOTHING``: only source keys absent from the target are added, the first row of each by
+    ``order``, the order in which rows would have been inserted."""
     new = _first_per_key(source, keys, order).join(target.select(*keys), keys, "left_anti")
     return target.unionByName(new.select(*target.columns))
 

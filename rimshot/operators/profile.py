@@ -6,6 +6,10 @@ aggregate per statistic family, so adding features adds groups, not passes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,17 +94,85 @@ def std_diff(df: DataFrame, cols: list[str], target: str, min_n: int = 5, top: i
     return r.orderBy(F.desc("abs_std_diff"), "feature").limit(top)
 
 
+class PairMoments:
+    """Counts, means and centred products of all pairs of columns over the rows in which both have a value; two of
+    these add up without cancellation. ``mean`` and ``square`` at [i, j] are those of column i."""
+
+    def __init__(self, x: np.ndarray):
+        known = ~np.isnan(x)
+        mask = known.astype(float)
+        # distances from a typical value of the column, so that sums of squares stay small
+        shift = np.array([c[k].mean() if k.any() else 0.0 for c, k in zip(x.T, known.T)])
+        x = np.where(known, x - shift, 0.0)
+        self.n = mask.T @ mask
+        count = np.maximum(self.n, 1)
+        sums = x.T @ mask
+        self.mean = shift[:, None] + sums / count
+        self.square = (x * x).T @ mask - sums * sums / count
+        self.product = x.T @ x - sums * sums.T / count
+
+    def add(self, other: PairMoments) -> None:
+        n = self.n + other.n
+        share = self.n * other.n / np.maximum(n, 1)
+        step = other.mean - self.mean
+        self.square += other.square + step * step * share
+        self.product += other.product + step * step.T * share
+        self.mean += step * other.n / np.maximum(n, 1)
+        self.n = n
+
+    def rows(self) -> pa.RecordBatch:
+        """One row for each column: the moments of its pairs, of both sides."""
+        p = len(self.n)
+        parts = [self.n, self.mean, self.mean.T, self.square, self.square.T, self.product]
+        lists = [pa.array(list(np.ascontiguousarray(m)), pa.list_(pa.float64())) for m in parts]
+        return pa.RecordBatch.from_arrays([pa.array(range(p), pa.int32()), *lists], _MOMENTS)
+
+
+_MOMENTS = ["i", "n", "mean", "mean_b", "square", "square_b", "product"]
+
+
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson correlation of every pair, pairwise complete, in one aggregation pass (long form)."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    long = row.unpivot([], [f"{i}" for i in range(len(pairs))], "_pair", "corr")
-    names = df.sparkSession.createDataFrame([(str(i), a, b) for i, (a, b) in enumerate(pairs)],
-                                           "_pair string, feature_a string, feature_b string")
-    upper = long.join(F.broadcast(names), "_pair").drop("_pair")
-    lower = upper.where(F.col("feature_a") != F.col("feature_b")).select(
-        F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "corr")
-    return upper.select("feature_a", "feature_b", "corr").unionByName(lower)
+    """Pearson correlation of every pair of columns over the rows that have both, in one pass for any number of
+    columns. Each task sums masked products of whole blocks of rows; a row of the matrix is added up in one group, of
+    a row for each task. Null without two rows or without spread."""
+    p = len(cols)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                block = batch.slice(at, 4096)
+                m = PairMoments(np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in block.columns], axis=1))
+                if total is None:
+                    total = m
+                else:
+                    total.add(m)
+        if total is not None:
+            yield total.rows()
+
+    def added(table: pa.Table) -> pa.Table:
+        n, mean, mean_b, square, square_b, product = (np.stack(table.column(c).to_numpy()) for c in _MOMENTS[1:])
+        one = [m[0].copy() for m in (n, mean, mean_b, square, square_b, product)]
+        for k in range(1, len(n)):
+            every = one[0] + n[k]
+            share, d, e = one[0] * n[k] / np.maximum(every, 1), mean[k] - one[1], mean_b[k] - one[2]
+            one[3] += square[k] + d * d * share
+            one[4] += square_b[k] + e * e * share
+            one[5] += product[k] + d * e * share
+            one[1] += d * n[k] / np.maximum(every, 1)
+            one[2] += e * n[k] / np.maximum(every, 1)
+            one[0] = every
+        spread = np.sqrt(np.maximum(one[3], 0)) * np.sqrt(np.maximum(one[4], 0))
+        known = (one[0] > 1) & (spread > 0)
+        corr = np.where(known, one[5] / np.where(known, spread, 1), 0.0)
+        i = table.column("i")[0].as_py()
+        corr[i] = 1.0
+        return pa.table({"feature_a": pa.array([cols[i]] * p), "feature_b": pa.array(cols),
+                         "corr": pa.array(corr, pa.float64(), mask=~known)})
+
+    values = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(cols)])
+    moments = values.mapInArrow(partial, "i int, " + ", ".join(f"{c} array<double>" for c in _MOMENTS[1:]))
+    return moments.groupBy("i").applyInArrow(added, "feature_a string, feature_b string, corr double")
 
 
 def top_corr(corr: DataFrame, cols: list[str], top: int = 10) -> DataFrame:

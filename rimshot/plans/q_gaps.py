@@ -13,6 +13,7 @@ from rimshot.operators import features as FT
 from rimshot.operators import filters as FL
 from rimshot.operators import metrics as M
 from rimshot.operators import normalise as N
+from rimshot.operators import quality as QL
 from rimshot.operators.elo import elo
 from rimshot.operators.merge import replace_slice
 from rimshot.operators.ordering import slice_rows
@@ -23,6 +24,7 @@ from rimshot.plans.q_metrics import GAME_FOLD, _BIN_SQL, preds_game
 from rimshot.session import scratch_path
 from rimshot.sources import files as S
 from rimshot.sources import fixtures as fx
+from rimshot.sources.tables import season_scan
 
 _COLS = ["game_id", "season_start", "home_points", "away_points"]
 
@@ -109,6 +111,46 @@ def f03_season_split(spark, sf_dir):
     return one(parts[0], "train").unionByName(one(parts[1], "test"))
 
 
+@query("s04_season_scan", """
+with g as (select *, case when home_points > away_points then 1 else 0 end as home_win, home_points - away_points as margin from f_games),
+s as (select max(season_start) - 2 as t from f_games)
+select case when season_start < t then 'train' else 'test' end as part, game_id, game_date, season_start, home_team_id, away_team_id, home_win, margin
+from g, s where season_start <= t""")
+def s04_season_scan(spark, sf_dir):
+    """A data set landed by season; train on all seasons before the third-last, test on it, one feature."""
+    g = fx.games(spark, sf_dir)
+    margin = F.col("home_points") - F.col("away_points")
+    path = scratch_path(spark, "dataset")
+    g.withColumns({"home_win": F.when(margin > 0, 1).otherwise(0), "margin": margin}).write.partitionBy("season_start").parquet(path)
+    last = spark.read.parquet(path).agg(F.max("season_start")).first()[0]
+    train, test = season_scan(spark, path, last - 2, ["margin"])
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return both.withColumn("season_start", F.col("season_start").cast("long"))
+
+
+_PLAYER_LINE = {"reb": "oreb + dreb", "ast": "ast", "turnovers": "turnovers", "pts": "pts"}
+_PLAYER_PCT = {"fg_pct": ("fgm", "fga", 23), "fg3_pct": ("fg3m", "fg3a", 29), "ft_pct": ("ftm", "fta", 31)}
+
+
+@query("f08_out_of_range_player_lines", f"""
+with p as (
+  select game_id, team_id, player_id, season_start,
+         {", ".join(f"case when {a} = 0 then null else (case when player_id % {k} = 0 then -1e0 when player_id % {k} = 1 then 2e0 else 1e0 end) * {m} / {a} end as {c}"
+                    for c, (m, a, k) in _PLAYER_PCT.items())},
+         {", ".join(f"case when player_id % {37 + 4 * i} = 0 then -1 else 1 end * ({e}) as {c}" for i, (c, e) in enumerate(_PLAYER_LINE.items()))}
+  from f_player_raw)
+select game_id, team_id, player_id, season_start, {", ".join(f"round({c}, 6) as {c}" for c in _PLAYER_PCT)}, {", ".join(_PLAYER_LINE)} from p
+where {" or ".join(f"{c} < 0 or {c} > 1" for c in _PLAYER_PCT)} or {" or ".join(f"{c} < 0" for c in _PLAYER_LINE)}""")
+def f08_out_of_range_player_lines(spark, sf_dir):
+    """F8: player rows with any of three percentages outside [0, 1] or any of four counts below 0."""
+    who = F.col("player_id")
+    pct = [F.when(F.col(a) != 0, F.when(who % k == 0, -1.0).when(who % k == 1, 2.0).otherwise(1.0) * F.col(m) / F.col(a)).alias(c)
+           for c, (m, a, k) in _PLAYER_PCT.items()]
+    line = [(F.when(who % (37 + 4 * i) == 0, -1).otherwise(1) * F.expr(e)).alias(c) for i, (c, e) in enumerate(_PLAYER_LINE.items())]
+    rows = fx.player_raw(spark, sf_dir).select("game_id", "team_id", "player_id", "season_start", *pct, *line)
+    return round_doubles(QL.out_of_range(rows, list(_PLAYER_PCT), list(_PLAYER_LINE)))
+
+
 @query("f04_forward_window", "select game_id, game_date from f_games where game_date between date '1995-03-01' and date '1995-03-31'")
 def f04_forward_window(spark, sf_dir):
     """games within 30 days of a date, both ends included."""
