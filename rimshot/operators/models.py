@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rimshot.functions.exact import exact_avg
 from rimshot.functions.expressions import CALIBRATION_EPS
+from rimshot.functions.shuffles import shuffled
 from rimshot.operators import folds as FD
 from rimshot.operators import metrics as M
 from rimshot.operators.filters import MIN_CALIBRATION_ROWS, MIN_TRAIN_ROWS, enough_rows
-from rimshot.operators.ordering import global_row_number, keyed_prefix_sums, time_split, value_counts
+from rimshot.operators.ordering import global_row_number, time_split, value_counts
 from rimshot.operators.profile import long_form
 from rimshot.operators.selection import quantiles
 from rimshot.session import checkpoint_dir
@@ -266,31 +268,38 @@ def next_game_backtest(df: DataFrame, sets: dict[str, list[str]], label: str = "
     return res.checkpoint(eager=True)
 
 
-def permutation_importance(model, test: DataFrame, cols: list[str], label: str, key: str,
-                           repeats: int = PERM_REPEATS, seed: int = SEED) -> DataFrame:
-    """AUC drop when one feature's values are shuffled across the test rows, ``repeats`` times.
-
-    Only row numbers are replicated per (feature, repeat). Their places in a hash order per (feature, repeat) come
-    from a prefix sum over range partitions, so no task holds a whole test table; the value at that place takes
-    the row's own value's stead, all replicas are scored in one pass, and AUC is computed per (feature, repeat).
-    Returns mean and population std of the drop per feature.
-    """
+def permuted(test: DataFrame, cols: list[str], key: str, repeats: int = PERM_REPEATS, seed: int = SEED) -> DataFrame:
+    """The rows of ``test`` once for each column and repeat (``_feature``, ``_rep``), with that column's values shuffled
+    across all rows. Which row's value takes a row's place is arithmetic on its number in the order of ``key``
+    (``functions.shuffles``), so nothing is sorted again, however many repeats there are."""
     checkpoint_dir(test.sparkSession)
     t = global_row_number(test, [key], out="_rn").checkpoint()
-    base_auc = M.auc(score(model, t, cols).withColumn("_g", F.lit(0)), ["_g"], label, "y_prob").first()["auc"]
-    reps = t.select("_rn", F.explode(F.array(*[F.lit(c) for c in cols])).alias("_feature")).withColumn(
-        "_rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    reps = reps.withColumns({"_h": F.xxhash64(F.lit(seed), "_feature", "_rep", "_rn"), "_one": F.lit(1)})
-    placed = keyed_prefix_sums(reps, ["_feature", "_rep"], ["_h", "_rn"], ["_one"]).withColumnRenamed("_s__one", "_src")
-    values = long_form(t, cols, ["_rn"]).select(F.col("_rn").alias("_src"), F.col("feature").alias("_feature"),
-                                                  F.col("value").alias("_pv"))
-    rows = placed.select("_rn", "_feature", "_rep", "_src").join(values, ["_src", "_feature"]).join(t, "_rn")
-    for c in cols:
-        rows = rows.withColumn(c, F.when(F.col("_feature") == c, F.col("_pv")).otherwise(F.col(c)))
+    n = t.count()
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("_feature")) for i, c in enumerate(cols)])
+    reps = t.withColumn("_f", F.explode(each)).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    number = F.col("_f.i") * repeats + F.col("_rep") + F.lit(seed % 1000) * 1_000_003 % 999_983
+    reps = reps.withColumns({"_feature": F.col("_f._feature"), "_src": shuffled(F.col("_rn") - 1, n, number) + 1}).drop("_f")
+    values = long_form(t, cols, ["_rn"]).select(F.col("_rn").alias("_src"), F.col("feature").alias("_feature"), F.col("value").alias("_pv"))
+    rows = reps.join(values, ["_src", "_feature"])
+    return rows.select(*[F.when(F.col("_feature") == c, F.col("_pv")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
+                         for c in test.columns], "_feature", "_rep")
+
+
+def permutation_importance(model, test: DataFrame, cols: list[str], label: str, key: str,
+                           repeats: int = PERM_REPEATS, seed: int = SEED) -> DataFrame:
+    """AUC drop when one feature's values are shuffled across the test rows, ``repeats`` times: all replicas are
+    scored in one pass, and AUC is computed per (feature, repeat). Mean and population std of the drop per feature."""
+    rows = permuted(test, cols, key, repeats, seed)
+    base = M.auc(score(model, test, cols).withColumn("_g", F.lit(0)), ["_g"], label, "y_prob").select(F.col("auc").alias("_base"))
     a = M.auc(score(model, rows, cols), ["_feature", "_rep"], label, "y_prob")
-    drop = F.lit(base_auc) - F.col("auc")
-    return a.groupBy(F.col("_feature").alias("feature")).agg(
-        F.avg(drop).alias("perm_importance_mean"), F.stddev_pop(drop).alias("perm_importance_std"))
+    return importance(a.crossJoin(base))
+
+
+def importance(aucs: DataFrame) -> DataFrame:
+    """Mean and population std over the repeats of (_feature, _rep, auc, _base: the AUC without a shuffle)."""
+    drop = F.col("_base") - F.col("auc")
+    return aucs.groupBy(F.col("_feature").alias("feature")).agg(
+        exact_avg(drop).alias("perm_importance_mean"), F.stddev_pop(drop).alias("perm_importance_std"))
 
 
 def fit_temperature(preds: DataFrame, by: list[str], y: str = "y_true", p: str = "y_prob",

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rimshot.functions import expressions as E
+from rimshot.functions import shuffles as SH
 from rimshot.operators import features as FT
 from rimshot.operators import folds as FD
 from rimshot.operators import metrics as M
@@ -382,6 +383,52 @@ def l12_permutation_importance(spark, sf_dir):
     return round_doubles(out[0].unionByName(out[1]).unionByName(out[2]))
 
 
+# A given score for the oracle of the shuffles: what counts is which values meet, not who learned the weights.
+_GIVEN = {"avg_point_diff_s2d": 0.3, "avg_point_diff_l10": 0.1, "efg_s2d": 20.0, "tov_rate_l10": -15.0}
+_GIVEN_REPEATS = 10
+
+
+def _walk_sql() -> str:
+    """The rounds of a shuffle of (pos, key, a, b) as one select after another."""
+    src = "({src})"
+    for turn in range(SH.ROUNDS):
+        x, side, size = ("l", "r", "b") if turn % 2 else ("r", "l", "a")
+        src = f"(select *, ({x} * 48271 + key * 69621 + {(turn + 1) * 16807}) % {SH.PRIME} as t1 from {src})"
+        src = f"(select *, (t1 * t1 + {x} + key) % {SH.PRIME} as t2 from {src})"
+        src = f"(select * exclude (t1, t2, {side}), ({side} + (t2 * t2 + {turn}) % {SH.PRIME}) % {size} as {side} from {src})"
+    return src
+
+
+def _once_sql(rows: str) -> str:
+    """(f, rep, rn, n, key, a, b, pos) with pos taken one step on."""
+    first = f"(select * exclude (pos), pos // b as l, pos % b as r from ({rows}))"
+    return f"select f, rep, rn, n, key, a, b, l * b + r as pos from {_walk_sql().replace('({src})', first)}"
+
+
+@query("l12_permuted_auc", f"""
+with recursive t as (select *, row_number() over (order by team_id)::bigint as rn from f_model_cp40
+  where season_start = (select max(season_start) from f_model_cp40 where {LABEL} is not null) and {LABEL} is not null),
+size as (select n, a, cast(ceil(n / a) as bigint) as b from (select n, cast(ceil(sqrt(n)) as bigint) as a from (select count(*) as n from t))),
+feature(i, f) as (values {", ".join(f"({i}, '{c}')" for i, c in enumerate(_GIVEN))}),
+start as (select f, rep, rn, n, (i * {_GIVEN_REPEATS} + rep + {ML.SEED % 1000} * 1000003 % 999983)::bigint as key, a, b, rn - 1 as pos
+          from t, size, feature, (select unnest(range({_GIVEN_REPEATS})) as rep)),
+walk as ({_once_sql("select * from start")}
+  union all {_once_sql("select * from walk where pos >= n")}),
+p as (select w.f, w.rep, t.{LABEL} as y, {" + ".join(f"{v!r} * coalesce(case when w.f = '{c}' then s.{c} else t.{c} end, 0)" for c, v in _GIVEN.items())} as z
+      from walk w join t on t.rn = w.rn join t s on s.rn = w.pos + 1 where w.pos < w.n),
+auc as (select x.f, x.rep, avg(case when x.z > o.z then 1e0 when x.z = o.z then 5e-1 else 0e0 end) as auc
+        from p x join p o on o.f = x.f and o.rep = x.rep and x.y = 1 and o.y = 0 group by all)
+select f as feature, rep::int as rep, round(auc, 6) as auc from auc""")
+def l12_permuted_auc(spark, sf_dir):
+    """AUC of a given score after each of ten shuffles of each of its features, last season at checkpoint 40."""
+    t = model_table(spark, sf_dir).where(F.col(LABEL).isNotNull()).checkpoint()
+    test = t.where(F.col("season_start") == t.agg(F.max("season_start")).first()[0])
+    rows = ML.permuted(test, list(_GIVEN), "team_id", _GIVEN_REPEATS)
+    z = sum((F.lit(v) * F.coalesce(F.col(c), F.lit(0.0)) for c, v in _GIVEN.items()), F.lit(0.0))
+    a = M.auc(rows.withColumn("y_prob", z), ["_feature", "_rep"], LABEL, "y_prob")
+    return round_doubles(a.select(F.col("_feature").alias("feature"), F.col("_rep").alias("rep"), "auc"))
+
+
 @query("l05_tune_c_next_game")
 def l05_tune_c_next_game(spark, sf_dir):
     """L5 + L9: time-safe choice of C for the next-game model on game-level differences."""
