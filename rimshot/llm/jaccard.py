@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql import Window
 
 from rimshot.llm.components import connected_components
@@ -330,9 +331,26 @@ def _known_texts(docs: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFr
     return docs.sparkSession.read.parquet(path)
 
 
-def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def with_content(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``df`` with a column ``name`` more: the id of each text's set of shingles."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pa.array([content_id(shingle_set(t)) for t in batch.column(at).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, name])
+
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, LongType())]))
+
+
+def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
+                    content: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; see the module for the method.
 
+    With ``content`` two columns more: ``c``, the id of the row's set (as in ``with_content``), and ``component``, which
+    names its group of linked sets (null without shingles or id); groups that share a doc_id have names of their own.
+
     ``component_id`` is the smallest doc_id that links lead to, the row's own included. Null texts and texts
     without words have no shingles and no links. Rows with a null id have no component and link nothing. Rows of
     one id with different texts are judged each by its text; repeated rows each give a row.
@@ -419,10 +437,12 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     named = component(nodes)
     least_id = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    found = named.join(least_id, "component").select("c", "component_id")
+    found = named.join(least_id, "component").select("c", "component_id", *(["component"] if content else []))
+    linked_row = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     return (rows.join(found, "c", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id")))
+        F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"),
+        *(["c", F.when(linked_row, F.col("component")).alias("component")] if content else [])))
 
 
 ORACLE = r"""
