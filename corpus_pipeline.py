@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rimshot.llm import jaccard, linededup, packing, secrets, toxicity
@@ -28,16 +28,32 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; documents without an id stay.
+    """Of each group of linked documents one with the smallest id; documents without an id or a word stay.
 
-    Rows of one id are judged each by its text, and equal rows are one document. A row stays if the smallest id
-    of its group is its own.
+    Rows of one id are judged each by its text: of a group one (id, text) stays, also where another group has the same
+    id. Equal rows are one document.
     """
-    found = jaccard.link_components(docs)
-    kept = (found.filter(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-            .withColumnRenamed("doc_id", "_kept_id"))
-    joined = docs.join(kept, docs["doc_id"].cast("long") == F.col("_kept_id"), "left")
-    return joined.filter(F.col("_kept_id").isNotNull() | docs["doc_id"].isNull()).select(*[docs[c] for c in docs.columns]).dropDuplicates()
+    taken = {c.lower() for c in docs.columns}
+    content, key, keep, many = (next(n + "_" * k for k in range(len(taken) + 1) if n + "_" * k not in taken)
+                                for n in ("_content", "_key", "_keep", "_many"))
+    found = jaccard.link_components(docs, content=True).checkpoint()
+    # one (id, set) a group; sets without a group are kept as they are
+    first = (found.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "c")).alias("f"))
+             .select("f.doc_id", "f.c", F.lit(True).alias(keep)))
+    marks = (found.groupBy("doc_id", "c").agg(F.count(F.lit(1)).alias("n"), F.max("component").alias("component"))
+             .join(first, ["doc_id", "c"], "left")
+             .filter(F.col(keep) | F.col("component").isNull())
+             .select(F.col("doc_id").alias(key), F.col("c").alias(keep), (F.col("n") > 1).alias(many)))
+    rows = jaccard.with_content(docs, "text", content)
+    kept = rows.join(marks, (rows[content] == marks[keep]) & rows["doc_id"].cast("long").eqNullSafe(marks[key]))
+    kept = kept.select(*[rows[c] for c in docs.columns], content, many).checkpoint()
+    single = kept.filter(~F.col(many)).select(*docs.columns)
+    # repeated rows of one id and set: equal ones first, then those that differ in signs that shingles do not see
+    equal = kept.filter(many).select(*docs.columns, content).dropDuplicates()
+    order = Window.partitionBy("doc_id", content).orderBy(F.xxhash64("text"))
+    named = F.col("doc_id").isNotNull() & (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
+    one = equal.withColumn(many, F.row_number().over(order)).filter(~named | (F.col(many) == 1)).select(*docs.columns)
+    return single.unionByName(one)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
