@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from rimshot.llm import queries
+from rimshot.llm import linededup, queries
 from tests.conftest import SF_SMALL
 from tests.test_oracle import _canon
 
@@ -66,3 +66,33 @@ def test_pipeline_stages(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, df, folder).collect()
     assert {r.doc_id for r in packed} == set(kept["secret_scan"])
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def test_near_copies_under_shared_ids(spark):
+    """A near copy under an id that another group has too goes; clashing column names are no trouble."""
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    base, own = prose(200), prose(80)
+    words = base.split()
+    near = " ".join([*words[:90], "changed", *words[91:]])
+    rows = [(3, base, 1, "a"), (5, own, 2, "a"), (5, near, 3, "a"), (5, own, 2, "a"), (5, own.upper(), 2, "a"), (None, base, 4, "a"), (None, base, 4, "a"),
+            (7, None, 5, "a"), (7, None, 5, "a"), (8, "", 6, "b"), (9, near, 7, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _kept_id int, _content string")
+    got = corpus_pipeline.dedup_near(spark, df, "")
+    assert got.columns == df.columns
+    got = [tuple(r) for r in got.collect()]
+    mine = [r for r in got if r[0] == 5]
+    assert len(mine) == 1 and mine[0][1].lower() == own
+    rest = sorted((r for r in got if r[0] != 5), key=str)
+    assert rest == sorted([(3, base, 1, "a"), (None, base, 4, "a"), (7, None, 5, "a"), (8, "", 6, "b")], key=str)
+    empty = spark.createDataFrame([], "doc_id long, text string, x int")
+    assert corpus_pipeline.dedup_near(spark, empty, "").count() == 0
+
+
+def test_lines_of_tables_with_clashing_names(spark):
+    text = "\n".join(f"line {i} of a passage that comes twice" for i in range(10))
+    rows = [(1, text, "p", 1), (2, "own start\n" + text, "q", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _d string, _x int")
+    for words in (False, True):
+        got = {r.doc_id: r.text for r in linededup.dedup_lines(df, words=words).collect()}
+        assert got == {1: text, 2: "own start"}
