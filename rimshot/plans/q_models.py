@@ -408,7 +408,7 @@ def _once_sql(rows: str) -> str:
 @query("l12_permuted_auc", f"""
 with recursive t as (select *, row_number() over (order by team_id)::bigint as rn from f_model_cp40
   where season_start = (select max(season_start) from f_model_cp40 where {LABEL} is not null) and {LABEL} is not null),
-size as (select n, a, cast(ceil(n / a) as bigint) as b from (select n, cast(ceil(sqrt(n)) as bigint) as a from (select count(*) as n from t))),
+size as (select n, a, cast(ceil(n / a) as bigint) as b from (select n, cast(ceil(sqrt(n)) as bigint) as a from (select count(*) as n from t) where n > 0)),
 feature(i, f) as (values {", ".join(f"({i}, '{c}')" for i, c in enumerate(_GIVEN))}),
 start as (select f, rep, rn, n, (i * {_GIVEN_REPEATS} + rep + {ML.SEED % 1000} * 1000003 % 999983)::bigint as key, a, b, rn - 1 as pos
           from t, size, feature, (select unnest(range({_GIVEN_REPEATS})) as rep)),
