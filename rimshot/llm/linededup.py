@@ -19,8 +19,11 @@ By words (``words=True``, as the query calls it) the unit is a word, wherever li
 within longer lines counts with all its words. A block is half of the least length of words, and its rank the hash of
 its words; one doubling gives the rank of the least length, whose intervals tell the later copies. Only blocks
 that are the least (by hash) of all blocks in some run of the least length are dealt out first: equal runs have equal
-least blocks, so a run whose least block is nowhere else is not repeated, and most suffixes are never sent. Of the
-runs that are left, those whose name occurs once in a count of all names by buckets are not sent either.
+least blocks, so a run whose least block is nowhere else is not repeated, and most suffixes are never sent. Neighbouring
+blocks whose first places in the corpus lie equally far apart in one document make a common run with that place: one
+row (start, length) tells of all later copies in it. Only the other runs are named each, and of these those whose name
+occurs once in a count by buckets are not sent. None is lost: the first place of a run has no earlier one, so no row
+covers it, and it is named like the later ones that no row covers.
 """
 
 from __future__ import annotations
@@ -195,11 +198,11 @@ def _least(blocks: np.ndarray, min_words: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(blocks, width).argmin(axis=1) + np.arange(len(blocks) - width + 1)
 
 
-_MARKS = "doc_id long, h long, run1 long, run2 long, words int, marks array<long>"
+_MARKS = "doc_id long, h long, run1 long, run2 long, words int, marks array<long>, at array<int>"
 
 
 def _marks(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """Of every text with enough words the digest of its words, and its least blocks in order."""
+    """Of every text with enough words the digest of its words, and its least blocks and their places in order."""
     forget()
     for batch in batches:
         out = []
@@ -208,32 +211,79 @@ def _marks(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
             if len(blocks):
                 found = text.split()
                 d = xxhash.xxh128_intdigest(" ".join(found))
-                out.append((doc, h, _signed(d >> 64), _signed(d & ((1 << 64) - 1)), len(found),
-                            blocks[np.unique(_least(blocks, min_words))].view(np.int64)))
+                at = np.unique(_least(blocks, min_words))
+                out.append((doc, h, _signed(d >> 64), _signed(d & ((1 << 64) - 1)), len(found), blocks[at].view(np.int64),
+                            at.astype(np.int32)))
         if out:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
                                              [f.split()[0] for f in _MARKS.split(", ")])
 
 
+def _chains(at: np.ndarray, doc: np.ndarray, first: np.ndarray, later: np.ndarray, size: int, min_words: int) -> list[tuple[int, int]]:
+    """(start, words) of runs of the least length or more that also stand where their blocks' first places are.
+
+    Block k of a text begins at ``at[k]``, and stands first in document ``doc[k]`` at ``first[k]``, an earlier place if
+    ``later[k]``. Neighbouring blocks that meet or overlap, with first places as far apart in one document, are one run.
+    """
+    if not len(at):
+        return []
+    step = np.diff(at)
+    link = later[1:] & later[:-1] & (doc[1:] == doc[:-1]) & (np.diff(first) == step) & (step <= size)
+    cuts = np.flatnonzero(~link) + 1
+    begins, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(at)]]) - 1
+    words = at[ends] - at[begins] + size
+    keep = later[begins] & (words >= min_words)
+    return list(zip(at[begins[keep]].tolist(), words[keep].tolist()))
+
+
+_NAMES = "doc_id long, h long, blocks array<long>, start array<int>, n array<int>, gone array<struct<start:int,lines:int>>"
+
+
 def _word_names(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """Of every document the runs whose least block is among the repeated: their places, and the hashes of the first
-    and the last block of each."""
+    """Of every document the runs that are later copies by the first places of their blocks (``gone``), and the
+    stretches (first run, number) of other runs whose least block is repeated, with the stretches' blocks."""
     forget()
-    second, seen = min_words - (min_words + 1) // 2, set()
+    size, seen = (min_words + 1) // 2, set()
+    second = min_words - size
     for batch in batches:
         out = []
-        for doc, h, text, again in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        held, ends = batch.column(3).values, batch.column(3).offsets.to_numpy()
+        start, doc_of, first = (held.field(i).fill_null(0).to_numpy() for i in range(3))
+        later = held.field(1).is_valid().to_numpy(zero_copy_only=False)
+        for i, (doc, h, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
             if (doc, h) in seen:  # repeated rows are one document
                 continue
             seen.add((doc, h))
+            order = ends[i] + np.argsort(start[ends[i]: ends[i + 1]])
+            at = start[order].astype(np.int64)
+            gone = _chains(at, doc_of[order], first[order].astype(np.int64), later[order], size, min_words)
             blocks = _blocks(text, min_words)
-            start = np.flatnonzero(np.isin(blocks[_least(blocks, min_words)], np.array(again, np.int64).view(np.uint64)))
-            if len(start):
-                out.append((doc, h, blocks[start].view(np.int64), blocks[start + second].view(np.int64), start.astype(np.int32)))
+            repeated = np.zeros(len(blocks), bool)
+            repeated[at] = True
+            mine = repeated[_least(blocks, min_words)]
+            for s, n in gone:
+                mine[s: s + n - min_words + 1] = False
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], mine.view(np.int8), [0]])))
+            begins, after = edges[::2], edges[1::2]
+            told = [blocks[a: b + second] for a, b in zip(begins, after)]
+            out.append((doc, h, (np.concatenate(told) if told else blocks[:0]).view(np.int64), begins.astype(np.int32),
+                        (after - begins).astype(np.int32), [{"start": s, "lines": n} for s, n in gone]))
         if out:
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "h", "a", "b", "start"])
+            run = pa.list_(pa.struct([("start", pa.int32()), ("lines", pa.int32())]))
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), run]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
+                                             ["doc_id", "h", "blocks", "start", "n", "gone"])
+
+
+def _runs_of(batch: pa.RecordBatch, second: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every run in a batch of stretches: the hashes of its first and last block, its start, and the row it is in."""
+    blocks, start, n = (batch.column(i).flatten().to_numpy().astype(np.int64) for i in (2, 3, 4))
+    ends = batch.column(3).offsets.to_numpy()
+    row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(np.cumsum(n + second) - n - second, n) + within
+    return blocks[at], blocks[at + second], (np.repeat(start, n) + within).astype(np.int32), np.repeat(row, n)
 
 
 def _buckets(keys: DataFrame, bits: int) -> np.ndarray:
@@ -267,13 +317,14 @@ def _name_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _repeated_names(names: DataFrame, bits: int) -> DataFrame:
-    """``names`` (arrays a, b, start of each document) without runs whose name occurs once: names are counted in
-    2**``bits`` buckets over all documents, so some that occur once stay, and none that is repeated goes."""
+def _repeated_names(names: DataFrame, bits: int, second: int) -> DataFrame:
+    """(a, b, doc_id, h, start): the runs in the stretches of ``names``, without those whose name occurs once. Names are
+    counted in 2**``bits`` buckets over all documents, so some that occur once stay, and none that is repeated goes."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = BucketCounts(bits)
         for batch in batches:
-            counts.add(_name_hashes(batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy()))
+            a, b, _, _ = _runs_of(batch, second)
+            counts.add(_name_hashes(a, b))
         rows = list(counts.rows())
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
                                          ["block", "counts"])
@@ -283,15 +334,17 @@ def _repeated_names(names: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
-            a, b, start = (batch.column(i).flatten().to_numpy() for i in (2, 3, 4))
+            a, b, start, row = _runs_of(batch, second)
             k = (_name_hashes(a, b) & mask).astype(np.int64)
-            keep = (buckets[k >> 3] >> (7 - (k & 7))) & 1 == 1
-            ends = batch.column(2).offsets.to_numpy()
-            left = np.concatenate([[0], np.cumsum(keep)])[ends - ends[0]].astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(left), pa.array(x[keep])) for x in (a, b, start)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], batch.schema.names)
+            keep = np.flatnonzero((buckets[k >> 3] >> (7 - (k & 7))) & 1 == 1)
+            for i in range(0, len(keep), 100_000):
+                part = keep[i: i + 100_000]
+                rows = pa.array(row[part])
+                yield pa.RecordBatch.from_arrays([pa.array(a[part]), pa.array(b[part]), batch.column(0).take(rows),
+                                                  batch.column(1).take(rows), pa.array(start[part])],
+                                                 ["a", "b", "doc_id", "h", "start"])
 
-    return names.mapInArrow(run, names.schema)
+    return names.mapInArrow(run, "a long, b long, doc_id long, h long, start int")
 
 
 def repeated_words(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -304,24 +357,27 @@ def repeated_words(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     firsts = marks.groupBy("run1", "run2").agg(F.min(_place()).alias("first")).checkpoint()
     placed = marks.join(firsts, ["run1", "run2"])
     copies = placed.filter(_place() != F.col("first")).select("doc_id", "h", "start", F.col("words").alias("lines"))
-    own = placed.filter(_place() == F.col("first")).select("doc_id", "h", "marks").checkpoint()
-    each = own.select("doc_id", "h", F.explode("marks").alias("mark"))
-    again = each.groupBy("mark").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("mark").checkpoint()
+    own = placed.filter(_place() == F.col("first")).select("doc_id", "h", F.arrays_zip("marks", "at").alias("marks")).checkpoint()
+    each = own.select("doc_id", "h", F.explode("marks").alias("m")).select("doc_id", "h", F.col("m.marks").alias("mark"),
+                                                                          F.col("m.at").alias("start"))
+    again = (each.groupBy("mark").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("times"))
+             .filter("times > 1").drop("times").checkpoint())
+    block = F.struct("start", F.when(_place() != F.col("first"), F.xxhash64("first.doc_id", "first.h")).alias("doc"),
+                     F.col("first.start").alias("first"))
     held = (each.join(again, "mark").groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_x"))
-            .agg(F.collect_set("mark").alias("again")).checkpoint())
+            .agg(F.collect_list(block).alias("held")).checkpoint())
     bits = bits_for(docs, 256, most=24)
     texts = _within(docs, "h", _buckets(held.select(F.col("_x").alias("h")), bits), bits)
     names = (texts.join(held, texts["doc_id"].eqNullSafe(F.col("_d")) & (texts["h"] == F.col("_x")))
-             .select("doc_id", "h", "text", "again")
-             .mapInArrow(lambda b: _word_names(b, min_words), "doc_id long, h long, a array<long>, b array<long>, start array<int>")
-             .checkpoint())
-    names = (_repeated_names(names, bits_for(docs, 16, most=26)).select("doc_id", "h", F.explode(F.arrays_zip("a", "b", "start")).alias("x"))
-             .select("x.a", "x.b", "doc_id", "h", "x.start"))
-    interval = (names.groupBy("a", "b").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("times"))
+             .select("doc_id", "h", "text", "held").mapInArrow(lambda b: _word_names(b, min_words), _NAMES).checkpoint())
+    chained = names.select("doc_id", "h", F.explode("gone").alias("run")).select("doc_id", "h", "run.start", "run.lines")
+    rest = _repeated_names(names, bits_for(docs, 16, most=26), min_words - (min_words + 1) // 2)
+    interval = (rest.groupBy("a", "b").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("times"))
                 .filter("times > 1").drop("times").checkpoint())
-    later = (names.join(interval, ["a", "b"]).filter(_place() > F.col("first"))
+    later = (rest.join(interval, ["a", "b"]).filter(_place() > F.col("first"))
              .select("doc_id", "h", "start", F.lit(min_words).alias("lines")))
-    return copies.unionByName(later).groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "lines")).alias("gone"))
+    found = copies.unionByName(chained).unionByName(later)
+    return found.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "lines")).alias("gone"))
 
 
 def _without_words(text: str, gone: list[dict]) -> tuple[str, list[int], int, int]:
