@@ -175,27 +175,74 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return found.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "lines")).alias("gone"))
 
 
-def _blocks(text: str, min_words: int) -> np.ndarray:
-    """Hashes of all blocks of half of ``min_words`` words, by their first word; none in a text without a run."""
-    found = text.split()
-    if len(found) < min_words:
-        return np.zeros(0, np.uint64)
-    ids = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
-    size = (min_words + 1) // 2
-    out = np.zeros(len(ids) - size + 1, np.uint64)
-    for k in range(size):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + ids[k: k + len(out)]
-    out ^= out >> np.uint64(33)
-    out *= np.uint64(0xFF51AFD7ED558CCD)
-    return out ^ (out >> np.uint64(33))
-
-
-def _least(blocks: np.ndarray, min_words: int) -> np.ndarray:
-    """For every run of ``min_words`` words the place of its least block, the first of equals."""
-    width = min_words - (min_words + 1) // 2 + 1
-    if len(blocks) < width:
+class _Hashes(dict):
+    """Hashes of words, kept for the next texts; begun anew at half a million words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_FACTOR = 0x9E3779B97F4A7C15
+_POSITION_BITS = 24
+
+
+def _least(blocks: np.ndarray, width: int) -> np.ndarray:
+    """For every ``width`` neighbouring blocks the place of the least, the first of equals, by the upper 40 bits."""
+    n = len(blocks) - width + 1
+    if n <= 0:
         return np.zeros(0, np.int64)
-    return np.lib.stride_tricks.sliding_window_view(blocks, width).argmin(axis=1) + np.arange(len(blocks) - width + 1)
+    if len(blocks) >> _POSITION_BITS:  # places do not fit beside the 40 bits
+        return np.lib.stride_tricks.sliding_window_view(blocks >> np.uint64(_POSITION_BITS), width).argmin(axis=1) + np.arange(n)
+    low = np.uint64((1 << _POSITION_BITS) - 1)
+    least, have = (blocks & ~low) | np.arange(len(blocks), dtype=np.uint64), 1
+    while have < width:  # least of 1, 2, 4, ... blocks, then of two that overlap
+        step = min(have, width - have)
+        least, have = np.minimum(least[:-step], least[step:]), have + step
+    return (least & low).astype(np.int64)
+
+
+def _texts(texts: list[str], min_words: int, most: int = 1 << 20) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """(words, blocks, least) of each text: hashes of all blocks of half of ``min_words`` words by their first word, and
+    for every run of ``min_words`` words the place of its least block; none in a text without a run.
+
+    About ``most`` words are worked on at once, the texts' words one after the other."""
+    size = (min_words + 1) // 2
+    width, hashes = min_words - size + 1, _Hashes()
+
+    def done(group: list[list[str]]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        ids = np.fromiter((h for words in group if len(words) >= min_words for h in map(hashes.__getitem__, words)), np.uint64)
+        n = max(0, len(ids) - size + 1)
+        blocks = np.zeros(n, np.uint64)
+        if n:
+            # differences of one running sum of ids times inverse powers, multiplied by powers (modulo 2 ** 64)
+            up, down = np.ones(len(ids), np.uint64), np.ones(len(ids), np.uint64)
+            up[1:], down[1:] = np.uint64(_FACTOR), np.uint64(pow(_FACTOR, -1, 1 << 64))
+            up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids * down, dtype=np.uint64)])
+            blocks = (total[size:] - total[:n]) * up[size - 1:]
+            blocks ^= blocks >> np.uint64(33)
+            blocks *= np.uint64(0xFF51AFD7ED558CCD)
+            blocks ^= blocks >> np.uint64(33)
+        least, at = _least(blocks, width), 0
+        for words in group:
+            if len(words) < min_words:
+                yield words, blocks[:0], least[:0]
+            else:
+                end = at + len(words)
+                yield words, blocks[at: end - size + 1], least[at: end - min_words + 1] - at
+                at = end
+
+    group, held = [], 0
+    for text in texts:
+        group.append(text.split())
+        held += len(group[-1])
+        if held >= most:
+            yield from done(group)
+            group, held = [], 0
+    yield from done(group)
 
 
 _MARKS = "doc_id long, h long, run1 long, run2 long, words int, marks array<long>, at array<int>"
@@ -206,12 +253,12 @@ def _marks(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
     forget()
     for batch in batches:
         out = []
-        for doc, h, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            blocks = _blocks(text, min_words)
+        texts = _texts(batch.column(2).to_pylist(), min_words)
+        for doc, h, (found, blocks, least) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
             if len(blocks):
-                found = text.split()
                 d = xxhash.xxh128_intdigest(" ".join(found))
-                at = np.unique(_least(blocks, min_words))
+                # least blocks stand in the order of runs
+                at = least[np.concatenate([[True], least[1:] != least[:-1]])]
                 out.append((doc, h, _signed(d >> 64), _signed(d & ((1 << 64) - 1)), len(found), blocks[at].view(np.int64),
                             at.astype(np.int32)))
         if out:
@@ -251,17 +298,17 @@ def _word_names(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[p
         held, ends = batch.column(3).values, batch.column(3).offsets.to_numpy()
         start, doc_of, first = (held.field(i).fill_null(0).to_numpy() for i in range(3))
         later = held.field(1).is_valid().to_numpy(zero_copy_only=False)
-        for i, (doc, h, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
+        texts = _texts(batch.column(2).to_pylist(), min_words)
+        for i, (doc, h, (_, blocks, least)) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts)):
             if (doc, h) in seen:  # repeated rows are one document
                 continue
             seen.add((doc, h))
             order = ends[i] + np.argsort(start[ends[i]: ends[i + 1]])
             at = start[order].astype(np.int64)
             gone = _chains(at, doc_of[order], first[order].astype(np.int64), later[order], size, min_words)
-            blocks = _blocks(text, min_words)
             repeated = np.zeros(len(blocks), bool)
             repeated[at] = True
-            mine = repeated[_least(blocks, min_words)]
+            mine = repeated[least]
             for s, n in gone:
                 mine[s: s + n - min_words + 1] = False
             edges = np.flatnonzero(np.diff(np.concatenate([[0], mine.view(np.int8), [0]])))
@@ -371,7 +418,7 @@ def repeated_words(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     names = (texts.join(held, texts["doc_id"].eqNullSafe(F.col("_d")) & (texts["h"] == F.col("_x")))
              .select("doc_id", "h", "text", "held").mapInArrow(lambda b: _word_names(b, min_words), _NAMES).checkpoint())
     chained = names.select("doc_id", "h", F.explode("gone").alias("run")).select("doc_id", "h", "run.start", "run.lines")
-    rest = _repeated_names(names, bits_for(docs, 16, most=26), min_words - (min_words + 1) // 2)
+    rest = _repeated_names(names, bits_for(docs, 4, most=26), min_words - (min_words + 1) // 2)
     interval = (rest.groupBy("a", "b").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("times"))
                 .filter("times > 1").drop("times").checkpoint())
     later = (rest.join(interval, ["a", "b"]).filter(_place() > F.col("first"))
@@ -384,26 +431,29 @@ def _without_words(text: str, gone: list[dict]) -> tuple[str, list[int], int, in
     """The text without the words in ``gone``, and without lines that lose all their words; the numbers from 0 of
     such lines among all lines; lines with a word; words that went. Signs between words go with the word before them."""
     if not gone:
-        return text, [], sum(1 for line in text.split("\n") if line.split()), 0
-    drop = np.zeros(len(text.split()) + 1, np.int64)
+        return text, [], sum(1 for line in text.split("\n") if line and not line.isspace()), 0
+    sizes = [len(line.split()) for line in text.split("\n")]
+    drop = np.zeros(sum(sizes) + 1, np.int64)
     for g in gone:
         drop[g["start"]] += 1
         drop[g["start"] + g["lines"]] -= 1
     dropped = np.cumsum(drop) > 0
-    kept, out, filled, at = [], [], 0, 0
-    for i, line in enumerate(text.split("\n")):
-        spans = [m.span() for m in re.finditer(r"\S+", line)]
-        mine, at = dropped[at: at + len(spans)], at + len(spans)
-        filled += bool(spans)
-        if not mine.any():
+    before = np.concatenate([[0], np.cumsum(dropped)])
+    ends = np.cumsum(sizes)
+    lost = (before[ends] - before[ends - sizes]).tolist()
+    kept, out, at = [], [], 0
+    for i, (line, size, away) in enumerate(zip(text.split("\n"), sizes, lost)):
+        if not away:
             kept.append(line)
-        elif mine.all():
+        elif away == size:
             out.append(i)
         else:
-            ends = [*[a for a, _ in spans[1:]], len(line)]
-            new = line[:spans[0][0]] + "".join(line[a:e] for (a, _), e, d in zip(spans, ends, mine) if not d)
+            spans, mine = [m.span() for m in re.finditer(r"\S+", line)], dropped[at: at + size]
+            ends_at = [*[a for a, _ in spans[1:]], len(line)]
+            new = line[:spans[0][0]] + "".join(line[a:e] for (a, _), e, d in zip(spans, ends_at, mine) if not d)
             kept.append(new.rstrip() if mine[-1] else new)
-    return "\n".join(kept), out, filled, int(dropped.sum())
+        at += size
+    return "\n".join(kept), out, sum(1 for size in sizes if size), int(before[-1])
 
 
 def _without(text: str, gone: list[dict]) -> tuple[str, list[int], int]:
