@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import re
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -364,19 +364,24 @@ def _name_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _repeated_names(names: DataFrame, bits: int, second: int) -> DataFrame:
-    """(a, b, doc_id, h, start): the runs in the stretches of ``names``, without those whose name occurs once. Names are
-    counted in 2**``bits`` buckets over all documents, so some that occur once stay, and none that is repeated goes."""
+def _counted(df: DataFrame, bits: int, hashes: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """Which of 2**``bits`` buckets two or more ``hashes`` of all batches of ``df`` fall in."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = BucketCounts(bits)
         for batch in batches:
-            a, b, _, _ = _runs_of(batch, second)
-            counts.add(_name_hashes(a, b))
+            counts.add(hashes(batch).view(np.uint64))
         rows = list(counts.rows())
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
                                          ["block", "counts"])
 
-    buckets, mask = np.packbits(summed(names.mapInArrow(count, SCHEMA), bits, 2)), np.uint64((1 << bits) - 1)
+    return summed(df.mapInArrow(count, SCHEMA), bits, 2)
+
+
+def _repeated_names(names: DataFrame, bits: int, second: int) -> DataFrame:
+    """(a, b, doc_id, h, start): the runs in the stretches of ``names``, without those whose name occurs once. Names are
+    counted in 2**``bits`` buckets over all documents, so some that occur once stay, and none that is repeated goes."""
+    buckets = np.packbits(_counted(names, bits, lambda batch: _name_hashes(*_runs_of(batch, second)[:2])))
+    mask = np.uint64((1 << bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -394,6 +399,27 @@ def _repeated_names(names: DataFrame, bits: int, second: int) -> DataFrame:
     return names.mapInArrow(run, "a long, b long, doc_id long, h long, start int")
 
 
+def _repeated_marks(own: DataFrame, bits: int) -> DataFrame:
+    """(doc_id, h, mark, start): a row for each mark of ``own``, without those that occur once by a count of all in
+    2**``bits`` buckets; some that occur once stay, and none that is repeated goes."""
+    buckets, mask = np.packbits(_counted(own, bits, lambda batch: batch.column(2).flatten().to_numpy())), np.int64((1 << bits) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for batch in batches:
+            marks, at = (batch.column(i).flatten().to_numpy() for i in (2, 3))
+            k = marks & mask
+            keep = np.flatnonzero((buckets[k >> 3] >> (7 - (k & 7))) & 1 == 1)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(2).offsets.to_numpy()))
+            for i in range(0, len(keep), 100_000):
+                part = keep[i: i + 100_000]
+                rows = pa.array(row[part])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(marks[part]),
+                                                  pa.array(at[part])], ["doc_id", "h", "mark", "start"])
+
+    return own.mapInArrow(run, "doc_id long, h long, mark long, start int")
+
+
 def repeated_words(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, h, gone): for each document of ``docs`` (doc_id, h, text) with later copies, an array of
     (start, lines) over its words."""
@@ -404,9 +430,8 @@ def repeated_words(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     firsts = marks.groupBy("run1", "run2").agg(F.min(_place()).alias("first")).checkpoint()
     placed = marks.join(firsts, ["run1", "run2"])
     copies = placed.filter(_place() != F.col("first")).select("doc_id", "h", "start", F.col("words").alias("lines"))
-    own = placed.filter(_place() == F.col("first")).select("doc_id", "h", F.arrays_zip("marks", "at").alias("marks")).checkpoint()
-    each = own.select("doc_id", "h", F.explode("marks").alias("m")).select("doc_id", "h", F.col("m.marks").alias("mark"),
-                                                                          F.col("m.at").alias("start"))
+    own = placed.filter(_place() == F.col("first")).select("doc_id", "h", "marks", "at").checkpoint()
+    each = _repeated_marks(own, bits_for(docs, 16, most=26))
     again = (each.groupBy("mark").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("times"))
              .filter("times > 1").drop("times").checkpoint())
     block = F.struct("start", F.when(_place() != F.col("first"), F.xxhash64("first.doc_id", "first.h")).alias("doc"),
@@ -418,7 +443,7 @@ def repeated_words(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     names = (texts.join(held, texts["doc_id"].eqNullSafe(F.col("_d")) & (texts["h"] == F.col("_x")))
              .select("doc_id", "h", "text", "held").mapInArrow(lambda b: _word_names(b, min_words), _NAMES).checkpoint())
     chained = names.select("doc_id", "h", F.explode("gone").alias("run")).select("doc_id", "h", "run.start", "run.lines")
-    rest = _repeated_names(names, bits_for(docs, 4, most=26), min_words - (min_words + 1) // 2)
+    rest = _repeated_names(names, bits_for(docs, 16, most=26), min_words - (min_words + 1) // 2)
     interval = (rest.groupBy("a", "b").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("times"))
                 .filter("times > 1").drop("times").checkpoint())
     later = (rest.join(interval, ["a", "b"]).filter(_place() > F.col("first"))
