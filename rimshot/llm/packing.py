@@ -142,17 +142,17 @@ class VectorPacker:
 
 
 def _encoder(path: str) -> tuple:
+    """The tokenizer, ids of pieces, and the strings that the tokenizer takes as one token wherever they stand."""
     tokenizer = _tokenizer(path)
-    return tokenizer, Memo(lambda found: _piece_ids(tokenizer, found))
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    return tokenizer, Memo(lambda found: _piece_ids(tokenizer, found)), added
 
 
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True  # their strings in a text are ordinary text
-    return made
+    return Tokenizer.from_file(path)
 
 
 def _piece_ids(tokenizer, found: list[str], row: int = 100) -> list[bytes]:
@@ -176,7 +176,7 @@ def _piece_ids(tokenizer, found: list[str], row: int = 100) -> list[bytes]:
 
 def _pack_rows(batches: Iterator[pa.RecordBatch], path: str, limits: tuple[int, int, int], window: int,
                end_id: int) -> Iterator[pa.RecordBatch]:
-    tokenizer, memo = kept(("tokenizer", path), lambda: _encoder(path))
+    tokenizer, memo, added = kept(("tokenizer", path), lambda: _encoder(path))
     end = int(end_id).to_bytes(4, "little")
     packer = VectorPacker(*limits, window=window)
     first = TaskContext.get().partitionId() * SEQUENCES_PER_TASK
@@ -194,7 +194,7 @@ def _pack_rows(batches: Iterator[pa.RecordBatch], path: str, limits: tuple[int,
         return made
 
     def encoded(texts: list[str]) -> list[bytes]:
-        cut = [pieces(t) for t in texts]
+        cut = [None if any(a in t for a in added) else pieces(t) for t in texts]
         ids = list(memo.ids([c or [] for c in cut]))
         for i, c in enumerate(cut):
             if c is None:  # must not be cut

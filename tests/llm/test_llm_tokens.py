@@ -159,3 +159,16 @@ def test_op3_prompts_bear_no_loss(spark):
     for doc, body in ((1, "the answer"), (2, "only text")):
         n = len(tokenizer.encode(body, add_special_tokens=False).ids) + 1
         assert sum(r.loss_tokens for r in rows if r.doc_id == doc) == n
+
+
+def test_packing_encodes_special_strings_like_the_plain_library(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(JSON)
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b\n\nc", "one <|endoftext two", "plain text"]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), JSON).collect()
+    for i, text in enumerate(texts):
+        ids = plain.encode(text, add_special_tokens=False).ids + [1]
+        (r,) = [r for r in rows if r.doc_id == i]
+        assert (r.start, r.length, r.doc_tokens) == (0, len(ids), len(ids))
+        assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
