@@ -1,20 +1,22 @@
 """Elo ratings per season.
 
-Elo is a true recurrence: a game's pre-game ratings depend on every earlier
-game of the season, across all teams. Everything that is not the recurrence
-runs in Spark: pairing the two team rows of a game, dropping malformed games,
-and exploding the result back to team rows. The recurrence itself runs per
-(season) group in ``applyInPandas`` over one compact row per game (ids, date,
-two results). The group's rows arrive already sorted by date, and the function
-consumes them as an iterator of Arrow batches. Memory is therefore one batch plus
-one rating per team, even when a single season holds a large share of all games.
-More seasons or leagues add groups, which run in parallel. The recurrence is
-inherently sequential within a season, so a season is one task.
+Elo is a true recurrence: a game's pre-game ratings depend on the earlier games of its two teams. So two games only
+have to wait for each other if a chain of games joins their teams:
+
+- Teams that no chain of games joins never touch each other's ratings. Each connected component of teams of a season
+  (``components.connected``) is a group of its own, so leagues that share a season run in parallel without being told.
+- Within a group a game's level is the length of the longest chain of earlier games of its two teams. The games of one
+  level have no team in common and are rated in one vector step.
+
+Pairing the team rows of a game, dropping malformed games, finding the components and going back to team rows are
+DataFrame operations. The levels run in ``applyInPandas`` over one compact row a game; the rows arrive sorted by
+date as an iterator of Arrow batches, so memory is one batch plus one rating a team.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -23,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rimshot.functions.expressions import ELO_HOME_ADV, ELO_K, ELO_SCALE, ELO_START
+from rimshot.operators.components import connected
+from rimshot.session import checkpoint_dir
 
 RATING_SCHEMA = ("game_id long, game_date date, home_id long, away_id long, "
                  "res_home int, res_away int, elo_home_pre double, elo_home_post double, "
@@ -50,69 +54,82 @@ def pair_games(results: DataFrame, group_keys=("season_start",)) -> DataFrame:
                      home["is_win"].cast("int").alias("res_home"), away["is_win"].cast("int").alias("res_away")))
 
 
-def _season_recurrence(k: float, start: float, home_adv: float):
-    """Whole-season variant (one pandas frame per season): the reference the streaming version is
-    tested against."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["game_date", "game_id"], kind="mergesort").reset_index(drop=True)
-        ids, inv = np.unique(np.concatenate([pdf["home_id"].to_numpy(), pdf["away_id"].to_numpy()]),
-                             return_inverse=True)
-        n = len(pdf)
-        hi, ai = inv[:n], inv[n:]
-        rating = np.full(len(ids), start, dtype="float64")
-        rh = pdf["res_home"].to_numpy(dtype="float64")
-        ra = pdf["res_away"].to_numpy(dtype="float64")
-        hpre, hpost, apre, apost = (np.empty(n) for _ in range(4))
-        for i in range(n):
-            eh, ea = rating[hi[i]], rating[ai[i]]
-            exp_h = 1.0 / (1.0 + 10.0 ** (-((eh + home_adv) - ea) / ELO_SCALE))
-            nh = eh + k * (rh[i] - exp_h)
-            na = ea + k * (ra[i] - (1.0 - exp_h))
-            hpre[i], hpost[i], apre[i], apost[i] = eh, nh, ea, na
-            rating[hi[i]], rating[ai[i]] = nh, na
-        return pdf.assign(elo_home_pre=hpre, elo_home_post=hpost, elo_away_pre=apre, elo_away_post=apost)
-    return run
-
-
-def _season_stream(k: float, start: float, home_adv: float):
-    """The same recurrence over an ordered stream of batches: memory is one Arrow batch plus one
-    rating per team, however many games the season holds."""
+def _in_levels(home: np.ndarray, away: np.ndarray, teams: int) -> Iterator[np.ndarray]:
+    """The games, in order of play, as levels: arrays of games whose teams have no earlier game left.
+
+    A game is due when it is the next one of both its teams, so after each level only the next games of the teams that
+    have just played are looked at."""
+    n = len(home)
+    team, game = np.concatenate([home, away]), np.tile(np.arange(n), 2)
+    order = np.lexsort((game, team))
+    queue = np.append(game[order], n)
+    ends = np.cumsum(np.bincount(team, minlength=teams))
+    at = ends - np.bincount(team, minlength=teams)
+
+    def following(who: np.ndarray) -> np.ndarray:
+        return np.where(at[who] < ends[who], queue[at[who]], n)
+
+    touched = np.unique(team)
+    while True:
+        due = np.unique(following(touched))
+        due = due[due < n]
+        due = due[(following(home[due]) == due) & (following(away[due]) == due)]
+        if not len(due):
+            return
+        yield due
+        played = np.concatenate([home[due], away[due]])
+        np.add.at(at, played, 1)
+        touched = np.unique(played)
+
+
+def _by_levels(k: float, start: float, home_adv: float, out: list[str]):
+    """The recurrence over an ordered stream of batches; ratings go from one batch to the next."""
     def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rating: dict[int, float] = {}
+        ids, rating = np.zeros(0, np.int64), np.zeros(0)
         last = None
         for pdf in batches:
             if pdf.empty:
                 continue
-            order = list(zip(pdf["game_date"], pdf["game_id"]))
-            if (last is not None and order[0] < last) or any(order[i + 1] < order[i] for i in range(len(order) - 1)):
+            when, game = pd.to_datetime(pdf["game_date"]).to_numpy(), pdf["game_id"].to_numpy()
+            back = (when[1:] < when[:-1]) | ((when[1:] == when[:-1]) & (game[1:] < game[:-1]))
+            if back.any() or (last is not None and (when[0], game[0]) < last):
                 raise RuntimeError("Elo input is not ordered by (game_date, game_id) within the season")
-            last = order[-1]
-            hid, aid = pdf["home_id"].to_numpy(), pdf["away_id"].to_numpy()
+            last = (when[-1], game[-1])
+            home, away = pdf["home_id"].to_numpy(), pdf["away_id"].to_numpy()
+            known, old = ids, rating
+            ids = np.union1d(known, np.concatenate([home, away]))
+            rating = np.full(len(ids), start, dtype="float64")
+            rating[np.searchsorted(ids, known)] = old
+            h, a = np.searchsorted(ids, home), np.searchsorted(ids, away)
             rh, ra = pdf["res_home"].to_numpy(dtype="float64"), pdf["res_away"].to_numpy(dtype="float64")
-            n = len(pdf)
-            hpre, hpost, apre, apost = (np.empty(n) for _ in range(4))
-            for i in range(n):
-                eh, ea = rating.get(hid[i], start), rating.get(aid[i], start)
-                exp_h = 1.0 / (1.0 + 10.0 ** (-((eh + home_adv) - ea) / ELO_SCALE))
-                nh = eh + k * (rh[i] - exp_h)
-                na = ea + k * (ra[i] - (1.0 - exp_h))
-                hpre[i], hpost[i], apre[i], apost[i] = eh, nh, ea, na
-                rating[hid[i]], rating[aid[i]] = nh, na
-            yield pdf.assign(elo_home_pre=hpre, elo_home_post=hpost, elo_away_pre=apre, elo_away_post=apost)
+            hpre, hpost, apre, apost = (np.empty(len(pdf)) for _ in range(4))
+            for due in _in_levels(h, a, len(ids)):
+                eh, ea = rating[h[due]], rating[a[due]]
+                expected = 1.0 / (1.0 + 10.0 ** (-((eh + home_adv) - ea) / ELO_SCALE))
+                hpre[due], apre[due] = eh, ea
+                hpost[due], apost[due] = eh + k * (rh[due] - expected), ea + k * (ra[due] - (1.0 - expected))
+                rating[h[due]], rating[a[due]] = hpost[due], apost[due]
+            yield pdf.assign(elo_home_pre=hpre, elo_home_post=hpost, elo_away_pre=apre, elo_away_post=apost)[out]
     return run
 
 
 def elo(results: DataFrame, k: float = ELO_K, start: float = ELO_START, home_adv: float = ELO_HOME_ADV,
         group_keys=("season_start",)) -> DataFrame:
     """team_elo_history rows (pre/post rating per team per game), reset to ``start`` each season."""
-    games = pair_games(results, group_keys)
-    # Partitioned by season and sorted by (season, date, game) inside each partition: this already
-    # satisfies the grouped operator's distribution and ordering, so Spark adds no re-sort and every
-    # season's games stream to the recurrence in date order, batch by batch.
-    ordered = games.repartition(*group_keys).sortWithinPartitions(*group_keys, "game_date", "game_id")
+    checkpoint_dir(results.sparkSession)
+    keys, label = list(group_keys), "_component"
+    games = pair_games(results, keys).checkpoint()
+    teams = connected(games.select(*keys, "home_id", "away_id"), keys, "home_id", "away_id", out=label)
+    games = games.join(teams.withColumnRenamed("home_id", "_team").withColumnsRenamed({g: f"_of_{g}" for g in keys}),
+                       reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in keys], F.col("home_id") == F.col("_team")),
+                       "left").select(*keys, label, "game_id", "game_date", "home_id", "away_id", "res_home", "res_away")
+    # Dealt by component and sorted inside each partition: this already satisfies the grouped operator's distribution
+    # and ordering, so Spark adds no re-sort and the games stream to the recurrence in date order, batch by batch.
+    ordered = games.repartition(*keys, label).sortWithinPartitions(*keys, label, "game_date", "game_id")
     kinds = dict(games.dtypes)
-    schema = ", ".join([*[f"`{g}` {kinds[g]}" for g in group_keys], RATING_SCHEMA])
-    rated = ordered.groupBy(*group_keys).applyInPandas(_season_stream(k, start, home_adv), schema)
+    schema = ", ".join([*[f"`{g}` {kinds[g]}" for g in keys], RATING_SCHEMA])
+    out = [*keys, *[c.split()[0] for c in RATING_SCHEMA.split(", ")]]
+    rated = ordered.groupBy(*keys, label).applyInPandas(_by_levels(k, start, home_adv, out), schema)
 
     def side(team, opp, is_home, pre, post, res):
         return F.struct(F.col(team).alias("team_id"), F.col(opp).alias("opp_team_id"),
@@ -120,7 +137,7 @@ def elo(results: DataFrame, k: float = ELO_K, start: float = ELO_START, home_adv
                         F.col(post).alias("elo_post"), F.col(res).alias("result"))
 
     return rated.select(
-        *group_keys, "game_id", "game_date",
+        *keys, "game_id", "game_date",
         F.inline(F.array(side("home_id", "away_id", 1, "elo_home_pre", "elo_home_post", "res_home"),
                          side("away_id", "home_id", 0, "elo_away_pre", "elo_away_post", "res_away"))),
         F.lit(float(k)).alias("k_factor"))

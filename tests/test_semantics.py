@@ -205,11 +205,63 @@ def test_exact_quantiles_equal_numpy(spark):
             assert abs(got[g][name] - np.quantile(v, q)) < 1e-9
 
 
+def _season_recurrence(k, start, home_adv):
+    """Game by game over a whole season: what the levels are tested against."""
+    def run(pdf):
+        pdf = pdf.sort_values(["game_date", "game_id"], kind="mergesort").reset_index(drop=True)
+        rating, rows = {}, []
+        for g in pdf.itertuples():
+            eh, ea = rating.get(g.home_id, start), rating.get(g.away_id, start)
+            expected = 1.0 / (1.0 + 10.0 ** (-((eh + home_adv) - ea) / 400.0))
+            nh, na = eh + k * (g.res_home - expected), ea + k * (g.res_away - (1.0 - expected))
+            rating[g.home_id], rating[g.away_id] = nh, na
+            rows.append((eh, nh, ea, na))
+        names = ["elo_home_pre", "elo_home_post", "elo_away_pre", "elo_away_post"]
+        return pdf.assign(**dict(zip(names, zip(*rows))))
+    return run
+
+
+def test_components_of_edges(spark):
+    from rimshot.operators.components import connected
+    chain = [(1, i, i + 1) for i in range(40)] + [(1, 100, 101), (1, 102, 101), (2, 5, 7), (None, 3, 9), (2, None, 5), (2, 8, 8)]
+    got = {(r.s, r.a): r.component for r in connected(spark.createDataFrame(chain, "s int, a int, b int"), ["s"], "a", "b").collect()}
+    assert got == ({(1, i): 0 for i in range(41)} | {(1, i): 100 for i in (100, 101, 102)}
+                   | {(2, 5): 5, (2, 7): 5, (2, 8): 8, (None, 3): 3, (None, 9): 3})
+    assert connected(spark.createDataFrame([], "s int, a int, b int"), ["s"], "a", "b").count() == 0
+
+
+def test_elo_levels_and_leagues(spark):
+    """Levels hold no team twice and keep each team's order; two leagues in one season are two groups."""
+    import numpy as np
+    from rimshot.operators.elo import _in_levels
+    rng = np.random.default_rng(3)
+    home = rng.integers(0, 9, 300)
+    away = (home + rng.integers(1, 9, 300)) % 9
+    levels = list(_in_levels(home, away, 9))
+    assert sorted(np.concatenate(levels).tolist()) == list(range(300))
+    depth, longest = {}, {}
+    for i, due in enumerate(levels):
+        assert len(set(home[due]) | set(away[due])) == 2 * len(due)
+        depth |= {int(g): i for g in due}
+    for g in range(300):
+        d = max(longest.get(home[g], 0), longest.get(away[g], 0))
+        assert depth[g] == d
+        longest[home[g]] = longest[away[g]] = d + 1
+    rows = [(2020, g, f"2020-01-{1 + g % 28:02d}", league * 10 + t, h, int(h == g % 2))
+            for g in range(20) for league in [g % 2] for t, h in [(g % 3, 1), (3 + g % 2, 0)]]
+    res = spark.createDataFrame(rows, "season_start int, game_id long, game_date string, team_id long, is_home int, is_win int")
+    res = res.withColumn("game_date", F.to_date("game_date"))
+    plan = elo(res)
+    alone = [r for league in (0, 1) for r in elo(res.where(F.floor(F.col("team_id") / 10) == league)).collect()]
+    assert sorted(plan.collect()) == sorted(alone) and len(alone) == 40
+    assert elo(res.limit(0)).count() == 0
+
+
 def test_elo_streaming_matches_whole_season(spark):
     """Small Arrow batches force each season across many batches; ratings must equal the
     whole-season computation."""
     import pandas as pd
-    from rimshot.operators.elo import _season_recurrence, pair_games
+    from rimshot.operators.elo import pair_games
     from rimshot.sources import fixtures as fx
     from tests.conftest import SF_SMALL
     res = team_game_results(fx.games(spark, SF_SMALL))
