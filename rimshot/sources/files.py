@@ -2,14 +2,12 @@
 
 Input is files that earlier extract jobs landed (CSV parts, JSON payloads,
 partitioned directories). Reads use explicit schemas where the layout is
-known; mixed-header CSV parts are grouped by header so columns are matched
-by name, never by position.
+known; mixed-header CSV parts are read in one scan, and each record takes its
+columns from its own file's header, so they are matched by name.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -28,33 +26,50 @@ PLAYER_IDS = (("gameId", "GAME_ID"), ("personId", "PLAYER_ID"))
 TEAM_IDS = (("gameId", "GAME_ID"), ("teamId", "TEAM_ID"))
 
 
+def _header_names(line: str) -> list[str]:
+    return [c.strip().strip('"') for c in line.lstrip("\ufeff").strip().split(",")]
+
+
 def read_csv_parts(spark: SparkSession, pattern_or_paths, required_all: tuple[tuple[str, ...], ...] = PLAYER_IDS) -> DataFrame | None:
     """S2 + T4: many CSV parts with possibly different headers -> one frame by column name.
 
     A part counts if its header has, of every group in ``required_all``, at least one name; empty files and others
-    are skipped. The parts are read as text once, with each line's file: one grouped job takes every file's first
-    line, and the distinct headers (feed versions, not files) come to the driver. Lines are parsed with their
-    file's header by ``from_csv``; all columns are text (typing happens in normalisation, P10). A quoted value
-    must not contain a line break.
+    are skipped. One grouped job over the parts as text takes every file's first line, and the distinct headers (feed
+    versions, not files) come to the driver. Then one scan reads all parts, however many headers there are: as records
+    by position, so quoted values may hold commas, doubled quotes and line breaks. Each record is paired with its own
+    file's header, and a column takes the value at the place where that header has its name, else null. Of names that
+    a header repeats the first counts. All columns are text (typing happens in normalisation, P10).
+
+    A record may span lines, so a part is read by one task; parts are as large as one landing of a feed.
     """
     lines = spark.read.text(pattern_or_paths).select(
         F.col("value"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
     # the first line of the file's first block; a line's place in its block is kept by the scan order
-    numbered = lines.withColumn("_at", F.monotonically_increasing_id())
-    heads = (numbered.where(F.col("_start") == 0).groupBy("_file")
-             .agg(F.min_by("value", "_at").alias("_head")).where(F.trim("_head") != ""))
-    headers = sorted(r["_head"] for r in heads.select("_head").distinct().collect())
-    frames = []
-    for h in headers:
-        cols = [c.strip().strip('"') for c in h.strip().split(",")]
-        if not all(any(c in cols for c in group) for group in required_all):
-            continue
-        schema = ", ".join(f"`{c}` string" for c in cols)
-        own = lines.join(heads.where(F.col("_head") == h).select("_file"), "_file").where(F.col("value") != h)
-        frames.append(own.select(F.from_csv("value", schema).alias("_r")).select("_r.*"))
-    if not frames:
+    first = (lines.where(F.col("_start") == 0).withColumn("_at", F.monotonically_increasing_id()).groupBy("_file")
+             .agg(F.min_by("value", "_at").alias("_head")).where(F.trim("_head") != "").checkpoint())
+    headers = sorted(r["_head"] for r in first.select("_head").distinct().collect())
+    names = {h: _header_names(h) for h in headers}
+    good = [h for h in headers if all(any(c in names[h] for c in group) for group in required_all)]
+    if not good:
         return None
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    width = max(len(names[h]) for h in good)
+    places = [f"_c{i}" for i in range(width)]
+    records = (spark.read.schema(", ".join(f"{c} string" for c in places))
+               .options(header=False, multiLine=True, escape='"', mode="PERMISSIVE").csv(pattern_or_paths)
+               .select(F.array(*places).alias("_values"), F.col("_metadata.file_path").alias("_path")))
+    version = spark.createDataFrame([(h, i, names[h]) for i, h in enumerate(good)], "_head string, _version int, _names array<string>")
+    of_file = first.join(F.broadcast(version), "_head").select("_file", "_version", "_names")  # a row for each feed version
+    rows = records.join(of_file, F.col("_path") == F.col("_file"))
+    # the header line itself, where it stands
+    body = rows.where(~F.transform(F.slice("_values", 1, F.size("_names")), lambda v: F.trim(F.regexp_replace(v, "^\ufeff", "")))
+                      .eqNullSafe(F.col("_names")))
+    columns = list(dict.fromkeys(c for h in good for c in names[h]))
+
+    def value(column: str):
+        at = [names[h].index(column) if column in names[h] else None for h in good]
+        return F.get("_values", F.get(F.array(*[F.lit(i).cast("int") for i in at]), F.col("_version")))
+
+    return body.select(*[value(c).alias(c) for c in columns])
 
 
 SCOREBOARD_SCHEMA = ("struct<scoreboard:struct<gameDate:string, games:array<struct<gameId:string, gameStatus:int, "

@@ -107,6 +107,22 @@ def test_parts_without_player_ids_are_no_player_rows(spark):
     assert S.read_csv_parts(spark, os.path.join(root, "[bc].csv")) is None
 
 
+def test_parts_of_many_headers_are_one_scan(spark):
+    """Quoted commas, quotes and line breaks; short and long records; one file scan however many headers."""
+    root = _tmp()
+    texts = {"a.csv": 'gameId,personId,name\n1,2,"A, ""the\nsecond"" B"\n3,4\n\n5,6,x,y\n',
+             "b.csv": '"GAME_ID","PLAYER_ID",PTS\r\n0007,5,"6"\r\n', "c.csv": "personId,extra,gameId\n8,e,9\n",
+             "d.csv": "name,gameId,personId,name\nfirst,10,11,second\n", "e.csv": "gameId,personId,name\n", "f.csv": "\n\n"}
+    for name, text in texts.items():
+        with open(os.path.join(root, name), "w", newline="") as f:
+            f.write(text)
+    got = S.read_csv_parts(spark, os.path.join(root, "*.csv"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    rows = sorted((r.gameId or r.GAME_ID, r.personId or r.PLAYER_ID, r.name, r.PTS, r.extra) for r in got.collect())
+    assert rows == [("0007", "5", None, "6", None), ("1", "2", 'A, "the\nsecond" B', None, None), ("10", "11", "first", None, None),
+                    ("3", "4", None, None, None), ("5", "6", "x", None, None), ("9", "8", None, None, "e")]
+
+
 def test_schedule_takes_the_date_fields(spark):
     raw = spark.createDataFrame([("1", "2024-01-02T00:00:00Z", "2024-01-03T00:00:00Z", "7", "8"), ("2", None, "2024-01-03T00:00:00Z", "7", "8")],
                                 "gameId string, gameDateEst string, gameDateUTC string, homeTeam_teamId string, awayTeam_teamId string")
