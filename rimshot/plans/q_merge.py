@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rimshot.operators import merge as U
+from rimshot.operators import table_merge as TM
 from rimshot.operators.market import market_map
 from rimshot.plans import q_market  # noqa: F401  (registers the f_markets oracle CTE)
 from rimshot.plans.catalog import query
 from rimshot.plans.oracle_sql import register
+from rimshot.session import scratch_path
 from rimshot.sources import fixtures as fx
 
 GAME_COLS = ["game_id", "season_start", "game_date", "home_team_id", "away_team_id", "home_points",
@@ -147,13 +149,50 @@ from f_schedule t full outer join f_schedule_updates s on t.game_id = s.game_id"
 def u07_patch_schedule(spark, sf_dir):
     """status/date updates patch the schedule (the later of two counts); other columns kept; unknown games
     inserted."""
-    sch = fx.schedule(spark, sf_dir)
-    upd1 = sch.where(F.col("game_status_text") == "Scheduled").select(
+    return U.patch(fx.schedule(spark, sf_dir), _schedule_feed(spark, sf_dir), ["game_id"], ["game_status_text", "game_date"],
+                   order=["delivery"])
+
+
+def _schedule_feed(spark, sf_dir):
+    upd1 = fx.schedule(spark, sf_dir).where(F.col("game_status_text") == "Scheduled").select(
         "game_id", F.date_add("game_date", 1).alias("game_date"), F.lit("Final").alias("game_status_text"),
         "home_team_id", "away_team_id")
     later = upd1.where(F.col("game_id") % 6 == 0).withColumns({
         "game_date": F.date_add("game_date", 1), "game_status_text": F.lit("Final/OT")})
     upd2 = fx.games(spark, sf_dir).where(F.col("season_type") == "Playoffs").select(
         "game_id", "game_date", F.lit("Scheduled").alias("game_status_text"), "home_team_id", "away_team_id")
-    feed = upd1.unionByName(upd2).withColumn("delivery", F.lit(1)).unionByName(later.withColumn("delivery", F.lit(2)))
-    return U.patch(sch, feed, ["game_id"], ["game_status_text", "game_date"], order=["delivery"])
+    return upd1.unionByName(upd2).withColumn("delivery", F.lit(1)).unionByName(later.withColumn("delivery", F.lit(2)))
+
+
+@query("u01_upsert_table", """
+select game_id, season_start, game_date, home_team_id, away_team_id,
+       home_points + case when season_start = (select max(season_start) from f_games) and game_id % 5 = 0 then 1 else 0 end
+         as home_points, away_points, season_type from f_games""")
+def u01_upsert_table(spark, sf_dir):
+    """U1 on a stored table by season: a file of corrected scores of the last season touches that partition alone."""
+    path = scratch_path(spark, "games-table")
+    games = fx.games(spark, sf_dir).select(*GAME_COLS)
+    games.write.partitionBy("season_start").parquet(path)
+    last = games.agg(F.max("season_start").alias("last"))
+    fixed = (games.join(F.broadcast(last), F.col("season_start") == F.col("last")).where(F.col("game_id") % 5 == 0)
+             .withColumn("home_points", F.col("home_points") + 1).select(*GAME_COLS))
+    TM.merge_table(spark, path, fixed, ["game_id"], ["season_start"], lambda t, s: U.upsert(t, s, ["game_id"]))
+    return spark.read.schema(games.schema).parquet(path)
+
+
+@query("u07_patch_table", """
+select t.season_start, coalesce(t.game_id, s.game_id) as game_id,
+       case when s.game_status_text is not null then s.game_date else t.game_date end as game_date,
+       case when t.game_status_text is not null then t.home_team_id else s.home_team_id end as home_team_id,
+       case when t.game_status_text is not null then t.away_team_id else s.away_team_id end as away_team_id,
+       case when s.game_status_text is not null then s.game_status_text else t.game_status_text end as game_status_text
+from f_schedule t full outer join f_schedule_updates s on t.game_id = s.game_id""")
+def u07_patch_table(spark, sf_dir):
+    """U7 on a stored table by season: the feed has no season, so its keys find the partitions; unknown games go to
+    the partition without a season."""
+    path = scratch_path(spark, "schedule-table")
+    schedule = fx.schedule(spark, sf_dir)
+    schedule.write.partitionBy("season_start").parquet(path)
+    TM.merge_table(spark, path, _schedule_feed(spark, sf_dir), ["game_id"], ["season_start"],
+                   lambda t, s: U.patch(t, s, ["game_id"], ["game_status_text", "game_date"], order=["delivery"]))
+    return spark.read.schema(schedule.schema).parquet(path)
