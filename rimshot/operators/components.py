@@ -9,31 +9,38 @@ from pyspark.sql import functions as F
 
 from rimshot.session import checkpoint_dir
 
+FEW_NODES = 200_000  # so many labels are sent to every task; more are joined by an exchange
 
-def _labelled(df: DataFrame, labels: DataFrame, keys: list[str], node: str, out: str) -> DataFrame:
-    """``df`` with the label of the node in column ``node``."""
-    side = labels.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("node").alias("_of"), F.col("label").alias(out))
-    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
-    return df.join(side, reduce(lambda x, y: x & y, same, F.col(node) == F.col("_of"))).select(*[df[c] for c in df.columns], out)
+
+def with_label(df: DataFrame, labels: DataFrame, keys: list[str], node: str, of: str, out: str, how: str = "inner") -> DataFrame:
+    """``df`` with the label of the node in its column ``node`` from ``labels`` (keys, ``of``, ``out``), a stored frame.
+
+    Labels are sent to every task if they are few, by their count; otherwise both sides are dealt out by the node."""
+    names = [f"_of_{k}" for k in keys]
+    side = labels.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(of).alias("_of"), F.col(out))
+    if labels.count() <= FEW_NODES:
+        side = F.broadcast(side)
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    return df.join(side, reduce(lambda x, y: x & y, same, F.col(node) == F.col("_of")), how).select(*[df[c] for c in df.columns], out)
 
 
 def connected(edges: DataFrame, keys: list[str], a: str, b: str, out: str = "component") -> DataFrame:
     """(keys, ``a``, ``out``): every node with the smallest node that it is joined to by edges of its group.
 
     Each round gives a node the least label among itself and its neighbours (a grouped min, reduced before the exchange)
-    and then the label which that node has itself, so labels travel twice as far in each round. It ends when no label
-    changes. Edges with a null end join nothing. Labels are stored after every round; the driver only learns whether
-    the last round changed any."""
+    and then the label which that node has itself, so labels travel twice as far in each round. It ends when the labels
+    of all edges' ends agree, which is all that the driver learns. Edges with a null end join nothing. Labels are stored
+    after every round."""
     checkpoint_dir(edges.sparkSession)
     known = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     ends = F.array(F.struct(F.col(a).alias("node"), F.col(b).alias("other")), F.struct(F.col(b).alias("node"), F.col(a).alias("other")))
     both = known.select(*keys, F.inline(ends)).distinct().checkpoint()
     labels = both.groupBy(*keys, "node").agg(F.least("node", F.min("other")).alias("label")).checkpoint()
     while True:
-        near = _labelled(both, labels, keys, "other", "_near").groupBy(*keys, "node").agg(F.min("_near").alias("_near"))
-        step = _labelled(near, labels, keys, "node", "_old").withColumn("label", F.least("_near", "_old"))
-        step = _labelled(step, labels, keys, "label", "_far").withColumn("label", F.least("label", "_far")).checkpoint()
-        labels = step.select(*keys, "node", "label")
-        if step.where(F.col("label") != F.col("_old")).isEmpty():
+        near = with_label(both, labels.withColumnRenamed("label", "near"), keys, "other", "node", "near")
+        near = with_label(near, labels.withColumnRenamed("label", "old"), keys, "node", "node", "old")
+        if near.where("near < old").isEmpty():
             return labels.select(*keys, F.col("node").alias(a), F.col("label").alias(out))
-
+        step = near.groupBy(*keys, "node").agg(F.least(F.min("near"), F.min("old")).alias("label"))
+        far = with_label(step, labels.withColumnRenamed("label", "far"), keys, "label", "node", "far")
+        labels = far.select(*keys, "node", F.least("label", "far").alias("label")).checkpoint()

@@ -16,7 +16,6 @@ date as an iterator of Arrow batches, so memory is one batch plus one rating a t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rimshot.functions.expressions import ELO_HOME_ADV, ELO_K, ELO_SCALE, ELO_START
-from rimshot.operators.components import connected
+from rimshot.operators.components import connected, with_label
 from rimshot.session import checkpoint_dir
 
 RATING_SCHEMA = ("game_id long, game_date date, home_id long, away_id long, "
@@ -120,9 +119,7 @@ def elo(results: DataFrame, k: float = ELO_K, start: float = ELO_START, home_adv
     keys, label = list(group_keys), "_component"
     games = pair_games(results, keys).checkpoint()
     teams = connected(games.select(*keys, "home_id", "away_id"), keys, "home_id", "away_id", out=label)
-    games = games.join(teams.withColumnRenamed("home_id", "_team").withColumnsRenamed({g: f"_of_{g}" for g in keys}),
-                       reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in keys], F.col("home_id") == F.col("_team")),
-                       "left").select(*keys, label, "game_id", "game_date", "home_id", "away_id", "res_home", "res_away")
+    games = with_label(games, teams, keys, "home_id", "home_id", label, "left")
     # Dealt by component and sorted inside each partition: this already satisfies the grouped operator's distribution
     # and ordering, so Spark adds no re-sort and the games stream to the recurrence in date order, batch by batch.
     ordered = games.repartition(*keys, label).sortWithinPartitions(*keys, label, "game_date", "game_id")
