@@ -12,13 +12,15 @@ from rimshot.session import checkpoint_dir
 FEW_NODES = 200_000  # so many labels are sent to every task; more are joined by an exchange
 
 
-def with_label(df: DataFrame, labels: DataFrame, keys: list[str], node: str, of: str, out: str, how: str = "inner") -> DataFrame:
+def with_label(df: DataFrame, labels: DataFrame, keys: list[str], node: str, of: str, out: str, how: str = "inner",
+               few: bool | None = None) -> DataFrame:
     """``df`` with the label of the node in its column ``node`` from ``labels`` (keys, ``of``, ``out``), a stored frame.
 
-    Labels are sent to every task if they are few, by their count; otherwise both sides are dealt out by the node."""
+    Labels are sent to every task if they are ``few``, by default by their count; otherwise both sides are dealt out by
+    the node."""
     names = [f"_of_{k}" for k in keys]
     side = labels.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(of).alias("_of"), F.col(out))
-    if labels.count() <= FEW_NODES:
+    if few if few is not None else labels.count() <= FEW_NODES:
         side = F.broadcast(side)
     same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
     return df.join(side, reduce(lambda x, y: x & y, same, F.col(node) == F.col("_of")), how).select(*[df[c] for c in df.columns], out)
@@ -36,11 +38,12 @@ def connected(edges: DataFrame, keys: list[str], a: str, b: str, out: str = "com
     ends = F.array(F.struct(F.col(a).alias("node"), F.col(b).alias("other")), F.struct(F.col(b).alias("node"), F.col(a).alias("other")))
     both = known.select(*keys, F.inline(ends)).distinct().checkpoint()
     labels = both.groupBy(*keys, "node").agg(F.least("node", F.min("other")).alias("label")).checkpoint()
+    few = labels.count() <= FEW_NODES  # the rounds change labels, not nodes
     while True:
-        near = with_label(both, labels.withColumnRenamed("label", "near"), keys, "other", "node", "near")
-        near = with_label(near, labels.withColumnRenamed("label", "old"), keys, "node", "node", "old")
+        near = with_label(both, labels.withColumnRenamed("label", "near"), keys, "other", "node", "near", few=few)
+        near = with_label(near, labels.withColumnRenamed("label", "old"), keys, "node", "node", "old", few=few)
         if near.where("near < old").isEmpty():
             return labels.select(*keys, F.col("node").alias(a), F.col("label").alias(out))
         step = near.groupBy(*keys, "node").agg(F.least(F.min("near"), F.min("old")).alias("label"))
-        far = with_label(step, labels.withColumnRenamed("label", "far"), keys, "label", "node", "far")
+        far = with_label(step, labels.withColumnRenamed("label", "far"), keys, "label", "node", "far", few=few)
         labels = far.select(*keys, "node", F.least("label", "far").alias("label")).checkpoint()
