@@ -4,13 +4,16 @@ All pre-tokens of a batch stand in one doubly linked list of symbols. The queue
 for every merge rank; a bitmap of 64-bit words, with further levels above it that mark the words in use, finds
 the lowest rank with a bucket by find-first-set. Taking a bucket merges its positions together; positions whose
 pair has changed since they were put in are stale and skipped. Pre-tokens do not touch each other, so a batch of
-short words and one very long pre-token cost the same for each merge.
+short words and one very long pre-token cost the same for each merge. Where a merge may make a pair of a lower rank, a
+pre-token has one merge at a time; the positions that it leaves waiting, if many, lie in a heap of that pre-token, so
+none is copied again for each merge.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,6 +78,44 @@ class RankQueue:
         return held[0] if len(held) == 1 else np.unique(np.concatenate(held))
 
 
+class Waiting:
+    """Positions of one rank that wait for an earlier merge of their pre-token, as a heap for each pre-token."""
+
+    #: A pre-token with so many waiting positions gets a heap.
+    MANY = 16
+
+    def __init__(self):
+        self.heaps: dict[int, list[int]] = {}
+
+    def heads(self, live) -> list[int]:
+        """The least live position of every pre-token, taken out of its heap."""
+        out = []
+        for w, heap in list(self.heaps.items()):
+            while heap and not live(heap[0]):
+                heapq.heappop(heap)
+            if heap:
+                out.append(heapq.heappop(heap))
+            if not heap:
+                del self.heaps[w]
+        return out
+
+    def keep(self, at: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Take in the positions (ascending) of pre-tokens that have many or a heap; the others are given back."""
+        names, first, n = np.unique(word, return_index=True, return_counts=True)
+        back = np.ones(len(at), bool)
+        for w, a, k in zip(names.tolist(), first.tolist(), n.tolist()):
+            heap = self.heaps.get(w)
+            if heap is None and k < self.MANY:
+                continue
+            back[a: a + k] = False
+            if heap is None:
+                self.heaps[w] = at[a: a + k].tolist()  # ascending, so a heap as it is
+            else:
+                for x in at[a: a + k].tolist():
+                    heapq.heappush(heap, x)
+        return at[back]
+
+
 class ByteBpe:
     """Byte-level BPE over a rank table (token bytes -> rank, which is also the id)."""
 
@@ -142,17 +183,32 @@ class ByteBpe:
 
         put(np.arange(n), rank_of[:n])
         alive = np.ones(n, bool)
+        waiting: dict[int, Waiting] = {}
         while (rank := queue.first()) is not None:
             at = queue.take(rank)
             at = at[rank_of[at] == rank]  # others are stale
+            held = waiting.get(rank)
+            if held is not None:
+                at = np.unique(np.append(at, np.array(held.heads(lambda x: rank_of[x] == rank), np.int64)))
             if not len(at):
                 continue
             if self.beside[rank] <= rank:
                 # the merged token may make a pair of a lower rank, which goes first: one merge a word at a time
                 lead = np.append(True, word[at[1:]] != word[at[:-1]])
                 if not lead.all():
-                    queue.put(rank, at[~lead])
+                    rest = at[~lead]
+                    if held is None and len(rest) >= Waiting.MANY:
+                        held = waiting[rank] = Waiting()
+                    if held is not None:
+                        rest = held.keep(rest, word[rest])
+                    if len(rest):
+                        queue.put(rank, rest)
                     at = at[lead]
+                if held is not None:
+                    if held.heaps:
+                        queue.put(rank, at[:0])  # the bucket stays marked
+                    else:
+                        del waiting[rank]
             elif len(at) > 1:
                 # overlapping pairs (aaa): from the left, every other one of a chain
                 chained = after[at[:-1]] == at[1:]

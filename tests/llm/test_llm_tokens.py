@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -42,6 +43,20 @@ def test_bpe_equals_tiktoken(coder, reference):
         assert coder.decode(ids) == t.encode()
 
 
+def test_long_pre_tokens_stay_linear(coder, reference):
+    """Positions that wait for an earlier merge of a long pre-token are not gone through again for each merge."""
+    rng = random.Random(5)
+    texts = ["ab" * 4000, "a" * 5001, "abcabcab" * 700 + "x" * 333, "".join(rng.choice("abn") for _ in range(4000)),
+             "".join(rng.choice("etaoin") for _ in range(4000)), "the" * 900 + "\u00e9" * 500]
+    for raw, text in zip(coder.encode_pieces(texts), texts):
+        assert np.frombuffer(raw, "<u4").tolist() == reference.encode_ordinary(text)
+    short = time.perf_counter()
+    coder.encode("ab" * 10_000)
+    short, long = time.perf_counter() - short, time.perf_counter()
+    coder.encode("ab" * 80_000)
+    assert time.perf_counter() - long < 24 * short  # eight times the bytes
+
+
 def test_bpe_with_merges_that_make_lower_ranks():
     # "ab" has a higher rank than "abc", which it takes part in: the new pair goes before other "ab"
     tokens = [bytes([b]) for b in range(256)] + [b"bc", b"abc", b"ab", b"cab", b"abcab"]
