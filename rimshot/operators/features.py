@@ -32,8 +32,8 @@ ROLLING_SPEC = {
 
 
 def rolling(df: DataFrame, spec: dict = ROLLING_SPEC, pre: bool = True,
-            keys=SEASON_KEYS, order=GAME_ORDER, calendar: DataFrame | None = None) -> DataFrame:
-    """Windowed means per team-season (``calendar`` as for ``sliced.spread``).
+            keys=SEASON_KEYS, order=GAME_ORDER, calendar: DataFrame | None = None, slice_rows: int | None = None) -> DataFrame:
+    """Windowed means per team-season (``calendar`` and ``slice_rows`` as for ``sliced.spread``).
 
     ``pre=True`` (the model inputs) ends every frame one row before the current
     game, so a row never sees its own result; ``pre=False`` is the post-game
@@ -42,7 +42,8 @@ def rolling(df: DataFrame, spec: dict = ROLLING_SPEC, pre: bool = True,
     keys, order = list(keys), list(order)
     longest = max([n for _, n in spec.values() if n is not None], default=0)
     whole = tuple(dict.fromkeys(c for c, n in spec.values() if n is None))
-    rows = spread(df, keys, order, halo=longest if pre else max(0, longest - 1), sums=whole, calendar=calendar)
+    rows = spread(df, keys, order, halo=longest if pre else max(0, longest - 1), sums=whole, calendar=calendar,
+                  slice_rows=slice_rows)
     w = slice_window(keys, order)
     end = -1 if pre else 0
     cols = []

@@ -27,13 +27,14 @@ def _on(left: DataFrame, right: DataFrame, pairs: dict[str, str]):
 
 
 def spread(df: DataFrame, keys: list[str], order: list[str], halo: int = 0, sums: tuple[str, ...] = (),
-           calendar: DataFrame | None = None) -> DataFrame:
+           calendar: DataFrame | None = None, slice_rows: int | None = None) -> DataFrame:
     """``df`` with ``_slice``, ``_halo`` (whether the row is a copy for a later slice) and the totals of all slices
     before: ``_before`` (rows) and, for each of ``sums``, ``_sum_<c>`` and ``_cnt_<c>`` (of its values).
 
     Rows of one value of the first order column stay in one slice. Null keys are a key like any other.
     ``calendar`` may name a cheaper frame with the keys and the first order column that holds every row of ``df``
-    at least (slices are only as fine as counted there). One grouped count runs while the plan is built.
+    at least (slices are only as fine as counted there). A slice has about ``slice_rows`` rows (``SLICE_ROWS`` if not
+    given). One grouped count runs while the plan is built.
     """
     by = order[0]
     names = {k: f"_k{i}" for i, k in enumerate(keys)}
@@ -41,7 +42,7 @@ def spread(df: DataFrame, keys: list[str], order: list[str], halo: int = 0, sums
     counts = (calendar if calendar is not None else df).groupBy(*keys, by).agg(F.count(F.lit(1)).alias("_n"))
     along = Window.partitionBy(*keys).orderBy(by)
     cut = counts.select(*[F.col(k).alias(n) for k, n in names.items()], F.col(by).alias("_by"), F.floor(
-        F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / SLICE_ROWS).alias("_slice"))
+        F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / (slice_rows or SLICE_ROWS)).alias("_slice"))
     later = cut.where("_slice > 0").checkpoint()
     if later.isEmpty():
         zero = F.lit(0).cast("long")

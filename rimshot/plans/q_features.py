@@ -26,8 +26,8 @@ def calendar(spark, sf_dir):
     return team_game_results(fx.games(spark, sf_dir)).select("season_start", "team_id", "game_date")
 
 
-def rolled_table(spark, sf_dir):
-    return FT.rolling(base_table(spark, sf_dir), calendar=calendar(spark, sf_dir))
+def rolled_table(spark, sf_dir, slice_rows=None):
+    return FT.rolling(base_table(spark, sf_dir), calendar=calendar(spark, sf_dir), slice_rows=slice_rows)
 
 
 def labels_table(spark, sf_dir):
@@ -304,11 +304,6 @@ select season_start, game_id, game_date, team_id, opp_team_id, is_home, is_win,
 from f_rolling""")
 def w01_rolling_features_hot_key_safe(spark, sf_dir):
     """W1-W3 with slices of a few rows each, as a team-season that holds a large share of all rows would have."""
-    from rimshot.operators import sliced
-    held, sliced.SLICE_ROWS = sliced.SLICE_ROWS, 7
-    try:
-        r = rolled_table(spark, sf_dir)
-    finally:
-        sliced.SLICE_ROWS = held
+    r = rolled_table(spark, sf_dir, slice_rows=7)
     return round_doubles(r.select("season_start", "game_id", "game_date", "team_id", "opp_team_id", "is_home",
                                   "is_win", "point_diff", "pts", *ROLL_COLS))
