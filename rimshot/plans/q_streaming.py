@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rimshot.operators.features import ROLLING_SPEC
 from rimshot.plans.catalog import query, round_doubles
 from rimshot.plans.oracle_sql import register
-from rimshot.session import scratch_path
+from rimshot.session import checkpoint_dir, scratch_path
 from rimshot.sources import fixtures as fx
 from rimshot.streaming import daily as D
 from rimshot.streaming import jobs as J
@@ -54,10 +54,13 @@ def x01_quote_stream(spark, sf_dir):
                  .withColumn("snapshot_id", F.col("snapshot_id") + 1000000000)
                  .withColumn("book", F.regexp_replace("book", '"price": ?"0.3', '"price":"0.1'))
                  .withColumn("chunk", F.least(F.col("chunk") + 1, F.lit(N_CHUNKS - 1))))
-    landed = orig.unionByName(again).select("snapshot_id", "game_id", "book", "chunk")
-    J.land_in_time_order(landed.repartition(1), os.path.join(root, "landing"), "ts", N_CHUNKS)
+    checkpoint_dir(spark)
+    landed = orig.unionByName(again).select("snapshot_id", "game_id", "book", "chunk").checkpoint()
+    files = J.files_of(landed)
+    asof = F.get_json_object("book", "$.timestamp")  # with the game, the key of a quote
+    J.land_in_time_order(landed, os.path.join(root, "landing"), "ts", N_CHUNKS, files=files, by=("game_id", asof))
     q = J.quote_stream(spark, os.path.join(root, "landing", "chunk-*"), os.path.join(root, "quotes"),
-                       os.path.join(root, "_progress"))
+                       os.path.join(root, "_progress"), files_per_trigger=files)
     q.awaitTermination()
     out = spark.read.parquet(os.path.join(root, "quotes"))
     return round_doubles(out.select("game_id", "asof_ts", "bid", "ask", "mid", "liquidity_top_total",
@@ -89,10 +92,15 @@ from f_team_box""", ("f_team_box", "f_game_log"))
 def _daily(spark, sf_dir, files_per_trigger: int, feeds=tuple(D.FEEDS)) -> str:
     """Land the feeds in ``N_FILES`` deliveries each and run the daily load over them; the folder of its tables.
 
+    A delivery of a large table is cut into files by the feed's keys, so the rows of one key come in one file of a
+    delivery; a batch takes ``files_per_trigger`` deliveries of each feed.
+
     Seasons are dealt to the deliveries; the away rows of every fifth game come one delivery later, and the last
     delivery of each feed holds the corrections told above, a row without a team and, of the log, nothing else.
     """
     root = _scratch(spark, "daily")
+    checkpoint_dir(spark)
+    most = 1
     g = fx.game_log(spark, sf_dir)
     players = fx.player_raw(spark, sf_dir)
     stand = fx.standings(spark, sf_dir).withColumn("run_date", F.make_date(F.col("season_start") + 1, F.lit(6), F.lit(30)))
@@ -113,10 +121,12 @@ def _daily(spark, sf_dir, files_per_trigger: int, feeds=tuple(D.FEEDS)) -> str:
         which, change = corrected[name]
         again = rows.where((F.col("season_start") == first) & which).withColumns(change).withColumn("chunk", F.lit(N_FILES - 1))
         nobody = again.limit(1).withColumn("team_id" if name != "player_box" else "player_id", F.lit(None).cast("long"))
-        landed = rows.unionByName(again).unionByName(nobody).repartition(1).checkpoint()
-        J.land_in_time_order(landed, os.path.join(root, "landing", name), "season_start", N_FILES, fmt="parquet")
+        landed = rows.unionByName(again).unionByName(nobody).checkpoint()
+        files = J.files_of(landed)
+        most = max(most, files)
+        J.land_in_time_order(landed, os.path.join(root, "landing", name), "season_start", N_FILES, "parquet", files, D.FEEDS[name].keys)
     D.daily_load_stream(spark, {n: os.path.join(root, "landing", n, "chunk-*") for n in feeds}, os.path.join(root, "tables"),
-                        os.path.join(root, "_progress"), files_per_trigger=files_per_trigger).awaitTermination()
+                        os.path.join(root, "_progress"), files_per_trigger=files_per_trigger * most).awaitTermination()
     return os.path.join(root, "tables")
 
 

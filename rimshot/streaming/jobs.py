@@ -53,15 +53,31 @@ def quote_stream(spark: SparkSession, landing: str, table: str, checkpoint: str,
     return w.start()
 
 
-def land_in_time_order(df: DataFrame, folder: str, ts_col: str, n_chunks: int, fmt: str = "json") -> None:
+LANDED_ROWS = 1_000_000  # rows of a landed table for each file that a delivery is cut into
+
+
+def files_of(df: DataFrame) -> int:
+    """Into how many files a delivery of the stored ``df`` is cut: one for each ``LANDED_ROWS`` of all its rows."""
+    return max(1, -(-df.count() // LANDED_ROWS))
+
+
+def land_in_time_order(df: DataFrame, folder: str, ts_col: str, n_chunks: int, fmt: str = "json",
+                       files: int | None = None, by: tuple = ()) -> None:
     """Landing helper: write ``df`` as ``n_chunks`` event-time ranges, one after another, so the file
     stream (which orders new files by modification time) sees them in time order. ``chunk`` (0-based)
-    may be supplied by the caller to place rows explicitly; otherwise it is the time range of ``ts_col``."""
+    may be supplied by the caller to place rows explicitly; otherwise it is the time range of ``ts_col``.
+    With ``files`` each chunk is cut into so many files by the hash of ``by``; rows that are equal there share one.
+    Chunks without rows are left out then, so that batches of ``files`` files are deliveries."""
     if "chunk" not in df.columns:
         ms = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
                               F.col(ts_col).cast("timestamp_ntz"))
         lo, hi = df.agg(F.min(ms), F.max(ms)).first()
         df = df.withColumn("chunk", F.floor((ms - F.lit(lo)) * n_chunks / F.lit(hi - lo + 1)).cast("int"))
-    for i in range(n_chunks):
+    found = range(n_chunks)
+    if files and files > 1:
+        found = sorted(r["chunk"] for r in df.select("chunk").distinct().collect() if r["chunk"] is not None)
+    for i in found:
         part = df.where(F.col("chunk") == i).drop("chunk")
+        if files:
+            part = part.repartition(files, *by)
         part.write.mode("overwrite").format(fmt).save(os.path.join(folder, f"chunk-{i:05d}"))
