@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -79,9 +80,13 @@ def select_features(ids: np.ndarray, rows: np.ndarray, toxic: np.ndarray, most:
                     least_z: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
     """Features whose share of rows differs between the classes, by the root of the log-likelihood ratio statistic
     of ``least_z`` or more, and whether each marks toxic rows. The ``most`` clearest stay; ties go by number."""
-    keys, at = np.unique(ids, return_inverse=True)
-    with_toxic = np.bincount(at, toxic[rows], len(keys))
-    with_clean = np.bincount(at, ~toxic[rows], len(keys))
+    # a class at a time: places of all entries in the features would take several times the entries' memory
+    sign = toxic[rows]
+    some = [np.unique(ids[sign], return_counts=True), np.unique(ids[~sign], return_counts=True)]
+    keys = np.union1d(some[0][0], some[1][0])
+    with_toxic, with_clean = np.zeros(len(keys)), np.zeros(len(keys))
+    for seen, (own, n) in zip((with_toxic, with_clean), some):
+        seen[np.searchsorted(keys, own)] = n
     n_toxic, n_clean = toxic.sum(), (~toxic).sum()
     share = (with_toxic + with_clean) / (n_toxic + n_clean)
 
@@ -136,8 +141,8 @@ def best_cut(score: np.ndarray, toxic: np.ndarray) -> float:
     return float(cuts[good[np.argmax(gaps[good])]])
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> list:
-    """(toxic, feature bytes, count bytes) of at most ``sample`` documents of each label, by least hash of the id."""
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> pa.Table | None:
+    """(id, toxic, feature bytes, count bytes) of at most ``sample`` documents of each label, by least hash of the id."""
     spark = docs.sparkSession
     small_batches(spark)
     known = (labels.select(F.col("doc_id").cast("long").alias("i"), F.col("toxic").cast("int").alias("toxic"))
@@ -147,7 +152,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sa
         of = known.filter((F.col("toxic") > 0) if toxic else (F.col("toxic") <= 0))
         picked += [(r["i"], toxic) for r in of.orderBy(F.xxhash64("i"), "i").limit(sample).collect()]
     if not picked:
-        return []
+        return None
     chosen = spark.createDataFrame(picked, "i long, toxic boolean")
     rows = (docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
             .join(F.broadcast(chosen), "i").select("i", "toxic", "text"))
@@ -170,8 +175,13 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sa
            .agg(F.min(F.struct("i", "ids", "counts")).alias("r")))
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("r.i"), "r")
     got = (one.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample)
-           .select("r.i", "toxic", "r.ids", "r.counts").collect())
-    return sorted(got, key=lambda r: (r["i"], r["toxic"], bytes(r["ids"])))
+           .select("r.i", "toxic", "r.ids", "r.counts").toArrow())  # as it is: rows of objects would take several times its memory
+    return got.sort_by([("i", "ascending"), ("toxic", "ascending"), ("ids", "ascending")])
+
+
+def _numbers(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The numbers that the values of a binary column hold, one after another."""
+    return np.concatenate([np.frombuffer(b"".join(v.as_buffer() for v in c), kind) for c in column.chunks])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -182,14 +192,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     missing or nothing sets the classes apart.
     """
     rows = _labelled(docs, labels, id_col, text_col, sample)
-    toxic = np.array([bool(r["toxic"]) for r in rows], bool)
-    if not len(rows) or toxic.all() or not toxic.any():
+    if rows is None or not rows.num_rows:
+        return None
+    toxic = rows["toxic"].to_numpy()
+    if toxic.all() or not toxic.any():
         return None
-    sizes = np.array([len(r["ids"]) // 8 for r in rows])
-    ids = np.frombuffer(b"".join(bytes(r["ids"]) for r in rows), np.uint64)
-    counts = np.frombuffer(b"".join(bytes(r["counts"]) for r in rows), np.uint32)
-    row = np.repeat(np.arange(len(rows)), sizes)
-    held = np.zeros(len(rows), bool)
+    sizes = np.concatenate([pc.binary_length(c).to_numpy() for c in rows["ids"].chunks]) // 8
+    ids, counts = _numbers(rows["ids"], np.uint64), _numbers(rows["counts"], np.uint32)
+    del rows
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    held = np.zeros(len(sizes), bool)
     for flag in (True, False):
         held[np.flatnonzero(toxic == flag)[3::4]] = True
     train = ~held
@@ -202,10 +214,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen, marks = chosen[order], marks[order]
     at = np.minimum(np.searchsorted(chosen, ids), len(chosen) - 1)
     hit = chosen[at] == ids
-    x = np.zeros((len(rows), len(chosen)), np.float32)
-    x[row[hit], at[hit]] = np.log1p(counts[hit])
+    row, counts, at = row[hit], counts[hit], at[hit]
+    x = np.zeros((len(sizes), len(chosen)), np.float32)
+    x[row, at] = np.log1p(counts)
     # thirds of the marking features' occurrences among the toxic rows are their grades
-    use = np.bincount(row[hit], counts[hit] * marks[at[hit]], len(rows))
+    use = np.bincount(row, counts * marks[at], len(sizes))
     bounds = np.quantile(use[toxic & train], [i / GRADES for i in range(1, GRADES)])
     grade = np.where(toxic, 1 + (use[:, None] > bounds[None, :]).sum(axis=1), 0)
     weight = np.where(toxic, 0.5 / (toxic & train).sum(), 0.5 / (~toxic & train).sum())

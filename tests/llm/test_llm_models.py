@@ -214,3 +214,19 @@ def test_network_does_not_depend_on_partitions_and_shards_agree(spark, monkeypat
     x, y = secrets.symbols([c[3] for c in cands]), np.array([c[4] for c in cands])
     said = a.probability(x) >= a.threshold
     assert said[y == 1].mean() >= 0.9 and said[y == 0].mean() <= 0.03
+
+
+def test_choosing_features_needs_little_memory_beside_the_entries():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    rows = np.repeat(np.arange(4000, dtype=np.int32), 100)
+    ids = rng.integers(1, 30_000, len(rows)).astype(np.uint64)
+    toxic = np.arange(4000) % 2 == 0
+    ids[np.arange(0, len(ids), 200)] = 7  # a word of toxic rows
+    tracemalloc.start()
+    chosen, marks = toxicity.select_features(ids, rows, toxic)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 7 in chosen.tolist() and marks[chosen.tolist().index(7)]
+    assert peak < 3 * ids.nbytes
