@@ -36,3 +36,33 @@ def test_outcome_quotes_gather_the_levels_once(spark, tmp_path):
     assert rows[2, 0]["bid"] is None and rows[2, 0]["mid"] is None and rows[2, 1]["ask"] is None
     # a repeated game maps every one of its documents with the outcomes of every one, and has two books a token
     assert df.where("game_id = 1").count() == 2 * 2 * 2 * 2
+
+
+def test_draws_are_summed_a_block_at_a_time(spark):
+    """The block's numbers are the column's, for ids beyond 32 bits and below 0 too; null teams, ids, chances add nothing."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from rimshot.operators import projection as P
+
+    rows = [(1998, 20, gid, h, a, p) for gid, h, a, p in (
+        (5, 1, 2, 0.5), ((7 << 32) + 9, 2, 3, 0.25), (11, 1, 3, float("nan")), (12, 3, 1, None), (None, 2, 1, 0.9), (13, None, 2, 0.6))]
+    kinds = "season_start long, checkpoint int, game_id long, home_team_id long, away_team_id long, p_home_win double"
+    for some in (rows, [(1998, 20, -3, 1, 2, 0.5), *rows[:2]]):
+        probs = spark.createDataFrame(some, kinds)
+        state = spark.createDataFrame([(1998, 20, t, "E", 0, 1500.0 + t) for t in (1, 2, 3)],
+                                      "season_start long, checkpoint int, team_id long, conference string, wins_cp long, elo_cp double")
+        draws = probs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(39))))
+        draws = P.with_uniform_draw(draws, F.lit(42) + F.col("season_start") * 100 + F.col("checkpoint"), "draw", "game_id")
+        told = [r for r in draws.orderBy("draw").collect() if r["game_id"] is not None]
+        ids = list(dict.fromkeys(r["game_id"] for r in told))
+        mine = P.uniform_draws(42 + 199820, 40, np.array(ids))
+        assert all([r["u"] for r in told if r["game_id"] == g] == list(mine[i]) for i, g in enumerate(ids))
+        won = (draws.withColumn("w", (F.col("u") < F.col("p_home_win")).cast("int"))
+               .select(F.inline(F.array(F.struct(F.col("home_team_id").alias("t"), F.col("w")),
+                                        F.struct(F.col("away_team_id").alias("t"), (1 - F.col("w")).alias("w")))))
+               .groupBy("t").agg((F.sum("w") / 40).alias("mean")).collect())
+        out = P.project(state, probs, 40)
+        assert "Generate explode(sequence" not in _plan(out.where("team_id = 1")).split("MapInArrow")[-1]
+        assert "MapInArrow" in _plan(out)
+        assert {r["team_id"]: r["exp_wins"] for r in out.collect()} == {t: {r["t"]: r["mean"] or 0 for r in won}.get(t, 0) for t in (1, 2, 3)}
