@@ -21,6 +21,7 @@ CAMEL = {v: k for k, v in N.BOX_RENAMES.items() if k[0].islower() or k.startswit
 LEGACY = {"game_id": "GAME_ID", "team_id": "TEAM_ID", "player_id": "PLAYER_ID", "minutes": "MIN", "fgm": "FGM",
           "fga": "FGA", "fg3m": "FG3M", "fg3a": "FG3A", "ftm": "FTM", "fta": "FTA", "oreb": "OREB", "dreb": "DREB",
           "ast": "AST", "turnovers": "TO", "pts": "PTS", "season": "SEASON", "season_type": "SEASON_TYPE"}
+PART_ROWS = 250_000  # rows of a landed CSV part: a part is read by one task
 PLAYER_STATS = ["fgm", "fga", "fg3m", "fg3a", "ftm", "fta", "oreb", "dreb", "ast", "turnovers", "pts"]
 
 
@@ -72,8 +73,8 @@ def s02_player_csv_parts(spark, sf_dir):
     root = _scratch(spark, "players")
     even = p.where(F.col("season_start") % 2 == 0).select(*[F.col(c).cast("string").alias(CAMEL[c]) for c in cols])
     odd = p.where(F.col("season_start") % 2 == 1).select(*[F.col(c).cast("string").alias(LEGACY[c]) for c in cols])
-    even.write.option("header", True).csv(os.path.join(root, "camel"))
-    odd.write.option("header", True).csv(os.path.join(root, "legacy"))
+    even.write.options(header=True, maxRecordsPerFile=PART_ROWS).csv(os.path.join(root, "camel"))
+    odd.write.options(header=True, maxRecordsPerFile=PART_ROWS).csv(os.path.join(root, "legacy"))
     # an empty part and a part without id columns, landed through Spark like the rest
     spark.createDataFrame([], "value string").coalesce(1).write.text(os.path.join(root, "empty"))
     spark.createDataFrame([("teamName,points",), ("X,1",)], "value string").coalesce(1) \

@@ -8,6 +8,10 @@ columns from its own file's header, so they are matched by name.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -30,11 +34,22 @@ def _header_names(line: str) -> list[str]:
     return [c.strip().strip('"') for c in line.lstrip("\ufeff").strip().split(",")]
 
 
+def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (line, file), a file's in order, the first of every file."""
+    seen: set[str] = set()
+    for batch in batches:
+        files = batch.column(1).dictionary_encode()
+        new = [i for i, f in enumerate(files.dictionary.to_pylist()) if f not in seen]
+        if new:
+            seen.update(files.dictionary.take(pa.array(new)).to_pylist())
+            yield batch.take(pa.array([pc.index(files.indices, i).as_py() for i in new]))
+
+
 def read_csv_parts(spark: SparkSession, pattern_or_paths, required_all: tuple[tuple[str, ...], ...] = PLAYER_IDS) -> DataFrame | None:
     """S2 + T4: many CSV parts with possibly different headers -> one frame by column name.
 
     A part counts if its header has, of every group in ``required_all``, at least one name; empty files and others
-    are skipped. One grouped job over the parts as text takes every file's first line, and the distinct headers (feed
+    are skipped. One pass over the parts as text takes every file's first line, and the distinct headers (feed
     versions, not files) come to the driver. Then one scan reads all parts, however many headers there are: as records
     by position, so quoted values may hold commas, doubled quotes and line breaks. Each record is paired with its own
     file's header, and a column takes the value at the place where that header has its name, else null. Of names that
@@ -44,9 +59,9 @@ def read_csv_parts(spark: SparkSession, pattern_or_paths, required_all: tuple[tu
     """
     lines = spark.read.text(pattern_or_paths).select(
         F.col("value"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
-    # the first line of the file's first block; a line's place in its block is kept by the scan order
-    first = (lines.where(F.col("_start") == 0).withColumn("_at", F.monotonically_increasing_id()).groupBy("_file")
-             .agg(F.min_by("value", "_at").alias("_head")).where(F.trim("_head") != "").checkpoint())
+    # the first line of the file's first block, which one task reads in order
+    first = (lines.where(F.col("_start") == 0).select("value", "_file").mapInArrow(_first_lines, "_head string, _file string")
+             .where(F.trim("_head") != "").checkpoint())
     headers = sorted(r["_head"] for r in first.select("_head").distinct().collect())
     names = {h: _header_names(h) for h in headers}
     good = [h for h in headers if all(any(c in names[h] for c in group) for group in required_all)]
@@ -60,9 +75,10 @@ def read_csv_parts(spark: SparkSession, pattern_or_paths, required_all: tuple[tu
     version = spark.createDataFrame([(h, i, names[h]) for i, h in enumerate(good)], "_head string, _version int, _names array<string>")
     of_file = first.join(F.broadcast(version), "_head").select("_file", "_version", "_names")  # a row for each feed version
     rows = records.join(of_file, F.col("_path") == F.col("_file"))
-    # the header line itself, where it stands
-    body = rows.where(~F.transform(F.slice("_values", 1, F.size("_names")), lambda v: F.trim(F.regexp_replace(v, "^\ufeff", "")))
-                      .eqNullSafe(F.col("_names")))
+    # the header line itself, where it stands; most rows already differ from it in their first value
+    plain = lambda v: F.trim(F.regexp_replace(v, "^\ufeff", ""))
+    body = rows.where(~(plain(F.get("_values", F.lit(0))).eqNullSafe(F.get("_names", F.lit(0)))
+                        & F.transform(F.slice("_values", 1, F.size("_names")), plain).eqNullSafe(F.col("_names"))))
     columns = list(dict.fromkeys(c for h in good for c in names[h]))
 
     def value(column: str):

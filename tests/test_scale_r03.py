@@ -66,3 +66,21 @@ def test_draws_are_summed_a_block_at_a_time(spark):
         assert "Generate explode(sequence" not in _plan(out.where("team_id = 1")).split("MapInArrow")[-1]
         assert "MapInArrow" in _plan(out)
         assert {r["team_id"]: r["exp_wins"] for r in out.collect()} == {t: {r["t"]: r["mean"] or 0 for r in won}.get(t, 0) for t in (1, 2, 3)}
+
+
+def test_first_lines_of_csv_parts_need_no_sort(spark, tmp_path):
+    """A part's first line is taken where it is read, and a landing is cut into parts that many tasks can read."""
+    import pyarrow as pa
+
+    from rimshot.sources import files as S
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(v), pa.array(f)], ["value", "_file"]) for v, f in (
+        (["a,b", "1,2", "c", "5"], ["x", "x", "y", "y"]), (["6", "", "c"], ["y", "z", "z"]), (["7"], ["z"]))]
+    assert [tuple(r.values()) for b in S._first_lines(iter(batches)) for r in b.to_pylist()] == [("a,b", "x"), ("c", "y"), ("", "z")]
+    for name, text in (("p1", "gameId,personId\n1,2\ngameId,personId\ngameId,3\n"), ("p2", "﻿PLAYER_ID,GAME_ID\n5,\"6\n7\"\n"), ("p3", "")):
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    df = S.read_csv_parts(spark, str(tmp_path / "p*"))
+    named = {tuple(sorted((k, v) for k, v in r.asDict().items() if v is not None)) for r in df.collect()}
+    assert (("gameId", "1"), ("personId", "2")) in named and (("gameId", "gameId"), ("personId", "3")) in named and len(named) == 3
+    spark.range(7).repartition(1).write.options(header=True, maxRecordsPerFile=3).csv(str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("part-*"))) == 3
