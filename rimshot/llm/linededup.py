@@ -182,9 +182,17 @@ def _blocks(text: str, min_words: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     ids = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
     size = (min_words + 1) // 2
-    out = np.zeros(len(ids) - size + 1, np.uint64)
-    for k in range(size):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + ids[k: k + len(out)]
+    # the polynomial of each row of `size` words, from those of 1, 2, 4, ... words
+    out, done, power, width, times = None, 0, ids, 1, 0x9E3779B97F4A7C15
+    while True:
+        if size & width:  # ``out`` has the last ``done`` words of the block, ``power`` those before them
+            out = power if out is None else power[: len(power) - done] * np.uint64(pow(0x9E3779B97F4A7C15, done, 1 << 64)) + out[width:]
+            done += width
+        if 2 * width > size:
+            break
+        power = power[:-width] * np.uint64(times) + power[width:]
+        width, times = 2 * width, times * times % (1 << 64)
+    out = out.copy()
     out ^= out >> np.uint64(33)
     out *= np.uint64(0xFF51AFD7ED558CCD)
     return out ^ (out >> np.uint64(33))
@@ -384,7 +392,7 @@ def _without_words(text: str, gone: list[dict]) -> tuple[str, list[int], int, in
     """The text without the words in ``gone``, and without lines that lose all their words; the numbers from 0 of
     such lines among all lines; lines with a word; words that went. Signs between words go with the word before them."""
     if not gone:
-        return text, [], sum(1 for line in text.split("\n") if line.split()), 0
+        return text, [], sum(1 for line in text.split("\n") if line and not line.isspace()), 0
     drop = np.zeros(len(text.split()) + 1, np.int64)
     for g in gone:
         drop[g["start"]] += 1
@@ -392,14 +400,15 @@ def _without_words(text: str, gone: list[dict]) -> tuple[str, list[int], int, in
     dropped = np.cumsum(drop) > 0
     kept, out, filled, at = [], [], 0, 0
     for i, line in enumerate(text.split("\n")):
-        spans = [m.span() for m in re.finditer(r"\S+", line)]
-        mine, at = dropped[at: at + len(spans)], at + len(spans)
-        filled += bool(spans)
+        n = len(line.split())
+        mine, at = dropped[at: at + n], at + n
+        filled += n > 0
         if not mine.any():
             kept.append(line)
         elif mine.all():
             out.append(i)
         else:
+            spans = [m.span() for m in re.finditer(r"\S+", line)]
             ends = [*[a for a, _ in spans[1:]], len(line)]
             new = line[:spans[0][0]] + "".join(line[a:e] for (a, _), e, d in zip(spans, ends, mine) if not d)
             kept.append(new.rstrip() if mine[-1] else new)

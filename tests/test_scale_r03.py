@@ -84,3 +84,36 @@ def test_first_lines_of_csv_parts_need_no_sort(spark, tmp_path):
     assert (("gameId", "1"), ("personId", "2")) in named and (("gameId", "gameId"), ("personId", "3")) in named and len(named) == 3
     spark.range(7).repartition(1).write.options(header=True, maxRecordsPerFile=3).csv(str(tmp_path / "out"))
     assert len(list((tmp_path / "out").glob("part-*"))) == 3
+
+
+def test_block_hashes_by_doubling():
+    """The blocks' polynomials from those of 1, 2, 4, ... words are those of word after word."""
+    import numpy as np
+    import xxhash
+
+    from rimshot.llm import linededup as L
+
+    words = [f"w{i % 13}" for i in range(90)]
+    for least in (1, 2, 3, 7, 24, 50, 51):
+        size, m = (least + 1) // 2, 0xFF51AFD7ED558CCD
+        told = []
+        for i in range(len(words) - size + 1):
+            h = 0
+            for w in words[i: i + size]:
+                h = (h * 0x9E3779B97F4A7C15 + xxhash.xxh64_intdigest(w)) % (1 << 64)
+            h = ((h ^ (h >> 33)) * m) % (1 << 64)
+            told.append(h ^ (h >> 33))
+        assert L._blocks(" ".join(words), least).tolist() == told
+    assert np.array_equal(L._blocks("a b", 50), np.zeros(0, np.uint64))
+
+
+def test_only_lines_that_lose_a_part_are_cut_by_words(monkeypatch):
+    """Lines that stay or go as a whole need no places of words; before, every line was searched for them."""
+    from rimshot.llm import linededup as L
+
+    found, real = [], L.re.finditer
+    monkeypatch.setattr(L.re, "finditer", lambda p, line: found.append(line) or real(p, line))
+    text = "a b c\nd e\n\n f  g h \ni\n \x85\nj"
+    assert L._without_words(text, [{"start": 3, "lines": 3}]) == ("a b c\n\n g h \ni\n \x85\nj", [1], 5, 3)
+    assert found == [" f  g h "]
+    assert L._without_words(text, []) == (text, [], 5, 0)
