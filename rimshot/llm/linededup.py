@@ -19,7 +19,8 @@ By words (``words=True``, as the query calls it) the unit is a word, wherever li
 within longer lines counts with all its words. A block is half of the least length of words, and its rank the hash of
 its words; one doubling gives the rank of the least length, whose intervals tell the later copies. Only blocks
 that are the least (by hash) of all blocks in some run of the least length are dealt out first: equal runs have equal
-least blocks, so a run whose least block is nowhere else is not repeated, and most suffixes are never sent. Neighbouring
+least blocks, so a run whose least block is nowhere else is not repeated, and most suffixes are never sent. Texts are
+split and hashed a part of a batch at a time. Neighbouring
 blocks whose first places in the corpus lie equally far apart in one document make a common run with that place: one
 row (start, length) tells of all later copies in it. Only the other runs are named each, and of these those whose name
 occurs once in a count by buckets are not sent. None is lost: the first place of a run has no earlier one, so no row
@@ -31,9 +32,11 @@ from __future__ import annotations
 import re
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -175,14 +178,74 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return found.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "lines")).alias("gone"))
 
 
-def _blocks(text: str, min_words: int) -> np.ndarray:
-    """Hashes of all blocks of half of ``min_words`` words, by their first word; none in a text without a run."""
-    found = text.split()
-    if len(found) < min_words:
-        return np.zeros(0, np.uint64)
-    ids = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
-    size = (min_words + 1) // 2
-    # the polynomial of each row of `size` words, from those of 1, 2, 4, ... words
+#: White space as ``str.split`` takes it, in UTF-8: a mask of the single bytes, and the longer ones by their first byte.
+_SPACE = np.array([i < 128 and chr(i).isspace() for i in range(256)])
+_SPACES: dict[int, list[bytes]] = {}
+for _c in (chr(i) for i in range(128, 1 << 16) if chr(i).isspace()):
+    _SPACES.setdefault(_c.encode()[0], []).append(_c.encode())
+
+
+def _word_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of ``texts``, one text after the other, and where each text's words begin and the last's end."""
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset: texts.offset + len(texts) + 1]
+    held = texts.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[ends[0]: ends[-1]] if held is not None else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    space = _SPACE[data]
+    for lead, longer in _SPACES.items():
+        at = np.flatnonzero(data == lead)
+        for c in longer if len(at) else ():
+            here = at[np.all([data[at + k] == c[k] for k in range(1, len(c))], axis=0)]
+            for k in range(len(c)):
+                space[here + k] = True
+    first, last = ~space, ~space
+    first[1:] &= space[:-1]
+    last[:-1] &= space[1:]
+    inner = ends[(ends > 0) & (ends < len(data))]  # words do not go beyond a text
+    first[inner], last[inner - 1] = ~space[inner], ~space[inner - 1]
+    at = np.flatnonzero(first)
+    return _xxh64(data, at, np.flatnonzero(last) + 1 - at), np.searchsorted(at, ends)
+
+
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
+                                                  0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _xxh64(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """xxh64 of the words at ``at`` of ``size`` bytes: those below 32 bytes, which have one lane, all together."""
+    eights = np.zeros(len(data) // 8 + 2, "<u8")
+    eights.view(np.uint8)[: len(data)] = data
+
+    def read(p: np.ndarray) -> np.ndarray:  # the 8 bytes from each place
+        k, bits = p >> 3, (p & 7).astype(np.uint64) << np.uint64(3)
+        return (eights[k] >> bits) | ((eights[k + 1] << np.uint64(1)) << (np.uint64(63) - bits))
+
+    out = size.astype(np.uint64) + _P5
+    for k in (8, 16, 24):
+        i = np.flatnonzero(size >= k)
+        out[i] = _rotated(out[i] ^ (_rotated(read(at[i] + k - 8) * _P2, 31) * _P1), 27) * _P1 + _P4
+    p = at + (size & ~7)
+    i = np.flatnonzero(size & 4)
+    out[i] = _rotated(out[i] ^ ((read(p[i]) & np.uint64(0xFFFFFFFF)) * _P1), 23) * _P2 + _P3
+    p[i] += 4
+    for k in range(3):
+        i = np.flatnonzero((size & 3) > k)
+        out[i] = _rotated(out[i] ^ (data[p[i] + k] * _P5), 11) * _P1
+    out = (out ^ (out >> np.uint64(33))) * _P2
+    out = (out ^ (out >> np.uint64(29))) * _P3
+    out ^= out >> np.uint64(32)
+    for i in np.flatnonzero(size >= 32).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[at[i]: at[i] + size[i]])
+    return out
+
+
+def _polynomials(ids: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all rows of ``size`` neighbouring words, from those of 1, 2, 4, ... words."""
     out, done, power, width, times = None, 0, ids, 1, 0x9E3779B97F4A7C15
     while True:
         if size & width:  # ``out`` has the last ``done`` words of the block, ``power`` those before them
@@ -198,12 +261,50 @@ def _blocks(text: str, min_words: int) -> np.ndarray:
     return out ^ (out >> np.uint64(33))
 
 
-def _least(blocks: np.ndarray, min_words: int) -> np.ndarray:
-    """For every run of ``min_words`` words the place of its least block, the first of equals."""
-    width = min_words - (min_words + 1) // 2 + 1
-    if len(blocks) < width:
-        return np.zeros(0, np.int64)
-    return np.lib.stride_tricks.sliding_window_view(blocks, width).argmin(axis=1) + np.arange(len(blocks) - width + 1)
+def _blocks(text: str, min_words: int) -> np.ndarray:
+    """Hashes of all blocks of half of ``min_words`` words, by their first word; none in a text without a run."""
+    return _texts_blocks(pa.array([text], pa.string()), min_words)[2]
+
+
+def _texts_blocks(texts: pa.Array, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_word_ids`` of the texts, and the hashes of all blocks in them, over the ends of texts too; none without a run."""
+    ids, words = _word_ids(texts)
+    return ids, words, _polynomials(ids, (min_words + 1) // 2) if len(ids) >= min_words else np.zeros(0, np.uint64)
+
+
+#: Bits for a block's place in a part of a batch, below those of its hash.
+_PLACE_BITS = 28
+
+
+def _least(blocks: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every run of ``min_words`` words the place of its least block by the first 36 bits, the first of equals, and
+    whether the run lies in one text (``words``: where each text begins, and the last's end)."""
+    if not len(blocks):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    mask = np.uint64((1 << _PLACE_BITS) - 1)
+    least, width, done = (blocks & ~mask) | np.arange(len(blocks), dtype=np.uint64), min_words - (min_words + 1) // 2 + 1, 1
+    while done < width:
+        step = min(done, width - done)
+        least, done = np.minimum(least[:-step], least[step:]), done + step
+    inside = np.arange(min_words, min_words + len(least)) <= np.repeat(words[1:], np.diff(words))[: len(least)]
+    return (least & mask).astype(np.int64), inside
+
+
+_PART_BYTES = 1 << 20
+
+
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``_PART_BYTES`` of text, or one text, for work on all texts of a part at once."""
+    upto = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < len(upto):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + _PART_BYTES, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def _lists(ends: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
 _MARKS = "doc_id long, h long, run1 long, run2 long, words int, marks array<long>, at array<int>"
@@ -212,37 +313,39 @@ _MARKS = "doc_id long, h long, run1 long, run2 long, words int, marks array<long
 def _marks(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     """Of every text with enough words the digest of its words, and its least blocks and their places in order."""
     forget()
-    for batch in batches:
-        out = []
-        for doc, h, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            blocks = _blocks(text, min_words)
-            if len(blocks):
-                found = text.split()
-                d = xxhash.xxh128_intdigest(" ".join(found))
-                at = np.unique(_least(blocks, min_words))
-                out.append((doc, h, _signed(d >> 64), _signed(d & ((1 << 64) - 1)), len(found), blocks[at].view(np.int64),
-                            at.astype(np.int32)))
-        if out:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
-                                             [f.split()[0] for f in _MARKS.split(", ")])
-
-
-def _chains(at: np.ndarray, doc: np.ndarray, first: np.ndarray, later: np.ndarray, size: int, min_words: int) -> list[tuple[int, int]]:
-    """(start, words) of runs of the least length or more that also stand where their blocks' first places are.
-
-    Block k of a text begins at ``at[k]``, and stands first in document ``doc[k]`` at ``first[k]``, an earlier place if
-    ``later[k]``. Neighbouring blocks that meet or overlap, with first places as far apart in one document, are one run.
+    for batch in (part for whole in batches for part in _parts(whole, 2)):
+        ids, words, blocks = _texts_blocks(batch.column(2), min_words)
+        least, inside = _least(blocks, words, min_words)
+        at = least[inside]
+        at = at[np.diff(at, prepend=-1) != 0]  # places never go back
+        rows = np.flatnonzero(np.diff(words) >= min_words)
+        if not len(rows):
+            continue
+        digests = [xxhash.xxh128_intdigest(ids[a:b]) for a, b in zip(words[rows].tolist(), words[rows + 1].tolist())]
+        ends = np.append(np.searchsorted(at, words[rows]), len(at))
+        inner = at - np.repeat(words[rows], np.diff(ends))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array([_signed(d >> 64) for d in digests], pa.int64()),
+             pa.array([_signed(d & ((1 << 64) - 1)) for d in digests], pa.int64()), pa.array(np.diff(words)[rows], pa.int32()),
+             _lists(ends, pa.array(blocks[at].view(np.int64))), _lists(ends, pa.array(inner, pa.int32()))],
+            [f.split()[0] for f in _MARKS.split(", ")])
+
+
+def _chains(row: np.ndarray, at: np.ndarray, doc: np.ndarray, first: np.ndarray, later: np.ndarray, size: int,
+            min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, words) of runs of the least length or more that also stand where their blocks' first places are.
+
+    Block k begins at ``at[k]`` of text ``row[k]``, and stands first in document ``doc[k]`` at ``first[k]``, an earlier
+    place if ``later[k]``. Neighbouring blocks that meet or overlap, with first places as far apart in one document, are
+    one run.
     """
-    if not len(at):
-        return []
     step = np.diff(at)
-    link = later[1:] & later[:-1] & (doc[1:] == doc[:-1]) & (np.diff(first) == step) & (step <= size)
+    link = later[1:] & later[:-1] & (row[1:] == row[:-1]) & (doc[1:] == doc[:-1]) & (np.diff(first) == step) & (step <= size)
     cuts = np.flatnonzero(~link) + 1
-    begins, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(at)]]) - 1
+    begins, ends = np.concatenate([[0], cuts])[: len(at)], np.concatenate([cuts, [len(at)]])[: len(at)] - 1
     words = at[ends] - at[begins] + size
     keep = later[begins] & (words >= min_words)
-    return list(zip(at[begins[keep]].tolist(), words[keep].tolist()))
+    return row[begins[keep]], at[begins[keep]], words[keep]
 
 
 _NAMES = "doc_id long, h long, blocks array<long>, start array<int>, n array<int>, gone array<struct<start:int,lines:int>>"
@@ -254,34 +357,48 @@ def _word_names(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[p
     forget()
     size, seen = (min_words + 1) // 2, set()
     second = min_words - size
-    for batch in batches:
-        out = []
-        held, ends = batch.column(3).values, batch.column(3).offsets.to_numpy()
-        start, doc_of, first = (held.field(i).fill_null(0).to_numpy() for i in range(3))
+    for batch in (part for whole in batches for part in _parts(whole, 2)):
+        new = []
+        for k, place in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            if place not in seen:  # repeated rows are one document
+                seen.add(place)
+                new.append(k)
+        if not new:
+            continue
+        batch = batch.take(pa.array(new))
+        _, words, blocks = _texts_blocks(batch.column(2), min_words)
+        held = batch.column(3).flatten()
+        start, doc, first = (held.field(i).fill_null(0).to_numpy() for i in range(3))
         later = held.field(1).is_valid().to_numpy(zero_copy_only=False)
-        for i, (doc, h, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
-            if (doc, h) in seen:  # repeated rows are one document
-                continue
-            seen.add((doc, h))
-            order = ends[i] + np.argsort(start[ends[i]: ends[i + 1]])
-            at = start[order].astype(np.int64)
-            gone = _chains(at, doc_of[order], first[order].astype(np.int64), later[order], size, min_words)
-            blocks = _blocks(text, min_words)
-            repeated = np.zeros(len(blocks), bool)
-            repeated[at] = True
-            mine = repeated[_least(blocks, min_words)]
-            for s, n in gone:
-                mine[s: s + n - min_words + 1] = False
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], mine.view(np.int8), [0]])))
-            begins, after = edges[::2], edges[1::2]
-            told = [blocks[a: b + second] for a, b in zip(begins, after)]
-            out.append((doc, h, (np.concatenate(told) if told else blocks[:0]).view(np.int64), begins.astype(np.int32),
-                        (after - begins).astype(np.int32), [{"start": s, "lines": n} for s, n in gone]))
-        if out:
-            run = pa.list_(pa.struct([("start", pa.int32()), ("lines", pa.int32())]))
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), run]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
-                                             ["doc_id", "h", "blocks", "start", "n", "gone"])
+        row = np.repeat(np.arange(len(new)), np.diff(batch.column(3).offsets.to_numpy()))
+        at = start + words[row]
+        order = np.argsort(at)
+        row, at, doc, first, later = row[order], at[order], doc[order], first[order].astype(np.int64), later[order]
+        chained, begin, lines = _chains(row, at, doc, first, later, size, min_words)
+        repeated = np.zeros(len(blocks), bool)
+        repeated[at] = True
+        least, mine = _least(blocks, words, min_words)
+        mine &= repeated[least]
+        gone = np.zeros(len(mine) + 1, np.int32)
+        np.add.at(gone, begin, 1)
+        np.add.at(gone, begin + lines - min_words + 1, -1)
+        mine &= np.cumsum(gone[:-1]) == 0
+        opens = mine.copy()
+        opens[1:] &= ~mine[:-1]
+        heads = words[:-1][words[:-1] < len(mine)]
+        opens[heads] = mine[heads]  # stretches do not go beyond a text
+        begins = np.flatnonzero(opens)
+        n = np.diff(np.append(np.cumsum(mine)[begins] - 1, mine.sum())) if len(begins) else begins
+        told = np.repeat(begins - np.cumsum(n + second) + n + second, n + second) + np.arange((n + second).sum())
+        ends = np.searchsorted(begins, words)
+        text = np.repeat(words[:-1], np.diff(ends))
+        upto = np.concatenate([[0], np.cumsum(n + second)])
+        runs = pa.StructArray.from_arrays([pa.array(begin - words[chained], pa.int32()), pa.array(lines, pa.int32())], ["start", "lines"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), _lists(upto[ends], pa.array(blocks[told].view(np.int64))),
+             _lists(ends, pa.array(begins - text, pa.int32())), _lists(ends, pa.array(n, pa.int32())),
+             _lists(np.searchsorted(chained, np.arange(len(new) + 1)), runs)],
+            ["doc_id", "h", "blocks", "start", "n", "gone"])
 
 
 def _runs_of(batch: pa.RecordBatch, second: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -295,7 +412,7 @@ def _runs_of(batch: pa.RecordBatch, second: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _buckets(keys: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each bucket of the hashes ``h`` in ``keys``: at most 2 MB."""
+    """A bit for each of 2**``bits`` buckets of the hashes ``h`` in ``keys``: at most 8 MB."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = BucketCounts(bits)
         for batch in batches:
@@ -319,6 +436,25 @@ def _within(df: DataFrame, h: str, buckets: np.ndarray, bits: int, inside: bool
     return df.mapInArrow(run, df.schema)
 
 
+def _marks_within(own: DataFrame, buckets: np.ndarray, bits: int) -> DataFrame:
+    """(doc_id, h, mark, start): the blocks of ``own`` (doc_id, h, marks, at) whose hash is in the buckets."""
+    mask = (1 << bits) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks, at = batch.column(2).flatten(), batch.column(3).flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(2).offsets.to_numpy()))
+            k = marks.to_numpy() & mask
+            keep = np.flatnonzero((buckets[k >> 3] >> (7 - (k & 7))) & 1 == 1)
+            for i in range(0, len(keep), 100_000):
+                part = keep[i: i + 100_000]
+                rows = pa.array(row[part])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), marks.take(pa.array(part)),
+                                                  at.take(pa.array(part))], ["doc_id", "h", "mark", "start"])
+
+    return own.select("doc_id", "h", "marks", "at").mapInArrow(run, "doc_id long, h long, mark long, start int")
+
+
 def _name_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """One hash of each run from those of its first and last block."""
     x = (a.view(np.uint64) ^ (b.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -360,19 +496,22 @@ def repeated_words(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     (start, lines) over its words."""
     checkpoint_dir(docs.sparkSession)
     docs = docs.select("doc_id", "h", "text")
-    marks = (docs.mapInArrow(lambda b: _marks(b, min_words), _MARKS).dropDuplicates(["doc_id", "h"])
-             .withColumn("start", F.lit(0)).checkpoint())
-    firsts = marks.groupBy("run1", "run2").agg(F.min(_place()).alias("first")).checkpoint()
-    placed = marks.join(firsts, ["run1", "run2"])
-    copies = placed.filter(_place() != F.col("first")).select("doc_id", "h", "start", F.col("words").alias("lines"))
-    own = placed.filter(_place() == F.col("first")).select("doc_id", "h", F.arrays_zip("marks", "at").alias("marks")).checkpoint()
-    each = own.select("doc_id", "h", F.explode("marks").alias("m")).select("doc_id", "h", F.col("m.marks").alias("mark"),
-                                                                          F.col("m.at").alias("start"))
+    marks = docs.mapInArrow(lambda b: _marks(b, min_words), _MARKS).withColumn("start", F.lit(0)).checkpoint()
+    # the marks go with the place, so that the first text of equals, and one of repeated rows, is found as they are dealt
+    # out; in two arrays, as one of structs takes far more room
+    own = (marks.groupBy("run1", "run2").agg(F.min(F.struct(_place().alias("first"), "marks", "at")).alias("own"))
+           .select("run1", "run2", "own.first.doc_id", "own.first.h", "own.first.start", "own.marks", "own.at").checkpoint())
+    copies = (marks.select("run1", "run2", "doc_id", "h", "start", "words").join(own.select("run1", "run2", _place().alias("first")), ["run1", "run2"])
+              .filter(_place() != F.col("first")).select("doc_id", "h", "start", F.col("words").alias("lines")))
+    each = own.select("doc_id", "h", F.explode(F.arrays_zip("marks", "at")).alias("m")).select("doc_id", "h", F.col("m.marks").alias("mark"),
+                                                                                             F.col("m.at").alias("start"))
     again = (each.groupBy("mark").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("times"))
              .filter("times > 1").drop("times").checkpoint())
     block = F.struct("start", F.when(_place() != F.col("first"), F.xxhash64("first.doc_id", "first.h")).alias("doc"),
                      F.col("first.start").alias("first"))
-    held = (each.join(again, "mark").groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_x"))
+    bits = bits_for(docs, 16, most=26)
+    sent = _marks_within(own, _buckets(again.select(F.col("mark").alias("h")), bits), bits)
+    held = (sent.join(again, "mark").groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_x"))
             .agg(F.collect_list(block).alias("held")).checkpoint())
     bits = bits_for(docs, 256, most=24)
     texts = _within(docs, "h", _buckets(held.select(F.col("_x").alias("h")), bits), bits)
@@ -388,31 +527,48 @@ def repeated_words(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return found.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "lines")).alias("gone"))
 
 
+def _spans(gone: pa.ListArray) -> list[list[dict] | None]:
+    """The runs to remove of each text, those that meet or overlap as one."""
+    row = np.repeat(np.arange(len(gone)), pc.list_value_length(gone).fill_null(0).to_numpy(zero_copy_only=False))
+    start, lines = (x.to_numpy().astype(np.int64) for x in gone.flatten().flatten())
+    order = np.argsort((row << 32) + start)
+    start, upto = ((row << 32) + x for x in (start, start + lines))
+    start, upto = start[order], np.maximum.accumulate(upto[order])
+    opens = np.flatnonzero(np.concatenate([[True], start[1:] > upto[:-1]])[: len(start)])
+    out: list[list[dict] | None] = [None] * len(gone)
+    for k, a, b in zip(row[opens].tolist(), start[opens].tolist(), upto[np.append(opens[1:], len(start)) - 1].tolist() if len(opens) else ()):
+        out[k] = (out[k] or []) + [{"start": a & 0xFFFFFFFF, "lines": b - a}]
+    return out
+
+
 def _without_words(text: str, gone: list[dict]) -> tuple[str, list[int], int, int]:
     """The text without the words in ``gone``, and without lines that lose all their words; the numbers from 0 of
     such lines among all lines; lines with a word; words that went. Signs between words go with the word before them."""
+    lines = text.split("\n")
     if not gone:
-        return text, [], sum(1 for line in text.split("\n") if line and not line.isspace()), 0
-    drop = np.zeros(len(text.split()) + 1, np.int64)
+        return text, [], sum(1 for line in lines if line and not line.isspace()), 0
+    sizes = np.array([len(line.split()) for line in lines])
+    ends = np.cumsum(sizes)
+    drop = np.zeros(ends[-1] + 1, np.int64)
     for g in gone:
         drop[g["start"]] += 1
         drop[g["start"] + g["lines"]] -= 1
     dropped = np.cumsum(drop) > 0
-    kept, out, filled, at = [], [], 0, 0
-    for i, line in enumerate(text.split("\n")):
-        n = len(line.split())
-        mine, at = dropped[at: at + n], at + n
-        filled += n > 0
-        if not mine.any():
-            kept.append(line)
-        elif mine.all():
-            out.append(i)
-        else:
-            spans = [m.span() for m in re.finditer(r"\S+", line)]
-            ends = [*[a for a, _ in spans[1:]], len(line)]
-            new = line[:spans[0][0]] + "".join(line[a:e] for (a, _), e, d in zip(spans, ends, mine) if not d)
-            kept.append(new.rstrip() if mine[-1] else new)
-    return "\n".join(kept), out, filled, int(dropped.sum())
+    lost = np.diff(np.concatenate([[0], np.cumsum(dropped)])[np.concatenate([[0], ends])])
+    whole, part = (lost > 0) & (lost == sizes), np.flatnonzero((lost > 0) & (lost < sizes))
+    for i in part.tolist():
+        line, mine = lines[i], dropped[ends[i] - sizes[i]: ends[i]]
+        # the rows of words that stay, with the signs before the first and up to the next word
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], mine, [True]]).view(np.int8))).tolist()
+        found, at, starts = re.finditer(r"\S+", line), 0, []
+        for k in edges:
+            starts.append(next(islice(found, k - at, None)).start() if k < len(mine) else len(line))
+            at = k + 1
+        new = line[:len(line) - len(line.lstrip())] + "".join(line[a:b] for a, b in zip(starts[::2], starts[1::2]))
+        lines[i] = new.rstrip() if mine[-1] else new
+    out = np.flatnonzero(whole).tolist()
+    kept = [line for line, went in zip(lines, whole.tolist()) if not went] if out else lines
+    return "\n".join(kept), out, int((sizes > 0).sum()), int(dropped.sum())
 
 
 def _without(text: str, gone: list[dict]) -> tuple[str, list[int], int]:
@@ -468,7 +624,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keep = [], []
-            for text, spans in zip(batch.column(at).to_pylist(), batch.column(n + 1).to_pylist()):
+            for text, spans in zip(batch.column(at).to_pylist(), _spans(batch.column(n + 1))):
                 if words:
                     new, out, filled, _ = _without_words(text or "", spans)
                 else:
@@ -492,7 +648,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         for batch in batches:
             out = []
-            for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+            for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _spans(batch.column(3))):
                 new, dropped, filled, lost = _without_words(text or "", spans)
                 cuts = [k for k in range(1, len(dropped)) if dropped[k] != dropped[k - 1] + 1]
                 named = ",".join(f"{dropped[a]}-{dropped[b - 1]}" for a, b in zip([0, *cuts], [*cuts, len(dropped)]) if dropped)

@@ -117,3 +117,60 @@ def test_only_lines_that_lose_a_part_are_cut_by_words(monkeypatch):
     assert L._without_words(text, [{"start": 3, "lines": 3}]) == ("a b c\n\n g h \ni\n \x85\nj", [1], 5, 3)
     assert found == [" f  g h "]
     assert L._without_words(text, []) == (text, [], 5, 0)
+
+
+def test_words_are_told_and_hashed_many_texts_at_once(monkeypatch):
+    """op5: words as ``str.split`` tells them, with one call for long words only; before, each word was hashed by itself."""
+    import pyarrow as pa
+    import xxhash
+
+    from rimshot.llm import linededup as L
+
+    every = "".join("aé" + chr(c) for c in range(0x3100)) + "\U0001f600" * 9
+    texts = ["", "a b", every, "  c" + "d" * 40 + "\n", "\x85", "".join(f"{'x' * i} " for i in range(33)), "b", "\x00 \x00\x00"]
+    told = [[xxhash.xxh64_intdigest(w) for w in t.split()] for t in texts]
+    calls, real = [], xxhash.xxh64_intdigest
+    monkeypatch.setattr(L.xxhash, "xxh64_intdigest", lambda w: calls.append(bytes(w)) or real(w))
+    ids, words = L._word_ids(pa.array(["cut", *texts]).slice(1))
+    assert [ids[a:b].tolist() for a, b in zip(words, words[1:])] == told
+    assert all(len(w) >= 32 for w in calls)
+    assert [len(x) for x in L._word_ids(pa.array([], pa.string()))] == [0, 1]
+
+
+def test_least_blocks_of_many_texts():
+    """op5: the marks and places of a batch are those of its texts one by one, with texts too short for a run between."""
+    import random
+
+    import pyarrow as pa
+
+    from rimshot.llm import linededup as L
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 30))) for _ in range(60)]
+
+    def batch(ids):
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ids, pa.int64()), pa.array([texts[i] for i in ids], pa.string())],
+                                          ["doc_id", "h", "text"])
+
+    for least in (1, 2, 5, 8):
+        size = (least + 1) // 2
+        rows = [r for b in L._marks(iter([batch(range(60))]), least) for r in b.to_pylist()]
+        alone = [r for i in range(60) for b in L._marks(iter([batch([i])]), least) for r in b.to_pylist()]
+        assert rows == alone and [r["doc_id"] for r in rows] == [i for i in range(60) if len(texts[i].split()) >= least]
+        for r in rows:
+            blocks = [x >> 28 for x in L._blocks(texts[r["doc_id"]], least).tolist()]
+            runs = range(r["words"] - least + 1)
+            assert r["at"] == sorted({min(range(i, i + least - size + 1), key=lambda k: (blocks[k], k)) for i in runs})
+
+
+def test_runs_to_remove_are_joined():
+    """op5: runs that overlap or meet are one; before, each of them was handed on as a row of its own."""
+    import pyarrow as pa
+
+    from rimshot.llm import linededup as L
+
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("lines", pa.int32())]))
+    gone = [[(9, 1), (0, 3), (2, 4), (6, 1)], None, [], [(0, 5), (1, 2), (7, 2)]]
+    column = pa.array([g if g is None else [{"start": a, "lines": n} for a, n in g] for g in gone], kind)
+    assert L._spans(column) == [[{"start": 0, "lines": 7}, {"start": 9, "lines": 1}], None, None, [{"start": 0, "lines": 5}, {"start": 7, "lines": 2}]]
+    assert L._spans(column.slice(1, 2)) == [None, None] and L._spans(column.slice(0, 0)) == []
