@@ -64,9 +64,21 @@ def score_mismatch(games: DataFrame, box: DataFrame) -> DataFrame:
                     "away_team_id", "away_points", "tgs_away_pts")
 
 
-def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
-    """A3: keys that occur more than once, with their count (partial counts combine map-side)."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+DEALT_ROWS = 500_000  # rows for each task that counts keys
+
+
+def dealt(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """``df`` dealt out by key to a task for each ``DEALT_ROWS`` of ``rows``; as it is if one task holds them."""
+    if rows <= DEALT_ROWS:
+        return df
+    return df.repartition(max(-(-rows // DEALT_ROWS), df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
+def duplicates(df: DataFrame, keys: list[str], rows: int = 0) -> DataFrame:
+    """A3: keys that occur more than once, with their count. Partial counts combine map-side, where a task holds each
+    key of all its rows; so with more ``rows`` (about how many there are) than one task is to hold, the rows, whose keys
+    are mostly single, are dealt out by key to as many tasks as they need, and counted there only."""
+    return dealt(df.select(*keys), keys, rows).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
 def incomplete(df: DataFrame, cols: list[str]) -> DataFrame:
