@@ -26,11 +26,16 @@ def _first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 def last_per_key(df: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
     """One row per key: the last by ``order`` (columns; later deliveries greater), ties and no order by the
-    greatest remaining columns, nulls lowest. A grouped ``max_by``, so copies are reduced before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*[F.col(c) for c in rest])
-    by = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order or [])], *rest)
-    return df.groupBy(*keys).agg(F.max_by(row, by).alias("_row")).select(*keys, "_row.*")
+    greatest remaining columns, nulls lowest. A grouped maximum of the order and the row, so copies are reduced before
+    the shuffle and a row is in it once."""
+    order = list(order or [])
+    place = {o: f"_o{i}" for i, o in enumerate(order) if isinstance(o, str)}
+    rest = [c for c in df.columns if c not in keys and c not in place]
+    place |= {c: f"_r{i}" for i, c in enumerate(rest)}
+    row = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"_o{i}") for i, o in enumerate(order)],
+                   *[F.col(c).alias(place[c]) for c in rest])
+    return df.groupBy(*keys).agg(F.max(row).alias("_row")).select(
+        *keys, *[F.col(f"_row.{place[c]}").alias(c) for c in df.columns if c not in keys])
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rimshot.operators.features import ROLLING_SPEC
 from rimshot.plans.catalog import query, round_doubles
 from rimshot.plans.oracle_sql import register
-from rimshot.session import checkpoint_dir, scratch_path
+from rimshot.session import checkpoint_dir, job, scratch_path, stored
 from rimshot.sources import fixtures as fx
 from rimshot.streaming import daily as D
 from rimshot.streaming import jobs as J
@@ -121,10 +121,11 @@ def _daily(spark, sf_dir, files_per_trigger: int, feeds=tuple(D.FEEDS)) -> str:
         which, change = corrected[name]
         again = rows.where((F.col("season_start") == first) & which).withColumns(change).withColumn("chunk", F.lit(N_FILES - 1))
         nobody = again.limit(1).withColumn("team_id" if name != "player_box" else "player_id", F.lit(None).cast("long"))
-        landed = rows.unionByName(again).unionByName(nobody).checkpoint()
-        files = J.files_of(landed)
-        most = max(most, files)
-        J.land_in_time_order(landed, os.path.join(root, "landing", name), "season_start", N_FILES, "parquet", files, D.FEEDS[name].keys)
+        with job(spark):
+            landed = stored(rows.unionByName(again).unionByName(nobody))
+            files = J.files_of(landed)
+            most = max(most, files)
+            J.land_in_time_order(landed, os.path.join(root, "landing", name), "season_start", N_FILES, "parquet", files, D.FEEDS[name].keys)
     D.daily_load_stream(spark, {n: os.path.join(root, "landing", n, "chunk-*") for n in feeds}, os.path.join(root, "tables"),
                         os.path.join(root, "_progress"), files_per_trigger=files_per_trigger * most).awaitTermination()
     return os.path.join(root, "tables")

@@ -7,7 +7,8 @@ every micro-batch goes through ``foreachBatch``:
    of the last delivery, with that delivery. Merging is the maximum by delivery, so it does not depend on how files
    fall into batches, a late older file changes nothing, and a batch that is run again changes nothing.
 2. **Partitions.** Tables are partitioned by season and a bucket of the key's hash. A batch reads and replaces only the
-   partitions of its keys; a partition is materialised with a reliable ``checkpoint()`` before it is replaced.
+   partitions of its keys; a partition is stored elsewhere before it is replaced, unless nothing of the table was read.
+   What a batch stores, and the shuffle files of each of its steps, go as soon as they are not needed (``session.job``).
 3. **Dirty keys.** The games that a batch touches (by log or team box) are pivoted again (A2). Their team-seasons, as
    they were and as they are now, are dirty from the earliest touched date on. They are written to the ledger before
    the games change, so a batch that failed half-way passes on what it had found.
@@ -29,10 +30,11 @@ from pyspark.sql import functions as F
 from rimshot.operators.features import ROLLING_SPEC, rolling
 from rimshot.operators.merge import last_per_key, replace_slice
 from rimshot.operators.results import features_base, pivot_games, team_game_results
-from rimshot.session import checkpoint_dir
+from rimshot.session import checkpoint_dir, job, remove, stored
 
 DELIVERY = ["_at", "_file"]
 BUCKETS = 4
+MERGE_ROWS = 16_000_000  # rows of a batch that are merged at once, or those of one partition if these are more
 
 
 @dataclass(frozen=True)
@@ -66,11 +68,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 @dataclass(frozen=True)
 class Warehouse:
     """The folders of one load and what is read from and written to them."""
@@ -92,31 +89,55 @@ class Warehouse:
         df = self.spark.read.parquet(self.path(name))
         df = df.withColumn("season_start", F.col("season_start").cast("long"))
         if parts is not None:
-            df = df.where(reduce(lambda a, b: a | b, [(F.col("season_start") == s) & (F.col("bucket") == b) for s, b in parts], F.lit(False)))
+            df = self.of(df, parts)
         return df if seasons is None else df.where(F.col("season_start").isin(seasons))
 
+    def of(self, df: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
+        """The rows of these partitions."""
+        return df.where(reduce(lambda a, b: a | b, [(F.col("season_start") == s) & (F.col("bucket") == b) for s, b in parts], F.lit(False)))
+
+    def folder(self, name: str, part: tuple[int, int]) -> str:
+        return self.path(f"{name}/season_start={part[0]}/bucket={part[1]}")
+
     def parts(self, df: DataFrame) -> list[tuple[int, int]]:
         """The partitions that hold rows of ``df``: at most the seasons of a batch times the buckets."""
         return sorted(tuple(r) for r in df.select("season_start", "bucket").distinct().collect())
 
     def replace(self, name: str, df: DataFrame, parts: list[tuple[int, int]]) -> None:
         """Replace these partitions by the rows of ``df``; those for which it has none go."""
-        df = df.checkpoint()
-        left = self.parts(df)
-        if left:
-            replace_slice(df, self.path(name), ["season_start", "bucket"])
-        for season, bucket in set(parts) - set(left):
-            _remove(self.spark, self.path(f"{name}/season_start={season}/bucket={bucket}"))
+        with job(self.spark):
+            df = stored(df)
+            left = self.parts(df)
+            if left:
+                replace_slice(df, self.path(name), ["season_start", "bucket"])
+        for part in set(parts) - set(left):
+            remove(self.spark, self.folder(name, part))
 
     def merge(self, name: str, rows: DataFrame, keys: list[str]) -> list[tuple[int, int]]:
-        """Versioned rows into a table: of each key the last delivery stays."""
-        parts = self.parts(rows)
-        stored = self.read(name, parts)
-        if stored is not None:
-            rows = rows.unionByName(stored.select(*rows.columns))
-        kept = last_per_key(rows, keys, DELIVERY)  # ties of one delivery by the greatest remaining columns
-        self.replace(name, kept.select(*rows.columns), parts)
-        return parts
+        """Versioned rows into a table: of each key the last delivery stays. Partitions are merged one after another, as
+        many at once as have ``MERGE_ROWS`` rows, so that the files of an exchange do not grow with the batch."""
+        found = {(r["season_start"], r["bucket"]): r["n"] for r in
+                 rows.groupBy("season_start", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+        groups, n = [], 0
+        for part in sorted(found):
+            if not groups or n + found[part] > MERGE_ROWS:
+                groups.append([])
+                n = 0
+            groups[-1].append(part)
+            n += found[part]
+        for some in groups:
+            self._merge(name, self.of(rows, some) if len(groups) > 1 else rows, keys, some)
+        return sorted(found)
+
+    def _merge(self, name: str, rows: DataFrame, keys: list[str], parts: list[tuple[int, int]]) -> None:
+        there = [p for p in parts if exists(self.spark, self.folder(name, p))]
+        if there:
+            rows = rows.unionByName(self.read(name, there).select(*rows.columns))
+        kept = last_per_key(rows, keys, DELIVERY).select(*rows.columns)  # ties of one delivery by the greatest remaining columns
+        if there:
+            self.replace(name, kept, parts)
+        else:  # new partitions: none is read while it is written, and all of them have rows
+            replace_slice(kept, self.path(name), ["season_start", "bucket"])
 
 
 def landed(spark: SparkSession, folders: dict[str, str], files_per_trigger: int) -> DataFrame:
@@ -144,9 +165,11 @@ class DailyLoad:
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         checkpoint_dir(self.spark)
         entry = self.w.path(f"ledger/applied/batch={batch_id}")
-        if exists(self.spark, entry):
-            return
-        batch = batch.checkpoint()
+        if not exists(self.spark, entry):
+            with job(self.spark), job(batch.sparkSession):  # a stream works in a session of its own
+                self._apply(stored(batch), batch_id, entry)
+
+    def _apply(self, batch: DataFrame, batch_id: int, entry: str) -> None:
         if batch.isEmpty():
             return
         names = [r["_feed"] for r in batch.select("_feed").distinct().collect()]
@@ -175,11 +198,11 @@ class DailyLoad:
         parts = self.w.parts(touched)
         log = self.w.read("game_log", parts)
         on = ["season_start", "game_id"]
-        new = stored = None
+        new = held = None
         if log is not None:
             new = pivot_games(log.join(touched.select(*on), on, "left_semi"), mode="daily").withColumn("bucket", self.w.bucket("game_id"))
-        stored = self.w.read("games", parts)
-        days = [_team_days(g) for g in (new, stored and stored.join(touched.select(*on), on, "left_semi")) if g is not None]
+        held = self.w.read("games", parts)
+        days = [_team_days(g) for g in (new, held and held.join(touched.select(*on), on, "left_semi")) if g is not None]
         ledger = self.w.path(f"ledger/dirty/batch={batch_id}")
         if not exists(self.spark, f"{ledger}/_SUCCESS"):
             schema = "season_start long, team_id long, since date"
@@ -187,8 +210,8 @@ class DailyLoad:
                      if days else self.spark.createDataFrame([], schema))
             dirty.coalesce(1).write.mode("overwrite").parquet(ledger)
         if new is not None:
-            if stored is not None:
-                new = new.unionByName(stored.join(touched.select(*on), on, "left_anti").select(*new.columns))
+            if held is not None:
+                new = new.unionByName(held.join(touched.select(*on), on, "left_anti").select(*new.columns))
             self.w.replace("games", new, parts)
         return self.spark.read.parquet(ledger)
 
@@ -203,13 +226,13 @@ class DailyLoad:
         on = ["season_start", "team_id"]
         results = team_game_results(games).join(dirty.select(*on), on, "left_semi")
         stats = box.withColumn("reb", F.col("oreb") + F.col("dreb"))
-        base = features_base(results, stats).checkpoint()
+        base = stored(features_base(results, stats))
         fresh = (rolling(base, self.spec).join(dirty.select(*on, "since"), on).where(F.col("game_date") >= F.col("since"))
                  .select("season_start", "game_id", "game_date", "team_id", "opp_team_id", "is_home", "is_win", *self.spec)
                  .withColumn("bucket", self.w.bucket("team_id")))
-        stored = self.w.read("features", parts)
-        if stored is not None:
-            kept = (stored.join(dirty.select(*on, "since"), on, "left")
+        held = self.w.read("features", parts)
+        if held is not None:
+            kept = (held.join(dirty.select(*on, "since"), on, "left")
                     .where(F.col("since").isNull() | (F.col("game_date") < F.col("since"))))
             fresh = fresh.unionByName(kept.select(*fresh.columns))
         self.w.replace("features", fresh, parts)
